@@ -15,5 +15,29 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup}
+def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid_crf import identify
+
+    return identify(read(spark, sf_dir, "documents"))
+
+
+def op6_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm_score import score_texts
+
+    return score_texts(read(spark, sf_dir, "documents"))
+
+
+def op7_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_net import classify
+
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity_channel import score_toxicity
+
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_language_crf, op6_hmm_score, op7_quality_net, op9_toxicity)}
 ORACLES: dict[str, str] = {}
