@@ -10,9 +10,10 @@ Work is kept in proportion to the input:
 * Documents with one shingle set are one node; copies never form pairs.
 * A key of the first collection that only one node has cannot match in any table, so only nodes with a repeated key
   go on to the combined keys.
-* In a table's bucket every node is compared with one leader only. What these stars join is one class. Members of
-  different classes that still share a bucket are compared in blocks of bounded size, each pair in the first table
-  it shares, so no pair within a bucket is left out and no list of all pairs is made.
+* In a table's bucket every node is compared with a few leaders only. What these stars join is one class; in the
+  next round other leaders meet only nodes of other classes. Members of different classes that share a bucket after
+  the last round are compared in blocks of bounded size, each pair in the first table it shares, so no pair within a
+  bucket is left out and no list of all pairs is made.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import U64, Scratch, connected, groups, mix64, shingle_hashes, word_hashes, words_of
 
 ROWS, KEYS, SEED = 3, 10, 0x5EED
-BLOCK = 256
+BLOCK, STAR_ROUNDS, LEADERS, MARKS = 256, 2, 4, 512
 
 
 def multipliers(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -144,36 +145,47 @@ def _confirm(percent: int):
     return run
 
 
+def _marks(batches):
+    """A longer signature of a set, one byte a hash, for nodes that need a finer estimate."""
+    a, b = multipliers(MARKS, SEED + 1)
+    for batch in batches:
+        out = []
+        for x in batch.column("set"):
+            s = np.frombuffer(x.as_buffer(), U64)
+            low = np.full(MARKS, 2**64 - 1, U64)
+            for at in range(0, len(s), 2000):
+                low = np.minimum(low, (s[at : at + 2000, None] * a + b).min(axis=0))
+            out.append((low >> U64(32)).astype(np.uint8).tobytes())
+        yield pa.record_batch({"node": batch.column("node"), "mark": pa.array(out, pa.binary())})
+
+
 def _block_pairs(rows: int, keys: int, percent: int):
-    """Pairs of different classes in a block pair of a bucket, in the first table that they share.
+    """Pairs of different classes in a block pair of a first key, under the first such key that they share.
 
-    Only pairs whose minhashes agree less often than the threshold minus six standard errors are passed over.
+    Only pairs whose minhashes agree less often than the threshold minus five standard errors are passed over.
     """
     width, level = 2 * rows * keys, percent / 100
-    least = level - 6 * (level * (1 - level) / width) ** 0.5
+    least, sure = (level - 5 * (level * (1 - level) / n) ** 0.5 for n in (width, MARKS))
 
     def run(batches):
-        for t in groups(batches, ["bucket", "lo", "hi"]):
+        for t in groups(batches, ["key", "lo", "hi"]):
             if t.num_rows < 2:
                 continue
-            lo, hi, block = t.column("lo")[0].as_py(), t.column("hi")[0].as_py(), t.column("block").to_numpy()
+            key, lo, hi, block = t.column("key")[0].as_py(), t.column("lo")[0].as_py(), t.column("hi")[0].as_py(), t.column("block").to_numpy()
             node, cls, sig = t.column("node").to_numpy(), t.column("class").to_numpy(), _matrix(t.column("sig"), width)
-            left = np.flatnonzero(block == lo)
-            right = np.flatnonzero(block == hi)
-            if not len(left) or not len(right):
-                continue
-            half, bucket = half_keys(sig, rows, keys), t.column("bucket")[0].as_py()
+            mark = np.frombuffer(b"".join(t.column("mark").to_pylist()), np.uint8).reshape(-1, MARKS)
+            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+            half = half_keys(sig, rows, keys)
+            first = half[:, :keys].view(np.int64)
             us, vs = [], []
             for x in left:
                 ys = right[(cls[right] != cls[x]) & ((node[right] > node[x]) if lo == hi else True)]
-                ys = ys[(sig[ys] == sig[x]).mean(axis=1) >= least] if len(ys) else ys
-                if not len(ys):
-                    continue
-                eq = half[ys] == half[x]
-                i, j = eq[:, :keys].argmax(axis=1), keys + eq[:, keys:].argmax(axis=1)
-                first = mix64(half[x, i] * U64(0x9E3779B97F4A7C15) ^ half[x, j]).view(np.int64) == bucket
-                us += [node[x]] * int(first.sum())
-                vs += list(node[ys[first]])
+                ys = ys[(sig[ys] == sig[x]).mean(axis=1) >= least]
+                ys = ys[first[x, (first[ys] == first[x]).argmax(axis=1)] == key]
+                ys = ys[(half[ys, keys:] == half[x, keys:]).any(axis=1)]
+                ys = ys[(mark[ys] == mark[x]).mean(axis=1) >= sure]
+                us += [node[x]] * len(ys)
+                vs += node[ys].tolist()
             if us:
                 yield pa.record_batch({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
@@ -201,7 +213,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = first.join(shared, "key").groupBy("node").agg(F.collect_list("key").alias("first"))  # at most `keys` each
     tensor = members.join(nodes.select("node", "sig"), "node").mapInArrow(_tensor_keys(rows, keys), "bucket long, node long")
     tensor = scratch.table(tensor, "tensor")
-    heads = tensor.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("leader")).where("n > 1")
+    heads = tensor.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     buckets = scratch.table(tensor.join(heads, "bucket"), "buckets")
     scratch.drop("tensor")
 
@@ -214,20 +226,33 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         p = p.join(sets.select(F.col("node").alias("v"), F.col("set").alias("set_v")), "v").select("u", "v", "set_u", "set_v")
         return scratch.table(p.mapInArrow(_confirm(percent), "u long, v long"), name)
 
-    stars = confirmed(buckets.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), "stars")
-    classes = scratch.table(connected(stars, scratch, "star"), "classes")
-    labelled = buckets.select("bucket", "node", "n").join(classes, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("class"))
-    mixed = labelled.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("bucket")
+    labelled, links, classes, mixed = buckets.withColumn("class", F.col("node")), None, None, None
+    for turn in range(STAR_ROUNDS):
+        head = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(LEADERS * turn + i)).alias("h"), "node", "class"))  # noqa: E731, B023
+        leaders = labelled.groupBy("bucket").agg(F.array(*(head(i) for i in range(LEADERS))).alias("leaders"))
+        pairs = labelled.join(leaders, "bucket").select("node", "class", F.explode("leaders").alias("l")).where("l.class <> class")
+        stars = confirmed(pairs.select(F.col("l.node").alias("u"), F.col("node").alias("v")).distinct(), f"stars-{turn}")
+        links = stars if links is None else links.union(stars)
+        classes = scratch.table(connected(links, scratch, f"star-{turn}"), f"classes-{turn}")
+        labelled = buckets.join(classes, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("class"))
+        mixed = labelled.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("bucket")
+        labelled = scratch.table(labelled.join(mixed, "bucket"), f"labelled-{turn}")
+        if labelled.isEmpty():
+            break
+    # what is left: nodes of a mixed bucket, met by their first keys, which all tables of a row share
+    left = scratch.table(labelled.select("node", "class").distinct(), "left")
+    marks = scratch.table(sets.join(left, "node").mapInArrow(_marks, "node long, mark binary"), "marks")
+    met = left.join(nodes.select("node", "sig"), "node").select("node", "sig").mapInArrow(_first_keys(rows, keys), "key long, node long").join(left, "node")
+    mixed = met.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = labelled.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    rest = rest.join(nodes.select("node", "sig"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "class", "sig")
-    rest = rest.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    rest = met.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rest = rest.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "class")
+    rest = rest.join(nodes.select("node", "sig"), "node").join(marks, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     crossing = scratch.table(rest.mapInArrow(_block_pairs(rows, keys, percent), "u long, v long"), "crossing")
-    links = confirmed(crossing, "links")
-    if not links.isEmpty():
-        classes = scratch.table(connected(stars.union(links), scratch, "all"), "all-classes")
-    scratch.drop("sets", "crossing", "buckets", "stars", "links")
+    late = confirmed(crossing, "late")
+    if not late.isEmpty():
+        classes = scratch.table(connected(links.union(late), scratch, "all"), "classes-all")
+    scratch.drop("sets", "crossing", "buckets", "late", "left", "marks", *(f"{x}-{t}" for x in ("stars", "labelled") for t in range(STAR_ROUNDS)))
 
     reps = nodes.join(classes, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("class"))
     lowest = reps.groupBy("class").agg(F.min("doc_id").alias("component_id"))
