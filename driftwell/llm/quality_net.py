@@ -11,6 +11,7 @@ network did not see turns it into a probability.
 from __future__ import annotations
 
 import re
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -79,11 +80,12 @@ class Pool:
             weighted = self.table[p] * (count / size[o])[:, None].astype(np.float32)
             at = np.searchsorted(o, np.flatnonzero(size))
             out[np.flatnonzero(size), k * DIM : (k + 1) * DIM] = np.add.reduceat(weighted, at, axis=0)
-        for i, ws in enumerate(words):  # the share of words that a text repeats, by how often
+        for i, ws in enumerate(words):  # how often the text repeats its words, and repeats them at once
             if ws:
                 counts = np.fromiter(_tally(ws).values(), np.int64)
-                level = np.bincount(np.minimum(REPEATS - 1, np.log2(counts * 100 / len(ws) + 1).astype(int)), counts, REPEATS)
-                out[i, 2 * DIM :] = (level / len(ws)) @ self.table[-REPEATS:] * 3
+                level = np.bincount(np.minimum(REPEATS - 2, np.log2(counts * 100 / len(ws) + 1).astype(int)), counts, REPEATS) / len(ws)
+                level[-1] = sum(map(eq, ws, ws[1:])) / len(ws)
+                out[i, 2 * DIM :] = level @ self.table[-REPEATS:] * 3
         return out
 
 
@@ -122,9 +124,9 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Net:
-    """Two dense layers with a ReLU between, fitted by Adam; the logit is divided by a temperature."""
+    """Two dense layers with a ReLU between, fitted by Adam with the word block dropped at times; the logit is divided by a temperature."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, hidden: int = 32, steps: int = 600, seed: int = 3):
+    def __init__(self, x: np.ndarray, y: np.ndarray, hidden: int = 32, steps: int = 800, seed: int = 3, drop: float = 0.5):
         r = np.random.default_rng(seed)
         self.mean, self.std = x.mean(axis=0), x.std(axis=0) + 1e-4
         z = (x - self.mean) / self.std
@@ -137,10 +139,12 @@ class Net:
         rows = np.flatnonzero(fit)
         for step in range(1, steps + 1):
             at = r.choice(rows, min(512, len(rows)), replace=False)
-            h = np.maximum(0, z[at] @ p[0] + p[1])
+            seen = z[at].copy()
+            seen[r.random(len(at)) < drop, :DIM] = 0  # the words themselves are left out at times, so that form counts
+            h = np.maximum(0, seen @ p[0] + p[1])
             miss = (sigmoid(h @ p[2] + p[3]) - y[at]) / len(at)
             back = np.outer(miss, p[2]) * (h > 0)
-            for i, g in enumerate((z[at].T @ back + 1e-3 * p[0], back.sum(axis=0), h.T @ miss + 1e-3 * p[2], np.array([miss.sum()]))):
+            for i, g in enumerate((seen.T @ back + 2e-3 * p[0], back.sum(axis=0), h.T @ miss + 1e-3 * p[2], np.array([miss.sum()]))):
                 m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
                 p[i] = p[i] - 0.01 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
         self.p, self.temperature = p, 1.0
