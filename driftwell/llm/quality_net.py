@@ -59,6 +59,17 @@ class Pool:
 
     def pool(self, texts: list[bytes | None]) -> np.ndarray:
         """(n, 3 * DIM): means over words, over their shapes, over repeats; zeros for an empty text."""
+        out = np.zeros((len(texts), 3 * DIM), np.float32)
+        at = 0
+        while at < len(texts):  # about a megabyte at a time
+            start, size = at, 0
+            while at < len(texts) and size < 1_000_000:
+                size += len(texts[at] or b"")
+                at += 1
+            out[start:at] = self._pool(texts[start:at])
+        return out
+
+    def _pool(self, texts: list[bytes | None]) -> np.ndarray:
         out = np.zeros((len(texts), 3 * DIM), np.float32)
         words = [x.split() if x else [] for x in texts]
         size = np.fromiter(map(len, words), np.int64, len(words))
@@ -98,10 +109,9 @@ def _tally(words: list[bytes]) -> dict[bytes, int]:
 
 def context_vectors(texts: list[bytes], most: int = 20_000, near: int = 2) -> tuple[list[bytes], np.ndarray]:
     """The frequent words of the learning texts, and the normed sums of their neighbours' index vectors."""
-    lists = [x.lower().split() for x in texts if x]
     counts: dict[bytes, int] = {}
-    for ws in lists:
-        for w in ws:
+    for x in texts:
+        for w in x.lower().split():
             counts[w] = counts.get(w, 0) + 1
     vocabulary = sorted((w for w, c in counts.items() if c > 2), key=lambda w: (-counts[w], w))[:most]
     place = {w: i for i, w in enumerate(vocabulary)}
@@ -109,8 +119,9 @@ def context_vectors(texts: list[bytes], most: int = 20_000, near: int = 2) -> tu
         return [], np.zeros((0, DIM), np.float32)
     index = index_vectors(vocabulary)
     context = index.copy()  # a word is its own neighbour once
-    for ws in lists:
-        ids = np.array([place.get(w, -1) for w in ws])
+    del counts
+    for text in texts:
+        ids = np.array([place.get(w, -1) for w in text.lower().split()])
         for d in range(1, near + 1):
             a, b = ids[:-d], ids[d:]
             both = (a >= 0) & (b >= 0)
@@ -181,7 +192,7 @@ def _predict(model, cut: float, constant: float):
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out_fold: int = 0, cut: float = 0.3, per_class: int = 4000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out_fold: int = 0, cut: float = 0.3, per_class: int = 3000) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= cut).
 
     Fitted on at most ``per_class`` labelled texts of each class, by the lowest hash of the id, outside the held-out

@@ -39,5 +39,39 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_language_crf, op6_hmm_score, op7_quality_net, op9_toxicity)}
+def op3_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pseudonyms import pseudonymise
+
+    return pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), key=PSEUDONYM_KEY)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op5_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_graph import near_duplicate_vectors
+
+    return near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(read(spark, sf_dir, "documents"))
+
+
+PSEUDONYM_KEY = "a fixed key, so that reruns agree; a deployment passes its own"
+QUERIES = {
+    f.__name__: f
+    for f in (op1_minhash_dedup, op2_language_crf, op3_pii_feistel, op4_decontamination, op5_vector_graph, op6_hmm_score, op7_quality_net, op8_suffix_dedup, op9_toxicity, op10_mixing)
+}
 ORACLES: dict[str, str] = {}
