@@ -61,40 +61,55 @@ class Index:
         return found
 
 
+def _matches(batches, shared, k: int, percent: int, text: str):
+    """Each batch with (row, item, shared, size) of the verified matches of a batch's texts."""
+    _, index = shared.value
+    for batch in batches:
+        at, out = 0, []
+        while at < batch.num_rows:
+            start, lists, size = at, [], 0
+            while at < batch.num_rows and size < 500_000:
+                lists.append(shingle_hashes(word_hashes(words_of(batch.column(text)[at].as_py())), k))
+                size += len(lists[-1])
+                at += 1
+            full = [i for i, s in enumerate(lists) if len(s)]
+            if not full:
+                continue
+            sizes = np.array([len(lists[i]) for i in full])
+            held: dict[int, np.ndarray] = {}
+            for t, item in sorted(index.candidates(np.concatenate([lists[i] for i in full]), np.cumsum(sizes) - sizes, sizes)):
+                if t not in held:
+                    held = {t: np.unique(lists[full[t]])}
+                n = len(np.intersect1d(index.sets[item], held[t], assume_unique=True))
+                if 100 * n >= percent * len(index.sets[item]):
+                    out.append((start + full[t], item, n, len(index.sets[item])))
+        yield batch, out
+
+
 def _search(shared, k: int, percent: int):
     def run(batches):
-        ids, index = shared.value
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                start, lists, size = at, [], 0
-                while at < batch.num_rows and size < 500_000:
-                    lists.append(shingle_hashes(word_hashes(words_of(batch.column("text")[at].as_py())), k))
-                    size += len(lists[-1])
-                    at += 1
-                full = [i for i, s in enumerate(lists) if len(s)]
-                if not full:
-                    continue
-                sizes = np.array([len(lists[i]) for i in full])
-                out = []
-                held: dict[int, np.ndarray] = {}
-                for t, item in sorted(index.candidates(np.concatenate([lists[i] for i in full]), np.cumsum(sizes) - sizes, sizes)):
-                    if t not in held:
-                        held = {t: np.unique(lists[full[t]])}
-                    want = index.sets[item]
-                    n = len(np.intersect1d(want, held[t], assume_unique=True))
-                    if 100 * n >= percent * len(want):
-                        out.append((start + full[t], item, n, len(want)))
-                if out:
-                    yield pa.record_batch(
-                        {
-                            "doc_id": batch.column("doc_id").take(pa.array([o[0] for o in out])),
-                            "item_id": pa.array([ids[o[1]] for o in out], pa.int64()),
-                            "n_shared": pa.array([o[2] for o in out], pa.int64()),
-                            "n_item": pa.array([o[3] for o in out], pa.int64()),
-                            "containment": pa.array([o[2] / o[3] for o in out], pa.float64()),
-                        }
-                    )
+        ids = shared.value[0]
+        for batch, out in _matches(batches, shared, k, percent, "text"):
+            if out:
+                yield pa.record_batch(
+                    {
+                        "doc_id": batch.column("doc_id").take(pa.array([o[0] for o in out])),
+                        "item_id": pa.array([ids[o[1]] for o in out], pa.int64()),
+                        "n_shared": pa.array([o[2] for o in out], pa.int64()),
+                        "n_item": pa.array([o[3] for o in out], pa.int64()),
+                        "containment": pa.array([o[2] / o[3] for o in out], pa.float64()),
+                    }
+                )
+
+    return run
+
+
+def _clean(shared, k: int, percent: int, text: str):
+    def run(batches):
+        for batch, out in _matches(batches, shared, k, percent, text):
+            keep = np.ones(batch.num_rows, bool)
+            keep[[o[0] for o in out]] = False
+            yield batch.filter(pa.array(keep)).drop_columns([text])
 
     return run
 
@@ -132,3 +147,12 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
         part = d.mapInArrow(_search(spark.sparkContext.broadcast((ids, Index(sets))), k, percent), schema)
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], schema) if out is None else out
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns as they are, that hold no item; one pass over the texts for each block of items."""
+    spark, name, out = docs.sparkSession, "__bytes", docs
+    for ids, sets in item_blocks(items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("binary").alias("text")), k):
+        shared = spark.sparkContext.broadcast((ids, Index(sets)))
+        out = out.withColumn(name, F.col(text_col).cast("binary")).mapInArrow(_clean(shared, k, percent, name), docs.schema)
+    return out

@@ -150,7 +150,7 @@ class Mix:
 
     def documents(self) -> DataFrame:
         taken = self.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-        taken = self.pieces().select("row", "source_no", "block", "words").join(taken, ["source_no", "block"])
+        taken = self.pieces().select("row", "source_no", "block", "words").join(taken.hint("merge"), ["source_no", "block"])  # the plan takes the drawn slots for few rows
         taken = taken.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
         return self.placed.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -160,7 +160,7 @@ class Mix:
         cut = self.pieces().join(self.source.select(F.monotonically_increasing_id().alias("row"), "text"), "row")
         cut = cut.select("source_no", "block", "place", F.array_join(F.slice(words, (F.col("from") + 1).cast("int"), F.col("words").cast("int")), " ").alias("t"))
         text = cut.groupBy("source_no", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "t"))), lambda x: x["t"]), " ").alias("text"))
-        return self.slots.join(text, ["source_no", "block"])
+        return self.slots.hint("merge").join(text, ["source_no", "block"])
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:

@@ -172,26 +172,49 @@ class Net:
         return sigmoid(self.logit(x) / self.temperature + shift)
 
 
-def _predict(model, cut: float, constant: float):
+def _scores(batches, model, constant: float, text: str):
+    """(batch, scores) of pieces of the batches."""
+    pool = Pool(model[0], model[1]) if model else None
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            start, texts, size = at, [], 0
+            while at < batch.num_rows and size < 5_000_000:
+                texts.append(batch.column(text)[at].as_py())
+                size += len(texts[-1] or b"")
+                at += 1
+            yield batch.slice(start, at - start), model[2].score(pool.pool(texts), model[3]) if model else np.full(len(texts), constant)
+
+
+def _predict(fitted, cut: float):
+    def run(batches):
+        for batch, s in _scores(batches, *fitted, "text"):
+            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(s.astype(float)), pa.array((s >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+
+    return run
+
+
+def _accept(fitted, cut: float, text: str):
     def run(batches):
-        pool = Pool(model[0], model[1]) if model else None
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                start, texts, size = at, [], 0
-                while at < batch.num_rows and size < 5_000_000:
-                    texts.append(batch.column("text")[at].as_py())
-                    size += len(texts[-1] or b"")
-                    at += 1
-                s = model[2].score(pool.pool(texts), model[3]) if model else np.full(len(texts), constant)
-                yield pa.record_batch(
-                    [batch.column("doc_id").slice(start, at - start), batch.column("held_out").slice(start, at - start), pa.array(s.astype(float)), pa.array((s >= cut).astype(np.int32))],
-                    ["doc_id", "held_out", "score", "predicted"],
-                )
+        for batch, s in _scores(batches, *fitted, text):
+            yield batch.filter(pa.array(s >= cut)).drop_columns([text])
 
     return run
 
 
+def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out_fold: int = 0, per_class: int = 3000) -> tuple:
+    """(model or None, the score without a model), from a bounded sample outside the held-out fold."""
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("class")).where("class in (0, 1)").where(fold("doc_id", folds) != out_fold).distinct()
+    samples = texts_by_class(marks, per_class, 2, d)
+    y = np.array([c for c, _ in samples], float)
+    if len(set(y)) < 2:
+        return None, float(y.mean()) if len(y) else 0.5
+    texts = [t or b"" for _, t in samples]
+    vocabulary, context = context_vectors(texts)
+    return (vocabulary, context, Net(Pool(vocabulary, context).pool(texts), y), prior_shift(marks, [int(c) for c in y])), 0.5
+
+
 def classify(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out_fold: int = 0, cut: float = 0.3, per_class: int = 3000) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= cut).
 
@@ -200,15 +223,13 @@ def classify(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality",
     score. With labels of one class only, or none, the score is that class, or one half. Null labels are not used; an
     id with several labels is learned with each. Repeated and null ids keep their rows; other columns are ignored.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).withColumn("held_out", fold("doc_id", folds) == out_fold)
-    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("class")).where("class in (0, 1)").where(fold("doc_id", folds) != out_fold).distinct()
-    samples = texts_by_class(marks, per_class, 2, d)
-    y = np.array([c for c, _ in samples], float)
-    model, constant = None, float(y.mean()) if len(y) else 0.5
-    if len(set(y)) == 2:
-        texts = [t or b"" for _, t in samples]
-        vocabulary, context = context_vectors(texts)
-        model = (vocabulary, context, Net(Pool(vocabulary, context).pool(texts), y), prior_shift(marks, [int(c) for c in y]))
-    kind = d.schema["doc_id"].dataType.simpleString()
-    return d.select("doc_id", "held_out", "text").mapInArrow(_predict(model, cut, constant), f"doc_id {kind}, held_out boolean, score double, predicted int")
+    fitted = fit(docs, labels, label_col=label_col, id_col=id_col, text_col=text_col, folds=folds, out_fold=out_fold, per_class=per_class)
+    d = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col, folds) == out_fold).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
+    return d.mapInArrow(_predict(fitted, cut), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+
 
+def accepted(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", cut: float = 0.3, **options) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text scores at ``cut`` or above; each row by its own text."""
+    fitted = fit(docs, labels, text_col=text_col, **options)
+    name = "__bytes"
+    return docs.withColumn(name, F.col(text_col).cast("binary")).mapInArrow(_accept(fitted, cut, name), docs.schema)

@@ -25,6 +25,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,22 +64,22 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     n = len(data)
     padded = np.concatenate([data, np.zeros(LENGTH + 8, np.uint8)])
     first = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[:n]).view(">u8").ravel().astype(U64)
-    sa = np.argsort(first, kind="stable")
-    rank = np.zeros(n + LENGTH, np.int64)  # a group's rank is the place of its first suffix, plus one; 0 past the end
-    key, place, depth = first[sa], np.arange(n), 8
+    sa = np.argsort(first).astype(np.int32)
+    rank = np.zeros(n + LENGTH, np.int32)  # a group's rank is the place of its first suffix, plus one; 0 past the end
+    key, place, depth = first[sa], np.arange(n, dtype=np.int32), 8
     while True:
         new = np.append(True, key[1:] != key[:-1])
-        rank[sa[place]] = place[np.maximum.accumulate(np.where(new, np.arange(len(place)), 0))] + 1
+        heads = np.flatnonzero(new)
+        rank[sa[place]] = np.repeat(place[heads] + 1, np.diff(np.append(heads, len(place))))
         if depth >= LENGTH:
             return sa
-        last = np.append(new[1:], True)
-        place = place[~(new & last)]  # groups of one are done
+        place = place[~(new & np.append(new[1:], True))]  # groups of one are done
         if not len(place):
             return sa
         step = min(depth, LENGTH - depth)  # ranks at a lower offset overlap, and complete the length
         sub = sa[place]
-        key = (rank[sub] << 32) | rank[sub + step]
-        order = np.argsort(key, kind="stable")
+        key = (rank[sub].astype(np.int64) << 32) | rank[sub + step]
+        order = np.argsort(key)
         sa[place], key = sub[order], key[order]
         depth += step
 
@@ -90,9 +91,9 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, chain: int = 64) -> np.nda
     """
     n = len(data)
     padded = np.concatenate([data, np.zeros(LENGTH + 1, np.uint8)])
-    before = np.empty(n, np.int64)
+    before = np.empty(n, np.int32)
     before[sa[1:]], before[sa[0]] = sa[:-1], -1
-    out = np.zeros(n, np.int64)  # by place
+    out = np.zeros(n, np.int8)  # by place
     heads = np.arange(0, n, chain)
     size = np.zeros(len(heads), np.int64)
     for step in range(min(chain, n)):
@@ -250,7 +251,9 @@ def _texts(batches):
             keep.append(fresh)
             if fresh and (key in seen or len(seen) < 1_000_000):
                 seen[key] = doc
-        yield batch.filter(pa.array(keep, pa.bool_()))
+        kept = batch.filter(pa.array(keep, pa.bool_()))
+        pack = zstandard.ZstdCompressor(level=3).compress
+        yield kept.set_column(2, "text", pa.array([pack(x.as_buffer()) for x in kept.column("text")], pa.binary()))
 
 
 def _cut(buckets: int, shards: int):
@@ -258,16 +261,19 @@ def _cut(buckets: int, shards: int):
     shards (0) and runs that another segment of the task has already covered (1)."""
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         part, codes, owners, last = None, None, None, None
         held: list = []
+        size = 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                p = batch.column("part")[i].as_py()
+            rows: list = []
+            keys, docs = batch.column("key").to_pylist(), batch.column("doc").to_pylist()
+            for i, (p, role) in enumerate(zip(batch.column("part").to_pylist(), batch.column("role").to_pylist(), strict=True)):
                 if p != part:
                     if held:
                         yield from _send(held, part, shards)
-                    part, codes, owners, last, held = p, [], [], None, []
-                if batch.column("role")[i].as_py() == 0:
+                    part, codes, owners, last, held, size = p, [], [], None, [], 0
+                if role == 0:
                     owners.append(np.frombuffer(batch.column("a")[i].as_buffer(), np.int64))
                     codes.append(np.frombuffer(batch.column("b")[i].as_buffer(), np.int64))
                     continue
@@ -275,45 +281,49 @@ def _cut(buckets: int, shards: int):
                     owners, codes = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owners, codes))
                     order = np.lexsort((codes, owners))
                     owners, codes = owners[order], codes[order]
-                key, doc = batch.column("key")[i].as_py(), batch.column("doc")[i].as_py()
+                key, doc = keys[i], docs[i]
                 if key == last:
                     continue  # a copy; the smallest document came first
                 last = key
-                text = batch.column("text")[i].as_buffer()
-                data = np.frombuffer(text, np.uint8)
+                packed = batch.column("text")[i].as_buffer()
+                text = unpack(packed)
                 mine = codes[np.searchsorted(owners, key, "left") : np.searchsorted(owners, key, "right")]
                 hit = np.zeros(0, bool)
                 if len(mine):
+                    data = np.frombuffer(text, np.uint8)
                     at, m = runs_of(data)
                     code = ((m % U64(buckets)).astype(np.int64) << 32) | (m >> U64(32)).astype(np.int64)
                     where = np.minimum(np.searchsorted(mine, code), len(mine) - 1)
                     hit = mine[where] == code
                 if not hit.any():
-                    yield _row(part, 3, key, doc, None, hashlib.sha256(text).hexdigest().encode())
+                    rows.append((part, 3, key, doc, None, hashlib.sha256(text).hexdigest().encode()))
                     continue
-                yield _row(part, 2, key, doc, text.to_pybytes(), None)
+                rows.append((part, 2, key, doc, packed.to_pybytes(), None))
                 end = np.append(at[1:], len(data) - LENGTH + 1)
-                held.append((key, doc, data, at[hit], end[hit], m[hit]))
-                if sum(len(h[2]) for h in held) > 16_000_000:
+                held.append((key, doc, text, at[hit], end[hit], m[hit]))
+                size += len(text)
+                if size > 16_000_000:
                     yield from _send(held, part, shards)
-                    held = []
+                    held, size = [], 0
+            if rows:
+                yield _rows(rows)
         if held:
             yield from _send(held, part, shards)
 
     return run
 
 
-def _row(part, role, key, doc, text, a):
+def _rows(rows: list):
+    part, role, key, doc, text, a = (list(x) for x in zip(*rows, strict=True))
     return pa.record_batch(
-        [pa.array([part], pa.int32()), pa.array([role], pa.int32()), pa.array([key], pa.int64()), pa.array([doc], pa.int64()), pa.array([text], pa.binary()), pa.array([a], pa.binary()), *(pa.nulls(1, pa.binary()) for _ in range(4))],
+        [pa.array(part, pa.int32()), pa.array(role, pa.int32()), pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(text, pa.binary()), pa.array(a, pa.binary()), *(pa.nulls(len(rows), pa.binary()) for _ in range(4))],
         ["part", "role", "key", "doc", "text", "a", "b", "c", "d", "e"],
     )
 
 
 def _send(held: list, part: int, shards: int):
     pieces, name = [], []
-    for _, _, data, at, end, _ in held:
-        raw = data.tobytes()
+    for _, _, raw, at, end, _ in held:
         own = [raw[a : e + LENGTH - 1] for a, e in zip(at.tolist(), end.tolist(), strict=True)]
         pieces += own
         name += map(xxhash.xxh3_64_intdigest, own)
@@ -334,15 +344,17 @@ def _send(held: list, part: int, shards: int):
     go, shard = go[np.argsort(shard, kind="stable")], np.sort(shard)
     batch = _packed(shard, 0, key[go], doc[go], at[go], np.array([len(pieces[i]) for i in go]))
     cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard)) if len(shard) else np.zeros(1, int)
-    blobs = [b"".join(pieces[i] for i in go[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    pack = zstandard.ZstdCompressor(level=3).compress
+    blobs = [pack(b"".join(pieces[i] for i in go[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     yield batch.set_column(9, "e", pa.array(blobs, pa.binary()))
 
 
 def _shard(parts: int):
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for t in groups(batches, ["part"]):
             key, doc, at, size = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.int64) for c in "abcd")
-            blob = b"".join(t.column("e").to_pylist())
+            blob = b"".join(map(unpack, t.column("e").to_pylist()))
             ends = np.cumsum(size)
             segments = [blob[e - s : e] for s, e in zip(size.tolist(), ends.tolist(), strict=True)]
             ks, starts, stops = [], [], []
@@ -360,6 +372,7 @@ def _shard(parts: int):
 
 
 def _finish(batches):
+    unpack = zstandard.ZstdDecompressor().decompress
     part, runs = None, None
     for batch in batches:
         out = []
@@ -374,7 +387,7 @@ def _finish(batches):
                 runs = [np.concatenate(x) for x in zip(*runs, strict=True)] if runs else [np.zeros(0, np.int64)] * 3
                 order = np.argsort(runs[0], kind="stable")
                 runs = tuple(x[order] for x in runs)
-            key, text = batch.column("key")[i].as_py(), np.frombuffer(batch.column("text")[i].as_buffer(), np.uint8)
+            key, text = batch.column("key")[i].as_py(), np.frombuffer(unpack(batch.column("text")[i].as_buffer()), np.uint8)
             a, b = np.searchsorted(runs[0], key, "left"), np.searchsorted(runs[0], key, "right")
             step = np.zeros(len(text) + 1, np.int64)
             np.add.at(step, runs[1][a:b], 1)
@@ -399,7 +412,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     base = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"))
     ids = base.select("doc", F.xxhash64("text").alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), F.when(F.col("doc").isNull() | (F.octet_length("text") < LENGTH), F.sha2("text", 256)).alias("whole"))
     total = ids.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets, parts, shards = (int(min(1 << 20, max(12, total // size))) for size in (8_000_000, 8_000_000, 4_000_000))
+    buckets, parts, shards = (int(min(1 << 20, max(12, total // size))) for size in (8_000_000, 8_000_000, 1_000_000))
     long = base.where(F.col("doc").isNotNull() & (F.octet_length("text") >= LENGTH)).select(F.xxhash64("text").alias("key"), "doc", "text")
     names = [c.split()[0] for c in PACK.split(", ")]
 
