@@ -1,4 +1,579 @@
-"""Registered queries of the residual engine, with their SQL."""
+"""Registered queries of the residual engine, each with SQL that a plain SQL engine can check where one exists.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Dates are given as text and inexact numbers rounded to six digits, at the very end only.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftwell.operators import backtest as bt
+from driftwell.operators import evidence as ev
+from driftwell.operators import folds, live, ou, passage, pca, quality, stationarity, stopping
+from driftwell.operators import residuals as rs
+from driftwell.sources import panels as pn
+from driftwell.sources.files import SeriesMapping, repeated_pairs_panel
+from driftwell.sources.journal import insert_if_absent
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+Z_WINDOW, TREND, FACTOR, PAIR, OU_WINDOW = 60, 26, 52, 52, 60
+SIGNAL = {"window": 20, "entry": 1.2, "exit": 0.5, "stop": 2.5}
+COSTS = stopping.CostModel(fixed_entry_cost=0.001, fixed_exit_cost=0.002, bid_ask_bps=5, slippage_bps=2, commission=0.0005, annual_opportunity_rate=0.05)
+WEEK, DAY, HOUR = pn.WEEKLY_SQL, pn.DAILY_SQL, pn.HOURLY_SQL
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def out(df: DataFrame, *columns: str) -> DataFrame:
+    """The named columns: dates as text, doubles to six digits."""
+    kinds = dict(df.dtypes)
+    col = lambda c: F.col(c).cast("string").alias(c) if kinds[c] in ("date", "timestamp", "timestamp_ntz") else F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c)
+    return df.select(*(col(c) for c in columns))
+
+
+def r6(*columns: str) -> str:
+    return ", ".join(f"ROUND({c}, 6) AS {c}" for c in columns)
+
+
+TS = "CAST(ts AS VARCHAR) AS ts"
+RET = "SELECT *, CASE WHEN pos > 0 THEN LN(price / LAG(price) OVER (PARTITION BY ticker ORDER BY pos)) END AS ret FROM panel"
+weekly, daily, hourly = pn.weekly_lineitem, pn.daily_orders, pn.hourly_events
+
+# ---- panels, transforms, descriptions
+
+
+@query("log_returns", f"WITH {DAY}, r AS ({RET}) SELECT ticker, {TS}, {r6('ret')} FROM r WHERE pos > 0")
+def log_returns(spark, sf):
+    return out(rs.returns(daily(spark, sf)).where("pos > 0"), "ticker", "ts", "ret")
+
+
+@query("simple_returns", f"WITH {DAY}, r AS (SELECT *, price / LAG(price) OVER (PARTITION BY ticker ORDER BY pos) - 1 AS ret FROM panel) SELECT ticker, {TS}, {r6('ret')} FROM r WHERE pos > 0")
+def simple_returns(spark, sf):
+    return out(rs.returns(daily(spark, sf), log=False).where("pos > 0"), "ticker", "ts", "ret")
+
+
+@query("log_prices", f"WITH {DAY} SELECT ticker, {TS}, pos, ROUND(LN(price), 6) AS log_price FROM panel")
+def log_prices(spark, sf):
+    return out(daily(spark, sf).withColumn("log_price", F.ln("price")), "ticker", "ts", "pos", "log_price")
+
+
+@query("complete_rows", f"WITH {DAY}, c AS (SELECT ts FROM panel GROUP BY ts HAVING COUNT(price) = COUNT(*)) SELECT ticker, {TS}, {r6('price')} FROM panel WHERE ts IN (SELECT ts FROM c)")
+def complete_rows(spark, sf):
+    return out(rs.complete_rows(daily(spark, sf)), "ticker", "ts", "price")
+
+
+@query("price_summary", f"""WITH {DAY}, d AS (SELECT ts, COUNT(price) AS have, COUNT(*) AS n FROM panel GROUP BY ts)
+SELECT CAST(MIN(ts) AS VARCHAR) AS start_date, CAST(MAX(ts) AS VARCHAR) AS end_date, COUNT(*) AS observation_count, COUNT(*) FILTER (WHERE have = n) AS complete_row_count, (SELECT COUNT(DISTINCT ticker) FROM panel) AS ticker_count FROM d""")
+def price_summary(spark, sf):
+    return out(quality.price_summary(daily(spark, sf)), "start_date", "end_date", "observation_count", "complete_row_count", "ticker_count")
+
+
+@query("data_quality", f"""WITH {HOUR}, g AS (SELECT *, COUNT(price) OVER (PARTITION BY ticker ORDER BY pos) AS k FROM panel),
+f AS (SELECT *, FIRST_VALUE(price) OVER (PARTITION BY ticker, k ORDER BY pos) AS filled FROM g), m AS (SELECT *, LAG(filled) OVER (PARTITION BY ticker ORDER BY pos) AS prev FROM f)
+SELECT ticker, COUNT(*) AS observation_count, COUNT(*) FILTER (WHERE price IS NULL) AS missing, COUNT(*) FILTER (WHERE price <= 0) AS nonpositive, COUNT(*) - COUNT(DISTINCT ts) AS duplicate_dates, FALSE AS unsorted_dates,
+MIN(CASE WHEN price IS NOT NULL THEN ts END) AS first_valid, MAX(CASE WHEN price IS NOT NULL THEN ts END) AS last_valid, COUNT(*) FILTER (WHERE (prev <> 0 AND ABS(filled / prev - 1) > 0.25) OR (prev = 0 AND filled <> 0)) AS large_jumps, ROUND(COUNT(*) / 252.0e0, 6) AS approximate_years FROM m GROUP BY ticker""")
+def data_quality(spark, sf):
+    df = quality.quality_by_ticker(hourly(spark, sf))
+    return out(df, *df.columns)
+
+
+@query("model_readiness", f"""WITH {DAY}, d AS (SELECT ts, COUNT(price) AS have, COUNT(*) AS a FROM panel GROUP BY ts), c AS (SELECT COUNT(*) AS n, MAX(a) AS t, COUNT(*) FILTER (WHERE have = a) AS k FROM d),
+m AS (SELECT 'Basic benchmark' AS model, n >= 61 AS ok, 'requires 61 observations' AS reason FROM c UNION ALL SELECT 'Trend model', n >= 127, 'requires 127 observations' FROM c
+UNION ALL SELECT 'Factor model', t >= 2 AND k >= 127, 'requires target/factor columns and complete regression history' FROM c UNION ALL SELECT 'Pair 252-day model', t >= 2 AND k >= 253, 'requires two series and 253 common complete rows' FROM c
+UNION ALL SELECT 'PCA', t >= 3 AND k >= 127, 'requires selected universe and complete training history' FROM c UNION ALL SELECT 'OU', n >= 20, 'requires at least 20 residual observations after residual construction' FROM c
+UNION ALL SELECT 'Walk-forward', n >= 273, 'requires training history plus forward outcomes' FROM c) SELECT model, CASE WHEN ok THEN 'sufficient' ELSE 'insufficient' END AS status, reason FROM m""")
+def model_readiness(spark, sf):
+    return quality.model_readiness(daily(spark, sf))
+
+
+@query("panel_violations", f"""WITH {HOUR}, d AS (SELECT ts, COUNT(price) AS have, COUNT(*) AS a, MIN(price) AS low, COUNT(*) - COUNT(DISTINCT ticker) AS twice FROM panel GROUP BY ts)
+SELECT CAST(COUNT(*) = 0 AS BIGINT) AS empty, CAST(COALESCE(SUM(twice), 0) AS BIGINT) AS duplicate_cells, COUNT(*) FILTER (WHERE ts IS NULL) AS missing_dates, COUNT(*) FILTER (WHERE have = a AND low <= 0) AS nonpositive_complete_rows FROM d""")
+def panel_violations(spark, sf):
+    return quality.violations(hourly(spark, sf))
+
+
+@query("rebased_price", f"WITH {WEEK} SELECT p.ticker, CAST(p.ts AS VARCHAR) AS ts, ROUND(p.price / f.price, 6) AS rebased FROM panel p JOIN panel f ON f.ticker = p.ticker AND f.pos = 0")
+def rebased_price(spark, sf):
+    return out(rs.rebased(weekly(spark, sf)), "ticker", "ts", "rebased")
+
+
+@query("chronological_split", f"""WITH {DAY}, n AS (SELECT MAX(pos) + 1 AS n FROM panel), s AS (SELECT CASE WHEN pos < FLOOR(n * 0.6e0) THEN 'train' WHEN pos < FLOOR(n * (0.6e0 + 0.2e0)) THEN 'validation' ELSE 'test' END AS split, p.* FROM panel p, n)
+SELECT split, COUNT(*) AS n_cells, MIN(pos) AS first_pos, MAX(pos) AS last_pos FROM s GROUP BY split""")
+def chronological_split(spark, sf):
+    return rs.chronological_split(daily(spark, sf)).groupBy("split").agg(F.count("*").alias("n_cells"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
+@query("wide_panel", f"WITH {WEEK} SELECT {TS}, ROUND(MAX(CASE WHEN ticker = 'AF' THEN price END), 6) AS \"AF\", ROUND(MAX(CASE WHEN ticker = 'RF' THEN price END), 6) AS \"RF\" FROM panel GROUP BY ts")
+def wide_panel(spark, sf):
+    return out(pn.to_wide(weekly(spark, sf).where("ticker in ('AF', 'RF')"), ["AF", "RF"]), "ts", "AF", "RF")
+
+
+@query("repeated_pairs", f"""WITH {WEEK}, a AS (SELECT CAST(ts AS VARCHAR) || ' 00:00:00' AS ts, price FROM cells WHERE ticker = 'AF' AND pos_even), b AS (SELECT CAST(ts AS VARCHAR) || ' 00:00:00' AS ts, price FROM cells WHERE ticker = 'RF')
+SELECT COALESCE(a.ts, b.ts) AS ts, ROUND(a.price, 6) AS af, ROUND(b.price, 6) AS rf FROM a FULL OUTER JOIN b ON a.ts = b.ts""".replace(" AND pos_even", " AND EXTRACT(DAY FROM ts) < 20"))
+def repeated_pairs(spark, sf):
+    cells = weekly(spark, sf).where("price is not null").withColumn("n", F.col("pos").cast("string"))
+    a = cells.where("ticker = 'AF' and day(ts) < 20").select("n", F.col("ts").cast("string").alias("AF Date"), F.col("price").cast("string").alias("AF PX"))
+    b = cells.where("ticker = 'RF'").select("n", F.col("ts").cast("string").alias("RF Date"), F.col("price").cast("string").alias("RF PX"))
+    panel = repeated_pairs_panel(a.join(b, "n", "full"), [SeriesMapping("af", "AF Date", "AF PX"), SeriesMapping("rf", "RF Date", "RF PX")])
+    return out(pn.to_wide(panel, ["af", "rf"]), "ts", "af", "rf")
+
+
+# ---- residual models
+
+Z_SQL = """z AS (SELECT *, LN(price) AS lp, AVG(LN(price)) OVER w AS b, STDDEV_SAMP(LN(price)) OVER w AS s, COUNT(price) OVER w AS c FROM panel WINDOW w AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)),
+zs AS (SELECT ticker, ts, pos, price, CASE WHEN c = {n} THEN b END AS baseline, CASE WHEN c = {n} THEN s END AS std, CASE WHEN c = {n} THEN lp - b END AS residual, CASE WHEN c = {n} AND s > 1e-12 THEN (lp - b) / s END AS zscore FROM z)"""
+
+
+@query("rolling_zscore", f"WITH {WEEK}, {Z_SQL.format(n=Z_WINDOW)} SELECT ticker, {TS}, {r6('baseline', 'std', 'residual', 'zscore')}, zscore IS NOT NULL AS valid FROM zs")
+def rolling_zscore(spark, sf):
+    return out(rs.zscore_benchmark(weekly(spark, sf), Z_WINDOW), "ticker", "ts", "baseline", "std", "residual", "zscore", "valid")
+
+
+@query("current_snapshot", f"WITH {WEEK}, {Z_SQL.format(n=Z_WINDOW)} SELECT ticker, {TS}, {r6('baseline', 'std', 'zscore')} FROM zs QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY pos DESC) = 1")
+def current_snapshot(spark, sf):
+    return out(rs.latest(rs.zscore_benchmark(weekly(spark, sf), Z_WINDOW), ["ticker"]), "ticker", "ts", "baseline", "std", "zscore")
+
+
+TREND_SQL = f"""t0 AS (SELECT *, LN(price) AS lp, CAST(pos AS DOUBLE) AS x FROM panel),
+t1 AS (SELECT *, COUNT(lp) OVER w AS c, REGR_SLOPE(lp, x) OVER w AS slope, REGR_INTERCEPT(lp, x) OVER w AS line, REGR_R2(lp, x) OVER w AS r2 FROM t0 WINDOW w AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN {TREND} PRECEDING AND 1 PRECEDING)),
+t2 AS (SELECT ticker, ts, pos, slope, line + slope * (x - {TREND}) AS intercept, r2 AS r_squared, line + slope * x AS expected, lp - line - slope * x AS trend_residual FROM t1 WHERE c = {TREND} AND lp IS NOT NULL),
+t3 AS (SELECT p.ticker, p.ts, p.pos, t2.* EXCLUDE (ticker, ts, pos) FROM panel p LEFT JOIN t2 ON t2.ticker = p.ticker AND t2.pos = p.pos),
+t4 AS (SELECT *, COUNT(trend_residual) OVER w AS zc, AVG(trend_residual) OVER w AS zb, STDDEV_SAMP(trend_residual) OVER w AS zd FROM t3 WINDOW w AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN {TREND} PRECEDING AND 1 PRECEDING)),
+trend AS (SELECT *, CASE WHEN zc = {TREND} AND zd > 1e-12 THEN (trend_residual - zb) / zd END AS zscore FROM t4)"""
+
+
+@query("trend_residual", f"WITH {WEEK}, {TREND_SQL} SELECT ticker, {TS}, {r6('slope', 'intercept', 'r_squared', 'expected', 'trend_residual', 'zscore')} FROM trend")
+def trend_residual(spark, sf):
+    return out(rs.trend_residual(weekly(spark, sf), TREND), "ticker", "ts", "slope", "intercept", "r_squared", "expected", "trend_residual", "zscore")
+
+
+def _factor_sql(two: bool) -> str:
+    w = f"WINDOW w AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN {FACTOR} PRECEDING AND 1 PRECEDING)"
+    drop = "'AF', 'RF'" if two else "'AF'"
+    fit = "REGR_SLOPE(y, x) OVER w AS beta, REGR_INTERCEPT(y, x) OVER w AS alpha, REGR_R2(y, x) OVER w AS r_squared, 0e0 AS beta_sector"
+    if two:
+        fit = "COVAR_SAMP(x, x) OVER w AS xx, COVAR_SAMP(s, s) OVER w AS ss, COVAR_SAMP(x, s) OVER w AS xs, COVAR_SAMP(x, y) OVER w AS xy, COVAR_SAMP(s, y) OVER w AS sy, COVAR_SAMP(y, y) OVER w AS yy, AVG(x) OVER w AS mx, AVG(s) OVER w AS ms, AVG(y) OVER w AS my"
+    solved = "SELECT *, (xy * ss - sy * xs) / (xx * ss - xs * xs) AS beta, (sy * xx - xy * xs) / (xx * ss - xs * xs) AS beta_sector FROM f1 WHERE c = {n} AND ok = 1".format(n=FACTOR) if two else f"SELECT * FROM f1 WHERE c = {FACTOR} AND ok = 1"
+    alpha = "my - beta * mx - beta_sector * ms AS alpha, (beta * xy + beta_sector * sy) / yy AS r_squared" if two else "alpha, r_squared"
+    return f"""WITH {WEEK}, r AS ({RET}), f0 AS (SELECT a.ticker, a.ts, a.pos, a.ret AS y, m.ret AS x, {'k.ret' if two else '0e0'} AS s, CASE WHEN a.ret IS NOT NULL AND m.ret IS NOT NULL {'AND k.ret IS NOT NULL' if two else ''} THEN 1 END AS ok
+FROM r a LEFT JOIN r m ON m.ticker = 'AF' AND m.pos = a.pos {"LEFT JOIN r k ON k.ticker = 'RF' AND k.pos = a.pos" if two else ''} WHERE a.ticker NOT IN ({drop})),
+f1 AS (SELECT *, COUNT(ok) OVER w AS c, {fit} FROM f0 {w}), f2 AS ({solved}), f3 AS (SELECT ticker, pos, beta, beta_sector, {alpha}, y, x, s FROM f2), f4 AS (SELECT *, y - alpha - beta * x - beta_sector * s AS factor_residual FROM f3),
+f5 AS (SELECT f0.ticker, f0.ts, f0.pos, alpha, beta, beta_sector, r_squared, factor_residual FROM f0 LEFT JOIN f4 ON f4.ticker = f0.ticker AND f4.pos = f0.pos),
+f6 AS (SELECT *, COUNT(factor_residual) OVER w AS zc, AVG(factor_residual) OVER w AS zb, STDDEV_SAMP(factor_residual) OVER w AS zd, COUNT(factor_residual) OVER v AS vc, SUM(factor_residual) OVER v AS vs FROM f5 {w}, v AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+SELECT ticker, {TS}, {r6('alpha', 'beta')}, {'ROUND(beta_sector, 6) AS beta_sector, ' if two else ''}{r6('r_squared', 'factor_residual')}, ROUND(CASE WHEN zc = {FACTOR} AND zd > 1e-12 THEN (factor_residual - zb) / zd END, 6) AS zscore, ROUND(CASE WHEN vc = 20 THEN vs END, 6) AS state FROM f6"""
+
+
+@query("factor_residual_1f", _factor_sql(False))
+def factor_1f(spark, sf):
+    return out(rs.factor_residual(weekly(spark, sf), market="AF", window=FACTOR), "ticker", "ts", "alpha", "beta", "r_squared", "factor_residual", "zscore", "state")
+
+
+@query("factor_residual_2f", _factor_sql(True))
+def factor_2f(spark, sf):
+    return out(rs.factor_residual(weekly(spark, sf), market="AF", sector="RF", window=FACTOR), "ticker", "ts", "alpha", "beta", "beta_sector", "r_squared", "factor_residual", "zscore", "state")
+
+
+PAIR_SQL = f"""r AS ({RET}), q0 AS (SELECT a.ticker AS target, b.ticker AS peer, a.ts, a.pos, LN(a.price) AS t, LN(b.price) AS p, a.ret AS rt, b.ret AS rp FROM r a JOIN r b ON a.pos = b.pos AND a.ticker <> b.ticker),
+q1 AS (SELECT *, COUNT(t + p) OVER w AS c, REGR_SLOPE(t, p) OVER w AS beta, REGR_INTERCEPT(t, p) OVER w AS alpha, REGR_R2(t, p) OVER w AS r_squared, REGR_SYY(t, p) OVER w AS syy, CORR(rt, rp) OVER v AS return_correlation
+FROM q0 WINDOW w AS (PARTITION BY target, peer ORDER BY pos ROWS BETWEEN {PAIR} PRECEDING AND 1 PRECEDING), v AS (PARTITION BY target, peer ORDER BY pos ROWS BETWEEN {PAIR - 1} PRECEDING AND 1 PRECEDING)),
+q2 AS (SELECT *, t - alpha - beta * p AS spread, SQRT(GREATEST(syy * (1 - r_squared), 0) / ({PAIR} - 1)) AS spread_std FROM q1 WHERE pos >= {PAIR} AND c = {PAIR} AND t IS NOT NULL AND p IS NOT NULL),
+q3 AS (SELECT q0.target, q0.peer, q0.ts, q0.pos, q0.t, q0.p, alpha, beta, r_squared, return_correlation, spread, spread_std, CASE WHEN spread_std > 1e-12 THEN spread / spread_std END AS zscore FROM q0 LEFT JOIN q2 USING (target, peer, pos)),
+pairs AS (SELECT *, zscore IS NOT NULL AS valid, CASE WHEN zscore IS NULL THEN 'INVALID' WHEN zscore >= 2 THEN 'TARGET_RELATIVELY_HIGH' WHEN zscore <= -2 THEN 'TARGET_RELATIVELY_LOW' ELSE 'NEUTRAL' END AS state FROM q3)"""
+PAIR_COLUMNS = ("alpha", "beta", "spread", "spread_std", "zscore", "r_squared", "return_correlation")
+
+
+@query("pair_spread", f"WITH {WEEK}, {PAIR_SQL} SELECT target, peer, {TS}, {r6(*PAIR_COLUMNS)}, valid FROM pairs")
+def pair_spread(spark, sf):
+    return out(rs.pair_spread(weekly(spark, sf), window=PAIR), "target", "peer", "ts", *PAIR_COLUMNS, "valid")
+
+
+@query("pair_states", f"WITH {WEEK}, {PAIR_SQL} SELECT target, peer, state, COUNT(*) AS n FROM pairs GROUP BY 1, 2, 3")
+def pair_states(spark, sf):
+    return rs.pair_spread(weekly(spark, sf), window=PAIR).groupBy("target", "peer", "state").agg(F.count("*").alias("n"))
+
+
+@query("peer_ranking", f"""WITH {WEEK}, {PAIR_SQL}, k AS (SELECT peer, SUM(CAST(valid AS BIGINT)) AS valid_observation_count FROM pairs WHERE target = 'AF' GROUP BY peer),
+l AS (SELECT * FROM pairs WHERE target = 'AF' QUALIFY ROW_NUMBER() OVER (PARTITION BY peer ORDER BY pos DESC) = 1)
+SELECT l.peer, valid, ROUND(spread_std, 6) AS spread_volatility, ROUND(zscore, 6) AS spread_zscore, {r6('r_squared', 'return_correlation')}, CAST(valid_observation_count AS BIGINT) AS valid_observation_count, state AS relative_state,
+CASE WHEN valid THEN ROW_NUMBER() OVER (ORDER BY valid DESC, l.peer) END AS research_rank FROM l JOIN k ON k.peer = l.peer""")
+def peer_ranking(spark, sf):
+    df = rs.peer_ranking(weekly(spark, sf), target="AF", window=PAIR, cointegration=False)
+    return out(df.withColumn("research_rank", F.col("research_rank").cast("long")), "peer", "valid", "spread_volatility", "spread_zscore", "r_squared", "return_correlation", "valid_observation_count", "relative_state", "research_rank")
+
+
+@query("peer_ranking_cointegration")
+def peer_ranking_cointegration(spark, sf):
+    df = rs.peer_ranking(weekly(spark, sf), target="AF", window=PAIR)
+    return out(df, *df.columns)
+
+
+@query("pair_cointegration")
+def pair_cointegration(spark, sf):
+    df = stationarity.rolling_engle_granger(rs.pair_frame(weekly(spark, sf)).where("target < peer"), PAIR)
+    return out(df, "target", "peer", "ts", "cointegration_statistic", "cointegration_pvalue")
+
+
+@query("stationarity_gate")
+def stationarity_gate(spark, sf):
+    df = stationarity.stationarity(rs.trend_residual(weekly(spark, sf), TREND), "trend_residual", keys=["ticker"])
+    return out(df, *df.columns)
+
+
+XS_SQL = f"""r AS ({RET}), x0 AS (SELECT *, COUNT(*) OVER (PARTITION BY ts) AS n, AVG(ret) OVER (PARTITION BY ts) AS mean, STDDEV_SAMP(ret) OVER (PARTITION BY ts) AS std,
+RANK() OVER (PARTITION BY ts ORDER BY ret) + (COUNT(*) OVER (PARTITION BY ts, ret) - 1) / 2.0e0 AS rank FROM r WHERE ret IS NOT NULL),
+xs AS (SELECT *, rank / n AS percentile, CASE WHEN std > 1e-12 THEN (ret - mean) / std END AS zscore FROM x0 WHERE n >= 3)"""
+
+
+@query("cross_sectional", f"WITH {WEEK}, {XS_SQL} SELECT ticker, {TS}, {r6('ret', 'mean', 'std', 'rank', 'percentile', 'zscore')}, CASE WHEN zscore IS NULL THEN 'INVALID' WHEN zscore >= 1.5 THEN 'RELATIVELY_HIGH' WHEN zscore <= -1.5 THEN 'RELATIVELY_LOW' ELSE 'NEUTRAL' END AS state FROM xs")
+def cross_sectional(spark, sf):
+    return out(rs.cross_sectional(rs.returns(weekly(spark, sf)), threshold=1.5), "ticker", "ts", "ret", "mean", "std", "rank", "percentile", "zscore", "state")
+
+
+@query("pca_residuals")
+def pca_residuals(spark, sf):
+    return out(pca.pca_state(pca.rolling_pca(weekly(spark, sf), window=PAIR, components=2)), "ticker", "ts", "actual", "reconstructed", "residual", "zscore", "n_components", "valid", "state")
+
+
+@query("pca_loadings")
+def pca_loadings(spark, sf):
+    return out(pca.latest_loadings(weekly(spark, sf), window=PAIR, components=0.8), "ticker", "component", "loading", "explained", "cumulative")
+
+
+@query("pca_two_asset", f"""WITH {WEEK}, r AS ({RET}), j AS (SELECT a.ts, a.pos, a.ret AS x, b.ret AS y FROM r a JOIN r b ON a.pos = b.pos WHERE a.ticker = 'AF' AND b.ticker = 'RF'),
+k AS (SELECT *, COUNT(x + y) OVER w AS c, AVG(x) OVER w AS mx, AVG(y) OVER w AS my, STDDEV_POP(x) OVER w AS sx, STDDEV_POP(y) OVER w AS sy, CASE WHEN CORR(x, y) OVER w >= 0 THEN 1 ELSE -1 END AS s FROM j WINDOW w AS (ORDER BY pos ROWS BETWEEN {PAIR} PRECEDING AND 1 PRECEDING)),
+m AS (SELECT *, (x - mx) / sx AS zx, (y - my) / sy AS zy FROM k WHERE c = {PAIR} AND x IS NOT NULL AND y IS NOT NULL AND pos > {PAIR})
+SELECT 'AF' AS ticker, {TS}, ROUND((zx + s * zy) / 2 * sx + mx, 6) AS reconstructed, ROUND(x - ((zx + s * zy) / 2 * sx + mx), 6) AS residual FROM m UNION ALL SELECT 'RF', {TS}, ROUND((zy + s * zx) / 2 * sy + my, 6), ROUND(y - ((zy + s * zx) / 2 * sy + my), 6) FROM m""")
+def pca_two_asset(spark, sf):
+    panel = pn.densify(weekly(spark, sf).where("ticker in ('AF', 'RF')").select("ticker", "ts", "price"))
+    return out(pca.rolling_pca(panel, window=PAIR).where("reconstructed is not null"), "ticker", "ts", "reconstructed", "residual")
+
+
+KALMAN_SQL = """WITH RECURSIVE {WEEK}, k0 AS (SELECT a.ts, a.pos, LN(a.price) AS t, LN(b.price) AS p FROM panel a JOIN panel b ON a.pos = b.pos WHERE a.ticker = 'AF' AND b.ticker = 'RF'),
+k(pos, ts, a, b, aa, ab, bb, prior_alpha, prior_beta, innovation, innovation_variance, valid) AS (SELECT CAST(-1 AS BIGINT), CAST(NULL AS DATE), 0e0, 1e0, 1e0, 0e0, 1e0, 0e0, 0e0, 0e0, 0e0, FALSE UNION ALL
+SELECT pos, ts, CASE WHEN ok THEN a + ga / v * e ELSE a END, CASE WHEN ok THEN b + gb / v * e ELSE b END, CASE WHEN ok THEN aa + 1e-5 - ga / v * ga ELSE aa END, CASE WHEN ok THEN ab - ga / v * gb ELSE ab END, CASE WHEN ok THEN bb + 1e-5 - gb / v * gb ELSE bb END,
+CASE WHEN ok THEN a END, CASE WHEN ok THEN b END, CASE WHEN ok THEN e END, CASE WHEN ok THEN v END, ok FROM (SELECT *, ga + gb * p + 1e-4 AS v, t - a - b * p AS e FROM (SELECT k0.pos, k0.ts, k0.t, k0.p, k0.t IS NOT NULL AND k0.p IS NOT NULL AS ok, k.a, k.b, k.aa, k.ab, k.bb, k.aa + 1e-5 + k.ab * k0.p AS ga, k.ab + (k.bb + 1e-5) * k0.p AS gb FROM k JOIN k0 ON k0.pos = k.pos + 1)))
+SELECT {TS}, {cols}, valid FROM k WHERE pos >= 0"""
+
+
+@query("kalman_pair", KALMAN_SQL.format(WEEK=WEEK, TS=TS, cols=r6("prior_alpha", "prior_beta") + ", CASE WHEN valid THEN ROUND(a, 6) END AS alpha, CASE WHEN valid THEN ROUND(b, 6) END AS beta, " + r6("innovation", "innovation_variance")))
+def kalman_pair(spark, sf):
+    pairs = rs.pair_frame(weekly(spark, sf), spark.createDataFrame([("AF", "RF")], "target string, peer string"))
+    return out(folds.kalman_pairs(pairs), "ts", "prior_alpha", "prior_beta", "alpha", "beta", "innovation", "innovation_variance", "valid")
+
+
+# ---- Ornstein-Uhlenbeck
+
+OU_OUT = ("theta", "kappa", "sigma", "half_life", "log_likelihood")
+
+
+def _ou_sql(source: str, keys: str, extra: str, where: str) -> str:
+    """source: rows with keys, n, m, b, a, sse, v, bad."""
+    return f"""g AS (SELECT *, n >= 20 AND bad = 0 AND v > 1e-12 AND b > 1e-12 AND b < 1 - 1e-12 AND sse / m > 1e-12 AS valid FROM ({source})), h AS (SELECT *, CASE WHEN valid THEN -LN(CASE WHEN b > 0 THEN b ELSE 1 END) END AS kappa, CASE WHEN valid THEN a / (1 - b) END AS theta FROM g),
+fits AS (SELECT *, CASE WHEN valid THEN SQRT(sse / m * 2 * kappa / (1 - b * b)) END AS sigma, LN(2e0) / kappa AS half_life, CASE WHEN valid THEN -0.5e0 * (m * LN(2 * PI() * CASE WHEN sse > 0 THEN sse ELSE 1 END / m) + m) END AS log_likelihood FROM h) SELECT {keys}, {r6(*OU_OUT)}, {extra}valid FROM fits {where}"""
+
+
+STATE_SQL = f"{TREND_SQL}, st AS (SELECT ticker, ts, pos, SUM(trend_residual) OVER (PARTITION BY ticker ORDER BY pos) AS x FROM trend WHERE trend_residual IS NOT NULL), o AS (SELECT *, LEAD(x) OVER (PARTITION BY ticker ORDER BY pos) AS y FROM st)"
+FIT_SOURCE = "SELECT ticker, COUNT(*) AS n, COUNT(y) AS m, REGR_SLOPE(y, x) AS b, REGR_INTERCEPT(y, x) AS a, REGR_SYY(y, x) * (1 - REGR_R2(y, x)) AS sse, VAR_POP(x) AS v, 0 AS bad FROM o GROUP BY ticker"
+
+
+def ou_state(spark, sf):
+    """Running sums of trend residuals: a state with memory, on which an autoregression is worth fitting."""
+    from pyspark.sql import Window
+
+    df = rs.trend_residual(weekly(spark, sf), TREND).where("trend_residual is not null")
+    w = Window.partitionBy("ticker").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return df.select("ticker", "ts", "pos", F.sum("trend_residual").over(w).alias("x"))
+
+
+@query("ou_ar1", f"WITH {WEEK}, {STATE_SQL}, {_ou_sql(FIT_SOURCE, 'ticker, n AS n_observations', '', '')}")
+def ou_ar1(spark, sf):
+    return out(ou.fit_ou(ou_state(spark, sf), "x", keys=["ticker"]), "ticker", "n_observations", *OU_OUT, "valid")
+
+
+@query("ou_comparison", f"WITH {WEEK}, {STATE_SQL}, " + _ou_sql(FIT_SOURCE, "ticker, method", "CASE WHEN valid THEN 0e0 END AS kappa_difference, ", ", (SELECT 'AR1' AS method UNION ALL SELECT 'MLE')"))
+def ou_comparison(spark, sf):
+    return out(ou.compare_estimators(ou.fit_ou(ou_state(spark, sf), "x", keys=["ticker"]), ["ticker"]), "ticker", "method", *OU_OUT, "kappa_difference", "valid")
+
+
+@query("rolling_ou", f"""WITH {WEEK}, lp AS (SELECT ticker, ts, pos, LN(price) AS y, LAG(LN(price)) OVER (PARTITION BY ticker ORDER BY pos) AS l FROM panel), lq AS (SELECT ticker, ts, pos, y, CASE WHEN y IS NOT NULL THEN l END AS x, CASE WHEN l IS NOT NULL THEN y END AS y2 FROM lp),
+o AS (SELECT ticker, ts, pos, REGR_SLOPE(y2, x) OVER p AS b, REGR_INTERCEPT(y2, x) OVER p AS a, REGR_SYY(y2, x) OVER p * (1 - REGR_R2(y2, x) OVER p) AS sse, VAR_POP(y) OVER q AS v, COUNT(y) OVER q AS k FROM lq
+WINDOW p AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN {OU_WINDOW - 2} PRECEDING AND CURRENT ROW), q AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN {OU_WINDOW - 1} PRECEDING AND CURRENT ROW)),
+{_ou_sql(f"SELECT *, {OU_WINDOW} AS n, {OU_WINDOW - 1} AS m, {OU_WINDOW} - k AS bad FROM o WHERE pos >= {OU_WINDOW - 1}", "ticker, " + TS, "", "")}""")
+def rolling_ou(spark, sf):
+    df = weekly(spark, sf).withColumn("x", F.ln("price"))
+    return out(ou.rolling_ou(df, "x", keys=["ticker"], window=OU_WINDOW), "ticker", "ts", *OU_OUT, "valid")
+
+
+@query("ou_forecast_band", f"WITH {WEEK}, {STATE_SQL}, " + _ou_sql(FIT_SOURCE, "ticker", "", "").rsplit(" SELECT ticker", 1)[0] + """, l AS (SELECT ticker, MAX_BY(x, pos) AS x FROM st GROUP BY ticker), f AS (SELECT f.ticker, h AS horizon, theta + (l.x - theta) * EXP(-kappa * h) AS mean, SQRT(sigma * sigma * (1 - EXP(-2 * kappa * h)) / (2 * kappa)) AS deviation
+FROM fits f JOIN l ON l.ticker = f.ticker, (SELECT UNNEST([0e0, 1e0, 5e0, 20e0]) AS h) WHERE valid) SELECT ticker, horizon, """ + r6("mean", "deviation") + ", ROUND(mean - 1.96e0 * deviation, 6) AS lower, ROUND(mean + 1.96e0 * deviation, 6) AS upper FROM f")
+def ou_forecast_band(spark, sf):
+    state = ou_state(spark, sf)
+    fits = ou.fit_ou(state, "x", keys=["ticker"]).join(rs.latest(state, ["ticker"]).select("ticker", "x"), "ticker")
+    return out(ou.forecast(fits, "x", [0.0, 1.0, 5.0, 20.0]), "ticker", "horizon", "mean", "deviation", "lower", "upper")
+
+
+HEDGE_SOURCE = "SELECT i, beta, COUNT(*) AS n, COUNT(y) AS m, REGR_SLOPE(y, x) AS b, REGR_INTERCEPT(y, x) AS a, REGR_SYY(y, x) * (1 - REGR_R2(y, x)) AS sse, VAR_POP(x) AS v, 0 AS bad FROM e GROUP BY i, beta"
+
+
+@query("hedge_grid", f"""WITH {WEEK}, d AS (SELECT a.pos, LN(a.price) AS t, LN(b.price) AS p FROM panel a JOIN panel b ON a.pos = b.pos WHERE a.ticker = 'AF' AND b.ticker = 'RF' AND a.price IS NOT NULL AND b.price IS NOT NULL),
+d2 AS (SELECT t, p, LEAD(t) OVER (ORDER BY pos) AS t2, LEAD(p) OVER (ORDER BY pos) AS p2 FROM d), e AS (SELECT i, -3e0 + i * (6e0 / 60) AS beta, t - (-3e0 + i * (6e0 / 60)) * p AS x, t2 - (-3e0 + i * (6e0 / 60)) * p2 AS y FROM d2, RANGE(0, 61) r(i)),
+{_ou_sql(HEDGE_SOURCE, "ROUND(beta, 6) AS beta", "ROUND(CASE WHEN n >= 40 THEN log_likelihood / (n - 1) END, 6) AS objective, ", "")}""".replace(", ROUND(log_likelihood, 6) AS log_likelihood", ""))
+def hedge_grid(spark, sf):
+    pairs = rs.pair_frame(weekly(spark, sf), spark.createDataFrame([("AF", "RF")], "target string, peer string"))
+    return out(ou.hedge_ratio_grid(pairs)[0], "beta", "objective", "theta", "kappa", "sigma", "half_life", "valid")
+
+
+@query("hedge_best")
+def hedge_best(spark, sf):
+    df = ou.hedge_ratio_grid(rs.pair_frame(weekly(spark, sf)))[1]
+    return out(df, *df.columns)
+
+
+# ---- first passage and policies
+
+
+@query("boundary_grid", "SELECT 0e0 AS current, e.x AS exit, s.x AS stop, 'LONG_RESIDUAL' AS direction FROM (SELECT UNNEST([0.1e0, 0.2e0, 0.3e0]) AS x) e, (SELECT UNNEST([-0.1e0, -0.4e0]) AS x) s")
+def boundary_grid(spark, sf):
+    return passage.boundary_candidates(spark, 0.0, "LONG_RESIDUAL", [0.1, 0.2, 0.3], [-0.1, -0.4])
+
+
+def _candidates(spark):
+    from pyspark.sql import Window
+
+    df = passage.boundary_candidates(spark, -0.5, "LONG_RESIDUAL", [-0.2, -0.1, 0.0], [-0.8, -1.0])
+    return df.withColumn("candidate", F.row_number().over(Window.orderBy("exit", "stop")) - 1)
+
+
+@query("first_passage")
+def first_passage(spark, sf):
+    df = passage.first_passage(_candidates(spark), theta=0.0, kappa=0.08, sigma=0.12, paths=10_000)
+    return out(df, *df.columns)
+
+
+@query("first_passage_deterministic", """WITH RECURSIVE c AS (SELECT e.x AS exit, s.x AS stop FROM (SELECT UNNEST([-0.2e0, -0.1e0, 0e0]) AS x) e, (SELECT UNNEST([-0.8e0, -1e0]) AS x) s),
+p(exit, stop, step, x, hit) AS (SELECT exit, stop, 0, -0.5e0, CAST(NULL AS DOUBLE) FROM c UNION ALL SELECT exit, stop, step + 1, x * EXP(-0.08e0), CASE WHEN hit IS NULL AND x * EXP(-0.08e0) >= exit THEN step + 1e0 ELSE hit END FROM p WHERE step < 20)
+SELECT exit, stop, CASE WHEN MAX(hit) IS NULL THEN 0e0 ELSE 1e0 END AS exit_before_stop, 0e0 AS stop_before_exit, MAX(hit) AS mean_exit_time FROM p GROUP BY exit, stop""")
+def first_passage_deterministic(spark, sf):
+    df = passage.first_passage(_candidates(spark), theta=0.0, kappa=0.08, sigma=0.0, paths=50)
+    return out(df, "exit", "stop", "exit_before_stop", "stop_before_exit", "mean_exit_time")
+
+
+def _policy(spark):
+    return stopping.policy_table(spark, [(stopping.StoppingConfig(0.0, k, 0.3), COSTS) for k in (0.05, 0.1, 0.2)])
+
+
+@query("stopping_policy")
+def stopping_policy(spark, sf):
+    return out(_policy(spark), "config_id", "idx", "x", "position", "action", "score", "chosen")
+
+
+@query("policy_regions")
+def policy_regions(spark, sf):
+    return out(stopping.regions(_policy(spark), "FLAT", "ENTER_LONG"), "config_id", "start", "end")
+
+
+@query("cost_sensitivity")
+def cost_sensitivity(spark, sf):
+    return out(stopping.sensitivity(spark, stopping.StoppingConfig(0.0, 0.1, 0.3), COSTS, [0.0, 0.1, 0.3, 0.6]), "fixed_entry_cost", "side", "start", "end")
+
+
+@query("policy_actions")
+def policy_actions(spark, sf):
+    states = spark.range(0, 60).select((F.col("id") % 3).cast("int").alias("config_id"), (F.col("id") / 10 - 3).alias("x"), F.element_at(F.array(*map(F.lit, stopping.POSITIONS)), (F.col("id") % 3 + 1).cast("int")).alias("position"), (F.col("id") % 7 != 0).alias("sufficient_data"), (F.col("id") % 5 != 0).alias("gates_pass"))
+    return out(stopping.act(_policy(spark), states), "config_id", "at", "position", "action", "best", "value", "next_action", "next_value")
+
+
+# ---- backtest
+
+SIGNAL_SQL = f"""{Z_SQL.format(n=SIGNAL['window'])}, s(ticker, pos, position, action) AS (SELECT ticker, pos, 'FLAT', 'INSUFFICIENT_DATA' FROM zs WHERE pos = 0 UNION ALL
+SELECT ticker, pos, CASE WHEN a LIKE 'ENTER_%' THEN SUBSTR(a, 7) || '_RESIDUAL' WHEN a LIKE 'EXIT_%' OR a LIKE 'STOP_%' THEN 'FLAT' ELSE position END, a FROM (SELECT zs.ticker, zs.pos, s.position, CASE WHEN zs.zscore IS NULL THEN 'INSUFFICIENT_DATA'
+WHEN s.position = 'FLAT' THEN CASE WHEN zs.zscore <= -{SIGNAL['entry']} THEN 'ENTER_LONG' WHEN zs.zscore >= {SIGNAL['entry']} THEN 'ENTER_SHORT' ELSE 'WAIT' END
+WHEN s.position = 'LONG_RESIDUAL' THEN CASE WHEN zs.zscore <= -{SIGNAL['stop']} THEN 'STOP_LONG' WHEN ABS(zs.zscore) <= {SIGNAL['exit']} THEN 'EXIT_LONG' ELSE 'HOLD_LONG' END
+ELSE CASE WHEN zs.zscore >= {SIGNAL['stop']} THEN 'STOP_SHORT' WHEN ABS(zs.zscore) <= {SIGNAL['exit']} THEN 'EXIT_SHORT' ELSE 'HOLD_SHORT' END END AS a FROM s JOIN zs ON zs.ticker = s.ticker AND zs.pos = s.pos + 1)),
+sig AS (SELECT zs.*, s.action, s.position FROM zs JOIN s ON s.ticker = zs.ticker AND s.pos = zs.pos)"""
+_cost = COSTS.trade(1.0, True) + COSTS.trade(1.0, False)
+TRADE_SQL = f"""{SIGNAL_SQL}, x0 AS (SELECT *, LEAD(price) OVER (PARTITION BY ticker ORDER BY pos) AS fill, MAX(pos) OVER (PARTITION BY ticker) AS last FROM sig),
+x1 AS (SELECT *, action LIKE 'ENTER_%' AS opens FROM x0 WHERE (action LIKE 'ENTER_%' OR action LIKE 'EXIT_%' OR action LIKE 'STOP_%') AND pos + 1 <= last),
+x2 AS (SELECT *, LEAD(ts) OVER w AS exit_date, LEAD(fill) OVER w AS exit_price, LEAD(pos) OVER w AS exit_pos FROM x1 WINDOW w AS (PARTITION BY ticker ORDER BY pos)),
+trades AS (SELECT ticker, ts AS entry_date, exit_date, action AS direction, CASE WHEN action = 'ENTER_LONG' THEN 1 ELSE -1 END * (exit_price / fill - 1) AS gross_pnl, {_cost!r}e0 AS costs, CASE WHEN action = 'ENTER_LONG' THEN 1 ELSE -1 END * (exit_price / fill - 1) - {_cost!r}e0 AS net_pnl, exit_pos - pos AS holding_days, pos AS entry_pos FROM x2 WHERE opens AND exit_date IS NOT NULL),
+eq0 AS (SELECT *, SUM(net_pnl) OVER (PARTITION BY ticker ORDER BY entry_pos) AS equity FROM trades), eq AS (SELECT *, equity - MAX(equity) OVER (PARTITION BY ticker ORDER BY entry_pos) AS drawdown FROM eq0)"""
+
+
+def _event_sql() -> str:
+    parts = []
+    for h in bt.HORIZONS:
+        w = f"(PARTITION BY ticker ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND {1 + h} FOLLOWING)"
+        parts.append(f"""SELECT ticker, ts, pos, {h} AS horizon_days, zscore AS z0, action, LEAD(price) OVER o AS entry, LEAD(ts) OVER o AS execution, COALESCE(LEAD(price, {1 + h}) OVER o, LAST_VALUE(price) OVER a) AS ep, COALESCE(LEAD(zscore, {1 + h}) OVER o, LAST_VALUE(zscore) OVER a) AS ez,
+MAX(price) OVER {w} AS hi, MIN(price) OVER {w} AS lo, MAX(zscore) OVER {w} AS zhi, MIN(zscore) OVER {w} AS zlo FROM sig WINDOW o AS (PARTITION BY ticker ORDER BY pos), a AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+    return f"""ev0 AS ({" UNION ALL ".join(parts)}), events AS (SELECT ticker, ts AS signal_date, execution AS execution_date, horizon_days, ep / entry - 1 AS raw_target_return, CASE WHEN z0 < 0 THEN 1 ELSE -1 END * (ep / entry - 1) AS direction_adjusted_return, ez - z0 AS residual_change,
+ABS(z0) - ABS(ez) AS distance_toward_equilibrium, CASE WHEN ABS(z0) >= 1e-12 THEN (z0 - ez) / z0 END AS fraction_reverted, CASE WHEN z0 < 0 THEN zhi >= 0 ELSE zlo <= 0 END AS exit_reached, CASE WHEN z0 < 0 THEN zlo <= {SIGNAL['stop']} ELSE zhi >= {SIGNAL['stop']} END AS stop_reached,
+CASE WHEN z0 < 0 THEN hi / entry - 1 ELSE 1 - lo / entry END AS mfe, CASE WHEN z0 < 0 THEN lo / entry - 1 ELSE 1 - hi / entry END AS mae FROM ev0 WHERE action LIKE 'ENTER_%' AND execution IS NOT NULL)"""
+
+
+EVENT_SQL = f"{SIGNAL_SQL}, {_event_sql()}"
+EVENT_COLUMNS = ("raw_target_return", "direction_adjusted_return", "residual_change", "distance_toward_equilibrium", "fraction_reverted", "mfe", "mae")
+
+
+def _backtest(spark, sf):
+    return bt.run_backtest(weekly(spark, sf), costs=COSTS, **SIGNAL)
+
+
+@query("benchmark_signals", f"WITH RECURSIVE {WEEK}, {SIGNAL_SQL} SELECT ticker, {TS}, {r6('zscore')}, action, position FROM sig")
+def benchmark_signals(spark, sf):
+    return out(_backtest(spark, sf)["signals"], "ticker", "ts", "zscore", "action", "position")
+
+
+@query("trade_records", f"WITH RECURSIVE {WEEK}, {TRADE_SQL} SELECT ticker, CAST(entry_date AS VARCHAR) AS entry_date, CAST(exit_date AS VARCHAR) AS exit_date, direction, {r6('gross_pnl', 'costs', 'net_pnl')}, holding_days FROM trades")
+def trade_records(spark, sf):
+    return out(_backtest(spark, sf)["trades"], "ticker", "entry_date", "exit_date", "direction", "gross_pnl", "costs", "net_pnl", "holding_days")
+
+
+@query("equity_drawdown", f"WITH RECURSIVE {WEEK}, {TRADE_SQL} SELECT ticker, entry_pos, {r6('equity', 'drawdown')} FROM eq")
+def equity_drawdown(spark, sf):
+    return out(_backtest(spark, sf)["equity"], "ticker", "entry_pos", "equity", "drawdown")
+
+
+@query("event_study", f"WITH RECURSIVE {WEEK}, {EVENT_SQL} SELECT ticker, CAST(signal_date AS VARCHAR) AS signal_date, CAST(execution_date AS VARCHAR) AS execution_date, horizon_days, {r6(*EVENT_COLUMNS)}, exit_reached, stop_reached FROM events")
+def event_study(spark, sf):
+    return out(_backtest(spark, sf)["events"], "ticker", "signal_date", "execution_date", "horizon_days", *EVENT_COLUMNS, "exit_reached", "stop_reached")
+
+
+@query("event_buckets", f"WITH RECURSIVE {WEEK}, {EVENT_SQL} SELECT ticker, horizon_days, COUNT(*) AS observations, ROUND(AVG(fraction_reverted), 6) AS average_fraction_reverted, ROUND(AVG(CAST(exit_reached AS DOUBLE)), 6) AS realized_exit_frequency FROM events GROUP BY 1, 2")
+def event_buckets(spark, sf):
+    return out(_backtest(spark, sf)["buckets"], "ticker", "horizon_days", "observations", "average_fraction_reverted", "realized_exit_frequency")
+
+
+@query("backtest_metrics", f"""WITH RECURSIVE {WEEK}, {TRADE_SQL}, {_event_sql()}, mt AS (SELECT ticker, COUNT(*) AS trade_count, SUM(gross_pnl) AS gross_pnl, SUM(costs) AS costs, SUM(net_pnl) AS net_pnl, AVG(CAST(net_pnl > 0 AS DOUBLE)) AS win_rate, AVG(net_pnl) FILTER (WHERE net_pnl > 0) AS average_win, AVG(net_pnl) FILTER (WHERE net_pnl < 0) AS average_loss,
+MIN(drawdown) AS maximum_drawdown, CAST(COUNT(*) AS DOUBLE) AS turnover, AVG(holding_days) AS average_holding_period, MEDIAN(CAST(holding_days AS DOUBLE)) AS median_holding_period FROM eq GROUP BY ticker),
+me AS (SELECT ticker, COUNT(*) AS candidate_count, SUM(CAST(exit_reached AS BIGINT)) AS exit_count, SUM(CAST(stop_reached AS BIGINT)) AS stop_count, AVG(fraction_reverted) AS average_fraction_reverted, MEDIAN(fraction_reverted) AS median_fraction_reverted FROM events GROUP BY ticker)
+SELECT k.ticker, COALESCE(trade_count, 0) AS trade_count, ROUND(COALESCE(gross_pnl, 0), 6) AS gross_pnl, ROUND(COALESCE(costs, 0), 6) AS costs, ROUND(COALESCE(net_pnl, 0), 6) AS net_pnl, {r6('win_rate', 'average_win', 'average_loss')}, ROUND(COALESCE(maximum_drawdown, 0), 6) AS maximum_drawdown, ROUND(COALESCE(turnover, 0), 6) AS turnover,
+{r6('average_holding_period', 'median_holding_period')}, COALESCE(candidate_count, 0) AS candidate_count, CAST(COALESCE(exit_count, 0) AS BIGINT) AS exit_count, CAST(COALESCE(stop_count, 0) AS BIGINT) AS stop_count, {r6('average_fraction_reverted', 'median_fraction_reverted')}
+FROM (SELECT DISTINCT ticker FROM panel) k LEFT JOIN mt ON mt.ticker = k.ticker LEFT JOIN me ON me.ticker = k.ticker""")
+def backtest_metrics(spark, sf):
+    df = _backtest(spark, sf)["metrics"]
+    return out(df, *df.columns)
+
+
+@query("calibration", f"""WITH {WEEK}, {XS_SQL}, c AS (SELECT percentile AS p, zscore > 0 AS hit FROM xs), b AS (SELECT * FROM (VALUES (0.5e0, 0.6e0), (0.6e0, 0.7e0), (0.7e0, 0.8e0), (0.8e0, 0.9e0), (0.9e0, 1.000001e0)) v(low, high))
+SELECT low, high, COUNT(p) AS observations, ROUND(AVG(p), 6) AS average_predicted_probability, ROUND(AVG(CAST(hit AS DOUBLE)), 6) AS actual_exit_frequency FROM b LEFT JOIN c ON p >= low AND p < high GROUP BY 1, 2""")
+def calibration(spark, sf):
+    xs = rs.cross_sectional(rs.returns(weekly(spark, sf)))
+    return out(bt.calibration(xs.select(F.col("percentile").alias("predicted"), (F.col("zscore") > 0).alias("realized"))), "low", "high", "observations", "average_predicted_probability", "actual_exit_frequency")
+
+
+@query("full_signal_backtest")
+def full_signal_backtest(spark, sf):
+    def momentum(history, position):
+        if len(history) < 5 or history.iloc[-5:].isna().any():
+            return "INSUFFICIENT_DATA"
+        rising = history.iloc[-1] > history.iloc[-5:].mean()
+        return ("ENTER_LONG" if rising else "WAIT") if position == "FLAT" else ("HOLD_LONG" if rising else "EXIT_LONG")
+
+    df = bt.run_backtest(weekly(spark, sf), costs=COSTS, hook=momentum, **SIGNAL)["full_metrics"]
+    return out(df, *df.columns)
+
+
+@query("pair_trades", f"""WITH {WEEK}, j AS (SELECT a.ts, a.pos, a.price AS tp, b.price AS pp, LEAD(a.price) OVER (ORDER BY a.pos) AS t2, LEAD(b.price) OVER (ORDER BY a.pos) AS p2 FROM panel a JOIN panel b ON a.pos = b.pos WHERE a.ticker = 'AF' AND b.ticker = 'RF'),
+u AS (SELECT *, 1000e0 / (tp + 0.8e0 * pp) AS s FROM j WHERE t2 IS NOT NULL AND p2 IS NOT NULL AND tp IS NOT NULL AND pp IS NOT NULL), v AS (SELECT *, s * tp + 0.8e0 * s * pp AS gross_notional, s * (t2 - tp) - 0.8e0 * s * (p2 - pp) AS gross_pnl FROM u)
+SELECT {TS}, {r6('gross_notional', 'gross_pnl')}, ROUND(gross_notional * 0.0014e0 + 0.004e0, 6) AS costs, ROUND(gross_pnl - gross_notional * 0.0014e0 - 0.004e0, 6) AS net_pnl FROM v""")
+def pair_trades(spark, sf):
+    from pyspark.sql import Window
+
+    panel, w = weekly(spark, sf), Window.orderBy("pos")
+    a = panel.where("ticker = 'AF'").select("ts", "pos", F.col("price").alias("target_price"))
+    df = a.join(panel.where("ticker = 'RF'").select("pos", F.col("price").alias("peer_price")), "pos")
+    df = df.withColumn("exit_target_price", F.lead("target_price").over(w)).withColumn("exit_peer_price", F.lead("peer_price").over(w)).dropna()
+    df = df.withColumn("beta", F.lit(0.8)).withColumn("notional", F.lit(1000.0)).withColumn("multiplier", F.lit(1.0))
+    return out(bt.pair_trades(df, COSTS), "ts", "gross_notional", "gross_pnl", "costs", "net_pnl")
+
+
+# ---- evidence and decisions
+
+VOTE_SQL = f"""{XS_SQL}, votes AS (SELECT ts AS entity, ticker AS model_name, CASE WHEN zscore <= -0.8 THEN 'LONG_RESIDUAL' WHEN zscore >= 0.8 THEN 'SHORT_RESIDUAL' WHEN zscore IS NULL THEN 'INVALID' ELSE 'NEUTRAL' END AS direction, 1.0e0 + pos % 3 AS weight, percentile AS reliability, SUBSTR(ticker, 1, 1) AS dependency_group, pos FROM xs),
+v0 AS (SELECT *, weight * reliability AS raw FROM votes WHERE direction <> 'INVALID' AND pos % 11 <> 0), v1 AS (SELECT *, CASE WHEN SUM(raw) OVER g > 0 THEN AVG(weight) OVER g * raw / SUM(raw) OVER g ELSE 0 END AS support FROM v0 WINDOW g AS (PARTITION BY entity, dependency_group)),
+v2 AS (SELECT entity, COUNT(*) AS valid_model_count, COUNT(*) FILTER (WHERE direction = 'LONG_RESIDUAL') AS long_count, COUNT(*) FILTER (WHERE direction = 'SHORT_RESIDUAL') AS short_count, COUNT(*) FILTER (WHERE direction = 'NEUTRAL') AS neutral_count,
+COALESCE(SUM(support) FILTER (WHERE direction = 'LONG_RESIDUAL'), 0) AS l, COALESCE(SUM(support) FILTER (WHERE direction = 'SHORT_RESIDUAL'), 0) AS s, COALESCE(SUM(support) FILTER (WHERE direction = 'NEUTRAL'), 0) AS n FROM v1 GROUP BY entity),
+con AS (SELECT e.entity, COALESCE(valid_model_count, 0) AS valid_model_count, COALESCE(long_count, 0) AS long_count, COALESCE(short_count, 0) AS short_count, COALESCE(neutral_count, 0) AS neutral_count, COALESCE(l, 0) AS long_support, COALESCE(s, 0) AS short_support, COALESCE(n, 0) AS neutral_support,
+CASE WHEN COALESCE(l + s + n, 0) <= 0 THEN 'INSUFFICIENT_DATA' WHEN l / (l + s + n) >= 0.35e0 AND s / (l + s + n) >= 0.35e0 THEN 'CONFLICTED' WHEN l >= s AND l >= n THEN 'LONG' WHEN s >= n THEN 'SHORT' ELSE 'NEUTRAL' END AS state,
+CASE WHEN COALESCE(l + s + n, 0) <= 0 THEN 0 WHEN l / (l + s + n) >= 0.35e0 AND s / (l + s + n) >= 0.35e0 THEN GREATEST(l, s) / (l + s + n) * 100 ELSE GREATEST(l, s, n) / (l + s + n) * 100 END AS agreement_percentage FROM (SELECT DISTINCT entity FROM votes) e LEFT JOIN v2 ON v2.entity = e.entity)"""
+
+
+def _consensus(spark, sf):
+    xs = rs.cross_sectional(rs.returns(weekly(spark, sf)))
+    votes = xs.select(
+        F.col("ts").alias("entity"), F.col("ticker").alias("model_name"), ev.direction_of(F.col("zscore"), 0.8).alias("direction"), F.lit(True).alias("valid"), (F.col("pos") % 11 != 0).alias("gate_passed"),
+        (1.0 + F.col("pos") % 3).alias("weight"), F.col("percentile").alias("reliability"), F.substring("ticker", 1, 1).alias("dependency_group"),
+    )
+    return ev.consensus(votes)
+
+
+CONSENSUS_COLUMNS = ("valid_model_count", "long_count", "short_count", "neutral_count", "agreement_percentage", "long_support", "short_support", "neutral_support")
+
+
+@query("consensus", f"WITH {WEEK}, {VOTE_SQL} SELECT CAST(entity AS VARCHAR) AS entity, state, valid_model_count, long_count, short_count, neutral_count, {r6('agreement_percentage', 'long_support', 'short_support', 'neutral_support')} FROM con")
+def consensus(spark, sf):
+    return out(_consensus(spark, sf), "entity", "state", *CONSENSUS_COLUMNS)
+
+
+@query("confidence", f"WITH {WEEK}, {Z_SQL.format(n=Z_WINDOW)} SELECT ticker, {TS}, CASE WHEN zscore IS NOT NULL THEN ROUND(12 * LEAST(ABS(zscore) / 2.5e0, 1) + 15 * LEAST(1, GREATEST(0, std)) + 12 * 0.5e0, 6) END AS confidence FROM zs")
+def confidence(spark, sf):
+    df = rs.zscore_benchmark(weekly(spark, sf), Z_WINDOW)
+    return out(df.withColumn("confidence", ev.confidence(F.col("valid"), F.col("zscore"), ou_agreement=F.col("std"), half_life_quality=F.lit(0.5))), "ticker", "ts", "confidence")
+
+
+@query("final_decision", f"""WITH {WEEK}, {VOTE_SQL}, d0 AS (SELECT *, ROW_NUMBER() OVER (ORDER BY entity) AS i FROM con), d1 AS (SELECT *, i % 13 <> 0 AS g1, i % 7 <> 0 AS g2, i % 5 <> 0 AS g3, CASE WHEN i % 17 = 0 THEN 'SEVERE_BREAK' ELSE 'NORMAL' END AS regime, (i % 50) / 10e0 - 2.5e0 AS z FROM d0),
+d2 AS (SELECT *, CONCAT_WS('; ', CASE WHEN NOT g1 THEN 'Insufficient data' END, CASE WHEN NOT g2 THEN 'Stationarity gate' END, CASE WHEN NOT g3 THEN 'Half-life' END, CASE WHEN regime = 'SEVERE_BREAK' THEN 'SEVERE_BREAK regime' END) AS failed FROM d1)
+SELECT CAST(entity AS VARCHAR) AS entity, CASE WHEN NOT g1 THEN 'INSUFFICIENT_DATA' WHEN failed <> '' THEN 'NO_SIGNAL' WHEN state IN ('INSUFFICIENT_DATA', 'CONFLICTED') THEN state ELSE 'WAIT' END AS action,
+CASE WHEN NOT g1 THEN 'Insufficient data' WHEN failed <> '' THEN failed WHEN state = 'INSUFFICIENT_DATA' THEN 'No valid residual models' WHEN state = 'CONFLICTED' THEN 'Valid models have strong long/short disagreement' END AS invalid_reason,
+CASE WHEN failed = '' THEN ROUND(12 * LEAST(ABS(z) / 2.5e0, 1) + 13 * LEAST(1, GREATEST(0, agreement_percentage / 100)), 6) END AS confidence FROM d2""")
+def final_decision(spark, sf):
+    from pyspark.sql import Window
+
+    df = _consensus(spark, sf).withColumn("i", F.row_number().over(Window.orderBy("entity")))
+    i, yes = F.col("i"), F.lit(True)
+    df = df.withColumns({"sufficient_data": i % 13 != 0, "residual_valid": yes, "stationarity_valid": i % 7 != 0, "ou_valid": yes, "half_life_acceptable": i % 5 != 0, "parameter_stable": yes})
+    df = df.withColumns({"regime_status": F.when(i % 17 == 0, "SEVERE_BREAK").otherwise("NORMAL"), "zscore": (i % 50) / 10 - 2.5, "consensus_state": F.col("state"), "policy_action": F.lit("WAIT")})
+    return out(ev.final_decision(df), "entity", "action", "invalid_reason", "confidence")
+
+
+@query("live_classification", f"""WITH {WEEK}, q AS (SELECT a.ts, a.pos, a.price AS tp, b.price AS pp FROM panel a JOIN panel b ON a.pos = b.pos WHERE a.ticker = 'AF' AND b.ticker = 'RF' AND a.price IS NOT NULL AND b.price IS NOT NULL), f AS (SELECT 'p1' AS prediction_id, 'FLAT' AS position UNION ALL SELECT 'p2', 'LONG_RESIDUAL' UNION ALL SELECT 'p3', 'SHORT_RESIDUAL'),
+x AS (SELECT f.*, q.*, LN(tp) - 0.1e0 - 0.99e0 * LN(pp) AS r FROM q, f), y AS (SELECT *, CASE WHEN r >= -0.05 AND r <= -0.02 THEN 0 ELSE LEAST(ABS(r + 0.05e0), ABS(r + 0.02e0)) END AS le, CASE WHEN r >= 0.02 AND r <= 0.05 THEN 0 ELSE LEAST(ABS(r - 0.02e0), ABS(r - 0.05e0)) END AS se FROM x)
+SELECT prediction_id, {TS}, ROUND(r, 6) AS residual, CASE WHEN position = 'LONG_RESIDUAL' THEN CASE WHEN r <= -0.08 THEN 'STOP_REGION' WHEN r >= 0 THEN 'EXIT_REGION' ELSE 'HOLD' END WHEN position = 'SHORT_RESIDUAL' THEN CASE WHEN r >= 0.08 THEN 'STOP_REGION' WHEN r <= 0 THEN 'EXIT_REGION' ELSE 'HOLD' END WHEN le = 0 OR se = 0 THEN 'ENTRY_REGION' ELSE 'WAIT' END AS state,
+ROUND(LEAST(le, se), 6) AS distance_to_entry, ROUND(ABS(r), 6) AS distance_to_exit, ROUND(CASE position WHEN 'LONG_RESIDUAL' THEN ABS(r + 0.08e0) WHEN 'SHORT_RESIDUAL' THEN ABS(r - 0.08e0) END, 6) AS distance_to_stop, ROUND((-0.03e0 - r) / -0.03e0, 6) AS fraction_reverted, ROUND(EXP(0.1e0 + 0.99e0 * LN(pp)) / tp, 6) AS implied_exit_share FROM y""")
+def live_classification(spark, sf):
+    panel = weekly(spark, sf).where("price is not null")
+    q = panel.where("ticker = 'AF'").select("ts", F.col("ticker").alias("target"), F.col("price").alias("target_price")).join(panel.where("ticker = 'RF'").select("ts", F.col("ticker").alias("peer"), F.col("price").alias("peer_price")), "ts")
+    rows = [(f"p{i}", "AF", "RF", 0.1, 0.99, -0.03, (-0.05, -0.02), (0.02, 0.05), 0.0, -0.08, 0.08, p) for i, p in enumerate(("FLAT", "LONG_RESIDUAL", "SHORT_RESIDUAL"), 1)]
+    df = live.classify_live(q, F.broadcast(spark.createDataFrame(rows, live.FROZEN)))
+    df = df.withColumn("implied_exit_share", F.col("implied_exit") / F.col("target_price"))
+    return out(df, "prediction_id", "ts", "residual", "state", "distance_to_entry", "distance_to_exit", "distance_to_stop", "fraction_reverted", "implied_exit_share")
+
+
+@query("journal_insert_if_absent", "SELECT DISTINCT o_orderkey AS prediction_id, 'new' AS source FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)")
+def journal_insert(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("prediction_id"))
+    return insert_if_absent(orders.where("prediction_id % 2 = 0"), orders.where("prediction_id % 3 = 0").withColumn("source", F.lit("new")), ["prediction_id"])
+
+
+@query("decision_monitor")
+def decision_monitor(spark, sf):
+    from driftwell.plans.monitor import decision_monitor as monitor
+
+    df = monitor(weekly(spark, sf), window=OU_WINDOW, paths=2000)
+    return out(df, "ticker", "ts", "zscore", "kappa", "half_life", "adf_pvalue", "kpss_pvalue", "consensus_state", "policy_action", "action", "invalid_reason", "confidence", "p_exit_before_stop", "p_stop_before_exit")
+
+
+__all__ = ["ORACLES", "QUERIES"]
