@@ -176,6 +176,18 @@ def _score(shared, end: int):
     return run
 
 
+def frequent_from(words: DataFrame, most: int) -> int:
+    """The least count c for which at most ``most`` words have it or more; from a histogram over fixed log steps."""
+    step = F.floor(F.ln("c") * 64).cast("int")
+    found = 0
+    least = None
+    for r in sorted(words.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).collect(), key=lambda r: -r["step"]):
+        if found + r["n"] > most:
+            return least if least is not None else r["high"] + 1
+        found, least = found + r["n"], r["low"]
+    return least if least is not None else 1
+
+
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out_fold: int = 1, states: int = 8, symbols: int = 50_000, rounds: int = 3, run: int = 128, sample: int = 1500) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
@@ -196,12 +208,12 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     base_of = lambda c: np.log10((c + 0.5) / (N + 0.5 * (V + 1)))
     end_key = int(word_hashes([END]).view(np.int64)[0])
     ends = (counts.where(F.col("word") == end_key).first() or {"c": 0})["c"]
-    top = counts.where(F.col("word") != end_key).orderBy(F.desc("c"), "word").limit(symbols).toPandas()
+    words = counts.where(F.col("word") != end_key)
+    often_enough = frequent_from(words, symbols)
+    top = words.where(F.col("c") >= often_enough).toPandas()  # at most `symbols` rows
     keys = top["word"].to_numpy(np.int64).view(U64)
     by = np.argsort(keys)
     keys, often = keys[by], top["c"].to_numpy(np.int64)[by]
-    kept = (int(often.min()), int(top["word"].iloc[-1])) if len(top) else None
-
     coded = d.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
         _encode(keys, base_of(often), float(base_of(ends))), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_rare long, base double, ids binary, rare array<long>"
     )
@@ -225,9 +237,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     # the words that share one symbol
     rest_n, rest_v = N - int(often.sum()) - ends, V - n - bool(ends)
-    rest = counts.where(F.col("word") != end_key)
-    if kept:
-        rest = rest.where((F.col("c") < kept[0]) | ((F.col("c") == kept[0]) & (F.col("word") > kept[1])))
+    rest = words.where(F.col("c") < often_enough)
     tokens = coded.where("n_rare > 0").select("row", F.explode("rare").alias("word"))
     met = tokens.join(rest, "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_log"), F.count("c").alias("rare_known"))
     out = scored.join(met, "row", "left")

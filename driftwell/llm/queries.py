@@ -74,4 +74,27 @@ QUERIES = {
     f.__name__: f
     for f in (op1_minhash_dedup, op2_language_crf, op3_pii_feistel, op4_decontamination, op5_vector_graph, op6_hmm_score, op7_quality_net, op8_suffix_dedup, op9_toxicity, op10_mixing)
 }
-ORACLES: dict[str, str] = {}
+
+# Words and shingles as SQL: one shingle for a text with fewer words, none without words.
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS = rf"regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+')"
+
+
+def _shingles(table: str, key: str, k: int) -> str:
+    grams = f"list_transform(range(1, len(ws) - {k - 2}), lambda i: array_to_string(ws[i:i + {k - 1}], ' '))"
+    cut = f"CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {k} THEN [array_to_string(ws, ' ')] ELSE {grams} END"
+    return f"SELECT DISTINCT {key}, unnest({cut}) AS s FROM (SELECT {key}, {_WORDS} AS ws FROM {table} WHERE text IS NOT NULL)"
+
+
+_REACH = "reach(a, b) AS (SELECT {id}, {id} FROM {table} UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)"
+ORACLES = {
+    "op1_minhash_dedup": f"""WITH RECURSIVE sh AS ({_shingles('documents', 'doc_id', 4)}), n AS (SELECT doc_id, COUNT(*) AS n FROM sh GROUP BY doc_id),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, COUNT(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM met JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)), {_REACH.format(id='doc_id', table='documents')},
+comp AS (SELECT a AS doc_id, MIN(b) AS component_id FROM reach GROUP BY a) SELECT d.doc_id, CAST(COALESCE(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN comp ON comp.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op4_decontamination": f"""WITH d AS ({_shingles('documents', 'doc_id', 5)}), i AS ({_shingles('benchmark', 'item_id', 5)}), n AS (SELECT item_id, COUNT(*) AS n FROM i GROUP BY item_id),
+m AS (SELECT doc_id, item_id, COUNT(*) AS c FROM d JOIN i USING (s) GROUP BY 1, 2) SELECT doc_id, item_id, c AS n_shared, n AS n_item, CAST(c AS DOUBLE) / n AS containment FROM m JOIN n USING (item_id) WHERE 100 * c >= 80 * n""",
+    "op5_vector_graph": f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.93),
+{_REACH.format(id='vec_id', table='embeddings')}, comp AS (SELECT a AS vec_id, MIN(b) AS component_id FROM reach GROUP BY a), n AS (SELECT a AS vec_id, COUNT(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(COALESCE(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM comp LEFT JOIN n USING (vec_id)""",
+}
