@@ -91,3 +91,18 @@ def final_decision(rows: DataFrame, **qualities: str) -> DataFrame:
 
 def direction_of(z: Column, threshold: float = 2.0) -> Column:
     return F.when(z.isNull(), "INVALID").when(z <= -threshold, "LONG_RESIDUAL").when(z >= threshold, "SHORT_RESIDUAL").otherwise("NEUTRAL")
+
+
+def snapshot_payloads(decisions: DataFrame) -> DataFrame:
+    """Adds the JSON payloads of a frozen prediction, from whatever of a decision's columns is there."""
+    groups = {
+        "ou_outputs": ("theta", "kappa", "sigma", "half_life"),
+        "probability_outputs": ("p_exit_before_stop", "p_stop_before_exit", "p_exit_5d", "p_exit_10d", "p_exit_20d", "median_holding_time"),
+        "diagnostic_outputs": ("why", "blocking", "adf_pvalue", "kpss_pvalue"),
+        "consensus_outputs": ("consensus_state", "agreement_percentage", "confidence"),
+        "model_outputs": ("action", "valid", "invalid_reason", "zscore"),
+    }
+    for name, columns in groups.items():
+        there = [c for c in columns if c in decisions.columns]
+        decisions = decisions.withColumn(name, F.to_json(F.struct(*there), {"ignoreNullFields": "false"}) if there else F.lit("{}"))
+    return decisions

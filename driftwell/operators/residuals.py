@@ -208,3 +208,25 @@ def cross_sectional(panel: DataFrame, value: str = "ret", *, minimum: int = 3, t
     df = df.withColumn("rank", rank).where(F.col("n") >= minimum).withColumn("percentile", F.col("rank") / F.col("n")).withColumn("zscore", guarded(F.col(value) - F.col("mean"), F.col("std")))
     z = F.col("zscore")
     return df.withColumn("state", F.when(z.isNull(), "INVALID").when(z >= threshold, "RELATIVELY_HIGH").when(z <= -threshold, "RELATIVELY_LOW").otherwise("NEUTRAL"))
+
+
+def pair_position(beta: Column, side: Column) -> Column:
+    """Units of target and peer of a residual position: +1 and -beta long, -1 and beta short, none flat."""
+    sign = F.when(side == "LONG_RESIDUAL", 1.0).when(side == "SHORT_RESIDUAL", -1.0).otherwise(0.0)
+    return F.struct(sign.alias("target_units"), (-beta * sign).alias("peer_units"))
+
+
+STATE_SOURCES = {"trend": "trend_residual", "factor": "state", "pair": "spread"}
+
+
+def state_series(model: DataFrame, source: str, keys: list[str]) -> DataFrame:
+    """(keys, ts, pos, x): a model's state for Ornstein-Uhlenbeck fits, rows without a value left out and positions closed up."""
+    column = STATE_SOURCES[source]
+    df = model.where(F.col(column).isNotNull())
+    return df.select(*keys, "ts", (F.row_number().over(Window.partitionBy(*keys).orderBy("pos")) - 1).cast("long").alias("pos"), F.col(column).alias("x"))
+
+
+def tail_window(df: DataFrame, window: int, keys: list[str]) -> DataFrame:
+    """The last ``window`` positions of every series."""
+    end = df.groupBy(*keys).agg(F.max("pos").alias("_end"))
+    return df.join(end, keys).where(F.col("pos") > F.col("_end") - window).drop("_end")

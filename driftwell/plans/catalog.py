@@ -342,6 +342,23 @@ def hedge_best(spark, sf):
     return out(df, *df.columns)
 
 
+@query("estimator_agreement", f"WITH {WEEK}, {STATE_SQL}, " + _ou_sql(FIT_SOURCE, "ticker", "", "").rsplit(" SELECT ticker", 1)[0] + " SELECT ticker, valid AS agree, COALESCE(half_life <= 60, FALSE) AS half_life_acceptable FROM fits")
+def estimator_agreement(spark, sf):
+    return ou.estimators_agree(ou.compare_estimators(ou.fit_ou(ou_state(spark, sf), "x", keys=["ticker"]), ["ticker"]), ["ticker"])
+
+
+@query("pair_positions", f"WITH {WEEK}, {PAIR_SQL} SELECT target, peer, {TS}, CASE state WHEN 'TARGET_RELATIVELY_LOW' THEN 1e0 WHEN 'TARGET_RELATIVELY_HIGH' THEN -1e0 END AS target_units, ROUND(CASE state WHEN 'TARGET_RELATIVELY_LOW' THEN -beta WHEN 'TARGET_RELATIVELY_HIGH' THEN beta END, 6) AS peer_units FROM pairs WHERE state LIKE 'TARGET%'")
+def pair_positions(spark, sf):
+    df = rs.pair_spread(weekly(spark, sf), window=PAIR).where("state like 'TARGET%'")
+    side = F.when(F.col("state") == "TARGET_RELATIVELY_LOW", "LONG_RESIDUAL").otherwise("SHORT_RESIDUAL")
+    return out(df.withColumn("u", rs.pair_position(F.col("beta"), side)).select("target", "peer", "ts", "u.*"), "target", "peer", "ts", "target_units", "peer_units")
+
+
+@query("tail_state", f"WITH {WEEK}, {TREND_SQL}, k AS (SELECT ticker, ts, trend_residual AS x, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY pos) - 1 AS p, COUNT(*) OVER (PARTITION BY ticker) AS n FROM trend WHERE trend_residual IS NOT NULL) SELECT ticker, {TS}, p AS pos, ROUND(x, 6) AS x FROM k WHERE p >= n - 40")
+def tail_state(spark, sf):
+    return out(rs.tail_window(rs.state_series(rs.trend_residual(weekly(spark, sf), TREND), "trend", ["ticker"]), 40, ["ticker"]), "ticker", "ts", "pos", "x")
+
+
 # ---- first passage and policies
 
 
