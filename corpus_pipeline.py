@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import Scratch
+from driftwell.llm.common import Scratch, free_name
 from driftwell.llm.decontaminate import uncontaminated
 from driftwell.llm.minhash_dedup import near_duplicates
 from driftwell.llm.mixing import mix_sources
@@ -37,9 +37,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced; n_chars follows the text."""
-    out = pseudonymise(docs, key=PSEUDONYM_KEY, count_col="n_replaced")
+    count = free_name(docs, "n_replaced")
+    out = pseudonymise(docs, key=PSEUDONYM_KEY, count_col=count)
     kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
-    changed = F.col("n_replaced") > 0
+    changed = F.col(count) > 0
     if kind is not None:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -54,6 +54,14 @@ def fold(column: str, k: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % k
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 class Scratch:
     """Parquet tables in the shared checkpoint folder; they cut lineage and survive a lost executor."""
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, shingle_hashes, word_hashes, words_of
+from .common import U64, free_name, shingle_hashes, word_hashes, words_of
 from .minhash_dedup import multipliers, shingle_set, signatures
 
 HASHES, SEED, LEAST = 64, 0xBE7C, 16
@@ -151,7 +151,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
 
 def uncontaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns as they are, that hold no item; one pass over the texts for each block of items."""
-    spark, name, out = docs.sparkSession, "__bytes", docs
+    spark, name, out = docs.sparkSession, free_name(docs, "text_bytes"), docs
     for ids, sets in item_blocks(items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("binary").alias("text")), k):
         shared = spark.sparkContext.broadcast((ids, Index(sets)))
         out = out.withColumn(name, F.col(text_col).cast("binary")).mapInArrow(_clean(shared, k, percent, name), docs.schema)

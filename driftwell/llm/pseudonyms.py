@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 # The shapes of personal data, in the order in which they are tried.
 PATTERNS = {
     "mail": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
@@ -175,12 +177,14 @@ def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text", count_col
     pattern = "|".join(PATTERNS.values())
     text = F.col(f"`{text_col}`")
     may = text.rlike("[0-9@]")
-    found = docs.drop(count_col).withColumn("__found", F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
-    some = F.coalesce(F.size("__found"), F.lit(0)) > 0
-    new = F.transform("__found", lambda m: F.struct(m.alias("m"), pseudonym(m, key, restore).alias("p")))
-    found = found.withColumn("__new", F.when(some, new)).withColumn("__between", F.when(some, F.split(text, pattern, -1)))
-    rest = F.transform("__new", lambda x: F.coalesce(x["p"], x["m"]))
-    joined = F.array_join(F.flatten(F.zip_with("__between", rest, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    count = F.coalesce(F.size(F.filter("__new", lambda x: x["p"].isNotNull())), F.lit(0)).cast("long")
+    docs = docs.drop(count_col)
+    f, n, b = (free_name(docs, x) for x in ("found", "changed", "between"))
+    found = docs.withColumn(f, F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+    some = F.coalesce(F.size(f), F.lit(0)) > 0
+    new = F.transform(f, lambda m: F.struct(m.alias("m"), pseudonym(m, key, restore).alias("p")))
+    found = found.withColumn(n, F.when(some, new)).withColumn(b, F.when(some, F.split(text, pattern, -1)))
+    rest = F.transform(n, lambda x: F.coalesce(x["p"], x["m"]))
+    joined = F.array_join(F.flatten(F.zip_with(b, rest, lambda left, p: F.array(left, F.coalesce(p, F.lit(""))))), "")
+    count = F.coalesce(F.size(F.filter(n, lambda x: x["p"].isNotNull())), F.lit(0)).cast("long")
     out = found.withColumn(count_col, F.when(some, count).otherwise(F.lit(0).cast("long"))).withColumn(text_col, F.when(some, joined).otherwise(text))
-    return out.drop("__found", "__new", "__between")
+    return out.drop(f, n, b)

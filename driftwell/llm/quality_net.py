@@ -19,11 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, free_name, word_hashes, words_of
 from .sampling import prior_shift, texts_by_class
 
 DIM, SHAPES, REPEATS = 96, 4096, 6
-MOST_WORDS = 300_000  # of a task's word cache; a full cache is emptied, results do not depend on it
+MOST_WORDS = 100_000  # of a task's word cache; a full cache is emptied, results do not depend on it
 _UPPER, _LOWER, _DIGIT, _OTHER = (re.compile(p) for p in (rb"[A-Z]+", rb"[a-z\x80-\xff]+", rb"[0-9]+", rb"([^A-Za-z0-9\x80-\xff])\1+"))
 
 
@@ -47,15 +47,15 @@ def index_vectors(keys: list[bytes], dim: int = DIM, ones: int = 8) -> np.ndarra
 class Pool:
     """Texts to document vectors under a vocabulary of context vectors."""
 
-    def __init__(self, vocabulary: list[bytes], context: np.ndarray):
-        self.known = {w: i for i, w in enumerate(vocabulary)}
+    def __init__(self, vocabulary: np.ndarray, context: np.ndarray):
+        self.known = {h: i for i, h in enumerate(vocabulary.tolist())}  # by hash of the lower-case word
         self.n = len(vocabulary)
         self.table = np.concatenate([context, index_vectors([b"shape %d" % i for i in range(SHAPES)]), index_vectors([b"repeat %d" % i for i in range(REPEATS)])]) if self.n else np.concatenate([index_vectors([b"shape %d" % i for i in range(SHAPES)]), index_vectors([b"repeat %d" % i for i in range(REPEATS)])])
         self.cache: dict[bytes, tuple[int, int]] = {}
 
     def _places(self, word: bytes) -> tuple[int, int]:
         by_shape = self.n + xxhash.xxh3_64_intdigest(shape(word)) % SHAPES
-        return self.known.get(word.lower(), by_shape), by_shape
+        return self.known.get(xxhash.xxh3_64_intdigest(word.lower()), by_shape), by_shape
 
     def pool(self, texts: list[bytes | None]) -> np.ndarray:
         """(n, 3 * DIM): means over words, over their shapes, over repeats; zeros for an empty text."""
@@ -107,21 +107,19 @@ def _tally(words: list[bytes]) -> dict[bytes, int]:
     return counts
 
 
-def context_vectors(texts: list[bytes], most: int = 20_000, near: int = 2) -> tuple[list[bytes], np.ndarray]:
-    """The frequent words of the learning texts, and the normed sums of their neighbours' index vectors."""
-    counts: dict[bytes, int] = {}
-    for x in texts:
-        for w in x.lower().split():
-            counts[w] = counts.get(w, 0) + 1
-    vocabulary = sorted((w for w, c in counts.items() if c > 2), key=lambda w: (-counts[w], w))[:most]
-    place = {w: i for i, w in enumerate(vocabulary)}
-    if not vocabulary:
-        return [], np.zeros((0, DIM), np.float32)
-    index = index_vectors(vocabulary)
+def context_vectors(texts: list[bytes], most: int = 20_000, near: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the frequent words of the learning texts, and the normed sums of their neighbours' index vectors."""
+    lists = [word_hashes(words_of(x)) for x in texts]
+    hashes, counts = np.unique(np.concatenate([*lists, np.zeros(0, np.uint64)]), return_counts=True)
+    often = np.flatnonzero(counts > 2)
+    vocabulary = np.sort(hashes[often[np.lexsort((hashes[often], -counts[often]))][:most]])
+    if not len(vocabulary):
+        return vocabulary, np.zeros((0, DIM), np.float32)
+    index = index_vectors([h.tobytes() for h in vocabulary])
     context = index.copy()  # a word is its own neighbour once
-    del counts
-    for text in texts:
-        ids = np.array([place.get(w, -1) for w in text.lower().split()])
+    for hs in lists:
+        at = np.minimum(np.searchsorted(vocabulary, hs), len(vocabulary) - 1)
+        ids = np.where(vocabulary[at] == hs, at, -1)
         for d in range(1, near + 1):
             a, b = ids[:-d], ids[d:]
             both = (a >= 0) & (b >= 0)
@@ -137,7 +135,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 class Net:
     """Two dense layers with a ReLU between, fitted by Adam with the word block dropped at times; the logit is divided by a temperature."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, hidden: int = 32, steps: int = 800, seed: int = 3, drop: float = 0.5):
+    def __init__(self, x: np.ndarray, y: np.ndarray, hidden: int = 32, steps: int = 800, seed: int = 3, drop: float = 0.8):
         r = np.random.default_rng(seed)
         self.mean, self.std = x.mean(axis=0), x.std(axis=0) + 1e-4
         z = (x - self.mean) / self.std
@@ -202,7 +200,7 @@ def _accept(fitted, cut: float, text: str):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out_fold: int = 0, per_class: int = 3000) -> tuple:
+def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out_fold: int = 0, per_class: int = 2000) -> tuple:
     """(model or None, the score without a model), from a bounded sample outside the held-out fold."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("class")).where("class in (0, 1)").where(fold("doc_id", folds) != out_fold).distinct()
@@ -215,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_co
     return (vocabulary, context, Net(Pool(vocabulary, context).pool(texts), y), prior_shift(marks, [int(c) for c in y])), 0.5
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out_fold: int = 0, cut: float = 0.3, per_class: int = 3000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out_fold: int = 0, cut: float = 0.3, per_class: int = 2000) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= cut).
 
     Fitted on at most ``per_class`` labelled texts of each class, by the lowest hash of the id, outside the held-out
@@ -231,5 +229,5 @@ def classify(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality",
 def accepted(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", cut: float = 0.3, **options) -> DataFrame:
     """The rows of docs, all columns as they are, whose text scores at ``cut`` or above; each row by its own text."""
     fitted = fit(docs, labels, text_col=text_col, **options)
-    name = "__bytes"
+    name = free_name(docs, "text_bytes")
     return docs.withColumn(name, F.col(text_col).cast("binary")).mapInArrow(_accept(fitted, cut, name), docs.schema)

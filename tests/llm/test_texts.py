@@ -64,7 +64,7 @@ def test_contamination_equals_brute_force(spark, monkeypatch):
     word = lambda: "".join(r.choices("abcdefgh", k=4))
     items = [(i, " ".join(word() for _ in range(r.choice([3, 5, 8, 20, 40, 70, 130])))) for i in range(60)] + [(100, None), (101, ""), (102, "a b")]
     docs = []
-    for i in range(120):
+    for i in range(160):
         words = [word() for _ in range(r.randint(0, 900))]
         if i % 2 == 0:
             cut = r.choice(items[:60])[1].split()
