@@ -146,23 +146,25 @@ def _confirm(percent: int):
 
 
 def _marks(batches):
-    """A longer signature of a set, one byte a hash, for nodes that need a finer estimate."""
+    """A longer signature of a set, one byte a hash, and the set cut to 32 bits, for nodes that need a finer look."""
     a, b = multipliers(MARKS, SEED + 1)
     for batch in batches:
-        out = []
+        out, short = [], []
         for x in batch.column("set"):
             s = np.frombuffer(x.as_buffer(), U64)
             low = np.full(MARKS, 2**64 - 1, U64)
             for at in range(0, len(s), 2000):
                 low = np.minimum(low, (s[at : at + 2000, None] * a + b).min(axis=0))
             out.append((low >> U64(32)).astype(np.uint8).tobytes())
-        yield pa.record_batch({"node": batch.column("node"), "mark": pa.array(out, pa.binary())})
+            short.append((s >> U64(32)).astype(np.uint32).tobytes())
+        yield pa.record_batch({"node": batch.column("node"), "mark": pa.array(out, pa.binary()), "short": pa.array(short, pa.binary())})
 
 
 def _block_pairs(rows: int, keys: int, percent: int):
     """Pairs of different classes in a block pair of a first key, under the first such key that they share.
 
-    Only pairs whose minhashes agree less often than the threshold minus five standard errors are passed over.
+    Passed over are pairs whose minhashes agree less often than the threshold minus five standard errors, and pairs
+    whose cut sets, which have no fewer elements in common than the sets, are not near enough.
     """
     width, level = 2 * rows * keys, percent / 100
     least, sure = (level - 5 * (level * (1 - level) / n) ** 0.5 for n in (width, MARKS))
@@ -175,6 +177,7 @@ def _block_pairs(rows: int, keys: int, percent: int):
             node, cls, sig = t.column("node").to_numpy(), t.column("class").to_numpy(), _matrix(t.column("sig"), width)
             mark = np.frombuffer(b"".join(t.column("mark").to_pylist()), np.uint8).reshape(-1, MARKS)
             left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+            short = [np.frombuffer(x, np.uint32) for x in t.column("short").to_pylist()]
             half = half_keys(sig, rows, keys)
             first = half[:, :keys].view(np.int64)
             us, vs = [], []
@@ -184,8 +187,11 @@ def _block_pairs(rows: int, keys: int, percent: int):
                 ys = ys[first[x, (first[ys] == first[x]).argmax(axis=1)] == key]
                 ys = ys[(half[ys, keys:] == half[x, keys:]).any(axis=1)]
                 ys = ys[(mark[ys] == mark[x]).mean(axis=1) >= sure]
-                us += [node[x]] * len(ys)
-                vs += node[ys].tolist()
+                for y in ys.tolist():
+                    n = len(np.intersect1d(short[x], short[y], assume_unique=True))
+                    if 100 * n >= percent * (len(short[x]) + len(short[y]) - n):
+                        us.append(node[x])
+                        vs.append(node[y])
             if us:
                 yield pa.record_batch({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
@@ -226,14 +232,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         p = p.join(sets.select(F.col("node").alias("v"), F.col("set").alias("set_v")), "v").select("u", "v", "set_u", "set_v")
         return scratch.table(p.mapInArrow(_confirm(percent), "u long, v long"), name)
 
-    labelled, links, classes, mixed = buckets.withColumn("class", F.col("node")), None, None, None
+    def joined(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+        """Links beside what earlier links have joined, a row for each node."""
+        return links if classes is None else classes.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).union(links)
+
+    labelled, classes = buckets.withColumn("class", F.col("node")), None
     for turn in range(STAR_ROUNDS):
         head = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(LEADERS * turn + i)).alias("h"), "node", "class"))  # noqa: E731, B023
         leaders = labelled.groupBy("bucket").agg(F.array(*(head(i) for i in range(LEADERS))).alias("leaders"))
         pairs = labelled.join(leaders, "bucket").select("node", "class", F.explode("leaders").alias("l")).where("l.class <> class")
         stars = confirmed(pairs.select(F.col("l.node").alias("u"), F.col("node").alias("v")).distinct(), f"stars-{turn}")
-        links = stars if links is None else links.union(stars)
-        classes = scratch.table(connected(links, scratch, f"star-{turn}"), f"classes-{turn}")
+        classes = scratch.table(connected(joined(classes, stars), scratch, f"star-{turn}"), f"classes-{turn}")
         labelled = buckets.join(classes, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("class"))
         mixed = labelled.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("bucket")
         labelled = scratch.table(labelled.join(mixed, "bucket"), f"labelled-{turn}")
@@ -241,7 +250,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             break
     # what is left: nodes of a mixed bucket, met by their first keys, which all tables of a row share
     left = scratch.table(labelled.select("node", "class").distinct(), "left")
-    marks = scratch.table(sets.join(left, "node").mapInArrow(_marks, "node long, mark binary"), "marks")
+    marks = scratch.table(sets.join(left, "node").mapInArrow(_marks, "node long, mark binary, short binary"), "marks")
     met = left.join(nodes.select("node", "sig"), "node").select("node", "sig").mapInArrow(_first_keys(rows, keys), "key long, node long").join(left, "node")
     mixed = met.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -251,7 +260,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     crossing = scratch.table(rest.mapInArrow(_block_pairs(rows, keys, percent), "u long, v long"), "crossing")
     late = confirmed(crossing, "late")
     if not late.isEmpty():
-        classes = scratch.table(connected(links.union(late), scratch, "all"), "classes-all")
+        classes = scratch.table(connected(joined(classes, late), scratch, "all"), "classes-all")
     scratch.drop("sets", "crossing", "buckets", "late", "left", "marks", *(f"{x}-{t}" for x in ("stars", "labelled") for t in range(STAR_ROUNDS)))
 
     reps = nodes.join(classes, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("class"))
