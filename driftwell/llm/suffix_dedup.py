@@ -116,23 +116,24 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, chain: int = 64) -> np.nda
     return out[sa]
 
 
-def repeated(segments: list[bytes], docs: np.ndarray, piece: int = PIECE) -> list[np.ndarray]:
-    """For each segment (of document docs[i]), the places whose string starts in a smaller document's segment too."""
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(segments)
+def repeated(blob: np.ndarray, sizes: np.ndarray, docs: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, start, end) of the runs of places whose string starts in a smaller document's segment too.
+
+    Segments of ``sizes`` bytes stand one after another in ``blob``; segment i is of document docs[i].
+    """
+    at = np.cumsum(sizes) - sizes
     order = np.argsort(docs, kind="stable")
+    cuts = np.append(0, np.flatnonzero(np.diff(np.cumsum(sizes[order]) // piece)) + 1)
     known, known_doc = np.zeros(0, f"S{LENGTH + 1}"), np.zeros(0, np.int64)
-    at = 0
-    while at < len(order):
-        start, size = at, 0
-        while at < len(order) and (size < piece or at == start):
-            size += len(segments[order[at]])
-            at += 1
-        mine = order[start:at]
-        data = np.frombuffer(b"".join(segments[i] for i in mine), np.uint8)
-        sizes = np.array([len(segments[i]) for i in mine])
-        base = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(mine)), sizes)
-        valid = np.arange(len(data)) - base[owner] <= sizes[owner] - LENGTH
+    found: list[tuple] = []
+    for start, stop in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+        mine = order[start:stop]
+        size = sizes[mine]
+        base = np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(mine), dtype=np.int32), size)
+        inside = np.arange(len(owner)) - base[owner]
+        data = blob[at[mine][owner] + inside]
+        valid = inside <= size[owner] - LENGTH
         sa = suffix_array(data)
         cls = np.cumsum(common_prefixes(data, sa) < LENGTH)
         keep = valid[sa]
@@ -140,27 +141,24 @@ def repeated(segments: list[bytes], docs: np.ndarray, piece: int = PIECE) -> lis
         heads = np.append(0, np.flatnonzero(cls[1:] != cls[:-1]) + 1)
         doc = docs[mine][owner[sa]]
         least = np.minimum.reduceat(doc, heads)
-        if len(known) or at < len(order):
+        if len(known) or stop < len(order):
             windows = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(LENGTH, np.uint8)), LENGTH)[sa[heads]]
             strings = np.concatenate([windows, np.ones((len(heads), 1), np.uint8)], axis=1).view(f"S{LENGTH + 1}").ravel()  # the last byte keeps zeros before it
             where = np.searchsorted(known, strings)
             hit = np.zeros(len(strings), bool)
-            inside = where < len(known)
-            hit[inside] = known[where[inside]] == strings[inside]
+            there = where < len(known)
+            hit[there] = known[where[there]] == strings[there]
             least[hit] = np.minimum(least[hit], known_doc[where[hit]])
             known, known_doc = np.insert(known, where[~hit], strings[~hit]), np.insert(known_doc, where[~hit], least[~hit])
         marked = np.sort(sa[doc > np.repeat(least, np.diff(np.append(heads, len(sa))))])
-        cuts = np.searchsorted(marked, base)
-        for i, (x, a, b) in enumerate(zip(mine, cuts, np.append(cuts[1:], len(marked)), strict=True)):
-            if b > a:
-                out[x] = marked[a:b] - base[i]
-    return out
-
-
-def as_runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (exclusive) of runs of neighbouring places."""
-    cut = np.flatnonzero(np.diff(places) > 1)
-    return places[np.append(0, cut + 1)], places[np.append(cut, len(places) - 1)] + 1
+        if len(marked):
+            own = owner[marked]
+            first = np.append(True, (np.diff(marked) > 1) | (np.diff(own) > 0))
+            last = np.append(first[1:], True)
+            found.append((mine[own[first]], inside[marked[first]], inside[marked[last]] + 1))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _packed(part: np.ndarray, role: int, *columns: np.ndarray):
@@ -354,19 +352,11 @@ def _shard(parts: int):
         unpack = zstandard.ZstdDecompressor().decompress
         for t in groups(batches, ["part"]):
             key, doc, at, size = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.int64) for c in "abcd")
-            blob = b"".join(map(unpack, t.column("e").to_pylist()))
-            ends = np.cumsum(size)
-            segments = [blob[e - s : e] for s, e in zip(size.tolist(), ends.tolist(), strict=True)]
-            ks, starts, stops = [], [], []
-            for i, places in enumerate(repeated(segments, doc)):
-                if len(places):
-                    a, b = as_runs(places)
-                    ks.append(np.full(len(a), key[i]))
-                    starts.append(a + at[i])
-                    stops.append(b + at[i])
-            if ks:
-                k = np.concatenate(ks)
-                yield _packed(k % parts, 1, k, np.concatenate(starts), np.concatenate(stops))
+            blob = np.frombuffer(b"".join(map(unpack, t.column("e").to_pylist())), np.uint8)
+            segment, start, stop = repeated(blob, size, doc)
+            if len(segment):
+                k = key[segment]
+                yield _packed(k % parts, 1, k, start + at[segment], stop + at[segment])
 
     return run
 
@@ -420,13 +410,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return df.repartition(n, "part").sortWithinPartitions("part", *order)
 
     anchors = long.mapInArrow(_anchors(buckets), PACK)
-    shared = dealt(anchors.select("part", "a", "b"), min(buckets, 4000)).mapInArrow(_shared(parts), PACK)
+    shared = dealt(anchors.select("part", "a", "b"), min(buckets, 50_000)).mapInArrow(_shared(parts), PACK)
     texts = long.mapInArrow(_texts, "key long, doc long, text binary").select(F.pmod("key", F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("role"), "key", "doc", "text", *(F.lit(None).cast("binary").alias(c) for c in "abcde"))
-    both = dealt(shared.select(*names).union(texts.select(*names)), min(parts, 4000), "role", "key", "doc")
+    both = dealt(shared.select(*names).union(texts.select(*names)), min(parts, 50_000), "role", "key", "doc")
     cut = scratch.table(both.mapInArrow(_cut(buckets, shards), PACK), "cut")
-    found = dealt(cut.where("role = 0").select("part", *"abcde"), min(shards, 4000)).mapInArrow(_shard(parts), PACK)
+    found = dealt(cut.where("role = 0").select("part", *"abcde"), min(shards, 50_000)).mapInArrow(_shard(parts), PACK)
     back = cut.where("role in (1, 2)").select(*names).union(found.select(*names)).select("part", "role", "key", "doc", "text", *"abc")
-    ended = dealt(back, min(parts, 4000), "role", "key").mapInArrow(_finish, "key long, first long, n_removed long, n_spans long, kept_sha256 string")
+    ended = dealt(back, min(parts, 50_000), "role", "key").mapInArrow(_finish, "key long, first long, n_removed long, n_spans long, kept_sha256 string")
     clean = cut.where("role = 3").select("key", F.col("doc").alias("first"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("a").cast("string").alias("kept_sha256"))
     ended = scratch.table(ended.union(clean), "ended")
     scratch.drop("cut")

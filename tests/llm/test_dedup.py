@@ -119,9 +119,15 @@ def test_pieces_of_a_shard_are_merged_by_search():
     r = random.Random(2)
     parts = [bytes(r.choices(range(97, 123), k=80)) for _ in range(6)]
     segments = [parts[i % 6][: 60 + i] for i in range(18)]
-    docs = np.array([(i * 7) % 18 for i in range(18)])
-    whole, cut = repeated(segments, docs), repeated(segments, docs, piece=100)
-    assert all(np.array_equal(a, b) for a, b in zip(whole, cut)) and any(len(a) for a in whole)
+    docs, sizes = np.array([(i * 7) % 18 for i in range(18)]), np.array([len(s) for s in segments])
+    blob = np.frombuffer(b"".join(segments), np.uint8)
+    want = set()
+    for i, s in enumerate(segments):
+        earlier = {t[p : p + 50] for t, d in zip(segments, docs) if d < docs[i] for p in range(len(t) - 49)}
+        want |= {(i, p) for p in range(len(s) - 49) if s[p : p + 50] in earlier}
+    for piece in (100, 10_000):
+        got = {(int(g), p) for g, a, b in zip(*repeated(blob, sizes, docs, piece)) for p in range(a, b)}
+        assert got == want and want
 
 
 def test_vectors_equal_brute_force(spark):
