@@ -194,3 +194,35 @@ def test_streams_equal_batches(spark, tmp_path, prices):
     q.union(q).coalesce(1).write.parquet(f"{tmp_path}/q")
     frozen = spark.createDataFrame([(*FROZEN, "FLAT")], live.FROZEN)
     assert drain(live_evaluations(stream(f"{tmp_path}/q", q.schema), frozen), "live", spark).count() == 2
+
+
+def test_payloads_positions_and_tails(spark, prices):
+    import json
+
+    from driftwell.operators import residuals as rs
+
+    row = ev.snapshot_payloads(spark.createDataFrame([("WAIT", 0.1, None)], "action string, theta double, kappa double")).first()
+    assert json.loads(row.ou_outputs) == {"theta": 0.1, "kappa": None} and json.loads(row.model_outputs) == {"action": "WAIT"} and row.probability_outputs == "{}"
+    units = spark.createDataFrame([(0.5, "LONG_RESIDUAL"), (0.5, "SHORT_RESIDUAL"), (0.5, "FLAT")], "beta double, side string").select(rs.pair_position(F.col("beta"), F.col("side")).alias("u")).collect()
+    assert [tuple(r.u) for r in units] == [(1.0, -0.5), (-1.0, 0.5), (0.0, 0.0)]
+    state = rs.state_series(rs.trend_residual(prices, 20), "trend", ["ticker"])
+    tail = rs.tail_window(state, 7, ["ticker"]).orderBy("pos").collect()
+    assert len(tail) == 7 and tail[-1].pos == state.count() - 1 == 99
+
+
+def test_monitor_is_gated(spark, prices):
+    from driftwell.plans.monitor import decision_monitor
+
+    r = decision_monitor(prices, window=60, trend_window=20, paths=200).first()
+    assert r.action in {"NO_SIGNAL", "INSUFFICIENT_DATA", "WAIT", "ENTER_LONG", "ENTER_SHORT"} and (r.confidence is None) == (r.invalid_reason is not None)
+    short = decision_monitor(prices.where("pos < 30"), window=60, trend_window=20, paths=50).first()
+    assert short.action == "INSUFFICIENT_DATA" and short.confidence is None
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    from driftwell.plans.catalog import ORACLES, QUERIES
+
+    assert entry.entry(spark).columns == ["ticker", "ts", "baseline", "std", "residual", "zscore", "valid"]
+    assert set(ORACLES) <= set(QUERIES) and set(QUERIES) <= set(entry.queries())
