@@ -115,7 +115,7 @@ class Mix:
         self.scratch = Scratch(self.spark, "mix")
         size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
         self.source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
-        sized = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+        sized = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(text_col).alias("mark"))
         sized = self.scratch.table(sized, "sized")
         found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
         if len(found) > MOST_SOURCES:
@@ -131,10 +131,11 @@ class Mix:
         names = self.spark.createDataFrame(table, "name string, source_no int, source_size long, target double")
         known = sized.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("name"))).drop("name")
 
-        # a document's place among its source's words: sums within salted parts, then over the parts
+        # a document's place among its source's words: sums within salted parts, then over the parts; the place follows
+        # from ids and texts, not from how the table is laid out in files
         parts = max(1, math.isqrt(sum(r["n"] for r in found)))
-        part = F.pmod(F.xxhash64("doc_id", "row"), F.lit(parts))
-        inner = Window.partitionBy("source_no", "part").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
+        part = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(parts))
+        inner = Window.partitionBy("source_no", "part").orderBy("doc_id", "mark", "row").rowsBetween(Window.unboundedPreceding, 0)
         salted = known.withColumn("part", part)
         placed = salted.withColumn("before", F.sum("size").over(inner) - F.col("size"))
         outer = Window.partitionBy("source_no").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
