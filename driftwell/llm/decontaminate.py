@@ -1,6 +1,6 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-Test items are partitioned by size into classes of at most u = 16, 32, 64, ... shingles. For a class, every text is cut
+Test items are partitioned by size into classes of at most u = 1, 2, 4, 8, ... shingles. For a class, every text is cut
 into blocks of u shingles, and each two adjacent blocks are a domain, so a passage of item size lies whole in one
 domain of bounded size however long the text is. A containment of 0.8 is then a Jaccard similarity of at least 0.19
 in that domain, and one equal minhash of ``HASHES`` makes a candidate: at that least similarity it is missed once in
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import U64, free_name, shingle_hashes, word_hashes, words_of
 from .minhash_dedup import multipliers, shingle_set, signatures
 
-HASHES, SEED, LEAST = 64, 0xBE7C, 16
+HASHES, SEED, LEAST = 64, 0xBE7C, 1
 BLOCK_SHINGLES, BLOCK_ITEMS = 1_000_000, 20_000  # bounds of one block of items
 
 
