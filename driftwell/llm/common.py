@@ -80,13 +80,6 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def release(self) -> None:
-        """Lets Spark delete the shuffle files of plans that no one refers to; it does so when the driver collects garbage."""
-        import gc
-
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
         for name in names:
             p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")

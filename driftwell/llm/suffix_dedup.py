@@ -414,8 +414,6 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     texts = long.mapInArrow(_texts, "key long, doc long, text binary").select(F.pmod("key", F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("role"), "key", "doc", "text", *(F.lit(None).cast("binary").alias(c) for c in "abcde"))
     both = dealt(shared.select(*names).union(texts.select(*names)), min(parts, 50_000), "role", "key", "doc")
     cut = scratch.table(both.mapInArrow(_cut(buckets, shards), PACK), "cut")
-    del anchors, shared, texts, both
-    scratch.release()  # the shuffles before this table are as large as the input
     found = dealt(cut.where("role = 0").select("part", *"abcde"), min(shards, 50_000)).mapInArrow(_shard(parts), PACK)
     back = cut.where("role in (1, 2)").select(*names).union(found.select(*names)).select("part", "role", "key", "doc", "text", *"abc")
     ended = dealt(back, min(parts, 50_000), "role", "key").mapInArrow(_finish, "key long, first long, n_removed long, n_spans long, kept_sha256 string")
