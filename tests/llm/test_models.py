@@ -97,6 +97,13 @@ def test_channel_restores_disguised_words():
         assert s.reader.word(seen) == want
 
 
+def test_channel_restores_words_disguised_at_their_end():
+    c = Channel({"idiot": 30, "trash": 30, "ass": 40, "as": 90, "a": 300, "the": 500, "cat": 50, "scoundrel": 30})
+    s = Scorer(c.words, {}, (1.0, 0.0))
+    for seen, want in {"idio+": "idiot", "idio+!": "idiot", "(idio+).": "idiot", "tra$#": "trash", "as$": "ass", "scoundre|": "scoundrel", "the***": "the", "the,!!": "the", "cat!": "cat", "cat$": "cat"}.items():
+        assert s.reader.word(seen) == want
+
+
 def plain(e, trans, first):
     a, like = first * e[0], 0.0
     for t in range(len(e)):
