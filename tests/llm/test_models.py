@@ -13,7 +13,7 @@ from driftwell.llm.chains import forward, forward_backward, longest_first
 from driftwell.llm.hmm_score import score_texts
 from driftwell.llm.langid_crf import identify
 from driftwell.llm.quality_net import accepted, classify
-from driftwell.llm.toxicity_channel import Channel, Scorer, score_toxicity
+from driftwell.llm.toxicity_channel import Channel, Scorer, features, score_toxicity
 
 SYLLABLES = {"aa": ["the", "ing", "on", "er", "and"], "bb": ["que", "ción", "ado", "ez", "la"], "cc": ["ung", "heit", "sch", "ß", "ver"]}
 
@@ -104,6 +104,17 @@ def test_channel_restores_words_disguised_at_their_end():
         assert s.reader.word(seen) == want
 
 
+def test_spaced_runs_are_split_into_words():
+    c = Channel({"idiot": 30, "you": 500, "are": 300, "an": 200, "class": 40, "hit": 30, "shit": 20, "id": 3, "it": 100})
+    assert c.split("y0uare-an1d!ot") == ["you", "are", "an", "idiot"]
+    assert c.split("classhit") == ["class", "hit"]
+    assert c.split("xqzidiotly") == ["xqz", "idiot", "ly"]
+    s = Scorer(c.words, {f: 1.0 for f in features("idiot")}, (1.0, 0.0))
+    for text in ("y o u i d i o t", "y o u a r e a n i d i o t i t i s", "i  d  i  o  t", "i\nd\ni\no\nt", "you id iot.", "you i d iot!"):
+        assert s.total(text)[1] == ["idiot"], text
+    assert s.total("id it you")[1] == []
+
+
 def plain(e, trans, first):
     a, like = first * e[0], 0.0
     for t in range(len(e)):
