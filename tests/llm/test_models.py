@@ -13,7 +13,7 @@ from driftwell.llm.chains import forward, forward_backward, longest_first
 from driftwell.llm.hmm_score import score_texts
 from driftwell.llm.langid_crf import identify
 from driftwell.llm.quality_net import accepted, classify
-from driftwell.llm.toxicity_channel import Channel, Scorer, features, score_toxicity
+from driftwell.llm.toxicity_channel import Channel, Scorer, features, learn, score_toxicity
 
 SYLLABLES = {"aa": ["the", "ing", "on", "er", "and"], "bb": ["que", "ción", "ado", "ez", "la"], "cc": ["ung", "heit", "sch", "ß", "ver"]}
 
@@ -115,6 +115,15 @@ def test_spaced_runs_are_split_into_words():
     assert s.total("id it you")[1] == []
 
 
+def test_toxic_words_that_are_rare_among_toxic_texts_are_learned():
+    r = random.Random(8)
+    texts = [(i % 2, " ".join(r.choice(["lamp", "river", "stone", "cloud", "green", "paper", "seven", "table"]) + word(r, "aa") for _ in range(12))) for i in range(2000)]
+    rare = [(c, t + " vermin" if c and i < 36 else t) for i, (c, t) in enumerate(texts)]  # 18 of 1,000 toxic texts
+    words, weights, line = learn(rare)
+    assert features("vermin")[0] in weights and Scorer(words, weights, line).total("you verm1n")[1] == ["vermin"]
+    assert not set(learn(texts)[1]) & set(features("vermin"))
+
+
 def plain(e, trans, first):
     a, like = first * e[0], 0.0
     for t in range(len(e)):
