@@ -19,10 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, free_name, word_hashes, words_of
-from .sampling import prior_shift, texts_by_class
+from .common import U64, Scratch, fold, free_name, mix64, word_hashes, words_of
+from .sampling import labelled_rows, prior_shift
 
-DIM, SHAPES, REPEATS = 96, 4096, 6
+DIM, SHAPES, REPEATS, ONES = 96, 4096, 6, 8
 MOST_WORDS = 100_000  # of a task's word cache; a full cache is emptied, results do not depend on it
 _UPPER, _LOWER, _DIGIT, _OTHER = (re.compile(p) for p in (rb"[A-Z]+", rb"[a-z\x80-\xff]+", rb"[0-9]+", rb"([^A-Za-z0-9\x80-\xff])\1+"))
 
@@ -35,13 +35,19 @@ def shape(word: bytes) -> bytes:
     return _OTHER.sub(rb"\1", w)
 
 
-def index_vectors(keys: list[bytes], dim: int = DIM, ones: int = 8) -> np.ndarray:
-    """Sparse random signs at places drawn from each key's hash."""
-    out = np.zeros((len(keys), dim), np.float32)
-    for i, key in enumerate(keys):
-        r = np.random.default_rng(xxhash.xxh3_64_intdigest(key))
-        out[i, r.permutation(dim)[:ones]] = r.choice([-1.0, 1.0], ones)
-    return out / np.sqrt(ones)
+def index_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n, ONES) places and signs of 64-bit keys: one random sign in each of ONES runs of dimensions."""
+    h = mix64(keys.astype(U64)[:, None] * U64(0x9E3779B97F4A7C15) + np.arange(1, ONES + 1, dtype=U64))
+    width = DIM // ONES
+    return (np.arange(ONES) * width + (h >> U64(8)).astype(np.int64) % width).astype(np.int64), 1 - 2 * (h & U64(1)).astype(np.int64)
+
+
+def index_vectors(keys: np.ndarray) -> np.ndarray:
+    """The sparse signs as unit vectors."""
+    places, signs = index_places(keys)
+    out = np.zeros((len(keys), DIM), np.float32)
+    np.put_along_axis(out, places, signs.astype(np.float32), axis=1)
+    return out / np.float32(ONES**0.5)
 
 
 class Pool:
@@ -50,7 +56,7 @@ class Pool:
     def __init__(self, vocabulary: np.ndarray, context: np.ndarray):
         self.known = {h: i for i, h in enumerate(vocabulary.tolist())}  # by hash of the lower-case word
         self.n = len(vocabulary)
-        self.table = np.concatenate([context, index_vectors([b"shape %d" % i for i in range(SHAPES)]), index_vectors([b"repeat %d" % i for i in range(REPEATS)])]) if self.n else np.concatenate([index_vectors([b"shape %d" % i for i in range(SHAPES)]), index_vectors([b"repeat %d" % i for i in range(REPEATS)])])
+        self.table = np.concatenate([context, index_vectors(np.arange(SHAPES + REPEATS))])
         self.cache: dict[bytes, tuple[int, int]] = {}
 
     def _places(self, word: bytes) -> tuple[int, int]:
@@ -107,27 +113,79 @@ def _tally(words: list[bytes]) -> dict[bytes, int]:
     return counts
 
 
-def context_vectors(texts: list[bytes], most: int = 20_000, near: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the frequent words of the learning texts, and the normed sums of their neighbours' index vectors."""
-    lists = [word_hashes(words_of(x)) for x in texts]
-    hashes, counts = np.unique(np.concatenate([*lists, np.zeros(0, np.uint64)]), return_counts=True)
-    often = np.flatnonzero(counts > 2)
-    vocabulary = np.sort(hashes[often[np.lexsort((hashes[often], -counts[often]))][:most]])
+def _word_counts(batches):
+    """Hashes and counts of a task's lower-case words."""
+    for batch in batches:
+        h = np.concatenate([np.zeros(0, np.uint64), *(word_hashes(words_of(x.as_py())) for x in batch.column("text"))])
+        keys, n = np.unique(h, return_counts=True)
+        yield pa.record_batch({"word": pa.array(keys.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+
+def _neighbours(shared, near: int):
+    """For each word of the vocabulary that a task's texts hold: the sum of its neighbours' index vectors."""
+
+    def run(batches):
+        vocabulary = shared.value
+        places, signs = index_places(vocabulary)
+        sums = np.zeros(len(vocabulary) * DIM)  # whole numbers, so the order of addition cannot matter
+        for batch in batches:
+            at, left, right = 0, [], []
+            for i, x in enumerate(batch.column("text")):
+                hs = word_hashes(words_of(x.as_py()))
+                where = np.minimum(np.searchsorted(vocabulary, hs), len(vocabulary) - 1)
+                ids = np.where(vocabulary[where] == hs, where, -1)
+                for d in range(1, near + 1):
+                    a, b = ids[:-d], ids[d:]
+                    both = (a >= 0) & (b >= 0)
+                    left += [a[both], b[both]]
+                    right += [b[both], a[both]]
+                at += len(ids)
+                if at > 100_000 or i + 1 == batch.num_rows:
+                    x, y = np.concatenate(left), np.concatenate(right)
+                    for k in range(0, len(x), 500_000):
+                        cell = x[k : k + 500_000, None] * DIM + places[y[k : k + 500_000]]
+                        sums += np.bincount(cell.ravel(), signs[y[k : k + 500_000]].ravel(), len(sums))
+                    at, left, right = 0, [], []
+        sums = sums.reshape(-1, DIM)
+        used = np.flatnonzero(sums.any(axis=1))
+        yield pa.record_batch({"place": pa.array(used.astype(np.int32))} | {f"v{j}": pa.array(sums[used, j].astype(np.int64)) for j in range(DIM)})
+
+    return run
+
+
+def context_vectors(texts: DataFrame, least: int = 3, near: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words that the learning texts hold ``least`` times, and the normed sums of their neighbours' index vectors.
+
+    Counts and sums are made by the executors; the driver gets a row for each such word.
+    """
+    counts = texts.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    vocabulary = np.sort(counts.where(F.col("n") >= least).select("word").toArrow().column("word").to_numpy().view(np.uint64))
     if not len(vocabulary):
         return vocabulary, np.zeros((0, DIM), np.float32)
-    index = index_vectors([h.tobytes() for h in vocabulary])
-    context = index.copy()  # a word is its own neighbour once
-    for hs in lists:
-        at = np.minimum(np.searchsorted(vocabulary, hs), len(vocabulary) - 1)
-        ids = np.where(vocabulary[at] == hs, at, -1)
-        for d in range(1, near + 1):
-            a, b = ids[:-d], ids[d:]
-            both = (a >= 0) & (b >= 0)
-            for x, y in ((a[both], b[both]), (b[both], a[both])):
-                np.add.at(context, x, index[y])
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
+    names = [f"v{j}" for j in range(DIM)]
+    sums = texts.select("text").mapInArrow(_neighbours(shared, near), "place int, " + ", ".join(f"{v} long" for v in names)).groupBy("place").agg(*(F.sum(v).alias(v) for v in names))
+    found = sums.toArrow()
+    shared.destroy()
+    context = index_vectors(vocabulary) * np.float32(ONES**0.5)  # a word is its own neighbour once
+    place = found.column("place").to_numpy()
+    for j, v in enumerate(names):
+        context[place, j] += found.column(v).to_numpy()
     return vocabulary, context / np.maximum(1e-6, np.linalg.norm(context, axis=1, keepdims=True))
 
 
+def _pooled(shared):
+    def run(batches):
+        pool = Pool(*shared.value)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                x = pool.pool([t.as_py() for t in part.column("text")])
+                yield pa.record_batch({"class": part.column("class"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
+
+    return run
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -170,8 +228,9 @@ class Net:
         return sigmoid(self.logit(x) / self.temperature + shift)
 
 
-def _scores(batches, model, constant: float, text: str):
+def _scores(batches, shared, constant: float, text: str):
     """(batch, scores) of pieces of the batches."""
+    model = shared.value if shared else None
     pool = Pool(model[0], model[1]) if model else None
     for batch in batches:
         at = 0
@@ -201,25 +260,39 @@ def _accept(fitted, cut: float, text: str):
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out_fold: int = 0, per_class: int = 2000) -> tuple:
-    """(model or None, the score without a model), from a bounded sample outside the held-out fold."""
+    """(model as a broadcast, or None; the score without a model), from a bounded sample outside the held-out fold.
+
+    Words are counted and texts pooled by the executors, over a scratch table of the sample; the driver fits the net
+    on one vector of 3 * DIM numbers a text.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "quality")
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("class")).where("class in (0, 1)").where(fold("doc_id", folds) != out_fold).distinct()
-    samples = texts_by_class(marks, per_class, 2, d)
-    y = np.array([c for c, _ in samples], float)
+    sample = labelled_rows(d, marks, per_class, scratch, "sample")
+    vocabulary, context = context_vectors(sample)
+    shared = spark.sparkContext.broadcast((vocabulary, context))
+    rows = sample.mapInArrow(_pooled(shared), "class int, x binary").toArrow()
+    shared.destroy()
+    scratch.close()
+    rows = rows.sort_by([("class", "ascending"), ("x", "ascending")])  # any layout gives one order
+    y = rows.column("class").to_numpy().astype(float)
     if len(set(y)) < 2:
         return None, float(y.mean()) if len(y) else 0.5
-    texts = [t or b"" for _, t in samples]
-    vocabulary, context = context_vectors(texts)
-    return (vocabulary, context, Net(Pool(vocabulary, context).pool(texts), y), prior_shift(marks, [int(c) for c in y])), 0.5
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(len(y), 3 * DIM)
+    del rows
+    return spark.sparkContext.broadcast((vocabulary, context, Net(x, y), prior_shift(marks, y.astype(int).tolist()))), 0.5
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out_fold: int = 0, cut: float = 0.3, per_class: int = 2000) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= cut).
 
-    Fitted on at most ``per_class`` labelled texts of each class, by the lowest hash of the id, outside the held-out
-    fold; then every whole text is scored. Null and empty texts are a document without tokens and get that document's
-    score. With labels of one class only, or none, the score is that class, or one half. Null labels are not used; an
-    id with several labels is learned with each. Repeated and null ids keep their rows; other columns are ignored.
+    Fitted on at most ``per_class`` labelled texts of each class, by the lowest hash of id and text, outside the
+    held-out fold; then every whole text is scored. Null and empty texts are a document without tokens and get that
+    document's score. With labels of one class only, or none, the score is that class, or one half; an empty table
+    gives an empty result. Null labels are not used; an id with several labels is learned with each. A text that
+    stands under several ids is a learning row under each of them, equal rows are one. Repeated and null ids keep
+    their rows; other columns are ignored.
     """
     fitted = fit(docs, labels, label_col=label_col, id_col=id_col, text_col=text_col, folds=folds, out_fold=out_fold, per_class=per_class)
     d = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col, folds) == out_fold).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
