@@ -101,26 +101,27 @@ class Scratch:
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of equal keys in a sorted stream of batches; a run may span batches."""
-    rest: pa.Table | None = None
+    held: list[pa.Table] = []
+    last: tuple = ()
     for b in batches:
         if not b.num_rows:
             continue
         t = pa.Table.from_batches([b])
-        t = pa.concat_tables([rest, t]) if rest is not None else t
+        values = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        if held and tuple(v[0] for v in values) != last:
+            yield pa.concat_tables(held)
+            held = []
         change = np.zeros(t.num_rows - 1, bool)
-        for k in keys:
-            v = t.column(k).to_numpy()
+        for v in values:
             change |= v[1:] != v[:-1]
-        cuts = np.flatnonzero(change) + 1
         start = 0
-        if len(cuts):
-            t = t.combine_chunks()
-        for c in cuts:
-            yield t.slice(start, c - start)
-            start = int(c)
-        rest = t.slice(start)
-    if rest is not None and rest.num_rows:
-        yield rest
+        for c in (np.flatnonzero(change) + 1).tolist():
+            yield pa.concat_tables([*held, t.slice(start, c - start)])
+            held, start = [], c
+        held.append(t.slice(start))
+        last = tuple(v[-1] for v in values)
+    if held:
+        yield pa.concat_tables(held)
 
 
 def binary_rows(column) -> list[bytes]:

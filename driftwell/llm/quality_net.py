@@ -19,10 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, fold, free_name, mix64, word_hashes, words_of
+from .common import U64, Scratch, fold, free_name, groups, mix64, word_hashes, words_of
 from .sampling import labelled_rows, prior_shift
 
 DIM, SHAPES, REPEATS, ONES = 96, 4096, 6, 8
+PART = 2_000 * DIM  # of the words' sums, in a message
 MOST_WORDS = 100_000  # of a task's word cache; a full cache is emptied, results do not depend on it
 _UPPER, _LOWER, _DIGIT, _OTHER = (re.compile(p) for p in (rb"[A-Z]+", rb"[a-z\x80-\xff]+", rb"[0-9]+", rb"([^A-Za-z0-9\x80-\xff])\1+"))
 
@@ -127,7 +128,7 @@ def _neighbours(shared, near: int):
     def run(batches):
         vocabulary = shared.value
         places, signs = index_places(vocabulary)
-        sums = np.zeros(len(vocabulary) * DIM)  # whole numbers, so the order of addition cannot matter
+        sums = np.zeros(len(vocabulary) * DIM, np.int32)  # whole numbers, so the order of addition cannot matter
         for batch in batches:
             at, left, right = 0, [], []
             for i, x in enumerate(batch.column("text")):
@@ -140,37 +141,41 @@ def _neighbours(shared, near: int):
                     left += [a[both], b[both]]
                     right += [b[both], a[both]]
                 at += len(ids)
-                if at > 100_000 or i + 1 == batch.num_rows:
+                if at > 50_000 or i + 1 == batch.num_rows:
                     x, y = np.concatenate(left), np.concatenate(right)
-                    for k in range(0, len(x), 500_000):
-                        cell = x[k : k + 500_000, None] * DIM + places[y[k : k + 500_000]]
-                        sums += np.bincount(cell.ravel(), signs[y[k : k + 500_000]].ravel(), len(sums))
+                    for k in range(0, len(x), 100_000):
+                        cell = x[k : k + 100_000, None] * DIM + places[y[k : k + 100_000]]
+                        np.add.at(sums, cell.ravel(), signs[y[k : k + 100_000]].ravel().astype(np.int32))
                     at, left, right = 0, [], []
-        sums = sums.reshape(-1, DIM)
-        used = np.flatnonzero(sums.any(axis=1))
-        yield pa.record_batch({"place": pa.array(used.astype(np.int32))} | {f"v{j}": pa.array(sums[used, j].astype(np.int64)) for j in range(DIM)})
+        for start in range(0, len(sums), PART):
+            yield pa.record_batch({"start": pa.array([start], pa.int64()), "sums": pa.array([sums[start : start + PART].tobytes()], pa.binary())})
 
     return run
 
 
-def context_vectors(texts: DataFrame, least: int = 3, near: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words that the learning texts hold ``least`` times, and the normed sums of their neighbours' index vectors.
+def _added(batches):
+    """The sums of the tasks' parts."""
+    for t in groups(batches, ["start"]):
+        total = sum(np.frombuffer(x.as_buffer(), np.int32).astype(np.int64) for x in t.column("sums"))
+        yield pa.record_batch({"start": t.column("start").slice(0, 1).combine_chunks(), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    Counts and sums are made by the executors; the driver gets a row for each such word.
+
+def context_vectors(texts: DataFrame, most: int, least: int = 3, near: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``most`` frequent words that the learning texts hold ``least`` times, and the normed sums of their neighbours' index vectors.
+
+    Counts and sums are made by the executors; the driver gets a count for each word and a vector for each taken.
     """
-    counts = texts.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    vocabulary = np.sort(counts.where(F.col("n") >= least).select("word").toArrow().column("word").to_numpy().view(np.uint64))
+    counts = texts.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+    words, n = counts.column("word").to_numpy().view(U64), counts.column("n").to_numpy()
+    vocabulary = np.sort(words[np.lexsort((words, -n))][:most])
     if not len(vocabulary):
         return vocabulary, np.zeros((0, DIM), np.float32)
     shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
-    names = [f"v{j}" for j in range(DIM)]
-    sums = texts.select("text").mapInArrow(_neighbours(shared, near), "place int, " + ", ".join(f"{v} long" for v in names)).groupBy("place").agg(*(F.sum(v).alias(v) for v in names))
-    found = sums.toArrow()
+    parts = texts.select("text").mapInArrow(_neighbours(shared, near), "start long, sums binary").repartition("start").sortWithinPartitions("start").mapInArrow(_added, "start long, sums binary")
+    found = parts.toArrow().sort_by("start")
     shared.destroy()
-    context = index_vectors(vocabulary) * np.float32(ONES**0.5)  # a word is its own neighbour once
-    place = found.column("place").to_numpy()
-    for j, v in enumerate(names):
-        context[place, j] += found.column(v).to_numpy()
+    sums = np.frombuffer(b"".join(found.column("sums").to_pylist()), np.float32).reshape(-1, DIM)
+    context = index_vectors(vocabulary) * np.float32(ONES**0.5) + sums  # a word is its own neighbour once
     return vocabulary, context / np.maximum(1e-6, np.linalg.norm(context, axis=1, keepdims=True))
 
 
@@ -259,7 +264,7 @@ def _accept(fitted, cut: float, text: str):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out_fold: int = 0, per_class: int = 2000) -> tuple:
+def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out_fold: int = 0, per_class: int = 2000, most_words: int = 20_000) -> tuple:
     """(model as a broadcast, or None; the score without a model), from a bounded sample outside the held-out fold.
 
     Words are counted and texts pooled by the executors, over a scratch table of the sample; the driver fits the net
@@ -270,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_co
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("class")).where("class in (0, 1)").where(fold("doc_id", folds) != out_fold).distinct()
     sample = labelled_rows(d, marks, per_class, scratch, "sample")
-    vocabulary, context = context_vectors(sample)
+    vocabulary, context = context_vectors(sample, most_words)
     shared = spark.sparkContext.broadcast((vocabulary, context))
     rows = sample.mapInArrow(_pooled(shared), "class int, x binary").toArrow()
     shared.destroy()
@@ -284,17 +289,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_co
     return spark.sparkContext.broadcast((vocabulary, context, Net(x, y), prior_shift(marks, y.astype(int).tolist()))), 0.5
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out_fold: int = 0, cut: float = 0.3, per_class: int = 2000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out_fold: int = 0, cut: float = 0.3, per_class: int = 2000, most_words: int = 20_000) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= cut).
 
     Fitted on at most ``per_class`` labelled texts of each class, by the lowest hash of id and text, outside the
-    held-out fold; then every whole text is scored. Null and empty texts are a document without tokens and get that
+    held-out fold; of their words, the ``most_words`` most frequent have context vectors, all others count by their
+    shape. Then every whole text is scored. Null and empty texts are a document without tokens and get that
     document's score. With labels of one class only, or none, the score is that class, or one half; an empty table
     gives an empty result. Null labels are not used; an id with several labels is learned with each. A text that
     stands under several ids is a learning row under each of them, equal rows are one. Repeated and null ids keep
     their rows; other columns are ignored.
     """
-    fitted = fit(docs, labels, label_col=label_col, id_col=id_col, text_col=text_col, folds=folds, out_fold=out_fold, per_class=per_class)
+    fitted = fit(docs, labels, label_col=label_col, id_col=id_col, text_col=text_col, folds=folds, out_fold=out_fold, per_class=per_class, most_words=most_words)
     d = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col, folds) == out_fold).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
     return d.mapInArrow(_predict(fitted, cut), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from math import log
 
 from pyspark.sql import DataFrame
@@ -52,28 +51,6 @@ def labelled_rows(docs: DataFrame, marks: DataFrame, per_class: int, scratch: Sc
     return learning_rows(rows, per_class, scratch, name, "doc_id")
 
 
-def texts_by_class(marks: DataFrame, per_class: int, classes: int, texts: DataFrame | None = None) -> list[tuple]:
-    """(class, text) of at most ``per_class`` rows of each of the ``classes`` most frequent non-null classes.
-
-    marks: doc_id, class; texts: doc_id, text (the marks themselves if they hold the text). Rows are taken by the
-    lowest hash of the id; only ids and classes are read to choose them, and the texts of the chosen ids are then
-    fetched by a join with that list, which per_class * classes bounds. Ids without a text give no row.
-    """
-    spark = marks.sparkSession
-    texts = (marks if texts is None else texts).select("doc_id", "text")
-    known = marks.select("doc_id", "class").where("class is not null and doc_id is not null").distinct()
-    found = [r["class"] for r in known.groupBy("class").count().orderBy(F.desc("count"), "class").limit(classes).collect()]
-    if not found:
-        return []
-    parts = [known.where(F.col("class") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for x in found]
-    chosen: dict = {}
-    for r in reduce(DataFrame.union, parts).collect():
-        chosen.setdefault(r["doc_id"], []).append(r["class"])
-    ids = spark.createDataFrame([(x,) for x in sorted(chosen)], f"doc_id {marks.schema['doc_id'].dataType.simpleString()}")
-    rows = texts.join(F.broadcast(ids), "doc_id").orderBy("doc_id", F.xxhash64("text")).limit(2 * per_class * len(found)).collect()
-    return [(c, bytes(r["text"]) if r["text"] is not None else None) for r in rows for c in chosen[r["doc_id"]]]
-
-
 def prior_shift(marks: DataFrame, used: list[int]) -> float:
     """What a logit fitted on a sample with the 0/1 classes ``used`` lacks to the shares of all marks (doc_id, class)."""
     n = {r["class"]: r["count"] for r in marks.groupBy("class").count().collect()}
