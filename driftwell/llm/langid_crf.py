@@ -8,8 +8,6 @@ over many texts at once, longest first, so that step t works on all texts that h
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,16 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chains import forward_backward, longest_first
-from .common import U64, fold, mix64, words_of
-from .sampling import texts_by_class
+from .common import U64, Scratch, fold, mix64, word_hashes, words_of
+from .sampling import learning_rows
 
 BUCKETS = 1 << 15
-LETTER = re.compile(r"[^\W\d_]")
 MOST_WORDS = 200_000  # of a task's word cache; a full cache is emptied, results do not depend on it
 
 
 def has_letter(word: bytes) -> bool:
-    return LETTER.search(word.decode("utf-8", "replace")) is not None
+    """Whether a word has a character of Unicode category L."""
+    text = word.decode("utf-8", "replace")
+    return text.isalpha() or any(map(str.isalpha, text))
 
 
 def features(words: list[bytes], lexicon: set[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,66 +57,95 @@ def scaled(scores: np.ndarray) -> np.ndarray:
     return np.exp(np.clip(scores - scores.max(axis=1, keepdims=True), -30, 0))
 
 
-def train(samples: list[tuple[str, bytes]], *, window: int = 150, length: int = 40, steps: int = 60, seed: int = 7) -> dict:
-    """Weights, transitions, labels and lexicon from (language, text) samples; Adam on the exact log-likelihood."""
+def _coded(batches):
+    """Learning texts as the hashes of their words with letters."""
+    for batch in batches:
+        lists = [word_hashes([w for w in words_of(x.as_py()) if has_letter(w)]) for x in batch.column("text")]
+        yield pa.record_batch({"class": batch.column("class"), "words": pa.array([h.tobytes() for h in lists], pa.binary())})
+
+
+def _vocabulary(batches):
+    """Words with letters and their counts."""
+    for batch in batches:
+        counts: dict[bytes, int] = {}
+        for x in batch.column("text"):
+            for w in words_of(x.as_py()):
+                counts[w] = counts.get(w, 0) + 1
+        counts = {w: n for w, n in counts.items() if has_letter(w)}
+        yield pa.record_batch({"word": pa.array(counts, pa.binary()), "n": pa.array(counts.values(), pa.int64())})
+
+
+def train(samples: list[tuple[str, np.ndarray]], vocab: list[bytes], often: list[int], *, length: int = 40, batch: int = 12_000, steps: int = 120, seed: int = 7) -> dict:
+    """Weights, transitions, labels and lexicon from samples (language, hashes of a text's words) and their words with counts.
+
+    Adam on the exact log-likelihood. Every word of every sample is learned from: texts are cut into pieces of 8 to
+    ``length`` words, one to three pieces of any languages form a sequence, and each step takes the next sequences of
+    about ``batch`` words, in an order drawn anew for each pass. There are ``steps`` steps, or as many as one pass
+    over all sequences needs. The lexicon is the words that the samples hold twice.
+    """
     rng = np.random.default_rng(seed)
     labels = sorted({x for x, _ in samples})
-    if not labels:
-        return {"labels": []}
     number = {x: i for i, x in enumerate(labels)}
-    pieces, counts = [], {}
-    for lang, text in samples:
-        words = [w for w in words_of(text) if has_letter(w)]
-        at = int(rng.integers(0, max(1, len(words) - window + 1)))  # a random window, not a prefix
-        words = words[at : at + window]
-        for w in words:
-            counts[w] = counts.get(w, 0) + 1
-        while words:
-            n = int(rng.integers(8, length))
-            pieces.append((number[lang], words[:n]))
-            words = words[n:]
-    if not pieces:
+    if not sum(len(h) for _, h in samples):
         return {"labels": []}
-    order = rng.permutation(len(pieces))
-    pieces = [pieces[i] for i in order]  # pieces of different languages meet in one sequence
-    sequences, flat, gold = [], [], []
-    at = 0
-    while at < len(pieces):
-        n = 0
-        for lang, words in pieces[at : at + int(rng.integers(1, 4))]:
-            flat += words
-            gold += [lang] * len(words)
-            n += len(words)
-            at += 1
-        sequences.append(n)
-    lexicon = {xxhash.xxh3_64_intdigest(w) for w, c in counts.items() if c > 1}
-    vocab = sorted(set(flat))
-    place = {w: i for i, w in enumerate(vocab)}
-    word = np.fromiter((place[w] for w in flat), np.int64, len(flat))
-    gold = np.array(gold)
+    names = word_hashes(vocab)
+    by = np.argsort(names)
+    lexicon = {int(h) for h, n in zip(names, often, strict=True) if n > 1}
     ids, start = features(vocab, lexicon)
-    owner = np.repeat(np.arange(len(vocab)), np.diff([*start, len(ids)]))
-    sizes = np.array(sequences)
-    starts = np.cumsum(sizes) - sizes
-    by = longest_first(sizes)
+    end = np.append(start[1:], len(ids))
+    parts, owners, cuts = [], [], []
+    for lang, h in samples:
+        at = 0
+        while at < len(h):
+            cuts.append((at, min(len(h), at + int(rng.integers(8, length)))))
+            parts.append(h[cuts[-1][0] : cuts[-1][1]])
+            owners.append(number[lang])
+            at = cuts[-1][1]
+    order = rng.permutation(len(parts))  # pieces of different languages meet in one sequence
+    sizes = np.array([len(parts[i]) for i in order])
+    word = by[np.searchsorted(names[by], np.concatenate([parts[i] for i in order]))].astype(np.int32)
+    gold = np.repeat(np.array(owners, np.int32)[order], sizes)
+    del parts, cuts
+    joins, at = [0], 0  # sequences, by their first piece
+    while at < len(sizes):
+        at += int(rng.integers(1, 4))
+        joins.append(min(at, len(sizes)))
+    offsets = np.concatenate([[0], np.cumsum(sizes)])[joins]
     L = len(labels)
-    first = np.ones(len(flat), bool)
-    first[starts] = False
-    pairs = np.zeros((L, L))
-    np.add.at(pairs, (gold[:-1][first[1:]], gold[1:][first[1:]]), 1)
-    held = np.zeros((len(vocab), L))
-    np.add.at(held, (word, gold), 1)
     params = [np.zeros((BUCKETS, L)), np.zeros((L, L))]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    steps = max(steps, -(-int(offsets[-1]) // batch))
+    turn: list[int] = []
     for step in range(1, steps + 1):
-        emit = np.add.reduceat(params[0][ids], start, axis=0)
-        gamma, expected, _ = forward_backward(scaled(emit)[word], starts[by], sizes[by], np.exp(params[1]), np.full(L, 1 / L))
-        miss = np.stack([held[:, j] - np.bincount(word, gamma[:, j], len(vocab)) for j in range(L)], axis=1)
-        grads = [np.stack([np.bincount(ids, miss[owner, j], BUCKETS) for j in range(L)], axis=1), pairs - expected]
-        for i, g in enumerate(grads):
-            g = g / len(flat) - 1e-6 * params[i]
-            m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.99 * v[i] + 0.01 * g * g
-            params[i] = params[i] + 0.1 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
+        take, n = [], 0
+        turn = turn or rng.permutation(len(offsets) - 1).tolist()
+        while turn and n < batch:
+            take.append(turn.pop())
+            n += int(offsets[take[-1] + 1] - offsets[take[-1]])
+        size = np.array([offsets[q + 1] - offsets[q] for q in take])
+        place_of = np.concatenate([np.arange(offsets[q], offsets[q + 1]) for q in take])
+        own, w = np.unique(word[place_of], return_inverse=True)  # the batch's words, and their places among them
+        g = gold[place_of]
+        width = end[own] - start[own]
+        head = np.cumsum(width) - width
+        flat = ids[np.repeat(start[own] - head, width) + np.arange(int(width.sum()))]
+        owner = np.repeat(np.arange(len(own)), width)
+        first = np.cumsum(size) - size
+        begins = np.zeros(len(w), bool)
+        begins[first] = True
+        by = longest_first(size)
+        pairs = np.zeros((L, L))
+        np.add.at(pairs, (g[:-1][~begins[1:]], g[1:][~begins[1:]]), 1)
+        emit = np.add.reduceat(params[0][flat], head, axis=0)
+        gamma, expected, _ = forward_backward(scaled(emit)[w], first[by], size[by], np.exp(params[1]), np.full(L, 1 / L))
+        gamma[np.arange(len(g)), g] -= 1
+        miss = -np.stack([np.bincount(w, gamma[:, j], len(own)) for j in range(L)], axis=1)
+        grads = [np.stack([np.bincount(flat, miss[owner, j], BUCKETS) for j in range(L)], axis=1), pairs - expected]
+        rate = 0.1 * min(1.0, 2 * (1 - step / (steps + 1)))
+        for i, d in enumerate(grads):
+            d = d / len(w) - 1e-6 * params[i]
+            m[i], v[i] = 0.9 * m[i] + 0.1 * d, 0.99 * v[i] + 0.01 * d * d
+            params[i] = params[i] + rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
     return {"labels": labels, "weights": params[0].astype(np.float32), "trans": np.exp(params[1]).astype(np.float32), "lexicon": lexicon}
 
 
@@ -177,9 +205,9 @@ class Labeller:
         return out
 
 
-def _predict(model: dict, tokens: int = 1_500_000):
+def _predict(shared, tokens: int = 1_500_000):
     def run(batches):
-        labeller = Labeller(model)
+        labeller = Labeller(shared.value)
         for batch in batches:
             at = 0
             while at < batch.num_rows:
@@ -203,15 +231,23 @@ def _predict(model: dict, tokens: int = 1_500_000):
     return run
 
 
-def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, out_fold: int = 2, per_language: int = 500, languages: int = 200) -> DataFrame:
+def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, out_fold: int = 2, per_language: int = 250) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, n_words (with letters), n_switches.
 
-    The model is fitted on at most ``per_language`` texts of each of the ``languages`` most frequent non-null values
-    of lang, taken by the lowest hash of the id, outside the held-out fold; it then labels every whole text. A null
-    text or one without a letter is ``und`` with score 0; so is everything if there is nothing to learn from. Ties
-    go to the first language in order. Repeated and null ids keep their rows; other columns are ignored.
+    The model is fitted on at most ``per_language`` whole texts of every non-null value of lang, taken by the lowest
+    hash of id and text, outside the held-out fold; it then labels every whole text. A null text or one without a
+    letter (Unicode category L) is ``und`` with score 0; so is everything if there is nothing to learn from. Ties go to
+    the first language in order. Of repeated ids each row is learned with its own lang, of equal rows one. Repeated and
+    null ids keep their rows; other columns are ignored; an empty table gives an empty result.
     """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "language")
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     d = d.withColumn("held_out", fold("doc_id", folds) == out_fold)
-    model = train(texts_by_class(d.where("not held_out and text is not null").select("doc_id", "text", F.col("lang").alias("class")), per_language, languages))
-    return d.select("doc_id", "held_out", "text").mapInArrow(_predict(model), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, n_words long, n_switches long")
+    rows = learning_rows(d.where("not held_out and text is not null").select("doc_id", "text", F.col("lang").alias("class")), per_language, scratch, "sample", "doc_id")
+    coded = rows.mapInArrow(_coded, "class string, words binary").toArrow().sort_by([("class", "ascending"), ("words", "ascending")])  # any layout gives one order
+    vocab = rows.mapInArrow(_vocabulary, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow().sort_by("word")
+    scratch.close()
+    samples = [(c, np.frombuffer(h, U64)) for c, h in zip(coded.column("class").to_pylist(), coded.column("words").to_pylist(), strict=True)]
+    shared = spark.sparkContext.broadcast(train(samples, vocab.column("word").to_pylist(), vocab.column("n").to_pylist()))
+    return d.select("doc_id", "held_out", "text").mapInArrow(_predict(shared), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, n_words long, n_switches long")
