@@ -3,17 +3,19 @@
 import collections
 import math
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from driftwell.llm.common import Scratch
 from driftwell.llm.chains import forward, forward_backward, longest_first
 from driftwell.llm.hmm_score import score_texts
 from driftwell.llm.langid_crf import identify
 from driftwell.llm.quality_net import accepted, classify
-from driftwell.llm.toxicity_channel import Channel, Scorer, features, learn, score_toxicity
+from driftwell.llm.toxicity_channel import Channel, Scorer, features, learn, score_toxicity, trimmed
 
 SYLLABLES = {"aa": ["the", "ing", "on", "er", "and"], "bb": ["que", "ción", "ado", "ez", "la"], "cc": ["ung", "heit", "sch", "ß", "ver"]}
 
@@ -115,13 +117,67 @@ def test_spaced_runs_are_split_into_words():
     assert s.total("id it you")[1] == []
 
 
-def test_toxic_words_that_are_rare_among_toxic_texts_are_learned():
+def learnt(spark, texts):
+    scratch = Scratch(spark, "test")
+    rows = spark.createDataFrame([(c, t.encode()) for c, t in texts], "class int, text binary")
+    return learn(rows, scratch)
+
+
+def test_toxic_words_that_are_rare_among_toxic_texts_are_learned(spark):
     r = random.Random(8)
     texts = [(i % 2, " ".join(r.choice(["lamp", "river", "stone", "cloud", "green", "paper", "seven", "table"]) + word(r, "aa") for _ in range(12))) for i in range(2000)]
     rare = [(c, t + " vermin" if c and i < 36 else t) for i, (c, t) in enumerate(texts)]  # 18 of 1,000 toxic texts
-    words, weights, line = learn(rare)
+    words, weights, line, classes = learnt(spark, rare)
+    assert sum(classes) == 1000 and len(classes) == 2000
     assert features("vermin")[0] in weights and Scorer(words, weights, line).total("you verm1n")[1] == ["vermin"]
-    assert not set(learn(texts)[1]) & set(features("vermin"))
+    assert not set(learnt(spark, texts)[1]) & set(features("vermin"))
+    assert learnt(spark, [(1, "a b c d")]) is None
+
+
+def test_near_copies_are_learned_from_once_and_like_beginnings_do_not_matter(spark):
+    r = random.Random(9)
+    base = [word(r, "aa") for _ in range(60)]
+    copies = [(1, " ".join([*base, f"w{i}"])) for i in range(20)]
+    halves = [(1, " ".join(base[:15] + [word(r, "cc") for _ in range(60)])) for _ in range(20)]  # share shingles, not near
+    got = learnt(spark, copies + halves + [(0, "the only clean one")])
+    assert 21 <= sum(got[3]) <= 23  # a copy whose own shingle is its smallest is not met
+
+
+def brute(c, token):
+    """Every reading of a token, letter by letter."""
+    paths, last, run = [("", 0.0, 0.0)], "", 0
+    for x in token:
+        run = run + 1 if x == last else 1
+        last = x
+        paths = [(t + y, s + k + (c.step(("^^" + t)[-2:], y) if y else 0), k0 + k) for t, s, k0 in paths for y, k in c.options(x, run)]
+    scores = {}
+    for t, s, k in paths:
+        own = max(s + c.step(("^^" + t)[-2:], "$"), k + math.log(c.words[t] / c.total) if t in c.words else -1e300)
+        scores[t or token] = max(own, scores.get(t or token, -1e300))
+    return scores
+
+
+def test_decoding_is_exact():
+    c = Channel({"rotten": 30, "scoundrel": 30, "the": 500, "cat": 50, "tore": 10, "note": 12, "idiot": 20, "ass": 9, "as": 100})
+    r = random.Random(3)
+    for _ in range(200):
+        token = "".join(r.choices("abcrotensh013@$!.*+", k=r.randint(1, 7)))
+        scores = brute(c, token)
+        assert scores[c.restore(token)] == pytest.approx(max(scores.values()), abs=1e-9), token
+
+
+def test_long_tokens_take_time_in_proportion():
+    words = {"rotten": 30, "the": 500, "idiot": 20}
+    s = Scorer(words, {f: 1.0 for f in features("idiot")}, (1.0, 0.0))
+    r = random.Random(1)
+    tokens = ["chapter" + "." * 10_000 + "7", "a" + "." * 10_000 + "b", "!" * 10_000 + "a", "a*" * 5_000, "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=100_000)), "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))]
+    s.total("warm up")
+    for token in tokens:
+        began = time.process_time()
+        assert s.total(token)[1] == []
+        assert time.process_time() - began < 10, token[:20]
+    assert s.total(" ".join("idiot" * 2000))[1] == ["idiot"]
+    assert [trimmed(x) for x in ("the!!", "(idio+).", "a$$", "a$", "...", "x...7", "b!$!")] == ["the", "(idio+", "a", "a$", "", "x...7", "b!$"]
 
 
 def plain(e, trans, first):
