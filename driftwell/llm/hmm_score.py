@@ -1,24 +1,32 @@
 """Hidden Markov language model: Baum-Welch over the whole corpus, exact likelihood by the scaled forward recursion.
 
-The ``symbols`` most frequent learning words have emissions of their own in every state (a bounded table, fetched as
-a top-k report); all other words share one symbol, within which a word has its share of the corpus counts. Those
-counts are met by a join on the word, so the vocabulary may outgrow any machine. Each round of Baum-Welch reads the
-encoded corpus, adds up expected counts within partitions, and sums them by symbol across partitions. For learning,
-long texts are cut into runs of ``run`` words; scores always follow the whole text.
+Every learning word has emissions of its own, whatever the size of the vocabulary. Those of the ``symbols`` most
+frequent words are a bounded table that every executor holds; all rounds of Baum-Welch refine it, together with the
+transitions and one shared symbol for all other words. The last round also adds up, for each of the other words, how
+often each state is expected to have emitted it; words with ``least`` uses keep those counts of their own, leaning on
+the corpus shares, and rarer and unseen ones share what is left. These emissions stay a table keyed by word. Texts
+are encoded in blocks; a block's distinct words meet that table in a join, and the block is scored with what comes back.
+
+Each round reads the encoded corpus, adds up expected counts within partitions, and sums them across partitions. For
+learning, long texts are cut into runs of ``run`` words; scores always follow the whole text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chains import forward, forward_backward, longest_first
-from .common import U64, Scratch, fold, word_hashes, words_of
+from .chains import backward_steps, by_step, forward, forward_steps, longest_first
+from .common import U64, Scratch, fold, groups, word_hashes, words_of
+from .sampling import share_of
 
 END = b"\n"  # no word holds a line feed
 PIECE = 6_000_000  # bytes of text, or half as many symbols, worked on at once
+BLOCK = 2_000_000  # bytes of text whose words are looked up together
 
 
 def _pieces(batch, column: str, most: int):
@@ -53,13 +61,18 @@ def _count(batches):
         yield rows()
 
 
-def _encode(keys: np.ndarray, logs: np.ndarray, end_log: float):
-    """keys: sorted hashes of the frequent words; logs: their base log10 probabilities."""
+CODED = "block long, role int, doc_id {kind}, held_out boolean, ids binary, rare binary"
+
+
+def _encode(keys: np.ndarray):
+    """Blocks of texts as symbols; keys: sorted hashes of the frequent words. Role 1 is a text: its symbols, and the
+    hashes of its other words in order. Role 0 are a block's distinct other words."""
     other = len(keys)
 
     def run(batches):
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for start, texts in _pieces(batch, "text", PIECE):
+            for start, texts in _pieces(batch, "text", BLOCK):
                 split = [words_of(x) for x in texts]
                 size = np.array([len(w) for w in split])
                 h = word_hashes([w for words in split for w in words])
@@ -67,25 +80,36 @@ def _encode(keys: np.ndarray, logs: np.ndarray, end_log: float):
                 hit = keys[at] == h if other else np.zeros(len(h), bool)
                 ids = np.where(hit, at, other).astype(np.uint16)
                 offsets = np.concatenate([[0], np.cumsum(size)])
-                base = np.bincount(np.repeat(np.arange(len(size)), size), np.where(hit, logs[at], 0) if other else np.zeros(len(h)), len(size)) + end_log
-                rare_n = np.bincount(np.repeat(np.arange(len(size)), size), ~hit, len(size)).astype(np.int32)
-                n = len(texts)
+                missing = np.concatenate([[0], np.cumsum(~hit)])[offsets]
+                rare, n = h[~hit], len(texts)
+                doc = batch.column("doc_id").slice(start, n)
                 yield pa.record_batch(
                     {
-                        "row": batch.column("row").slice(start, n),
-                        "doc_id": batch.column("doc_id").slice(start, n),
-                        "held_out": batch.column("held_out").slice(start, n),
-                        "n_tokens": pa.array(size + 1, pa.int64()),
-                        "n_rare": pa.array(rare_n.astype(np.int64)),
-                        "base": pa.array(base),
-                        "ids": pa.array([ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary()),
-                        "rare": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rare_n)]).astype(np.int32)), pa.array(h[~hit].view(np.int64))),
+                        "block": pa.array(np.full(n + 1, block)),
+                        "role": pa.array(np.append(0, np.ones(n, int)).astype(np.int32)),
+                        "doc_id": pa.concat_arrays([pa.nulls(1, doc.type), doc]),
+                        "held_out": pa.concat_arrays([pa.nulls(1, pa.bool_()), batch.column("held_out").slice(start, n)]),
+                        "ids": pa.array([None, *(ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True))], pa.binary()),
+                        "rare": pa.array([np.unique(rare).tobytes(), *(rare[a:b].tobytes() for a, b in zip(missing[:-1], missing[1:], strict=True))], pa.binary()),
                     }
                 )
+                block += 1
 
     return run
 
 
+def _hashes(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int64)
+
+
+def _wanted(batches):
+    """(block, word) of the blocks' distinct other words."""
+    for batch in batches:
+        for i, block in enumerate(batch.column("block").to_pylist()):
+            h = _hashes(batch.column("rare").slice(i, 1))
+            yield pa.record_batch({"block": pa.array(np.full(len(h), block)), "word": pa.array(h)})
+
+
 def _symbols(blobs: list[bytes], end: int, cut: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols with ends, and starts, sizes and first marks of the sequences, longest first; cut: most in a sequence."""
     lists = [np.append(np.frombuffer(b, np.uint16), np.uint16(end)) for b in blobs]
@@ -97,16 +121,25 @@ def _symbols(blobs: list[bytes], end: int, cut: int | None) -> tuple[np.ndarray,
         part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         start, size, first = np.repeat(start, n) + part * cut, np.minimum(cut, np.repeat(size, n) - part * cut), part == 0
     by = longest_first(size)
-    return np.concatenate(lists).astype(np.int64), start[by], size[by], first[by]
+    return np.concatenate(lists), start[by], size[by], first[by]
 
 
-def expected_counts(symbols, start, size, first, model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected emissions, transitions and starts, and the natural log-likelihood."""
+def expected_counts(symbols, start, size, first, model, other: int | None = None) -> tuple:
+    """Expected emissions, transitions and starts, the natural log-likelihood, and the marginals of the symbol ``other`` in order."""
     emit, trans, begin, usual = model
-    heads = np.where(first[:, None], begin, usual)
-    gamma, moves, like = forward_backward(emit[symbols], start, size, trans, heads)
-    e = np.stack([np.bincount(symbols, gamma[:, j], len(emit)) for j in range(emit.shape[1])], axis=1)
-    return e, moves, gamma[start[first]].sum(axis=0), float(like.sum())
+    place, sequence, active = by_step(start, size)
+    heads = np.where(first[:, None], begin, usual).astype(emit.dtype)
+    dealt = symbols[place]
+    e = emit[dealt]
+    gamma, scale = forward_steps(e, active, trans, heads)
+    moves = backward_steps(e, active, trans, gamma, scale)
+    counts = np.stack([np.bincount(dealt, gamma[:, j], len(emit)) for j in range(emit.shape[1])], axis=1)
+    begins = gamma[: len(start)][first].sum(axis=0, dtype=float)
+    own = None
+    if other is not None:
+        hit = np.flatnonzero(dealt == other)
+        own = gamma[hit[np.argsort(place[hit])]]
+    return counts, moves, begins, float(np.log(scale, dtype=float).sum()), own
 
 
 def new_model(e: np.ndarray, moves: np.ndarray, begin: np.ndarray, weight: float = 200.0) -> tuple:
@@ -140,42 +173,92 @@ def initial(blobs: list[bytes], symbols: int, states: int, run: int, seed: int =
     model = new_model(e, np.eye(states) * 20 * states + 1, share.sum(axis=0))
     seqs = _symbols(blobs, symbols + 1, run)
     for _ in range(5):
-        model = new_model(*expected_counts(*seqs, model)[:3])
+        model = new_model(*expected_counts(*seqs, (model[0].astype(np.float32), *model[1:]))[:3])
     return model
 
 
-def _expect(shared, end: int, cut: int, states: int):
+def _expect(shared, end: int, cut: int, states: int, last: bool):
+    """A task's expected counts: a row for each symbol, state, and the starts; in the last round also for each other word."""
+
     def run(batches):
         model, e, moves, begin, like = shared.value, 0, 0, 0, 0.0
+        model = (model[0].astype(np.float32), *model[1:])
+        words: list[np.ndarray] = []
+        states_of: list[np.ndarray] = []
+        held = 0
+
+        def found():
+            keys, at = np.unique(np.concatenate(words), return_inverse=True)
+            sums = np.concatenate(states_of)
+            return pa.record_batch({"symbol": pa.array(np.full(len(keys), end - 1, np.int32)), "word": pa.array(keys)} | {f"s{j}": pa.array(np.bincount(at, sums[:, j], len(keys)).astype(np.float32)) for j in range(states)})
+
         for batch in batches:
-            for _, blobs in _pieces(batch, "ids", PIECE // 3):
-                got = expected_counts(*_symbols(blobs, end, cut), model)
+            for start, blobs in _pieces(batch, "ids", PIECE // 3):
+                got = expected_counts(*_symbols(blobs, end, cut), model, end - 1 if last else None)
                 e, moves, begin, like = e + got[0], moves + got[1], begin + got[2], like + got[3]
+                if last:
+                    words.append(_hashes(batch.column("rare").slice(start, len(blobs))))
+                    states_of.append(got[4])
+                    held += len(words[-1])
+                    if held > 1_000_000:
+                        yield found()
+                        words, states_of, held = [], [], 0
+        if held:
+            yield found()
         if np.ndim(e):
             used = np.flatnonzero(e.sum(axis=1) > 0)
             rows = np.concatenate([e[used], moves, [begin], [[like] * states]])
             symbol = np.concatenate([used, -1 - np.arange(states), [-states - 1, -states - 2]])
-            yield pa.record_batch({"symbol": pa.array(symbol.astype(np.int32))} | {f"s{j}": pa.array(rows[:, j]) for j in range(states)})
+            yield pa.record_batch({"symbol": pa.array(symbol.astype(np.int32)), "word": pa.nulls(len(rows), pa.int64())} | {f"s{j}": pa.array(rows[:, j].astype(np.float32)) for j in range(states)})
 
     return run
 
 
-def _score(shared, end: int):
+def _score(shared, end: int, states: int):
+    """Blocks: their words with counts and emissions first, then their texts."""
+
     def run(batches):
-        emit, trans, begin, _ = shared.value
-        for batch in batches:
-            for start, blobs in _pieces(batch, "ids", PIECE // 2):
-                lists = [np.append(np.frombuffer(b, np.uint16), np.uint16(end)).astype(np.int64) for b in blobs]
-                size = np.array([len(x) for x in lists])
-                at, by = np.cumsum(size) - size, longest_first(size)
-                like = np.empty(len(size))
-                like[by] = forward(emit[np.concatenate(lists)], at[by], size[by], trans, begin) / np.log(10)
-                n = len(blobs)
-                yield pa.record_batch([*(batch.column(c).slice(start, n) for c in ("row", "doc_id", "held_out", "n_tokens", "n_rare", "base")), pa.array(like)], ["row", "doc_id", "held_out", "n_tokens", "n_rare", "base", "like"])
+        emit, trans, begin, logs, ratio, whole = shared.value
+        for t in groups(batches, ["block"]):
+            known, texts = (t.filter(pc.equal(t.column("role"), role)) for role in (0, 1))
+            keys = known.column("word").to_numpy()
+            c = known.column("c").to_numpy(zero_copy_only=False) if len(keys) else np.zeros(0)
+            c = np.nan_to_num(c.astype(float))
+            own = np.stack([known.column(f"s{j}").to_numpy(zero_copy_only=False).astype(float) for j in range(states)], axis=1) if len(keys) else np.zeros((0, states))
+            share = _log_share(c, whole)
+            times = np.where(np.isnan(own), ratio["low"], (own / 10 ** (share - ratio["all"])[:, None] + ratio["weight"]) / (ratio["total"] + ratio["weight"]))
+            by = np.argsort(keys)
+            for batch in texts.to_batches():
+                for start, blobs in _pieces(batch, "ids", PIECE // 2):
+                    n = len(blobs)
+                    lists = [np.append(np.frombuffer(b, np.uint16), np.uint16(end)) for b in blobs]
+                    size = np.array([len(x) for x in lists])
+                    symbols = np.concatenate(lists)
+                    h = _hashes(batch.column("rare").slice(start, n))
+                    at = by[np.searchsorted(keys[by], h)] if len(h) else np.zeros(0, int)
+                    rare = np.flatnonzero(symbols == end - 1)
+                    e = emit[symbols]
+                    e[rare] *= times[at]
+                    owner = np.repeat(np.arange(n), size)
+                    base = np.bincount(owner, logs[symbols], n) + np.bincount(owner[rare], share[at], n)
+                    missed = np.bincount(owner[rare], c[at] == 0, n).astype(int) + int(not ratio["end_known"])
+                    starts, order = np.cumsum(size) - size, longest_first(size)
+                    like = np.empty(n)
+                    like[order] = forward(e, starts[order], size[order], trans, begin) / np.log(10)
+                    like += np.bincount(owner[rare], (share - ratio["all"])[at], n)
+                    yield pa.record_batch(
+                        [batch.column("doc_id").slice(start, n), batch.column("held_out").slice(start, n), pa.array(size, pa.int64()), pa.array(size - missed, pa.int64()), pa.array(base), pa.array(like)],
+                        ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+                    )
 
     return run
 
 
+def _log_share(c, whole: float):
+    """Base log10 probability of a word with c uses."""
+    return np.log10((c + 0.5) / whole)
+
+
 def frequent_from(words: DataFrame, most: int) -> int:
     """The least count c for which at most ``most`` words have it or more; from a histogram over fixed log steps."""
     step = F.floor(F.ln("c") * 64).cast("int")
@@ -188,15 +271,18 @@ def frequent_from(words: DataFrame, most: int) -> int:
     return least if least is not None else 1
 
 
-def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out_fold: int = 1, states: int = 8, symbols: int = 50_000, rounds: int = 3, run: int = 128, sample: int = 1500) -> DataFrame:
+def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out_fold: int = 1, states: int = 8, symbols: int = 50_000, rounds: int = 3, run: int = 128, sample: int = 1500, least: int = 3) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
-    Learning covers every text outside the held-out fold; ``sample`` bounds only the texts that start the states.
-    A null text is empty: its one token is the end. Without learning texts every base term is log10(1) and the model
-    is even. Repeated and null ids keep their rows; other columns are ignored; an empty table gives an empty result.
+    Learning covers every text outside the held-out fold; ``sample`` bounds only the texts that start the states, those
+    of the lowest hash of id and text, so that results do not depend on how the table is cut into files. ``symbols``
+    bounds the words whose emissions all rounds refine; the others get theirs in the last round, if they have ``least``
+    uses. A null text is empty: its one token is the end. Without learning texts every base term is log10(1) and the
+    model is even. Repeated rows are learned as often as they stand; repeated and null ids keep their rows; other
+    columns are ignored; an empty table gives an empty result.
     """
-    if not 0 < symbols < 65_534:
-        raise ValueError("symbols must fit 16 bits")
+    if not 0 < symbols < 65_534 or rounds < 1:
+        raise ValueError("symbols must fit 16 bits, and there must be a round")
     spark = docs.sparkSession
     scratch = Scratch(spark, "hmm")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -205,50 +291,63 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     counts = scratch.table(d.where("not held_out").select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("c")), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     N, V = total["n"], total["v"]
-    base_of = lambda c: np.log10((c + 0.5) / (N + 0.5 * (V + 1)))
+
+    whole = N + 0.5 * (V + 1)
     end_key = int(word_hashes([END]).view(np.int64)[0])
     ends = (counts.where(F.col("word") == end_key).first() or {"c": 0})["c"]
     words = counts.where(F.col("word") != end_key)
     often_enough = frequent_from(words, symbols)
-    top = words.where(F.col("c") >= often_enough).toPandas()  # at most `symbols` rows
-    keys = top["word"].to_numpy(np.int64).view(U64)
+    top = words.where(F.col("c") >= often_enough).toArrow()  # at most `symbols` rows
+    keys = top.column("word").to_numpy().view(U64)
     by = np.argsort(keys)
-    keys, often = keys[by], top["c"].to_numpy(np.int64)[by]
-    coded = d.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-        _encode(keys, base_of(often), float(base_of(ends))), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_rare long, base double, ids binary, rare array<long>"
-    )
-    coded = scratch.table(coded, "coded")
+    keys, often = keys[by], top.column("c").to_numpy()[by]
+    coded = scratch.table(d.mapInArrow(_encode(keys), CODED.format(kind=kind)), "coded")
     n, end = len(keys), len(keys) + 1
-    learn = coded.where("not held_out").select("ids")
-    start = coded.where("not held_out").select("row", "ids").orderBy(F.xxhash64("row"), "row").limit(sample).collect()
-    model = initial([bytes(r["ids"]) for r in start], n, states, run)
+    learn = coded.where("role = 1 and not held_out").select("ids", "rare")
+
+    # the start of the states
+    hashed = coded.where("role = 1 and not held_out").select("ids", F.xxhash64("doc_id", "ids", "rare").alias("h"))
+    distinct = hashed.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    few = hashed.where(share_of(F.col("h")) < 2 * sample / max(1, distinct)).groupBy("h").agg(F.first("ids").alias("ids"))  # about 2 * sample rows
+    model = initial([bytes(r["ids"]) for r in few.orderBy("h").limit(sample).collect()], n, states, run)
+
     columns = [f"s{j}" for j in range(states)]
-    for _ in range(rounds):
+    schema = "symbol int, word long, " + ", ".join(f"{c} float" for c in columns)
+    full, others = np.zeros((n + 2 + states + 2, states)), spark.createDataFrame([], "word long, " + ", ".join(f"{c} double" for c in columns))
+    for k in range(rounds):
+        last = k == rounds - 1
         shared = spark.sparkContext.broadcast(model)
-        part = learn.mapInArrow(_expect(shared, end, run, states), "symbol int, " + ", ".join(f"{c} double" for c in columns))
-        rows = part.groupBy("symbol").agg(*(F.sum(c).alias(c) for c in columns)).orderBy("symbol").toPandas()
-        if not len(rows):
+        part = learn.mapInArrow(_expect(shared, end, run, states, last), schema).groupBy("symbol", "word").agg(*(F.sum(c).alias(c) for c in columns))
+        if last:
+            part = scratch.table(part, "expected")
+            others = part.where("word is not null").select("word", *columns)
+        rows = part.where("word is null").toArrow()  # a row for each frequent word
+        shared.destroy()
+        if not rows.num_rows:
             break
         full = np.zeros((n + 2 + states + 2, states))
-        full[rows["symbol"].to_numpy()] = rows[columns].to_numpy()  # negative symbols count from the end
+        full[rows.column("symbol").to_numpy()] = np.stack([rows.column(c).to_numpy() for c in columns], axis=1)  # negative symbols count from the end
         model = new_model(full[: n + 2], full[-states:][::-1], full[-states - 1])
-        shared.unpersist()
-    scored = coded.drop("rare").mapInArrow(_score(spark.sparkContext.broadcast(model), end), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_rare long, base double, like double")
 
-    # the words that share one symbol
+    # emissions of all other words: own counts from `least` uses on, and one share of the rest for rarer and unseen ones
     rest_n, rest_v = N - int(often.sum()) - ends, V - n - bool(ends)
-    rest = words.where(F.col("c") < often_enough)
-    tokens = coded.where("n_rare > 0").select("row", F.explode("rare").alias("word"))
-    met = tokens.join(rest, "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_log"), F.count("c").alias("rare_known"))
-    out = scored.join(met, "row", "left")
-    n_rare, rare_log = F.col("n_rare"), F.coalesce("rare_log", F.lit(0.0))
-    result = out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_tokens") - F.lit(int(not ends)) - n_rare + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(int(N)).cast("long").alias("train_tokens"),
-        (F.col("base") + rare_log - n_rare * F.lit(float(np.log10(N + 0.5 * (V + 1))))).alias("base_score"),
-        (F.col("like") + rare_log - n_rare * F.lit(float(np.log10(rest_n + 0.5 * (rest_v + 1))))).alias("score"),
-    )
-    return result
+    rest = words.where(F.col("c") < often_enough).join(others, "word", "left")
+    own = F.col("c") >= least
+    table = rest.select("word", "c", *(F.when(own, F.col(c)).cast("float").alias(c) for c in columns))
+    high = rest.where(own).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), *(F.coalesce(F.sum(F.col(c).cast("float")), F.lit(0.0)).alias(c) for c in columns)).first()
+    mass = rest_n + 0.5 * (rest_v + 1)
+    share = (rest_n - high["n"] + 0.5 * (rest_v - high["v"] + 1)) / mass
+    total_of, weight = full[n], full[n] + 1
+    low = np.maximum(0, total_of - np.array([high[c] for c in columns]))
+    total_of = low + np.array([high[c] for c in columns])
+    ratio = {"all": float(np.log10(mass / whole)), "total": total_of, "weight": weight, "low": (low / share + weight) / (total_of + weight), "end_known": bool(ends)}
+    logs = np.concatenate([_log_share(often, whole), [0.0, float(_log_share(ends, whole))]])
+    shared = spark.sparkContext.broadcast((*model[:3], logs, ratio, whole))
+
+    none = lambda *names: [F.lit(None).cast(t).alias(c) for c, t in names]
+    wanted = coded.where("role = 0").select("block", "rare").mapInArrow(_wanted, "block long, word long").join(table, "word", "left")
+    wanted = wanted.select("block", F.lit(0).alias("role"), *none(("doc_id", kind), ("held_out", "boolean"), ("ids", "binary"), ("rare", "binary")), "word", "c", *columns)
+    texts = coded.where("role = 1").select("block", "role", "doc_id", "held_out", "ids", "rare", *none(("word", "long"), ("c", "long"), *((c, "float") for c in columns)))
+    out = wanted.union(texts).repartition("block").sortWithinPartitions("block", "role")
+    out = out.mapInArrow(_score(shared, end, states), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(N)).cast("long").alias("train_tokens"), "base_score", "score")
