@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwell.functions.scratch import Scratch
 from driftwell.operators.folds import CLOSING, OPENING, benchmark_signals, hook_signals
 from driftwell.operators.residuals import zscore_benchmark
 from driftwell.operators.stopping import CostModel
+from driftwell.sources.panels import halo
 
 HORIZONS = (1, 3, 5, 10, 20)
 
@@ -25,13 +27,16 @@ def event_study(signals: DataFrame, *, exit_boundary: float = 0.0, horizons: tup
     z0 = F.col("zscore")
     up = z0 < exit_boundary
     sign = F.when(up, 1).otherwise(-1)
-    df = signals.withColumn("entry", F.lead("price").over(_w())).withColumn("execution", F.lead("ts").over(_w()))
+    ends = signals.groupBy("ticker").agg(F.max_by("price", "pos").alias("_end_price"), F.max_by("zscore", "pos").alias("_end_zscore"))
+    df = halo(signals, 0, ["ticker"], ahead=1 + max(horizons))  # a horizon reaches no farther, so a series is many tasks
+    w = Window.partitionBy("ticker", "part").orderBy("pos")
+    df = df.join(ends, "ticker").withColumn("entry", F.lead("price").over(w)).withColumn("execution", F.lead("ts").over(w))
     high = F.lit(stop_boundary) if stop_boundary is not None else F.lit(None).cast("double")
     low = -high if signed_stop else high
     records = []
     for h in horizons:
-        ahead = _w().rowsBetween(1, 1 + h)
-        last = lambda c: F.coalesce(F.lead(c, 1 + h).over(_w()), F.col(f"_end_{c}"))  # noqa: E731, B023
+        ahead = w.rowsBetween(1, 1 + h)
+        last = lambda c: F.coalesce(F.lead(c, 1 + h).over(w), F.col(f"_end_{c}"))  # noqa: E731, B023
         end_price, end_z = last("price"), last("zscore")
         top, bottom = F.max("price").over(ahead), F.min("price").over(ahead)
         ztop, zbottom = F.max("zscore").over(ahead), F.min("zscore").over(ahead)
@@ -46,9 +51,7 @@ def event_study(signals: DataFrame, *, exit_boundary: float = 0.0, horizons: tup
                 F.when(up, top / F.col("entry") - 1).otherwise(1 - bottom / F.col("entry")).alias("mfe"), F.when(up, bottom / F.col("entry") - 1).otherwise(1 - top / F.col("entry")).alias("mae"),
             )
         )
-    whole = _w().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = df.withColumn("_end_price", F.last("price").over(whole)).withColumn("_end_zscore", F.last("zscore").over(whole)).withColumn("_r", F.array(*records))
-    df = df.where(F.col("action").isin(*OPENING) & F.col("execution").isNotNull())
+    df = df.withColumn("_r", F.array(*records)).where(F.col("own") & F.col("action").isin(*OPENING) & F.col("execution").isNotNull())
     return df.select("ticker", F.col("ts").alias("signal_date"), F.col("execution").alias("execution_date"), F.inline("_r"))
 
 
@@ -58,7 +61,11 @@ def trades(signals: DataFrame, *, costs: CostModel = CostModel(), notional: floa
     Opening actions while a trade is open, and closing ones while none is, are passed over, as of any hook's signals:
     after the actions that neither open nor close, only the first of each run of equals counts.
     """
-    df = signals.withColumn("fill", F.lead("price", lag).over(_w())).where(F.col("action").isin(*OPENING, *CLOSING))
+    if lag < 0:
+        raise ValueError("an action cannot be executed before its row")
+    w = Window.partitionBy("ticker", "part").orderBy("pos")
+    df = halo(signals, 0, ["ticker"], ahead=lag).withColumn("fill", F.lead("price", lag).over(w) if lag else F.col("price"))
+    df = df.where(F.col("own") & F.col("action").isin(*OPENING, *CLOSING)).drop("part", "own")
     reach = signals.groupBy("ticker").agg(F.max("pos").alias("last"))
     df = df.join(reach, "ticker").where(F.col("pos") + lag <= F.col("last")).withColumn("opens", F.col("action").isin(*OPENING))
     df = df.withColumn("before", F.lag("opens").over(_w())).where((F.col("before").isNull() & F.col("opens")) | (F.col("before") != F.col("opens")))
@@ -107,17 +114,31 @@ def calibration(predicted: DataFrame, p: str = "predicted", realized: str = "rea
     return buckets.join(got, "low", "left").withColumn("observations", F.coalesce("observations", F.lit(0)))
 
 
-def run_backtest(panel: DataFrame, *, window: int = 60, entry: float = 2.0, exit: float = 0.5, stop: float = 4.0, costs: CostModel = CostModel(), notional: float = 1.0, lag: int = 1, hook=None) -> dict[str, DataFrame]:
-    """Benchmark signals of every ticker, their events, trades, metrics and buckets; and those of a user's hook."""
+def predicted_events(events: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Every event with the probability predicted for its signal (ticker, signal_date, predicted), null if there is none, and what came true."""
+    return events.join(predicted.select("ticker", "signal_date", "predicted"), ["ticker", "signal_date"], "left").withColumn("realized", F.col("exit_reached"))
+
+
+def run_backtest(panel: DataFrame, *, window: int = 60, entry: float = 2.0, exit: float = 0.5, stop: float = 4.0, costs: CostModel = CostModel(), notional: float = 1.0, lag: int = 1, hook=None, history: int | None = None, predicted: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Benchmark signals of every ticker, their events, trades, metrics and buckets; and those of a user's hook.
+
+    Signals are folded once, into a table in the checkpoint folder that all results read. With ``predicted`` (ticker,
+    signal_date, predicted) the events are also held against predicted probabilities of reaching the exit: calibration.
+    """
     scored = zscore_benchmark(panel, window).select("ticker", "ts", "pos", "price", "zscore")
+    scratch = Scratch(panel.sparkSession, "backtest")
 
     def results(signals: DataFrame, name: str) -> dict[str, DataFrame]:
+        signals = scratch.table(signals, f"{name}signals")
         events, closed = event_study(signals, stop_boundary=stop), trades(signals, costs=costs, notional=notional, lag=lag)
-        return {f"{name}signals": signals, f"{name}events": events, f"{name}trades": closed, f"{name}equity": equity(closed), f"{name}metrics": metrics(closed, events, panel), f"{name}buckets": horizon_buckets(events)}
+        found = {"signals": signals, "events": events, "trades": closed, "equity": equity(closed), "metrics": metrics(closed, events, panel), "buckets": horizon_buckets(events)}
+        if predicted is not None:
+            found["calibration"] = calibration(predicted_events(events, predicted))
+        return {f"{name}{k}": v for k, v in found.items()}
 
     out = results(benchmark_signals(scored, entry=entry, exit=exit, stop=stop), "")
     if hook is not None:
-        full = hook_signals(panel, hook).join(scored.select("ticker", "pos", "zscore"), ["ticker", "pos"])
+        full = hook_signals(panel, hook, history=history).join(scored.select("ticker", "pos", "zscore"), ["ticker", "pos"])
         out |= results(full.select("ticker", "ts", "pos", "price", "zscore", "action"), "full_")
     return out
 

@@ -80,13 +80,40 @@ def final_decision(rows: DataFrame, **qualities: str) -> DataFrame:
     df = df.withColumn("action", action).withColumn("invalid_reason", reason).withColumn("valid", reason.isNull())
     df = df.withColumn("confidence", confidence(~failed, F.col("zscore"), model_agreement=F.col("agreement_percentage") / 100, **{k: F.col(v) for k, v in qualities.items()}))
     mark = lambda ok: F.when(ok, "PASS").otherwise("FAIL")
-    item = lambda name, observed, wanted, status: F.struct(F.lit(name).alias("name"), observed.alias("observed"), wanted.alias("required"), status.alias("status"))
-    items = F.array(
-        item("Critical gates", F.when(failed, says).otherwise("passed"), F.lit("all critical gates must pass"), mark(~failed)),
-        item("Model consensus", state, F.concat(F.col("valid_model_count").cast("string"), F.lit(" valid models")), mark(F.col("valid") & ~state.isin("CONFLICTED", "INSUFFICIENT_DATA"))),
-    )
-    df = df.withColumn("why", items)
-    return df.withColumn("blocking", F.transform(F.filter("why", lambda i: i["status"] == "FAIL"), lambda i: i["name"])).drop("failures")
+    items = [
+        explained("Critical gates", F.when(failed, says).otherwise("passed"), F.lit("all critical gates must pass"), mark(~failed)),
+        explained("Model consensus", state, F.concat(F.col("valid_model_count").cast("string"), F.lit(" valid models")), mark(F.col("valid") & ~state.isin("CONFLICTED", "INSUFFICIENT_DATA"))),
+    ]
+    return explain(df, items, "action").drop("failures")
+
+
+STATUSES = ("PASS", "CAUTION", "FAIL", "NOT_APPLICABLE")
+
+
+def explained(name: str, observed: Column, required: Column, status: Column, explanation: str = "") -> Column:
+    """One item of an explanation; a status that is none of STATUSES raises."""
+    checked = F.when(status.isin(*STATUSES), status).otherwise(F.raise_error(F.concat(F.lit(f"{name}: not a status: "), F.coalesce(status, F.lit("null")))).cast("string"))
+    return F.struct(F.lit(name).alias("name"), observed.cast("string").alias("observed"), required.cast("string").alias("required"), checked.alias("status"), F.lit(explanation).alias("explanation"))
+
+
+def explain(rows: DataFrame, items: list[Column], action: str) -> DataFrame:
+    """Adds why (the items), blocking (the names of those that fail) and explained_action to rows with an action."""
+    empty = F.array().cast("array<struct<name:string,observed:string,required:string,status:string,explanation:string>>")
+    df = rows.withColumn("why", F.array(*items) if items else empty)
+    return df.withColumn("blocking", F.transform(F.filter("why", lambda i: i["status"] == "FAIL"), lambda i: i["name"])).withColumn("explained_action", F.col(action))
+
+
+def to_records(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, record): every row as JSON text with all its fields, nulls too; for decisions, consensus, confidence or explanations."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.select(*keys, F.to_json(F.struct(*rest), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("record"))
+
+
+def from_records(records: DataFrame, schema: str) -> DataFrame:
+    """The rows of ``to_records`` again; schema: the fields of a record. Text that is no such record raises."""
+    got = F.from_json("record", schema, {"mode": "FAILFAST", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    keys = [c for c in records.columns if c != "record"]
+    return records.select(*keys, got.alias("r")).select(*keys, "r.*")
 
 
 def direction_of(z: Column, threshold: float = 2.0) -> Column:

@@ -5,6 +5,7 @@ Each keeps its step in one place, for batch folds by series and for stateful str
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-KALMAN_COLUMNS = ["prior_alpha", "prior_beta", "alpha", "beta", "predicted", "innovation", "innovation_variance", "standardized", "spread"]
+# The filter's outputs, by the names users know.
+KALMAN_COLUMNS = ["prior_alpha", "prior_beta", "alpha", "beta", "predicted_log_target", "innovation", "innovation_variance", "standardized_innovation", "spread_state"]
 OPENING = {"ENTER_LONG": "LONG_RESIDUAL", "ENTER_SHORT": "SHORT_RESIDUAL"}
 CLOSING = ("EXIT_LONG", "STOP_LONG", "EXIT_SHORT", "STOP_SHORT")
 
@@ -34,13 +36,18 @@ class KalmanNoise:
         return self.first_alpha, self.first_beta, self.covariance, 0.0, self.covariance
 
 
-def kalman_step(state: tuple[float, ...], t: float, p: float, noise: KalmanNoise) -> tuple[tuple[float, ...], list[float]]:
-    """state: (alpha, beta, var alpha, covariance, var beta); one observation t = alpha + beta * p."""
+def kalman_step(state: tuple[float, ...], t: float, p: float, noise: KalmanNoise) -> tuple[tuple[float, ...], list[float] | None]:
+    """state: (alpha, beta, var alpha, covariance, var beta); one observation t = alpha + beta * p.
+
+    An observation whose innovation variance is not finite or not positive is passed over: the state stays, no row.
+    """
     a, b, aa, ab, bb = state
     aa, bb = aa + noise.alpha, bb + noise.beta
     ga, gb = aa + ab * p, ab + bb * p
     predicted = a + b * p
     variance = ga + gb * p + noise.observation
+    if not 0 < variance < math.inf:
+        return state, None
     e = t - predicted
     ka, kb = ga / variance, gb / variance
     a2, b2 = a + ka * e, b + kb * e
@@ -55,11 +62,10 @@ def kalman_pairs(pairs: DataFrame, noise: KalmanNoise = KalmanNoise()) -> DataFr
         g = g.sort_values("pos")
         state, rows = noise.start(), []
         for t, p in zip(g.t.to_numpy(float), g.p.to_numpy(float), strict=True):
+            row = None
             if np.isfinite(t) and np.isfinite(p):
                 state, row = kalman_step(state, t, p, noise)
-                rows.append([*row, True])
-            else:
-                rows.append([None] * len(KALMAN_COLUMNS) + [False])
+            rows.append([*row, True] if row else [None] * len(KALMAN_COLUMNS) + [False])
         out = g[["target", "peer", "ts", "pos"]].reset_index(drop=True)
         return pd.concat([out, pd.DataFrame(rows, columns=[*KALMAN_COLUMNS, "valid"])], axis=1)
 
@@ -68,13 +74,18 @@ def kalman_pairs(pairs: DataFrame, noise: KalmanNoise = KalmanNoise()) -> DataFr
     return pairs.select("target", "peer", "ts", "pos", "t", "p").groupBy("target", "peer").applyInPandas(fold, schema)
 
 
+# By position: what is measured of a z-score, the limit that it must reach, and the action; the first that holds is taken.
+_RULES = {
+    "FLAT": ((lambda z: -z, "entry", "ENTER_LONG"), (lambda z: z, "entry", "ENTER_SHORT")),
+    "LONG_RESIDUAL": ((lambda z: -z, "stop", "STOP_LONG"), (lambda z: -abs(z), "exit", "EXIT_LONG")),
+    "SHORT_RESIDUAL": ((lambda z: z, "stop", "STOP_SHORT"), (lambda z: -abs(z), "exit", "EXIT_SHORT")),
+}
+_OTHERWISE = {"FLAT": "WAIT", "LONG_RESIDUAL": "HOLD_LONG", "SHORT_RESIDUAL": "HOLD_SHORT"}
+
+
 def benchmark_action(z: float, position: str, entry: float = 2.0, exit: float = 0.5, stop: float = 4.0) -> str:
-    if position == "FLAT":
-        return "ENTER_LONG" if z <= -entry else "ENTER_SHORT" if z >= entry else "WAIT"
-    side = "LONG" if position == "LONG_RESIDUAL" else "SHORT"
-    if (z <= -stop) if side == "LONG" else (z >= stop):
-        return f"STOP_{side}"
-    return f"EXIT_{side}" if abs(z) <= exit else f"HOLD_{side}"
+    limits = {"entry": entry, "exit": -exit, "stop": stop}
+    return next((action for measure, limit, action in _RULES[position] if measure(z) >= limits[limit]), _OTHERWISE[position])
 
 
 def next_position(position: str, action: str) -> str:
@@ -104,20 +115,34 @@ def benchmark_signals(scored: DataFrame, *, entry: float = 2.0, exit: float = 0.
     return scored.select("ticker", "ts", "pos", "price", "zscore").groupBy("ticker").applyInPandas(fold, f"ticker string, ts {kind}, pos long, price double, zscore double, action string, position string")
 
 
-def hook_signals(panel: DataFrame, hook) -> DataFrame:
-    """Actions of a user's hook(history up to and with t as a pandas Series by ts, position); it sees no later row."""
-    allowed = {"WAIT", "INSUFFICIENT_DATA", "NO_SIGNAL", "CONFLICTED", *OPENING, *CLOSING, "HOLD_LONG", "HOLD_SHORT"}
+def hook_signals(panel: DataFrame, hook, *, history: int | None = None) -> DataFrame:
+    """Actions of a user's hook(prices up to and with t as a read-only pandas Series by ts, position); it sees no later row.
+
+    The hook sees the last ``history`` rows, or all; the slices share one array, so nothing is copied. A series is one
+    group, as its position follows from all actions before.
+    """
+    if history is not None and history < 1:
+        raise ValueError("the hook needs a row of history")
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("pos").reset_index(drop=True)
-        series, position, actions = pd.Series(g.price.to_numpy(), index=g.ts), "FLAT", []
+        prices = g.price.to_numpy(float, copy=True)
+        prices.flags.writeable = False
+        series, position, actions = pd.Series(prices, index=g.ts, copy=False), "FLAT", []
         for i in range(len(series)):
-            action = hook(series.iloc[: i + 1].copy(), position)
-            if action not in allowed:
-                raise TypeError(f"the hook must return an action, not {action!r}")
+            action = checked_action(hook(series.iloc[0 if history is None else max(0, i + 1 - history) : i + 1], position))
             actions.append(action)
             position = next_position(position, action)
         return g.assign(action=actions)
 
     kind = panel.schema["ts"].dataType.simpleString()
     return panel.select("ticker", "ts", "pos", "price").groupBy("ticker").applyInPandas(fold, f"ticker string, ts {kind}, pos long, price double, action string")
+
+
+ACTIONS = frozenset({"WAIT", "INSUFFICIENT_DATA", "NO_SIGNAL", "CONFLICTED", *OPENING, *CLOSING, "HOLD_LONG", "HOLD_SHORT"})
+
+
+def checked_action(action) -> str:
+    if action not in ACTIONS:
+        raise TypeError(f"the hook must return an action, not {action!r}")
+    return action

@@ -46,10 +46,25 @@ def classify_live(quotes: DataFrame, frozen: DataFrame) -> DataFrame:
     return df.drop("_long", "_short")
 
 
+def trading_days(after: Column, until: Column) -> Column:
+    """Mondays to Fridays after one date, up to and with another; 0 if there are none."""
+    days = F.sequence(F.date_add(after.cast("date"), 1), F.greatest(until.cast("date"), F.date_add(after.cast("date"), 1)))
+    weekdays = F.size(F.filter(days, lambda d: F.weekday(d) < 5))
+    return F.when(until.cast("date") > after.cast("date"), weekdays).otherwise(F.when(after.isNotNull() & until.isNotNull(), 0))
+
+
 def evaluations(classified: DataFrame, cutoff: str = "data_cutoff") -> DataFrame:
-    """Evaluation records of classified quotes: one for each prediction and timestamp."""
-    elapsed = F.datediff(F.col("ts"), F.col(cutoff)) if cutoff in classified.columns else F.lit(None).cast("int")
+    """Journal records of classified quotes, one for each prediction and timestamp, with all of the journal's columns.
+
+    Elapsed trading days are counted from the column ``cutoff``, if there is one; columns named realized_pnl,
+    maximum_favorable_excursion, maximum_adverse_excursion and notes are taken over, and are null without.
+    """
+    there = set(classified.columns)
+    elapsed = trading_days(F.col(cutoff), F.col("ts")) if cutoff in there else F.lit(None).cast("int")
+    given = lambda name, kind: (F.col(name) if name in there else F.lit(None)).cast(kind).alias(name)
     return classified.select(
-        "prediction_id", F.col("ts").alias("evaluation_timestamp"), F.col("target_price").alias("realized_price"), (F.col("state") == "EXIT_REGION").alias("exit_reached"), (F.col("state") == "STOP_REGION").alias("stop_reached"), "fraction_reverted",
-        F.col("residual").alias("current_residual"), "distance_to_entry", "distance_to_exit", "distance_to_stop", elapsed.alias("elapsed_days"), F.create_map(F.col("target"), F.col("target_price"), F.col("peer"), F.col("peer_price")).alias("live_prices"),
+        "prediction_id", F.col("ts").cast("timestamp").alias("evaluation_timestamp"), F.concat(elapsed.cast("string"), F.lit(" trading days")).alias("evaluation_horizon"), F.col("target_price").alias("realized_price"),
+        (F.col("state") == "EXIT_REGION").alias("exit_reached"), (F.col("state") == "STOP_REGION").alias("stop_reached"), "fraction_reverted", given("maximum_favorable_excursion", "double"), given("maximum_adverse_excursion", "double"),
+        elapsed.cast("int").alias("elapsed_trading_days"), F.create_map(F.col("target"), F.col("target_price"), F.col("peer"), F.col("peer_price")).alias("live_prices"), F.col("residual").alias("current_residual"),
+        "distance_to_entry", "distance_to_exit", "distance_to_stop", given("realized_pnl", "double"), given("notes", "string"),
     ).dropDuplicates(["prediction_id", "evaluation_timestamp"])

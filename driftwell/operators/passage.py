@@ -21,8 +21,8 @@ def boundary_candidates(spark: SparkSession, current: float, direction: str, exi
     return df.select(checked.alias("current"), "exit", "stop", F.lit(direction).alias("direction"))
 
 
-def simulate(theta: float, kappa: float, sigma: float, current: float, exit: float, stop: float, direction: str, *, dt: float = 1.0, paths: int = 10_000, horizon: int = 20, seed: int = 0, substeps: int = 1, rng: np.random.Generator | None = None) -> dict[str, np.ndarray]:
-    """Per path: exit and stop times (NaN if none) and the largest favourable and adverse moves.
+def simulate(theta: float, kappa: float, sigma: float, current: float, exit: float, stop: float, direction: str, *, dt: float = 1.0, paths: int = 10_000, horizon: int = 20, seed: int = 0, substeps: int = 1, samples: int = 0, rng: np.random.Generator | None = None) -> dict[str, np.ndarray]:
+    """Per path: exit and stop times (NaN if none) and the largest favourable and adverse moves; of the first ``samples`` paths the states at whole steps.
 
     A path stands still after its first hit. A step over both boundaries goes to the one nearer to its start, as a
     share of the step; a tie goes to the stop. Hit times are the ends of steps.
@@ -39,6 +39,7 @@ def simulate(theta: float, kappa: float, sigma: float, current: float, exit: flo
     high, low = x.copy(), x.copy()
     exits, stops = np.full(paths, np.nan), np.full(paths, np.nan)
     live = np.arange(paths)
+    kept = [x[:samples].copy()]
     for step in range(1, horizon * substeps + 1):
         before = x[live]
         after = theta + (before - theta) * decay + rng.normal(0, sd, len(live))
@@ -54,10 +55,12 @@ def simulate(theta: float, kappa: float, sigma: float, current: float, exit: flo
             out[both], bad[both] = first, ~first
         exits[live[out]], stops[live[bad]] = step * h, step * h
         live = live[~(out | bad)]
-        if not len(live):
+        if step % substeps == 0:
+            kept.append(x[:samples].copy())
+        if not len(live) and not samples:
             break
     up, down = high - current, current - low
-    return {"exit_time": exits, "stop_time": stops, "mfe": up if sign > 0 else down, "mae": down if sign > 0 else up}
+    return {"exit_time": exits, "stop_time": stops, "mfe": up if sign > 0 else down, "mae": down if sign > 0 else up, "samples": np.stack(kept, axis=1)}
 
 
 def _summary(candidate: int, exit: float, stop: float, got: dict[str, np.ndarray]) -> tuple:
@@ -92,6 +95,19 @@ def first_passage_paths(spark: SparkSession, *, theta: float, kappa: float, sigm
             for i in f.id:
                 rng = np.random.default_rng(np.random.SeedSequence(seed).spawn(n)[int(i)])
                 got = simulate(theta, kappa, sigma, current, exit, stop, direction, paths=min(chunk, paths - int(i) * chunk), horizon=horizon, rng=rng)
+                got.pop("samples")
                 yield pd.DataFrame({"chunk": int(i), "path": np.arange(len(got["mfe"])), **got}).replace({np.nan: None})
 
     return spark.range(0, n, 1, n).mapInPandas(run, "chunk long, path long, exit_time double, stop_time double, mfe double, mae double")
+
+
+def sample_paths(candidates: DataFrame, *, theta: float, kappa: float, sigma: float, paths: int = 10_000, samples: int = 100, horizon: int = 20, seed: int = 0, dt: float = 1.0, substeps: int = 1) -> DataFrame:
+    """(candidate, path, step, x) of each candidate's first ``samples`` paths, of the same draws as ``first_passage``."""
+
+    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+        r = g.iloc[0]
+        x = simulate(theta, kappa, sigma, r.current, r.exit, r.stop, r.direction, dt=dt, paths=paths, horizon=horizon, seed=seed + int(key[0]), substeps=substeps, samples=min(samples, paths))["samples"]
+        path, step = np.indices(x.shape)
+        return pd.DataFrame({"candidate": int(key[0]), "path": path.ravel(), "step": step.ravel(), "x": x.ravel()})
+
+    return candidates.groupBy("candidate").applyInPandas(run, "candidate int, path int, step int, x double")

@@ -33,22 +33,31 @@ def quality_by_ticker(rows: DataFrame, *, jump: float = 0.25) -> DataFrame:
     )
 
 
-def model_readiness(panel: DataFrame, *, benchmark: int = 60, regression: int = 126, pair: int = 252, pca_tickers: int = 3) -> DataFrame:
-    """(model, status, reason) of seven models by counts of dates, tickers and complete rows."""
+# The models by the names in reports.
+MODELS = {"zscore": "Basic benchmark", "trend": "Trend model", "factor": "Factor model", "pair": "Pair {pair}-day model", "pca": "PCA", "ou": "OU", "walk": "Walk-forward"}
+
+
+def model_needs(*, benchmark: int = 60, regression: int = 126, pair: int = 252, pca_tickers: int = 3, ou: int = 20, forward: int = 20) -> dict[str, tuple[int, int, int]]:
+    """For each model: the dates, the tickers and the complete rows it needs. A window's model needs the row after it too."""
+    return {
+        "zscore": (benchmark + 1, 0, 0), "trend": (regression + 1, 0, 0), "factor": (0, 2, regression + 1), "pair": (0, 2, pair + 1),
+        "pca": (0, pca_tickers, regression + 1), "ou": (ou, 0, 0), "walk": (max(pair, benchmark) + forward + 1, 0, 0),
+    }
+
+
+def model_readiness(panel: DataFrame, **windows: int) -> DataFrame:
+    """(model, status, reason) of seven models by counts of dates, tickers and complete rows; the reason names what is needed."""
     by_day = panel.groupBy("ts").agg(F.count("price").alias("have"), F.count("*").alias("all"))
-    c = by_day.agg(F.count("*").alias("n"), F.coalesce(F.max("all"), F.lit(0)).alias("tickers"), F.count_if(F.col("have") == F.col("all")).alias("complete"))
-    n, tickers, complete = F.col("n"), F.col("tickers"), F.col("complete")
-    checks = [
-        ("Basic benchmark", n >= benchmark + 1, f"requires {benchmark + 1} observations"),
-        ("Trend model", n >= regression + 1, f"requires {regression + 1} observations"),
-        ("Factor model", (tickers >= 2) & (complete >= regression + 1), "requires target/factor columns and complete regression history"),
-        (f"Pair {pair}-day model", (tickers >= 2) & (complete >= pair + 1), f"requires two series and {pair + 1} common complete rows"),
-        ("PCA", (tickers >= pca_tickers) & (complete >= regression + 1), "requires selected universe and complete training history"),
-        ("OU", n >= 20, "requires at least 20 residual observations after residual construction"),
-        ("Walk-forward", n >= max(pair + 21, benchmark + 21), "requires training history plus forward outcomes"),
-    ]
-    rows = F.array(*(F.struct(F.lit(m).alias("model"), F.when(ok, "sufficient").otherwise("insufficient").alias("status"), F.lit(why).alias("reason")) for m, ok, why in checks))
-    return c.select(F.inline(rows))
+    c = by_day.agg(F.count("*").alias("dates"), F.coalesce(F.max("all"), F.lit(0)).alias("tickers"), F.count_if(F.col("have") == F.col("all")).alias("complete rows"))
+    rows = []
+    for key, needs in model_needs(**windows).items():
+        parts = [(n, what) for n, what in zip(needs, ("dates", "tickers", "complete rows"), strict=True) if n]
+        ok = F.lit(True)
+        for n, what in parts:
+            ok = ok & (F.col(what) >= n)
+        reason = "needs " + " and ".join(f"{n} {what}" for n, what in parts)
+        rows.append(F.struct(F.lit(MODELS[key].format(pair=windows.get("pair", 252))).alias("model"), F.when(ok, "sufficient").otherwise("insufficient").alias("status"), F.lit(reason).alias("reason")))
+    return c.select(F.inline(F.array(*rows)))
 
 
 def violations(panel: DataFrame) -> DataFrame:
@@ -61,8 +70,10 @@ def violations(panel: DataFrame) -> DataFrame:
 
 
 def validated(panel: DataFrame) -> DataFrame:
-    """The panel, or an error that names what is wrong."""
+    """The panel, or an error that names what is wrong; a price at or below zero is wrong in any row."""
     bad = {k: v for k, v in violations(panel).first().asDict().items() if v}
+    if panel.where("price <= 0").take(1):
+        bad["nonpositive_prices"] = True
     if panel.where("trim(coalesce(ticker, '')) = ''").take(1):
         bad["empty_tickers"] = True
     if bad:

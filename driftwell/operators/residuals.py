@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwell.functions import reasons as why
 from driftwell.sources.panels import halo
 
 EPSILON = 1e-12
@@ -41,13 +42,21 @@ def rebased(panel: DataFrame) -> DataFrame:
     return panel.join(first, "ticker", "left").withColumn("rebased", F.col("price") / F.col("first")).drop("first")
 
 
+def checked(panel: DataFrame) -> DataFrame:
+    """The panel; a price at or below zero raises, whatever columns are asked for."""
+    bad = F.raise_error(F.concat(F.col("ticker"), F.lit(f": {why.NOT_POSITIVE}"))).cast("boolean")
+    return panel.where(F.when(F.col("price") <= 0, bad).otherwise(F.lit(True)))
+
+
 def chronological_split(panel: DataFrame, *, train: float = 0.6, validation: float = 0.2) -> DataFrame:
-    """Adds ``split`` by position, never at random; each part must have rows."""
+    """Adds ``split`` by position, never at random; each part must have rows, or reading any column raises."""
+    if not (train > 0 and validation >= 0 and train + validation < 1):
+        raise ValueError("train and validation must leave a share for the test")
     n = panel.agg((F.max("pos") + 1).alias("n"))
     a, b = F.floor(F.col("n") * train), F.floor(F.col("n") * (train + validation))
     split = F.when(F.col("pos") < a, "train").when(F.col("pos") < b, "validation").otherwise("test")
-    fine = (a > 0) & (b > a) & (b < F.col("n"))
-    return panel.join(F.broadcast(n)).withColumn("split", F.when(fine, split).otherwise(F.raise_error(F.lit("every split needs rows")))).drop("n")
+    fine = F.when((a > 0) & (b > a) & (b < F.col("n")), F.lit(True)).otherwise(F.raise_error(F.lit("every split needs rows")).cast("boolean"))
+    return panel.join(F.broadcast(n)).where(fine).withColumn("split", split).drop("n")  # n is one row
 
 
 def guarded(numerator: Column, denominator: Column) -> Column:
@@ -69,7 +78,7 @@ def prior_zscore(df: DataFrame, value: str, window: int, *, keys: tuple[str, ...
 
 def zscore_benchmark(panel: DataFrame, window: int = 60) -> DataFrame:
     """Log price against its prior mean and sample deviation; valid where a z-score exists."""
-    return prior_zscore(panel.withColumn("log_price", F.ln("price")), "log_price", window).withColumn("valid", F.col("zscore").isNotNull())
+    return prior_zscore(checked(panel).withColumn("log_price", F.ln("price")), "log_price", window).withColumn("valid", F.col("zscore").isNotNull())
 
 
 def r_squared(y: str, x: str, w) -> Column:
@@ -81,7 +90,7 @@ def r_squared(y: str, x: str, w) -> Column:
 def trend_residual(panel: DataFrame, window: int = 126, zscore_window: int | None = None) -> DataFrame:
     """Log price against the line through the ``window`` rows before, and the prior z-score of that residual."""
     w = _over(["ticker"], -window, -1)
-    df = halo(panel.withColumn("log_price", F.ln("price")).withColumn("x", F.col("pos").cast("double")), window, ["ticker"])
+    df = halo(checked(panel).withColumn("log_price", F.ln("price")).withColumn("x", F.col("pos").cast("double")), window, ["ticker"])
     full = (F.count("log_price").over(w) == window) & F.col("log_price").isNotNull()
     slope, intercept = F.regr_slope("log_price", "x").over(w), F.regr_intercept("log_price", "x").over(w)
     df = df.withColumn("slope", F.when(full, slope)).withColumn("line", F.when(full, intercept)).withColumn("r_squared", F.when(full, r_squared("log_price", "x", w)))
@@ -92,7 +101,13 @@ def trend_residual(panel: DataFrame, window: int = 126, zscore_window: int | Non
 
 def factor_frame(panel: DataFrame, market: str, sector: str | None = None) -> DataFrame:
     """Log returns y of every other ticker beside those of the market (x) and the sector (s) on the same date."""
-    r = returns(panel)
+    names = [t for t in (market, sector) if t is not None]
+    if len(set(names)) != len(names):
+        raise ValueError("market and sector must be distinct")
+    there = {r["ticker"] for r in panel.where(F.col("ticker").isin(names)).select("ticker").distinct().collect()}  # two at most
+    if there != set(names):
+        raise ValueError(f"{why.UNKNOWN}: {', '.join(sorted(set(names) - there))}")
+    r = returns(checked(panel))
     of = lambda name, alias: r.where(F.col("ticker") == name).select("pos", F.col("ret").alias(alias))
     df = r.where(~F.col("ticker").isin([t for t in (market, sector) if t])).withColumnRenamed("ret", "y").join(of(market, "x"), "pos", "left")
     return df.join(of(sector, "s"), "pos", "left") if sector else df
@@ -133,17 +148,21 @@ def accumulated(df: DataFrame, value: str, window: int = 20, *, keys: tuple[str,
     return _own(df.withColumn("state", F.when(F.count(value).over(w) == window, F.sum(value).over(w))))
 
 
-def pair_frame(panel: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(target, peer, ts, pos, t, p, rt, rp) of the given pairs (target, peer), or of all ordered pairs of tickers."""
-    r = returns(panel).withColumn("log_price", F.ln("price"))
+def pair_frame(panel: DataFrame, pairs: DataFrame | None = None, *, strict: bool = True) -> DataFrame:
+    """(target, peer, ts, pos, t, p, rt, rp) of the given pairs (target, peer), or of all ordered pairs of tickers.
+
+    Prices at or below zero raise; with ``strict`` off they are missing. A regression of A on B is not that of B on
+    A, so both orders are made; a list of pairs keeps the work to what is wanted.
+    """
+    r = returns(checked(panel) if strict else panel.withColumn("price", F.when(F.col("price") > 0, F.col("price")))).withColumn("log_price", F.ln("price"))
     left = r.select(F.col("ticker").alias("target"), "ts", "pos", F.col("log_price").alias("t"), F.col("ret").alias("rt"))
     right = r.select(F.col("ticker").alias("peer"), "pos", F.col("log_price").alias("p"), F.col("ret").alias("rp"))
     if pairs is None:
         return left.join(right, "pos").where("target <> peer")
-    return left.join(F.broadcast(pairs.where("target <> peer").distinct()), "target").join(right, ["peer", "pos"])
+    return left.join(pairs.where("target <> peer").distinct(), "target").join(right, ["peer", "pos"])  # Spark broadcasts the list if it is small
 
 
-def pair_spread(panel: DataFrame, *, window: int = 252, threshold: float = 2.0, pairs: DataFrame | None = None) -> DataFrame:
+def pair_spread(panel: DataFrame, *, window: int = 252, threshold: float = 2.0, pairs: DataFrame | None = None, strict: bool = True) -> DataFrame:
     """Each target's log price against its peer's, by the prior window's regression; without the cointegration test.
 
     ``valid`` asks for a full window and a spread deviation above zero; ``state`` places the z-score.
@@ -151,7 +170,7 @@ def pair_spread(panel: DataFrame, *, window: int = 252, threshold: float = 2.0,
     if window < 20 or threshold <= 0:
         raise ValueError("window must be at least 20 and the threshold positive")
     keys = ["target", "peer"]
-    df = halo(pair_frame(panel, pairs), window, keys)
+    df = halo(pair_frame(panel, pairs, strict=strict), window, keys)
     w, back = _over(keys, -window, -1), _over(keys, -(window - 1), -1)
     complete = F.col("t").isNotNull() & F.col("p").isNotNull()
     df = df.withColumn("ok", F.when(complete, 1))
@@ -162,8 +181,8 @@ def pair_spread(panel: DataFrame, *, window: int = 252, threshold: float = 2.0,
     df = df.withColumn("spread_std", F.when(fit, F.sqrt(F.greatest(F.regr_syy("t", "p").over(w) * (1 - F.regr_r2("t", "p").over(w)), F.lit(0.0)) / (window - 1))))
     df = df.withColumn("return_correlation", F.when(fit, F.corr("rt", "rp").over(back))).withColumn("spread", F.col("t") - F.col("alpha") - F.col("beta") * F.col("p"))
     df = df.withColumn("zscore", guarded(F.col("spread"), F.col("spread_std"))).withColumn("valid", F.col("zscore").isNotNull())
-    reason = F.when(~enough, "Insufficient prior complete observations.").when(~(full & complete), "Missing target or peer price in the prior window or current observation.")
-    df = df.withColumn("invalid_reason", reason.when(~F.col("valid"), "Prior-window spread standard deviation is effectively zero.").otherwise(""))
+    reason = F.when(~enough, why.PAIR_SHORT).when(~(full & complete), why.PAIR_MISSING)
+    df = df.withColumn("invalid_reason", reason.when(~F.col("valid"), why.PAIR_FLAT).otherwise(""))
     return _own(df.withColumn("state", pair_state(F.col("zscore"), threshold))).drop("ok", "rt", "rp")
 
 
@@ -179,25 +198,38 @@ def latest(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def peer_ranking(panel: DataFrame, *, target: str, peers: list[str] | None = None, as_of=None, window: int = 252, threshold: float = 2.0, cointegration: bool = True) -> DataFrame:
-    """Peers of a target as of a date: valid ones first, by p-value, then name; only valid ones are ranked."""
+    """Peers of a target as of a date: valid ones first, by p-value, then name; only valid ones are ranked.
+
+    Every peer asked for has a row: an unknown one, or one that meets the target at a price at or below zero, is an
+    invalid row with its reason. Peers asked for twice count once; the target itself is passed over.
+    """
     from driftwell.operators.stationarity import engle_granger_last
 
+    spark = panel.sparkSession
     panel = panel if as_of is None else panel.where(F.col("ts") <= F.lit(as_of))
     names = panel.select(F.col("ticker").alias("peer")).distinct()
     if peers is not None:
-        names = names.where(F.col("peer").isin(list(peers)))
-    pairs = names.select(F.lit(target).alias("target"), "peer")
-    df = pair_spread(panel, window=window, threshold=threshold, pairs=pairs)
+        names = spark.createDataFrame([(p,) for p in dict.fromkeys(peers)], "peer string")
+    pairs = names.where(F.col("peer") != target).select(F.lit(target).alias("target"), "peer")
+    df = pair_spread(panel, window=window, threshold=threshold, pairs=pairs, strict=False)
     counts = df.groupBy("target", "peer").agg(F.sum(F.col("valid").cast("long")).alias("valid_observation_count"))
-    table = latest(df, ["target", "peer"]).join(counts, ["target", "peer"])
+    own = panel.where((F.col("ticker") == target) & F.col("price").isNotNull()).select("pos", F.col("price").alias("own"))
+    low = panel.where("price is not null").join(own, "pos").groupBy(F.col("ticker").alias("peer")).agg((F.min(F.least("price", "own")) <= 0).alias("low"))
+    table = pairs.join(latest(df, ["target", "peer"]), ["target", "peer"], "left").join(counts, ["target", "peer"], "left").join(low, "peer", "left")
     if cointegration:
-        table = table.join(engle_granger_last(pair_frame(panel, pairs), window), ["target", "peer"], "left")
-        table = table.withColumn("valid", F.col("valid") & F.col("cointegration_pvalue").isNotNull())
+        table = table.join(engle_granger_last(pair_frame(panel, pairs, strict=False), window), ["target", "peer"], "left")
     else:
         table = table.withColumn("cointegration_statistic", F.lit(None).cast("double")).withColumn("cointegration_pvalue", F.lit(None).cast("double"))
+    error = F.when(F.col("state").isNull(), F.concat(F.lit(f"{why.UNKNOWN}: "), F.col("peer"))).when(F.col("low"), F.lit(why.NOT_POSITIVE))
+    bad = error.isNotNull()
+    good = ~bad & F.col("valid") & (F.col("cointegration_pvalue").isNotNull() if cointegration else F.lit(True))
+    numbers = {"cointegration_pvalue": "cointegration_pvalue", "cointegration_statistic": "cointegration_statistic", "spread_std": "spread_volatility", "zscore": "spread_zscore", "r_squared": "r_squared", "return_correlation": "return_correlation"}
+    table = table.select(
+        "target", "peer", F.coalesce(good, F.lit(False)).alias("valid"), F.coalesce(error, "invalid_reason").alias("invalid_reason"), *(F.when(~bad, F.col(c)).alias(name) for c, name in numbers.items()),
+        F.when(bad, 0).otherwise(F.col("valid_observation_count")).cast("long").alias("valid_observation_count"), F.when(bad, "INVALID").otherwise(F.col("state")).alias("relative_state"),
+    )
     order = Window.partitionBy("target").orderBy(F.desc("valid"), F.asc_nulls_last("cointegration_pvalue"), F.asc("peer"))
-    table = table.withColumn("place", F.row_number().over(order)).withColumn("research_rank", F.when(F.col("valid"), F.col("place"))).drop("place")
-    return table.select("target", "peer", "valid", "invalid_reason", "cointegration_pvalue", "cointegration_statistic", F.col("spread_std").alias("spread_volatility"), F.col("zscore").alias("spread_zscore"), "r_squared", "return_correlation", "valid_observation_count", F.col("state").alias("relative_state"), "research_rank")
+    return table.withColumn("place", F.row_number().over(order)).withColumn("research_rank", F.when(F.col("valid"), F.col("place"))).drop("place")
 
 
 def cross_sectional(panel: DataFrame, value: str = "ret", *, minimum: int = 3, threshold: float = 2.0) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from driftwell.functions.settings import DataSettings
 from driftwell.operators.quality import validated
 from driftwell.operators.residuals import complete_rows
 from driftwell.sources.panels import densify, from_wide, to_wide
@@ -87,6 +88,10 @@ class CsvSource:
     complete_only: bool = False
     minimum_observations: int = 2
 
+    @classmethod
+    def of(cls, spark: SparkSession, settings: DataSettings) -> CsvSource:
+        return cls(spark, settings.date_column, settings.drop_incomplete_rows, settings.minimum_observations)
+
     def load(self, path: str) -> DataFrame:
         panel = validated(wide_panel(read_text_csv(self.spark, path), date_col=self.date_col))
         if self.complete_only:

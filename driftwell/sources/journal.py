@@ -1,10 +1,13 @@
-"""An append-only journal of frozen predictions and their later evaluations, as Parquet tables.
+"""A journal of frozen predictions and their later evaluations, as Parquet tables.
 
-Rows are inserted if their key is new; nothing is updated. Payloads are JSON text in canonical form.
+Rows are inserted if their key is new; snapshots are replaced only where both the journal and the call allow it. One
+writer at a time holds the journal's lock file, so that two cannot both find a key missing. Payloads are JSON text in
+canonical form.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import uuid
@@ -46,6 +49,7 @@ def insert_if_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> Da
 class Journal:
     spark: SparkSession
     root: str
+    allow_overwrite: bool = False
 
     def _read(self, name: str, schema: str) -> DataFrame:
         try:
@@ -55,19 +59,57 @@ class Journal:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _append(self, name: str, schema: str, rows: DataFrame, keys: list[str]) -> None:
-        there = self._read(name, schema)
-        rows = rows.cache()
+    def _path(self, name: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    @contextlib.contextmanager
+    def _locked(self):
+        path, fs = self._path("_lock")
+        fs.mkdirs(path.getParent())
+        try:
+            fs.create(path, False).close()  # fails if it is there
+        except Exception as e:
+            raise RuntimeError(f"another writer holds {path}; remove it if that writer is gone") from e
         try:
-            if rows.groupBy(*keys).count().where("count > 1").take(1) or rows.join(there, keys, "left_semi").take(1):
-                raise FileExistsError(f"{name}: a row with that key is there already")
-            rows.write.mode("append").parquet(f"{self.root}/{name}")
+            yield
         finally:
-            rows.unpersist()
-
-    def save_snapshots(self, rows: list[dict] | DataFrame) -> None:
-        df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, SNAPSHOTS)
-        self._append("snapshots", SNAPSHOTS, df, ["prediction_id"])
+            fs.delete(path, False)
+
+    def _rows(self, rows: list[dict] | DataFrame, schema: str) -> DataFrame:
+        """The rows in the journal's columns and kinds; columns that are not the journal's raise."""
+        if not isinstance(rows, DataFrame):
+            return self.spark.createDataFrame(rows, schema)
+        kinds = self.spark.createDataFrame([], schema).schema
+        if other := set(rows.columns) - set(kinds.names):
+            raise ValueError(f"not columns of the journal: {sorted(other)}")
+        return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds))
+
+    def _append(self, name: str, schema: str, rows: DataFrame, keys: list[str], replace: bool = False) -> None:
+        with self._locked():
+            there = self._read(name, schema)
+            new = f"{name}-new"
+            rows.write.mode("overwrite").parquet(f"{self.root}/{new}")  # computed once
+            rows = self.spark.read.schema(schema).parquet(f"{self.root}/{new}")
+            old, fs = self._path(new)
+            try:
+                if rows.groupBy(*keys).count().where("count > 1").take(1):
+                    raise FileExistsError(f"{name}: a key stands twice")
+                if not rows.join(there, keys, "left_semi").take(1):
+                    rows.write.mode("append").parquet(f"{self.root}/{name}")
+                elif not replace:
+                    raise FileExistsError(f"{name}: a row with that key is there already")
+                else:
+                    there.join(rows, keys, "left_anti").select(*rows.columns).unionByName(rows).write.mode("overwrite").parquet(f"{self.root}/{name}-whole")
+                    whole, table = self._path(f"{name}-whole")[0], self._path(name)[0]
+                    fs.delete(table, True)
+                    fs.rename(whole, table)
+            finally:
+                fs.delete(old, True)
+
+    def save_snapshots(self, rows: list[dict] | DataFrame, *, overwrite: bool = False) -> None:
+        """Inserts snapshots; known ones are replaced if ``overwrite`` is asked for here and allowed by the journal."""
+        self._append("snapshots", SNAPSHOTS, self._rows(rows, SNAPSHOTS), ["prediction_id"], overwrite and self.allow_overwrite)
 
     def snapshots(self) -> DataFrame:
         return self._read("snapshots", SNAPSHOTS)
@@ -82,7 +124,7 @@ class Journal:
         return self.snapshots().select("prediction_id").orderBy("prediction_id")
 
     def save_evaluations(self, rows: list[dict] | DataFrame) -> None:
-        df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, EVALUATIONS)
+        df = self._rows(rows, EVALUATIONS)
         known = df.join(self.snapshots().select("prediction_id"), "prediction_id", "left_anti")
         if known.take(1):
             raise KeyError("an evaluation needs its snapshot")

@@ -51,17 +51,17 @@ def to_wide(panel: DataFrame, tickers: list[str]) -> DataFrame:
     return panel.groupBy("ts").pivot("ticker", tickers).agg(F.first("price")).orderBy("ts")
 
 
-def halo(panel: DataFrame, back: int, keys: list[str], block: int = 16_384) -> DataFrame:
-    """Adds ``part`` and ``own``: a series is cut into blocks of positions, each led by copies of the ``back`` rows before.
+def halo(panel: DataFrame, back: int, keys: list[str], block: int = 16_384, *, ahead: int = 0) -> DataFrame:
+    """Adds ``part`` and ``own``: a series is cut into blocks of positions, with copies of the ``back`` rows before and ``ahead`` rows after.
 
-    Windows of up to ``back`` prior rows can then be partitioned by keys and part, so that one long series is many
-    tasks; rows that are not ``own`` are dropped afterwards. ``pos`` must be dense within keys.
+    Windows of up to ``back`` prior and ``ahead`` later rows can then be partitioned by keys and part, so that one long
+    series is many tasks; rows that are not ``own`` are dropped afterwards. ``pos`` must be dense within keys.
     """
-    size = max(block, 4 * back)
+    size = max(block, 4 * max(back, ahead))
     part = F.floor(F.col("pos") / size)
-    lead = F.col("pos") % size >= size - back
-    both = F.when(lead, F.array(part, part + 1)).otherwise(F.array(part))
-    return panel.withColumn("part", F.explode(both)).withColumn("own", F.col("part") == part)
+    at = F.col("pos") % size
+    parts = F.array_compact(F.array(part, F.when(at >= size - back, part + 1) if back else F.lit(None).cast("long"), F.when((at < ahead) & (part > 0), part - 1) if ahead else F.lit(None).cast("long")))
+    return panel.withColumn("part", F.explode(parts)).withColumn("own", F.col("part") == part)
 
 
 # The same panels as SQL, for checks: common table expressions `cells` and `panel`.

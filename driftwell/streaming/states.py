@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from driftwell.operators.folds import KALMAN_COLUMNS, KalmanNoise, benchmark_action, kalman_step, next_position
+from driftwell.operators.folds import KALMAN_COLUMNS, KalmanNoise, benchmark_action, checked_action, kalman_step, next_position
 from driftwell.operators.live import classify_live, evaluations
 
 
@@ -33,7 +33,8 @@ def kalman_stream(pairs: DataFrame, noise: KalmanNoise = KalmanNoise()) -> DataF
                 continue
             s, row = kalman_step(s, t, p, noise)
             last = at
-            rows.append((*key, ts, *row))
+            if row:
+                rows.append((*key, ts, *row))
         state.update((*s, last))
         if rows:
             yield pd.DataFrame(rows, columns=["target", "peer", "ts", *KALMAN_COLUMNS])
@@ -71,4 +72,27 @@ def signal_stream(prices: DataFrame, *, window: int = 60, entry: float = 2.0, ex
     return prices.groupBy("ticker").applyInPandasWithState(step, "ticker string, ts timestamp, price double, zscore double, action string, position string", "logs array<double>, position string, last double", "append", GroupStateTimeout.NoTimeout)
 
 
-__all__ = ["evaluations", "kalman_stream", "live_evaluations", "signal_stream"]
+def hook_stream(prices: DataFrame, hook, *, history: int) -> DataFrame:
+    """Actions of a user's hook(last ``history`` prices as a pandas Series by ts, position) over a stream (ticker, ts, price)."""
+    if history < 1:
+        raise ValueError("the hook needs a row of history")
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, seen, position = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], "FLAT")
+        rows = []
+        for ts, price in pd.concat(list(frames)).sort_values("ts")[["ts", "price"]].itertuples(index=False):
+            at = pd.Timestamp(ts).timestamp()
+            if times and at <= times[-1]:
+                continue
+            times, seen = [*times, at][-history:], [*seen, price][-history:]
+            action = checked_action(hook(pd.Series(seen, index=pd.to_datetime(times, unit="s"), dtype=float), position))
+            position = next_position(position, action)
+            rows.append((key[0], ts, price, action, position))
+        state.update((times, seen, position))
+        if rows:
+            yield pd.DataFrame(rows, columns=["ticker", "ts", "price", "action", "position"])
+
+    return prices.groupBy("ticker").applyInPandasWithState(step, "ticker string, ts timestamp, price double, action string, position string", "times array<double>, seen array<double>, position string", "append", GroupStateTimeout.NoTimeout)
+
+
+__all__ = ["evaluations", "hook_stream", "kalman_stream", "live_evaluations", "signal_stream"]

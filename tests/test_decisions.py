@@ -54,6 +54,42 @@ def test_backtest(prices):
         bt.run_backtest(prices, window=20, hook=lambda h, p: 1)["full_signals"].collect()
 
 
+def test_predicted_probabilities_meet_their_events(spark, prices):
+    got = bt.run_backtest(prices, window=20, entry=1.0)
+    events = got["events"].select("ticker", "signal_date").distinct()
+    some = events.orderBy("signal_date").limit(1).withColumn("predicted", F.lit(0.75))
+    buckets = {r.low: r.observations for r in bt.run_backtest(prices, window=20, entry=1.0, predicted=some)["calibration"].collect()}
+    assert buckets[0.7] == len(bt.HORIZONS) and sum(buckets.values()) == len(bt.HORIZONS)
+
+
+def test_hook_with_bounded_history(prices):
+    seen = []
+
+    def hook(history, position):
+        assert len(history) <= 5 and not history.to_numpy().flags.writeable
+        return "ENTER_LONG" if history.index[-1].day == 9 else "EXIT_LONG" if history.index[-1].day == 20 else "WAIT"
+
+    got = folds.hook_signals(prices, hook, history=5).where("action <> 'WAIT'").count()
+    assert got >= 4 and not seen
+    with pytest.raises(ValueError):
+        folds.hook_signals(prices, hook, history=0)
+
+
+def test_long_series_of_signals_are_cut_into_blocks_without_a_trace(prices, monkeypatch):
+    signals = folds.benchmark_signals(bt.zscore_benchmark(prices, 20).select("ticker", "ts", "pos", "price", "zscore"), entry=1.0)
+    pick = lambda: (sorted(map(str, bt.event_study(signals, stop_boundary=2.0).collect())), sorted(map(str, bt.trades(signals).collect())))
+    whole, halo = pick(), bt.halo
+    monkeypatch.setattr(bt, "halo", lambda df, back, keys, block=32, *, ahead=0: halo(df, back, keys, 8, ahead=ahead))
+    assert pick() == whole and len(whole[0]) > 5
+
+
+def test_kalman_passes_over_what_it_cannot_weigh():
+    noise = folds.KalmanNoise()
+    state, row = folds.kalman_step((0.0, 1.0, 1e308, 0.0, 1e308), 1.0, 1e10, noise)
+    assert row is None and state == (0.0, 1.0, 1e308, 0.0, 1e308)
+    assert folds.kalman_step(noise.start(), 1.0, 1.0, noise)[1] is not None
+
+
 def test_open_trade_and_late_signal_are_dropped(spark):
     p = [("A", dt.date(2024, 1, i + 1), i, 100.0 + i, z, a) for i, (z, a) in enumerate([(-2.0, "ENTER_LONG"), (0.0, "EXIT_LONG"), (2.0, "ENTER_SHORT"), (0.0, "EXIT_SHORT")])]
     got = bt.trades(spark.createDataFrame(p, "ticker string, ts date, pos long, price double, zscore double, action string")).collect()
@@ -142,6 +178,9 @@ def test_live(spark):
         got = live.classify_live(q, spark.createDataFrame([(*FROZEN, position)], live.FROZEN)).orderBy("ts").collect()
         assert [r.state for r in got] == want
     assert got[1].fraction_reverted == pytest.approx(4 / 3) and got[0].implied_exit == pytest.approx(math.exp(0.1 + 0.9 * math.log(50))) and got[1].distance_to_entry == pytest.approx(0.3) and got[0].implied_short_entry is None
+    rows = live.classify_live(q, spark.createDataFrame([(*FROZEN, "FLAT")], live.FROZEN)).withColumn("data_cutoff", F.lit("2024-12-31").cast("timestamp"))
+    kept = live.evaluations(rows).orderBy("evaluation_timestamp").collect()
+    assert [(r.elapsed_trading_days, r.evaluation_horizon) for r in kept] == [(1, "1 trading days"), (2, "2 trading days"), (3, "3 trading days")]  # Wednesday to Friday
     assert live.evaluations(live.classify_live(q.union(q), spark.createDataFrame([(*FROZEN, "FLAT")], live.FROZEN))).count() == 3
     with pytest.raises(Exception):  # noqa: B017
         live.classify_live(q.withColumn("peer_price", F.lit(-1.0)), spark.createDataFrame([(*FROZEN, "FLAT")], live.FROZEN)).collect()
@@ -162,7 +201,21 @@ def test_journal(spark, tmp_path):
         j.save_evaluations([e])
     with pytest.raises(KeyError):
         j.save_evaluations([e | {"prediction_id": "none"}])
-    assert j.evaluations(row["prediction_id"]).count() == 1 and [r.prediction_id for r in j.list_snapshots().collect()] == [row["prediction_id"]]
+    q = live.classify_live(quotes(spark, 0.1).withColumn("data_cutoff", F.lit(at)), spark.createDataFrame([(*FROZEN, "FLAT")], live.FROZEN)).withColumn("prediction_id", F.lit(row["prediction_id"]))
+    j.save_evaluations(live.evaluations(q.withColumn("ts", F.lit(dt.datetime(2025, 1, 7)))))
+    last = j.evaluations(row["prediction_id"]).collect()[-1]
+    assert last.elapsed_trading_days == 3 and last.live_prices.keys() == {"A", "B"}
+    with pytest.raises(ValueError):
+        j.save_evaluations(live.evaluations(q).withColumn("elapsed_days", F.lit(1)))
+    with pytest.raises(FileExistsError):
+        j.save_snapshots([row | {"notes": "n"}], overwrite=True)
+    Journal(spark, j.root, allow_overwrite=True).save_snapshots([row | {"notes": "n"}], overwrite=True)
+    assert j.load_snapshot(row["prediction_id"])["notes"] == "n" and j.snapshots().count() == 1
+    (tmp_path / "journal" / "_lock").write_text("")
+    with pytest.raises(RuntimeError):
+        j.save_evaluations([e | {"evaluation_timestamp": dt.datetime(2025, 2, 1)}])
+    (tmp_path / "journal" / "_lock").unlink()
+    assert j.evaluations(row["prediction_id"]).count() == 2 and [r.prediction_id for r in j.list_snapshots().collect()] == [row["prediction_id"]]
     with pytest.raises(ValueError):
         new_snapshot(target_ticker="A", current_price=-1, data_cutoff=at, created_at=at, frequency="daily", data_source="t", model_version="1", outputs={})
 
@@ -210,6 +263,58 @@ def test_payloads_positions_and_tails(spark, prices):
     assert len(tail) == 7 and tail[-1].pos == state.count() - 1 == 99
 
 
+def test_explanations_and_records(spark):
+    df = spark.createDataFrame([("e", "WAIT", 1.5, None)], "entity string, action string, z double, note string")
+    items = [ev.explained("Deviation", F.col("z"), F.lit(2.0), F.lit("CAUTION"), "near the boundary"), ev.explained("Fit", F.lit("no"), F.lit("yes"), F.lit("FAIL")), ev.explained("Regime", F.lit("-"), F.lit("-"), F.lit("NOT_APPLICABLE"))]
+    r = ev.explain(df, items, "action").first()
+    assert [i.status for i in r.why] == ["CAUTION", "FAIL", "NOT_APPLICABLE"] and r.blocking == ["Fit"] and r.explained_action == "WAIT" and r.why[0].explanation == "near the boundary"
+    assert ev.explain(df, [], "action").first().blocking == []
+    with pytest.raises(Exception, match="not a status"):
+        ev.explain(df, [ev.explained("x", F.lit(1), F.lit(1), F.lit("MAYBE"))], "action").collect()
+    full = ev.explain(df, items, "action")
+    back = ev.from_records(ev.to_records(full, ["entity"]), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in full.drop("entity").schema))
+    assert back.first().asDict(True) == full.first().asDict(True)
+
+
+def test_settings():
+    from driftwell.functions.settings import DataSettings, WindowSettings
+
+    assert DataSettings().frequency == "daily" and WindowSettings().annual == 252
+    for bad in (lambda: DataSettings(frequency="x"), lambda: DataSettings(date_column=" "), lambda: DataSettings(minimum_observations=1), lambda: WindowSettings(short=0), lambda: WindowSettings(short=300)):
+        with pytest.raises(ValueError):
+            bad()
+    for bad in ({"kappa": 0}, {"sigma": -1}, {"dt": 0}, {"grid_points": 4}, {"horizon": 0}, {"grid_min": 3.0}, {"long_stop": 2.5}):
+        with pytest.raises(ValueError):
+            StoppingConfig(**{"theta": 0.0, "kappa": 0.1, "sigma": 0.1} | bad)
+
+
+def test_sample_paths(spark):
+    near = passage.boundary_candidates(spark, -0.5, "LONG_RESIDUAL", [0.0], [-1.0]).withColumn("candidate", F.lit(0))
+    rows = passage.sample_paths(near, theta=0.0, kappa=0.1, sigma=0.2, paths=50, samples=7, horizon=12, seed=4).collect()
+    assert len(rows) == 7 * 13 and {r.x for r in rows if r.step == 0} == {-0.5}
+    got = passage.simulate(0.0, 0.1, 0.2, -0.5, 0.0, -1.0, "LONG_RESIDUAL", paths=50, horizon=12, seed=4)
+    ended = {p: x for p, x in enumerate(got["exit_time"][:7]) if x == x}
+    by = {(r.path, r.step): r.x for r in rows}
+    assert all(by[p, int(t)] >= 0 and by[p, 12] == by[p, int(t)] for p, t in ended.items())
+
+
+def test_hook_on_a_stream(spark, tmp_path, prices):
+    from driftwell.streaming.states import hook_stream
+
+    src = prices.select("ticker", F.col("ts").cast("timestamp").alias("ts"), "price")
+    src.where("ts < '2024-03-01'").coalesce(1).write.parquet(f"{tmp_path}/h")
+    src.where("ts >= '2024-03-01'").coalesce(1).write.mode("append").parquet(f"{tmp_path}/h")
+
+    def hook(history, position):
+        up = len(history) == 5 and history.iloc[-1] > history.mean()
+        return ("ENTER_LONG" if up else "WAIT") if position == "FLAT" else ("HOLD_LONG" if up else "EXIT_LONG")
+
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/h")
+    got = {r.ts.date(): r.action for r in drain(hook_stream(stream, hook, history=5), "hooked", spark).collect()}
+    want = {r.ts: r.action for r in folds.hook_signals(prices, hook, history=5).collect()}
+    assert got == want and len(got) == 120
+
+
 def test_monitor_is_gated(spark, prices):
     from driftwell.plans.monitor import decision_monitor
 
