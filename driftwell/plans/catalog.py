@@ -6,6 +6,7 @@ Dates are given as text and inexact numbers rounded to six digits, at the very e
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,11 +91,17 @@ def data_quality(spark, sf):
     return out(df, *df.columns)
 
 
+def _readiness_sql() -> str:
+    parts = []
+    for key, needs in quality.model_needs().items():
+        asked = [(n, column, what) for n, column, what in zip(needs, ("n", "t", "k"), ("dates", "tickers", "complete rows"), strict=True) if n]
+        reason = "needs " + " and ".join(f"{n} {what}" for n, _, what in asked)
+        parts.append(f"SELECT '{quality.MODELS[key].format(pair=252)}' AS model, {' AND '.join(f'{c} >= {n}' for n, c, _ in asked)} AS ok, '{reason}' AS reason FROM c")
+    return " UNION ALL ".join(parts)
+
+
 @query("model_readiness", f"""WITH {DAY}, d AS (SELECT ts, COUNT(price) AS have, COUNT(*) AS a FROM panel GROUP BY ts), c AS (SELECT COUNT(*) AS n, MAX(a) AS t, COUNT(*) FILTER (WHERE have = a) AS k FROM d),
-m AS (SELECT 'Basic benchmark' AS model, n >= 61 AS ok, 'requires 61 observations' AS reason FROM c UNION ALL SELECT 'Trend model', n >= 127, 'requires 127 observations' FROM c
-UNION ALL SELECT 'Factor model', t >= 2 AND k >= 127, 'requires target/factor columns and complete regression history' FROM c UNION ALL SELECT 'Pair 252-day model', t >= 2 AND k >= 253, 'requires two series and 253 common complete rows' FROM c
-UNION ALL SELECT 'PCA', t >= 3 AND k >= 127, 'requires selected universe and complete training history' FROM c UNION ALL SELECT 'OU', n >= 20, 'requires at least 20 residual observations after residual construction' FROM c
-UNION ALL SELECT 'Walk-forward', n >= 273, 'requires training history plus forward outcomes' FROM c) SELECT model, CASE WHEN ok THEN 'sufficient' ELSE 'insufficient' END AS status, reason FROM m""")
+m AS ({_readiness_sql()}) SELECT model, CASE WHEN ok THEN 'sufficient' ELSE 'insufficient' END AS status, reason FROM m""")
 def model_readiness(spark, sf):
     return quality.model_readiness(daily(spark, sf))
 
@@ -116,19 +123,24 @@ def chronological_split(spark, sf):
     return rs.chronological_split(daily(spark, sf)).groupBy("split").agg(F.count("*").alias("n_cells"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
-@query("wide_panel", f"WITH {WEEK} SELECT {TS}, ROUND(MAX(CASE WHEN ticker = 'AF' THEN price END), 6) AS \"AF\", ROUND(MAX(CASE WHEN ticker = 'RF' THEN price END), 6) AS \"RF\" FROM panel GROUP BY ts")
+TICKERS = ("AF", "AO", "NF", "NO", "RF", "RO")  # all that the weekly panel can have
+
+
+@query("wide_panel", f"WITH {WEEK} SELECT {TS}, " + ", ".join(f"ROUND(MAX(CASE WHEN ticker = '{t}' THEN price END), 6) AS \"{t}\"" for t in TICKERS) + " FROM panel GROUP BY ts")
 def wide_panel(spark, sf):
-    return out(pn.to_wide(weekly(spark, sf).where("ticker in ('AF', 'RF')"), ["AF", "RF"]), "ts", "AF", "RF")
+    return out(pn.to_wide(weekly(spark, sf), list(TICKERS)), "ts", *TICKERS)
 
 
-@query("repeated_pairs", f"""WITH {WEEK}, a AS (SELECT CAST(ts AS VARCHAR) || ' 00:00:00' AS ts, price FROM cells WHERE ticker = 'AF' AND pos_even), b AS (SELECT CAST(ts AS VARCHAR) || ' 00:00:00' AS ts, price FROM cells WHERE ticker = 'RF')
-SELECT COALESCE(a.ts, b.ts) AS ts, ROUND(a.price, 6) AS af, ROUND(b.price, 6) AS rf FROM a FULL OUTER JOIN b ON a.ts = b.ts""".replace(" AND pos_even", " AND EXTRACT(DAY FROM ts) < 20"))
+@query("repeated_pairs", f"WITH {WEEK} SELECT CAST(ts AS VARCHAR) || ' 00:00:00' AS ts, " + ", ".join(f"ROUND(MAX(CASE WHEN ticker = '{t}' THEN price END), 6) AS {t.lower()}" for t in TICKERS) + " FROM cells GROUP BY ts")
 def repeated_pairs(spark, sf):
-    cells = weekly(spark, sf).where("price is not null").withColumn("n", F.col("pos").cast("string"))
-    a = cells.where("ticker = 'AF' and day(ts) < 20").select("n", F.col("ts").cast("string").alias("AF Date"), F.col("price").cast("string").alias("AF PX"))
-    b = cells.where("ticker = 'RF'").select("n", F.col("ts").cast("string").alias("RF Date"), F.col("price").cast("string").alias("RF PX"))
-    panel = repeated_pairs_panel(a.join(b, "n", "full"), [SeriesMapping("af", "AF Date", "AF PX"), SeriesMapping("rf", "RF Date", "RF PX")])
-    return out(pn.to_wide(panel, ["af", "rf"]), "ts", "af", "rf")
+    """Every series with a date column of its own, its rows closed up, so that the dates of a row differ where cells are missing."""
+    from pyspark.sql import Window
+
+    cells = weekly(spark, sf).where("price is not null").withColumn("n", F.row_number().over(Window.partitionBy("ticker").orderBy("ts")))
+    of = lambda t, c: F.max(F.when(F.col("ticker") == t, F.col(c).cast("string")))
+    raw = cells.groupBy("n").agg(*(of(t, c).alias(f"{t} {name}") for t in TICKERS for c, name in (("ts", "Date"), ("price", "PX"))))
+    panel = repeated_pairs_panel(raw, [SeriesMapping(t.lower(), f"{t} Date", f"{t} PX") for t in TICKERS])
+    return out(pn.to_wide(panel, [t.lower() for t in TICKERS]), "ts", *(t.lower() for t in TICKERS))
 
 
 # ---- residual models
@@ -252,13 +264,9 @@ def pca_loadings(spark, sf):
     return out(pca.latest_loadings(weekly(spark, sf), window=PAIR, components=0.8), "ticker", "component", "loading", "explained", "cumulative")
 
 
-@query("pca_two_asset", f"""WITH {WEEK}, r AS ({RET}), j AS (SELECT a.ts, a.pos, a.ret AS x, b.ret AS y FROM r a JOIN r b ON a.pos = b.pos WHERE a.ticker = 'AF' AND b.ticker = 'RF'),
-k AS (SELECT *, COUNT(x + y) OVER w AS c, AVG(x) OVER w AS mx, AVG(y) OVER w AS my, STDDEV_POP(x) OVER w AS sx, STDDEV_POP(y) OVER w AS sy, CASE WHEN CORR(x, y) OVER w >= 0 THEN 1 ELSE -1 END AS s FROM j WINDOW w AS (ORDER BY pos ROWS BETWEEN {PAIR} PRECEDING AND 1 PRECEDING)),
-m AS (SELECT *, (x - mx) / sx AS zx, (y - my) / sy AS zy FROM k WHERE c = {PAIR} AND x IS NOT NULL AND y IS NOT NULL AND pos > {PAIR})
-SELECT 'AF' AS ticker, {TS}, ROUND((zx + s * zy) / 2 * sx + mx, 6) AS reconstructed, ROUND(x - ((zx + s * zy) / 2 * sx + mx), 6) AS residual FROM m UNION ALL SELECT 'RF', {TS}, ROUND((zy + s * zx) / 2 * sy + my, 6), ROUND(y - ((zy + s * zx) / 2 * sy + my), 6) FROM m""")
-def pca_two_asset(spark, sf):
-    panel = pn.densify(weekly(spark, sf).where("ticker in ('AF', 'RF')").select("ticker", "ts", "price"))
-    return out(pca.rolling_pca(panel, window=PAIR).where("reconstructed is not null"), "ticker", "ts", "reconstructed", "residual")
+@query("pca_explained")
+def pca_explained(spark, sf):
+    return out(pca.explained_variance(weekly(spark, sf), window=PAIR, components=0.8), "ts", "component", "explained", "cumulative")
 
 
 KALMAN_SQL = """WITH RECURSIVE {WEEK}, k0 AS (SELECT a.ts, a.pos, LN(a.price) AS t, LN(b.price) AS p FROM panel a JOIN panel b ON a.pos = b.pos WHERE a.ticker = 'AF' AND b.ticker = 'RF'),
@@ -305,7 +313,8 @@ def ou_ar1(spark, sf):
 
 @query("ou_comparison", f"WITH {WEEK}, {STATE_SQL}, " + _ou_sql(FIT_SOURCE, "ticker, method", "CASE WHEN valid THEN 0e0 END AS kappa_difference, ", ", (SELECT 'AR1' AS method UNION ALL SELECT 'MLE')"))
 def ou_comparison(spark, sf):
-    return out(ou.compare_estimators(ou.fit_ou(ou_state(spark, sf), "x", keys=["ticker"]), ["ticker"]), "ticker", "method", *OU_OUT, "kappa_difference", "valid")
+    state = ou_state(spark, sf)
+    return out(ou.compare_estimators(ou.fit_ou(state, "x", keys=["ticker"]), ["ticker"], ou.fit_ou(state, "x", keys=["ticker"], method="MLE")), "ticker", "method", *OU_OUT, "kappa_difference", "valid")
 
 
 @query("rolling_ou", f"""WITH {WEEK}, lp AS (SELECT ticker, ts, pos, LN(price) AS y, LAG(LN(price)) OVER (PARTITION BY ticker ORDER BY pos) AS l FROM panel), lq AS (SELECT ticker, ts, pos, y, CASE WHEN y IS NOT NULL THEN l END AS x, CASE WHEN l IS NOT NULL THEN y END AS y2 FROM lp),
@@ -325,18 +334,20 @@ def ou_forecast_band(spark, sf):
     return out(ou.forecast(fits, "x", [0.0, 1.0, 5.0, 20.0]), "ticker", "horizon", "mean", "deviation", "lower", "upper")
 
 
-HEDGE_SOURCE = "SELECT i, beta, COUNT(*) AS n, COUNT(y) AS m, REGR_SLOPE(y, x) AS b, REGR_INTERCEPT(y, x) AS a, REGR_SYY(y, x) * (1 - REGR_R2(y, x)) AS sse, VAR_POP(x) AS v, 0 AS bad FROM e GROUP BY i, beta"
+HEDGE_SOURCE = "SELECT target, peer, i, beta, COUNT(*) AS n, COUNT(y) AS m, REGR_SLOPE(y, x) AS b, REGR_INTERCEPT(y, x) AS a, REGR_SYY(y, x) * (1 - REGR_R2(y, x)) AS sse, VAR_POP(x) AS v, 0 AS bad FROM e GROUP BY target, peer, i, beta"
+HEDGE_SQL = f"""WITH {WEEK}, d AS (SELECT a.ticker AS target, b.ticker AS peer, a.pos, LN(a.price) AS t, LN(b.price) AS p FROM panel a JOIN panel b ON a.pos = b.pos AND a.ticker <> b.ticker WHERE a.price IS NOT NULL AND b.price IS NOT NULL),
+d2 AS (SELECT target, peer, t, p, LEAD(t) OVER w AS t2, LEAD(p) OVER w AS p2 FROM d WINDOW w AS (PARTITION BY target, peer ORDER BY pos)), e AS (SELECT target, peer, i, -3e0 + i * (6e0 / 60) AS beta, t - (-3e0 + i * (6e0 / 60)) * p AS x, t2 - (-3e0 + i * (6e0 / 60)) * p2 AS y FROM d2, RANGE(0, 61) r(i)),
+{_ou_sql(HEDGE_SOURCE, "*", "CASE WHEN n >= 40 THEN log_likelihood / (n - 1) END AS objective, ", "").replace(", " + r6(*OU_OUT), "").replace("valid FROM fits", "valid AS ok FROM fits")}""".replace(" SELECT *, CASE WHEN n >= 40", ", grid AS (SELECT *, CASE WHEN n >= 40") + ")"
 
 
-@query("hedge_grid", f"""WITH {WEEK}, d AS (SELECT a.pos, LN(a.price) AS t, LN(b.price) AS p FROM panel a JOIN panel b ON a.pos = b.pos WHERE a.ticker = 'AF' AND b.ticker = 'RF' AND a.price IS NOT NULL AND b.price IS NOT NULL),
-d2 AS (SELECT t, p, LEAD(t) OVER (ORDER BY pos) AS t2, LEAD(p) OVER (ORDER BY pos) AS p2 FROM d), e AS (SELECT i, -3e0 + i * (6e0 / 60) AS beta, t - (-3e0 + i * (6e0 / 60)) * p AS x, t2 - (-3e0 + i * (6e0 / 60)) * p2 AS y FROM d2, RANGE(0, 61) r(i)),
-{_ou_sql(HEDGE_SOURCE, "ROUND(beta, 6) AS beta", "ROUND(CASE WHEN n >= 40 THEN log_likelihood / (n - 1) END, 6) AS objective, ", "")}""".replace(", ROUND(log_likelihood, 6) AS log_likelihood", ""))
+@query("hedge_grid", f"{HEDGE_SQL} SELECT target, peer, ROUND(beta, 6) AS beta, {r6('objective', 'theta', 'kappa', 'sigma', 'half_life')}, valid FROM grid")
 def hedge_grid(spark, sf):
-    pairs = rs.pair_frame(weekly(spark, sf), spark.createDataFrame([("AF", "RF")], "target string, peer string"))
-    return out(ou.hedge_ratio_grid(pairs)[0], "beta", "objective", "theta", "kappa", "sigma", "half_life", "valid")
+    return out(ou.hedge_ratio_grid(rs.pair_frame(weekly(spark, sf)))[0], "target", "peer", "beta", "objective", "theta", "kappa", "sigma", "half_life", "valid")
 
 
-@query("hedge_best")
+@query("hedge_best", f"""{HEDGE_SQL}, o AS (SELECT *, LEAD(objective) OVER w AS second, ROW_NUMBER() OVER w AS place FROM grid WINDOW w AS (PARTITION BY target, peer ORDER BY objective DESC NULLS LAST, beta))
+SELECT target, peer, CASE WHEN objective IS NOT NULL THEN ROUND(beta, 6) END AS optimal_beta, {r6('objective', 'theta', 'kappa', 'sigma', 'half_life')}, COALESCE(ABS(objective - second) <= 0.001, FALSE) AS weakly_identified,
+CASE WHEN n < 40 THEN 'Insufficient historical observations.' WHEN objective IS NULL THEN 'No valid OU fit in hedge-ratio grid.' END AS invalid_reason FROM o WHERE place = 1""")
 def hedge_best(spark, sf):
     df = ou.hedge_ratio_grid(rs.pair_frame(weekly(spark, sf)))[1]
     return out(df, *df.columns)
@@ -388,29 +399,81 @@ def first_passage_deterministic(spark, sf):
     return out(df, "exit", "stop", "exit_before_stop", "stop_before_exit", "mean_exit_time")
 
 
-def _policy(spark):
-    return stopping.policy_table(spark, [(stopping.StoppingConfig(0.0, k, 0.3), COSTS) for k in (0.05, 0.1, 0.2)])
-
-
-@query("stopping_policy")
+def _configs(spark, sf):
+    """A policy problem for every ticker whose state has a valid fit: the grid spans three stationary deviations, stops lie between its points, unlike on both sides, so that no two actions tie."""
+    fits = ou.fit_ou(ou_state(spark, sf), "x", keys=["ticker"]).where("valid")
+    sd, c = F.col("sigma") / F.sqrt(2 * F.col("kappa")), F.col("theta")
+    df = fits.select(F.col("ticker").alias("config_id"), "theta", "kappa", "sigma", "half_life", (c - 3 * sd).alias("grid_min"), (c + 3 * sd).alias("grid_max"), (c - 2.475 * sd).alias("long_stop"), (c + 2.325 * sd).alias("short_stop"))
+    return df.withColumns({k: F.lit(v) for k, v in asdict(COSTS).items()})
+
+
+def _policy(spark, sf):
+    return stopping.policy_frame(_configs(spark, sf))
+
+
+def _double_factorials(n: int) -> str:
+    """2^k / (2k + 1)!!, the coefficients of the error function's series without alternating signs."""
+    c, out = 1.0, []
+    for k in range(n):
+        out.append(f"{c!r}" if "e" in repr(c) else f"{c!r}e0")
+        c *= 2 / (2 * k + 3)
+    return "[" + ", ".join(out) + "]"
+
+
+_enter, _leave = (COSTS.trade(1.0, e) for e in (True, False))
+_points = "RANGE(0, 121)"
+POLICY_SQL = f"""WITH RECURSIVE {WEEK}, {STATE_SQL}, {_ou_sql(FIT_SOURCE, 'ticker', '', '').rsplit(' SELECT ticker', 1)[0]}, cfg AS (SELECT ticker AS config_id, theta, kappa, sigma, half_life, sigma / SQRT(2 * kappa) AS sd, SQRT(sigma * sigma * (1 - EXP(-2 * kappa)) / (2 * kappa)) AS move FROM fits WHERE valid),
+cg AS (SELECT *, theta - 3 * sd AS lo, (theta + 3 * sd - (theta - 3 * sd)) / 120e0 AS step, theta - 2.475e0 * sd AS long_stop, theta + 2.325e0 * sd AS short_stop FROM cfg),
+xs AS (SELECT cg.*, i, CASE WHEN i = 120 THEN theta + 3 * sd ELSE i * step + lo END AS x FROM cg, (SELECT UNNEST({_points}) AS i)),
+z0 AS (SELECT a.config_id, a.i, b.j, (b.edge - (a.theta + (a.x - a.theta) * EXP(-a.kappa))) / a.move / SQRT(2e0) AS z FROM xs a JOIN (SELECT config_id, i AS j, x - step / 2 AS edge FROM xs UNION ALL SELECT config_id, 121, x + step / 2 FROM xs WHERE i = 120) b ON a.config_id = b.config_id),
+z1 AS (SELECT config_id, i, j, 0.5e0 * (1 + CASE WHEN z > 6 THEN 1 WHEN z < -6 THEN -1 ELSE 2 / SQRT(PI()) * EXP(-z * z) * LIST_DOT_PRODUCT(LIST_TRANSFORM(RANGE(0, 120), lambda k: POWER(z, 2 * k + 1)), {_double_factorials(120)}) END) AS cdf FROM z0),
+z2 AS (SELECT config_id, i, j, LEAD(cdf) OVER (PARTITION BY config_id, i ORDER BY j) - cdf AS mass FROM z1), z3 AS (SELECT config_id, i, j, mass / SUM(mass) OVER (PARTITION BY config_id, i) AS mass FROM z2 WHERE j <= 120),
+z4 AS (SELECT z3.config_id, z3.i, LIST(mass ORDER BY j) AS row, SUM(mass * xs.x) AS ahead FROM z3 JOIN xs ON xs.config_id = z3.config_id AND xs.i = z3.j GROUP BY 1, 2),
+mm AS (SELECT config_id, LIST(row ORDER BY i) AS m, LIST(ahead - x ORDER BY i) AS drift, LIST(x ORDER BY i) AS x, ANY_VALUE(long_stop) AS long_stop, ANY_VALUE(short_stop) AS short_stop, ANY_VALUE(half_life) AS half_life FROM z4 JOIN xs USING (config_id, i) GROUP BY config_id),
+val(config_id, k, up, down) AS (SELECT config_id, 0, LIST_TRANSFORM({_points}, lambda i: -{_leave!r}e0), LIST_TRANSFORM({_points}, lambda i: -{_leave!r}e0) FROM mm UNION ALL
+SELECT val.config_id, k + 1, LIST_TRANSFORM({_points}, lambda i: CASE WHEN x[i + 1] <= long_stop THEN -{_leave!r}e0 ELSE GREATEST(-{_leave!r}e0, {COSTS.discount()!r}e0 * (LIST_DOT_PRODUCT(m[i + 1], up) + drift[i + 1])) END),
+LIST_TRANSFORM({_points}, lambda i: CASE WHEN x[i + 1] >= short_stop THEN -{_leave!r}e0 ELSE GREATEST(-{_leave!r}e0, {COSTS.discount()!r}e0 * (LIST_DOT_PRODUCT(m[i + 1], down) - drift[i + 1])) END) FROM val JOIN mm ON mm.config_id = val.config_id WHERE k < 30),
+sc AS (SELECT mm.config_id, i, mm.x[i + 1] AS x, mm.x[i + 1] <= long_stop AS out_long, mm.x[i + 1] >= short_stop AS out_short, {COSTS.discount()!r}e0 * (LIST_DOT_PRODUCT(m[i + 1], a.up) + drift[i + 1]) AS hold_long, {COSTS.discount()!r}e0 * (LIST_DOT_PRODUCT(m[i + 1], a.down) - drift[i + 1]) AS hold_short,
+{COSTS.discount()!r}e0 * LIST_DOT_PRODUCT(m[i + 1], b.up) AS go_long, {COSTS.discount()!r}e0 * LIST_DOT_PRODUCT(m[i + 1], b.down) AS go_short FROM mm JOIN val a ON a.config_id = mm.config_id AND a.k = 29 JOIN val b ON b.config_id = mm.config_id AND b.k = 30, (SELECT UNNEST({_points}) AS i)),
+open AS (SELECT config_id, i, x, 'FLAT' AS position, 'WAIT' AS action, 0 AS n, 0e0 AS score FROM sc UNION ALL SELECT config_id, i, x, 'FLAT', 'ENTER_LONG', 1, go_long - {{enter}} FROM sc UNION ALL SELECT config_id, i, x, 'FLAT', 'ENTER_SHORT', 2, go_short - {{enter}} FROM sc
+UNION ALL SELECT config_id, i, x, 'LONG_RESIDUAL', 'HOLD_LONG', 0, CASE WHEN NOT out_long THEN hold_long END FROM sc UNION ALL SELECT config_id, i, x, 'LONG_RESIDUAL', 'EXIT_LONG', 1, CASE WHEN NOT out_long THEN -{_leave!r}e0 END FROM sc UNION ALL SELECT config_id, i, x, 'LONG_RESIDUAL', 'STOP_LONG', 2, CASE WHEN out_long THEN -{_leave!r}e0 END FROM sc
+UNION ALL SELECT config_id, i, x, 'SHORT_RESIDUAL', 'HOLD_SHORT', 0, CASE WHEN NOT out_short THEN hold_short END FROM sc UNION ALL SELECT config_id, i, x, 'SHORT_RESIDUAL', 'EXIT_SHORT', 1, CASE WHEN NOT out_short THEN -{_leave!r}e0 END FROM sc UNION ALL SELECT config_id, i, x, 'SHORT_RESIDUAL', 'STOP_SHORT', 2, CASE WHEN out_short THEN -{_leave!r}e0 END FROM sc),
+policy AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY config_id, i, position{{group}} ORDER BY score DESC NULLS LAST, n) = 1 AS chosen FROM open)"""
+ONE_POLICY = POLICY_SQL.replace("{enter}", f"{_enter!r}e0").replace("{group}", "")
+ISLANDS = "SELECT *, i - ROW_NUMBER() OVER (PARTITION BY config_id, action{group} ORDER BY i) AS island FROM policy WHERE position = 'FLAT' AND action <> 'WAIT' AND chosen"
+
+
+@query("stopping_policy", f"{ONE_POLICY} SELECT config_id, CAST(i AS INTEGER) AS idx, ROUND(x, 6) AS x, position, action, ROUND(score, 6) AS score, chosen FROM policy")
 def stopping_policy(spark, sf):
-    return out(_policy(spark), "config_id", "idx", "x", "position", "action", "score", "chosen")
+    return out(_policy(spark, sf), "config_id", "idx", "x", "position", "action", "score", "chosen")
 
 
-@query("policy_regions")
+@query("policy_regions", f"{ONE_POLICY}, isl AS ({ISLANDS.replace('{group}', '')}) SELECT config_id, action, ROUND(MIN(x), 6) AS start, ROUND(MAX(x), 6) AS \"end\" FROM isl GROUP BY config_id, action, island")
 def policy_regions(spark, sf):
-    return out(stopping.regions(_policy(spark), "FLAT", "ENTER_LONG"), "config_id", "start", "end")
+    policy = _policy(spark, sf)
+    parts = [stopping.regions(policy, "FLAT", a).withColumn("action", F.lit(a)) for a in ("ENTER_LONG", "ENTER_SHORT")]
+    return out(parts[0].unionByName(parts[1]), "config_id", "action", "start", "end")
+
+
+ENTRY_COSTS = (0.0, 0.1, 0.3, 0.6)
 
 
-@query("cost_sensitivity")
+@query("cost_sensitivity", POLICY_SQL.replace("{enter}", f"({_enter - COSTS.fixed_entry_cost!r}e0 + fec)").replace("{group}", ", fec").replace("sc AS (SELECT mm.config_id", "sc AS (SELECT fec, mm.config_id").replace(f", (SELECT UNNEST({_points}) AS i)),\nopen", f", (SELECT UNNEST({_points}) AS i), (SELECT UNNEST({[float(c) for c in ENTRY_COSTS]}) AS fec)),\nopen").replace("SELECT config_id, i, x, '", "SELECT fec, config_id, i, x, '")
+       + f", isl AS ({ISLANDS.replace('{group}', ', fec')}) SELECT config_id, CAST(fec AS DOUBLE) AS fixed_entry_cost, SUBSTR(action, 7) AS side, ROUND(MIN(x), 6) AS start, ROUND(MAX(x), 6) AS \"end\" FROM isl GROUP BY config_id, fec, action, island")
 def cost_sensitivity(spark, sf):
-    return out(stopping.sensitivity(spark, stopping.StoppingConfig(0.0, 0.1, 0.3), COSTS, [0.0, 0.1, 0.3, 0.6]), "fixed_entry_cost", "side", "start", "end")
+    return out(stopping.sensitivity(_configs(spark, sf), COSTS, list(ENTRY_COSTS)), "config_id", "fixed_entry_cost", "side", "start", "end")
 
 
-@query("policy_actions")
+@query("policy_actions", f"""{ONE_POLICY}, las AS (SELECT ticker AS config_id, pos, x AS now, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY pos DESC) AS back FROM st), sta AS (SELECT las.config_id, pos, now, back, position, half_life <= 60 AS gates_pass FROM las JOIN mm ON mm.config_id = las.config_id, (SELECT UNNEST(['FLAT', 'LONG_RESIDUAL', 'SHORT_RESIDUAL']) AS position) WHERE back <= 40),
+near AS (SELECT s.*, p.i, p.action, p.n, p.score, RANK() OVER (PARTITION BY s.config_id, s.pos, s.position ORDER BY ABS(p.x - s.now), p.i) AS r FROM sta s JOIN policy p ON p.config_id = s.config_id AND p.position = s.position),
+ord AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY config_id, pos, position ORDER BY score DESC NULLS LAST, n) AS place FROM near WHERE r = 1)
+SELECT config_id, ROUND(now, 6) AS "at", position, CASE WHEN NOT gates_pass THEN 'NO_SIGNAL' ELSE MAX(CASE WHEN place = 1 THEN action END) END AS action, MAX(CASE WHEN place = 1 THEN action END) AS best, ROUND(MAX(CASE WHEN place = 1 THEN score END), 6) AS value,
+MAX(CASE WHEN place = 2 THEN action END) AS next_action, ROUND(MAX(CASE WHEN place = 2 THEN score END), 6) AS next_value FROM ord GROUP BY config_id, pos, now, position, gates_pass""")
 def policy_actions(spark, sf):
-    states = spark.range(0, 60).select((F.col("id") % 3).cast("int").alias("config_id"), (F.col("id") / 10 - 3).alias("x"), F.element_at(F.array(*map(F.lit, stopping.POSITIONS)), (F.col("id") % 3 + 1).cast("int")).alias("position"), (F.col("id") % 7 != 0).alias("sufficient_data"), (F.col("id") % 5 != 0).alias("gates_pass"))
-    return out(stopping.act(_policy(spark), states), "config_id", "at", "position", "action", "best", "value", "next_action", "next_value")
+    """The last 40 states of every ticker under its own policy, in each position; the gate is the half-life."""
+    last = rs.tail_window(ou_state(spark, sf).withColumnRenamed("ticker", "config_id"), 40, ["config_id"]).join(_configs(spark, sf).select("config_id", (F.col("half_life") <= 60).alias("gates_pass")), "config_id")
+    states = last.select("config_id", "x", F.explode(F.array(*map(F.lit, stopping.POSITIONS))).alias("position"), F.lit(True).alias("sufficient_data"), "gates_pass")
+    return out(stopping.act(_policy(spark, sf), states), "config_id", "at", "position", "action", "best", "value", "next_action", "next_value")
 
 
 # ---- backtest

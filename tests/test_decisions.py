@@ -137,7 +137,7 @@ def test_policy(spark):
     assert region.start == -3 and region.end < 0
     states = spark.createDataFrame([(0, -2.0, "FLAT", True, True), (0, -2.0, "FLAT", False, True), (0, -2.0, "FLAT", True, False), (0, -2.9, "LONG_RESIDUAL", True, True)], "config_id int, x double, position string, sufficient_data boolean, gates_pass boolean")
     assert sorted(r.action for r in stopping.act(table, states).collect()) == ["ENTER_LONG", "INSUFFICIENT_DATA", "NO_SIGNAL", "STOP_LONG"]
-    assert {r.fixed_entry_cost for r in stopping.sensitivity(spark, c, CostModel(), [0.0, 5.0]).collect()} == {0.0}
+    assert {r.fixed_entry_cost for r in stopping.sensitivity(spark.createDataFrame([(7, 0.0, 0.2, 0.2)], "config_id int, theta double, kappa double, sigma double"), CostModel(), [0.0, 5.0]).where("config_id = 7").collect()} == {0.0}
     still = stopping.transition_masses(StoppingConfig(0.0, 0.2, 0.0), x)
     assert set(still.sum(axis=1)) == {1.0} and still.max() == 1.0
 
