@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwell.operators import backtest as bt
@@ -134,8 +134,6 @@ def wide_panel(spark, sf):
 @query("repeated_pairs", f"WITH {WEEK} SELECT CAST(ts AS VARCHAR) || ' 00:00:00' AS ts, " + ", ".join(f"ROUND(MAX(CASE WHEN ticker = '{t}' THEN price END), 6) AS {t.lower()}" for t in TICKERS) + " FROM cells GROUP BY ts")
 def repeated_pairs(spark, sf):
     """Every series with a date column of its own, its rows closed up, so that the dates of a row differ where cells are missing."""
-    from pyspark.sql import Window
-
     cells = weekly(spark, sf).where("price is not null").withColumn("n", F.row_number().over(Window.partitionBy("ticker").orderBy("ts")))
     of = lambda t, c: F.max(F.when(F.col("ticker") == t, F.col(c).cast("string")))
     raw = cells.groupBy("n").agg(*(of(t, c).alias(f"{t} {name}") for t in TICKERS for c, name in (("ts", "Date"), ("price", "PX"))))
@@ -299,8 +297,6 @@ FIT_SOURCE = "SELECT ticker, COUNT(*) AS n, COUNT(y) AS m, REGR_SLOPE(y, x) AS b
 
 def ou_state(spark, sf):
     """Running sums of trend residuals: a state with memory, on which an autoregression is worth fitting."""
-    from pyspark.sql import Window
-
     df = rs.trend_residual(weekly(spark, sf), TREND).where("trend_residual is not null")
     w = Window.partitionBy("ticker").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return df.select("ticker", "ts", "pos", F.sum("trend_residual").over(w).alias("x"))
@@ -379,8 +375,6 @@ def boundary_grid(spark, sf):
 
 
 def _candidates(spark):
-    from pyspark.sql import Window
-
     df = passage.boundary_candidates(spark, -0.5, "LONG_RESIDUAL", [-0.2, -0.1, 0.0], [-0.8, -1.0])
     return df.withColumn("candidate", F.row_number().over(Window.orderBy("exit", "stop")) - 1)
 
@@ -485,11 +479,12 @@ WHEN s.position = 'LONG_RESIDUAL' THEN CASE WHEN zs.zscore <= -{SIGNAL['stop']}
 ELSE CASE WHEN zs.zscore >= {SIGNAL['stop']} THEN 'STOP_SHORT' WHEN ABS(zs.zscore) <= {SIGNAL['exit']} THEN 'EXIT_SHORT' ELSE 'HOLD_SHORT' END END AS a FROM s JOIN zs ON zs.ticker = s.ticker AND zs.pos = s.pos + 1)),
 sig AS (SELECT zs.*, s.action, s.position FROM zs JOIN s ON s.ticker = zs.ticker AND s.pos = zs.pos)"""
 _cost = COSTS.trade(1.0, True) + COSTS.trade(1.0, False)
-TRADE_SQL = f"""{SIGNAL_SQL}, x0 AS (SELECT *, LEAD(price) OVER (PARTITION BY ticker ORDER BY pos) AS fill, MAX(pos) OVER (PARTITION BY ticker) AS last FROM sig),
+TRADE_TAIL = f"""x0 AS (SELECT *, LEAD(price) OVER (PARTITION BY ticker ORDER BY pos) AS fill, MAX(pos) OVER (PARTITION BY ticker) AS last FROM sig),
 x1 AS (SELECT *, action LIKE 'ENTER_%' AS opens FROM x0 WHERE (action LIKE 'ENTER_%' OR action LIKE 'EXIT_%' OR action LIKE 'STOP_%') AND pos + 1 <= last),
 x2 AS (SELECT *, LEAD(ts) OVER w AS exit_date, LEAD(fill) OVER w AS exit_price, LEAD(pos) OVER w AS exit_pos FROM x1 WINDOW w AS (PARTITION BY ticker ORDER BY pos)),
 trades AS (SELECT ticker, ts AS entry_date, exit_date, action AS direction, CASE WHEN action = 'ENTER_LONG' THEN 1 ELSE -1 END * (exit_price / fill - 1) AS gross_pnl, {_cost!r}e0 AS costs, CASE WHEN action = 'ENTER_LONG' THEN 1 ELSE -1 END * (exit_price / fill - 1) - {_cost!r}e0 AS net_pnl, exit_pos - pos AS holding_days, pos AS entry_pos FROM x2 WHERE opens AND exit_date IS NOT NULL),
 eq0 AS (SELECT *, SUM(net_pnl) OVER (PARTITION BY ticker ORDER BY entry_pos) AS equity FROM trades), eq AS (SELECT *, equity - MAX(equity) OVER (PARTITION BY ticker ORDER BY entry_pos) AS drawdown FROM eq0)"""
+TRADE_SQL = f"{SIGNAL_SQL}, {TRADE_TAIL}"
 
 
 def _event_sql() -> str:
@@ -536,12 +531,15 @@ def event_buckets(spark, sf):
     return out(_backtest(spark, sf)["buckets"], "ticker", "horizon_days", "observations", "average_fraction_reverted", "realized_exit_frequency")
 
 
-@query("backtest_metrics", f"""WITH RECURSIVE {WEEK}, {TRADE_SQL}, {_event_sql()}, mt AS (SELECT ticker, COUNT(*) AS trade_count, SUM(gross_pnl) AS gross_pnl, SUM(costs) AS costs, SUM(net_pnl) AS net_pnl, AVG(CAST(net_pnl > 0 AS DOUBLE)) AS win_rate, AVG(net_pnl) FILTER (WHERE net_pnl > 0) AS average_win, AVG(net_pnl) FILTER (WHERE net_pnl < 0) AS average_loss,
+METRICS_SQL = f"""mt AS (SELECT ticker, COUNT(*) AS trade_count, SUM(gross_pnl) AS gross_pnl, SUM(costs) AS costs, SUM(net_pnl) AS net_pnl, AVG(CAST(net_pnl > 0 AS DOUBLE)) AS win_rate, AVG(net_pnl) FILTER (WHERE net_pnl > 0) AS average_win, AVG(net_pnl) FILTER (WHERE net_pnl < 0) AS average_loss,
 MIN(drawdown) AS maximum_drawdown, CAST(COUNT(*) AS DOUBLE) AS turnover, AVG(holding_days) AS average_holding_period, MEDIAN(CAST(holding_days AS DOUBLE)) AS median_holding_period FROM eq GROUP BY ticker),
 me AS (SELECT ticker, COUNT(*) AS candidate_count, SUM(CAST(exit_reached AS BIGINT)) AS exit_count, SUM(CAST(stop_reached AS BIGINT)) AS stop_count, AVG(fraction_reverted) AS average_fraction_reverted, MEDIAN(fraction_reverted) AS median_fraction_reverted FROM events GROUP BY ticker)
 SELECT k.ticker, COALESCE(trade_count, 0) AS trade_count, ROUND(COALESCE(gross_pnl, 0), 6) AS gross_pnl, ROUND(COALESCE(costs, 0), 6) AS costs, ROUND(COALESCE(net_pnl, 0), 6) AS net_pnl, {r6('win_rate', 'average_win', 'average_loss')}, ROUND(COALESCE(maximum_drawdown, 0), 6) AS maximum_drawdown, ROUND(COALESCE(turnover, 0), 6) AS turnover,
 {r6('average_holding_period', 'median_holding_period')}, COALESCE(candidate_count, 0) AS candidate_count, CAST(COALESCE(exit_count, 0) AS BIGINT) AS exit_count, CAST(COALESCE(stop_count, 0) AS BIGINT) AS stop_count, {r6('average_fraction_reverted', 'median_fraction_reverted')}
-FROM (SELECT DISTINCT ticker FROM panel) k LEFT JOIN mt ON mt.ticker = k.ticker LEFT JOIN me ON me.ticker = k.ticker""")
+FROM (SELECT DISTINCT ticker FROM panel) k LEFT JOIN mt ON mt.ticker = k.ticker LEFT JOIN me ON me.ticker = k.ticker"""
+
+
+@query("backtest_metrics", f"WITH RECURSIVE {WEEK}, {TRADE_SQL}, {_event_sql()}, {METRICS_SQL}")
 def backtest_metrics(spark, sf):
     df = _backtest(spark, sf)["metrics"]
     return out(df, *df.columns)
@@ -554,30 +552,36 @@ def calibration(spark, sf):
     return out(bt.calibration(xs.select(F.col("percentile").alias("predicted"), (F.col("zscore") > 0).alias("realized"))), "low", "high", "observations", "average_predicted_probability", "actual_exit_frequency")
 
 
-@query("full_signal_backtest")
+MOMENTUM_SQL = f"""{Z_SQL.format(n=SIGNAL['window'])}, h0 AS (SELECT ticker, pos, CASE WHEN COUNT(price) OVER w = 5 THEN price > AVG(price) OVER w END AS rising FROM panel WINDOW w AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+s(ticker, pos, position, action) AS (SELECT ticker, pos, 'FLAT', 'INSUFFICIENT_DATA' FROM h0 WHERE pos = 0 UNION ALL SELECT ticker, pos, CASE a WHEN 'ENTER_LONG' THEN 'LONG_RESIDUAL' WHEN 'EXIT_LONG' THEN 'FLAT' ELSE position END, a
+FROM (SELECT h0.ticker, h0.pos, s.position, CASE WHEN rising IS NULL THEN 'INSUFFICIENT_DATA' WHEN s.position = 'FLAT' THEN CASE WHEN rising THEN 'ENTER_LONG' ELSE 'WAIT' END WHEN rising THEN 'HOLD_LONG' ELSE 'EXIT_LONG' END AS a FROM s JOIN h0 ON h0.ticker = s.ticker AND h0.pos = s.pos + 1)),
+sig AS (SELECT zs.*, s.action, s.position FROM zs JOIN s ON s.ticker = zs.ticker AND s.pos = zs.pos)"""
+
+
+@query("full_signal_backtest", f"WITH RECURSIVE {WEEK}, {MOMENTUM_SQL}, {TRADE_TAIL}, {_event_sql()}, {METRICS_SQL}")
 def full_signal_backtest(spark, sf):
     def momentum(history, position):
-        if len(history) < 5 or history.iloc[-5:].isna().any():
+        if len(history) < 5 or history.isna().any():
             return "INSUFFICIENT_DATA"
-        rising = history.iloc[-1] > history.iloc[-5:].mean()
+        rising = history.iloc[-1] > history.mean()
         return ("ENTER_LONG" if rising else "WAIT") if position == "FLAT" else ("HOLD_LONG" if rising else "EXIT_LONG")
 
-    df = bt.run_backtest(weekly(spark, sf), costs=COSTS, hook=momentum, **SIGNAL)["full_metrics"]
+    df = bt.run_backtest(weekly(spark, sf), costs=COSTS, hook=momentum, history=5, **SIGNAL)["full_metrics"]
     return out(df, *df.columns)
 
 
-@query("pair_trades", f"""WITH {WEEK}, j AS (SELECT a.ts, a.pos, a.price AS tp, b.price AS pp, LEAD(a.price) OVER (ORDER BY a.pos) AS t2, LEAD(b.price) OVER (ORDER BY a.pos) AS p2 FROM panel a JOIN panel b ON a.pos = b.pos WHERE a.ticker = 'AF' AND b.ticker = 'RF'),
+@query("pair_trades", f"""WITH {WEEK}, j AS (SELECT a.ticker AS target, b.ticker AS peer, a.ts, a.pos, a.price AS tp, b.price AS pp, LEAD(a.price) OVER w AS t2, LEAD(b.price) OVER w AS p2 FROM panel a JOIN panel b ON a.pos = b.pos AND a.ticker <> b.ticker WINDOW w AS (PARTITION BY a.ticker, b.ticker ORDER BY a.pos)),
 u AS (SELECT *, 1000e0 / (tp + 0.8e0 * pp) AS s FROM j WHERE t2 IS NOT NULL AND p2 IS NOT NULL AND tp IS NOT NULL AND pp IS NOT NULL), v AS (SELECT *, s * tp + 0.8e0 * s * pp AS gross_notional, s * (t2 - tp) - 0.8e0 * s * (p2 - pp) AS gross_pnl FROM u)
-SELECT {TS}, {r6('gross_notional', 'gross_pnl')}, ROUND(gross_notional * 0.0014e0 + 0.004e0, 6) AS costs, ROUND(gross_pnl - gross_notional * 0.0014e0 - 0.004e0, 6) AS net_pnl FROM v""")
+SELECT target, peer, {TS}, {r6('gross_notional', 'gross_pnl')}, ROUND(gross_notional * 0.0014e0 + 0.004e0, 6) AS costs, ROUND(gross_pnl - gross_notional * 0.0014e0 - 0.004e0, 6) AS net_pnl FROM v""")
 def pair_trades(spark, sf):
-    from pyspark.sql import Window
-
-    panel, w = weekly(spark, sf), Window.orderBy("pos")
-    a = panel.where("ticker = 'AF'").select("ts", "pos", F.col("price").alias("target_price"))
-    df = a.join(panel.where("ticker = 'RF'").select("pos", F.col("price").alias("peer_price")), "pos")
-    df = df.withColumn("exit_target_price", F.lead("target_price").over(w)).withColumn("exit_peer_price", F.lead("peer_price").over(w)).dropna()
-    df = df.withColumn("beta", F.lit(0.8)).withColumn("notional", F.lit(1000.0)).withColumn("multiplier", F.lit(1.0))
-    return out(bt.pair_trades(df, COSTS), "ts", "gross_notional", "gross_pnl", "costs", "net_pnl")
+    """A position of every ordered pair at every date, held to the next."""
+    panel = weekly(spark, sf)
+    now = pn.halo(panel, 0, ["ticker"], ahead=1)
+    now = now.withColumn("later", F.lead("price").over(Window.partitionBy("ticker", "part").orderBy("pos"))).where("own").select("ticker", "ts", "pos", "price", "later")
+    a = now.select(F.col("ticker").alias("target"), "ts", "pos", F.col("price").alias("target_price"), F.col("later").alias("exit_target_price"))
+    b = now.select(F.col("ticker").alias("peer"), "pos", F.col("price").alias("peer_price"), F.col("later").alias("exit_peer_price"))
+    df = a.join(b, "pos").where("target <> peer").dropna().withColumn("beta", F.lit(0.8)).withColumn("notional", F.lit(1000.0)).withColumn("multiplier", F.lit(1.0))
+    return out(bt.pair_trades(df, COSTS), "target", "peer", "ts", "gross_notional", "gross_pnl", "costs", "net_pnl")
 
 
 # ---- evidence and decisions
@@ -620,8 +624,6 @@ SELECT CAST(entity AS VARCHAR) AS entity, CASE WHEN NOT g1 THEN 'INSUFFICIENT_DA
 CASE WHEN NOT g1 THEN 'Insufficient data' WHEN failed <> '' THEN failed WHEN state = 'INSUFFICIENT_DATA' THEN 'No valid residual models' WHEN state = 'CONFLICTED' THEN 'Valid models have strong long/short disagreement' END AS invalid_reason,
 CASE WHEN failed = '' THEN ROUND(12 * LEAST(ABS(z) / 2.5e0, 1) + 13 * LEAST(1, GREATEST(0, agreement_percentage / 100)), 6) END AS confidence FROM d2""")
 def final_decision(spark, sf):
-    from pyspark.sql import Window
-
     df = _consensus(spark, sf).withColumn("i", F.row_number().over(Window.orderBy("entity")))
     i, yes = F.col("i"), F.lit(True)
     df = df.withColumns({"sufficient_data": i % 13 != 0, "residual_valid": yes, "stationarity_valid": i % 7 != 0, "ou_valid": yes, "half_life_acceptable": i % 5 != 0, "parameter_stable": yes})
@@ -629,23 +631,38 @@ def final_decision(spark, sf):
     return out(ev.final_decision(df), "entity", "action", "invalid_reason", "confidence")
 
 
-@query("live_classification", f"""WITH {WEEK}, q AS (SELECT a.ts, a.pos, a.price AS tp, b.price AS pp FROM panel a JOIN panel b ON a.pos = b.pos WHERE a.ticker = 'AF' AND b.ticker = 'RF' AND a.price IS NOT NULL AND b.price IS NOT NULL), f AS (SELECT 'p1' AS prediction_id, 'FLAT' AS position UNION ALL SELECT 'p2', 'LONG_RESIDUAL' UNION ALL SELECT 'p3', 'SHORT_RESIDUAL'),
-x AS (SELECT f.*, q.*, LN(tp) - 0.1e0 - 0.99e0 * LN(pp) AS r FROM q, f), y AS (SELECT *, CASE WHEN r >= -0.05 AND r <= -0.02 THEN 0 ELSE LEAST(ABS(r + 0.05e0), ABS(r + 0.02e0)) END AS le, CASE WHEN r >= 0.02 AND r <= 0.05 THEN 0 ELSE LEAST(ABS(r - 0.02e0), ABS(r - 0.05e0)) END AS se FROM x)
-SELECT prediction_id, {TS}, ROUND(r, 6) AS residual, CASE WHEN position = 'LONG_RESIDUAL' THEN CASE WHEN r <= -0.08 THEN 'STOP_REGION' WHEN r >= 0 THEN 'EXIT_REGION' ELSE 'HOLD' END WHEN position = 'SHORT_RESIDUAL' THEN CASE WHEN r >= 0.08 THEN 'STOP_REGION' WHEN r <= 0 THEN 'EXIT_REGION' ELSE 'HOLD' END WHEN le = 0 OR se = 0 THEN 'ENTRY_REGION' ELSE 'WAIT' END AS state,
-ROUND(LEAST(le, se), 6) AS distance_to_entry, ROUND(ABS(r), 6) AS distance_to_exit, ROUND(CASE position WHEN 'LONG_RESIDUAL' THEN ABS(r + 0.08e0) WHEN 'SHORT_RESIDUAL' THEN ABS(r - 0.08e0) END, 6) AS distance_to_stop, ROUND((-0.03e0 - r) / -0.03e0, 6) AS fraction_reverted, ROUND(EXP(0.1e0 + 0.99e0 * LN(pp)) / tp, 6) AS implied_exit_share FROM y""")
+FROZEN_POS = 104  # models are frozen from the panel's first two years and judged on what follows
+
+
+@query("live_classification", f"""WITH {WEEK}, q AS (SELECT a.ticker AS target, b.ticker AS peer, a.ts, a.pos, a.price AS tp, b.price AS pp, LN(a.price) AS t, LN(b.price) AS p FROM panel a JOIN panel b ON a.pos = b.pos AND a.ticker <> b.ticker WHERE a.price IS NOT NULL AND b.price IS NOT NULL),
+m AS (SELECT target, peer, REGR_SLOPE(t, p) AS beta, REGR_INTERCEPT(t, p) AS alpha, SQRT(REGR_SYY(t, p) * (1 - REGR_R2(t, p)) / (COUNT(*) - 1)) AS sd FROM q WHERE pos < {FROZEN_POS} GROUP BY target, peer),
+f AS (SELECT m.*, target || '-' || peer || '-' || position AS prediction_id, position FROM m, (SELECT UNNEST(['FLAT', 'LONG_RESIDUAL', 'SHORT_RESIDUAL']) AS position)),
+x AS (SELECT f.*, q.ts, q.tp, q.pp, q.t - alpha - beta * q.p AS r FROM q JOIN f ON f.target = q.target AND f.peer = q.peer WHERE q.pos >= {FROZEN_POS}),
+y AS (SELECT *, CASE WHEN r >= -2 * sd AND r <= -sd THEN 0 ELSE LEAST(ABS(r + 2 * sd), ABS(r + sd)) END AS le, CASE WHEN r >= sd AND r <= 2 * sd THEN 0 ELSE LEAST(ABS(r - sd), ABS(r - 2 * sd)) END AS se FROM x)
+SELECT prediction_id, {TS}, ROUND(r, 6) AS residual, CASE WHEN position = 'LONG_RESIDUAL' THEN CASE WHEN r <= -3 * sd THEN 'STOP_REGION' WHEN r >= 0 THEN 'EXIT_REGION' ELSE 'HOLD' END WHEN position = 'SHORT_RESIDUAL' THEN CASE WHEN r >= 3 * sd THEN 'STOP_REGION' WHEN r <= 0 THEN 'EXIT_REGION' ELSE 'HOLD' END WHEN le = 0 OR se = 0 THEN 'ENTRY_REGION' ELSE 'WAIT' END AS state,
+ROUND(LEAST(le, se), 6) AS distance_to_entry, ROUND(ABS(r), 6) AS distance_to_exit, ROUND(CASE position WHEN 'LONG_RESIDUAL' THEN ABS(r + 3 * sd) WHEN 'SHORT_RESIDUAL' THEN ABS(r - 3 * sd) END, 6) AS distance_to_stop, ROUND((-1.5e0 * sd - r) / (-1.5e0 * sd), 6) AS fraction_reverted, ROUND(EXP(alpha + beta * LN(pp)) / tp, 6) AS implied_exit_share FROM y""")
 def live_classification(spark, sf):
+    """Every ordered pair's later prices against a model frozen from its first two years, in each position."""
     panel = weekly(spark, sf).where("price is not null")
-    q = panel.where("ticker = 'AF'").select("ts", F.col("ticker").alias("target"), F.col("price").alias("target_price")).join(panel.where("ticker = 'RF'").select("ts", F.col("ticker").alias("peer"), F.col("price").alias("peer_price")), "ts")
-    rows = [(f"p{i}", "AF", "RF", 0.1, 0.99, -0.03, (-0.05, -0.02), (0.02, 0.05), 0.0, -0.08, 0.08, p) for i, p in enumerate(("FLAT", "LONG_RESIDUAL", "SHORT_RESIDUAL"), 1)]
-    df = live.classify_live(q, F.broadcast(spark.createDataFrame(rows, live.FROZEN)))
+    of = lambda side: panel.select("ts", "pos", F.col("ticker").alias(side), F.col("price").alias(f"{side}_price"))
+    quotes = of("target").join(of("peer").drop("ts"), "pos").where("target <> peer")
+    t, p = F.ln("target_price"), F.ln("peer_price")
+    fits = quotes.where(F.col("pos") < FROZEN_POS).groupBy("target", "peer").agg(F.regr_intercept(t, p).alias("alpha"), F.regr_slope(t, p).alias("beta"), F.sqrt(F.regr_syy(t, p) * (1 - F.regr_r2(t, p)) / (F.count("*") - 1)).alias("sd"))
+    sd, span = F.col("sd"), lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    frozen = fits.withColumn("position", F.explode(F.array(*map(F.lit, stopping.POSITIONS)))).select(
+        F.concat_ws("-", "target", "peer", "position").alias("prediction_id"), "target", "peer", "alpha", "beta", (-1.5 * sd).alias("initial_residual"), span(-2 * sd, -sd).alias("long_entry"), span(sd, 2 * sd).alias("short_entry"), F.lit(0.0).alias("exit"), (-3 * sd).alias("long_stop"), (3 * sd).alias("short_stop"), "position",
+    )
+    df = live.classify_live(quotes.where(F.col("pos") >= FROZEN_POS), frozen)
     df = df.withColumn("implied_exit_share", F.col("implied_exit") / F.col("target_price"))
     return out(df, "prediction_id", "ts", "residual", "state", "distance_to_entry", "distance_to_exit", "distance_to_stop", "fraction_reverted", "implied_exit_share")
 
 
-@query("journal_insert_if_absent", "SELECT DISTINCT o_orderkey AS prediction_id, 'new' AS source FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)")
+@query("journal_insert_if_absent", "SELECT o_orderkey AS prediction_id, o_orderstatus AS source FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def journal_insert(spark, sf):
-    orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("prediction_id"))
-    return insert_if_absent(orders.where("prediction_id % 2 = 0"), orders.where("prediction_id % 3 = 0").withColumn("source", F.lit("new")), ["prediction_id"])
+    """All orders against those that have a returned line."""
+    there = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("prediction_id"))
+    new = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("prediction_id"), F.col("o_orderstatus").alias("source"))
+    return insert_if_absent(there, new, ["prediction_id"])
 
 
 @query("decision_monitor")
