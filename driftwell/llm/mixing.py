@@ -108,15 +108,21 @@ def _slots(shards: int, per_shard: int, counts: np.ndarray, blocks: np.ndarray,
 
 
 class Mix:
-    """A drawn mix: ``documents`` (a row for each) and ``slots`` (shard, slot, source_no, block)."""
+    """A drawn mix: ``documents`` (a row for each) and ``slots`` (shard, slot, source_no, block).
 
-    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 64, per_shard: int = 4096, times: int = 3, seed: int = 20):
+    The figures of all sources are held by the driver and sent to every task, so more than ``MOST_SOURCES`` of them
+    raise ValueError. ``keep_texts`` puts the texts beside the rows' numbers in the scratch table, for ``blocks``.
+    """
+
+    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 64, per_shard: int = 4096, times: int = 3, seed: int = 20, keep_texts: bool = False):
         self.spark, self.block, self.times = docs.sparkSession, block, times
         self.scratch = Scratch(self.spark, "mix")
         size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-        self.source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
-        sized = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(text_col).alias("mark"))
-        sized = self.scratch.table(sized, "sized")
+        self.keep_texts = keep_texts
+        texts = [F.col(text_col).alias("text")] if keep_texts else []
+        sized = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(text_col).alias("mark"), *texts)
+        self.sized = self.scratch.table(sized, "sized")
+        sized = self.sized.drop("text")
         found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
         if len(found) > MOST_SOURCES:
             raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -157,8 +163,10 @@ class Mix:
 
     def blocks(self) -> DataFrame:
         """The mix itself: (shard, slot, source_no, block, text), each block's words joined by blanks."""
+        if not self.keep_texts:
+            raise ValueError("blocks of words need keep_texts")
         words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-        cut = self.pieces().join(self.source.select(F.monotonically_increasing_id().alias("row"), "text"), "row")
+        cut = self.pieces().join(self.sized.select("row", "text"), "row")
         cut = cut.select("source_no", "block", "place", F.array_join(F.slice(words, (F.col("from") + 1).cast("int"), F.col("words").cast("int")), " ").alias("t"))
         text = cut.groupBy("source_no", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "t"))), lambda x: x["t"]), " ").alias("text"))
         return self.slots.hint("merge").join(text, ["source_no", "block"])
@@ -169,6 +177,6 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 
     Null texts have size 0 and are never taken. Documents of a null source are a source of their own, last. Repeated
     and null ids keep their rows. A source without words has target 0. Other columns are ignored; an empty table
-    gives an empty result. Reruns draw the same mix.
+    gives an empty result. Reruns draw the same mix. More than 100,000 sources raise ValueError.
     """
     return Mix(docs, **options).documents()

@@ -97,4 +97,11 @@ m AS (SELECT doc_id, item_id, COUNT(*) AS c FROM d JOIN i USING (s) GROUP BY 1,
     "op5_vector_graph": f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.93),
 {_REACH.format(id='vec_id', table='embeddings')}, comp AS (SELECT a AS vec_id, MIN(b) AS component_id FROM reach GROUP BY a), n AS (SELECT a AS vec_id, COUNT(*) AS n FROM links GROUP BY a)
 SELECT vec_id, CAST(COALESCE(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM comp LEFT JOIN n USING (vec_id)""",
+    "op8_suffix_dedup": """WITH d AS (SELECT doc_id, HEX(ENCODE(COALESCE(text, ''))) AS h, OCTET_LENGTH(ENCODE(COALESCE(text, ''))) AS n FROM documents),
+c AS (SELECT doc_id, n, 1000 * q AS base, SUBSTR(h, 2000 * q + 1, 2100) AS part FROM (SELECT doc_id, h, n, UNNEST(RANGE(0, n // 1000 + 1)) AS q FROM d)),
+s AS (SELECT doc_id, base + r AS p, SUBSTR(part, 2 * r + 1, 100) AS g FROM (SELECT *, UNNEST(RANGE(0, LEAST(1000, GREATEST(0, n - 49 - base)))) AS r FROM c)), f AS (SELECT g, MIN(doc_id) AS first FROM s GROUP BY g),
+hit AS (SELECT s.doc_id, p, LAG(p) OVER (PARTITION BY s.doc_id ORDER BY p) AS prev FROM s JOIN f USING (g) WHERE first < s.doc_id), isl AS (SELECT *, SUM(CASE WHEN p <= prev + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM hit),
+runs AS (SELECT doc_id, k, MIN(p) AS a, MAX(p) + 50 AS b FROM isl GROUP BY doc_id, k), r AS (SELECT *, COALESCE(LAG(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+cut AS (SELECT r.doc_id, SUM(b - a) AS n_removed, COUNT(*) AS n_spans, STRING_AGG(SUBSTR(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || SUBSTR(ANY_VALUE(h), 2 * MAX(b) + 1) AS rest FROM r JOIN d USING (doc_id) GROUP BY r.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, CAST(COALESCE(n_spans, 0) AS BIGINT) AS n_spans, SHA256(UNHEX(COALESCE(rest, h))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)""",
 }

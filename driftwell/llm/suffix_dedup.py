@@ -402,7 +402,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     base = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"))
     ids = base.select("doc", F.xxhash64("text").alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), F.when(F.col("doc").isNull() | (F.octet_length("text") < LENGTH), F.sha2("text", 256)).alias("whole"))
     total = ids.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets, parts, shards = (int(min(1 << 20, max(12, total // size))) for size in (8_000_000, 8_000_000, 1_000_000))
+    buckets, parts, shards = (int(min(1 << 30, max(12, total // size))) for size in (8_000_000, 8_000_000, 1_000_000))
     long = base.where(F.col("doc").isNotNull() & (F.octet_length("text") >= LENGTH)).select(F.xxhash64("text").alias("key"), "doc", "text")
     names = [c.split()[0] for c in PACK.split(", ")]
 

@@ -128,7 +128,7 @@ def test_mixing(spark):
 
 def test_mixed_blocks_hold_the_words_taken(spark):
     rows = [(i, " ".join(f"d{i}" for _ in range(5 + 7 * i)), "ab"[i % 2]) for i in range(20)]
-    mix = Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=8, per_shard=16)
+    mix = Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=8, per_shard=16, keep_texts=True)
     words = {}
     for b in mix.blocks().collect():
         for w in b.text.split():
