@@ -2,9 +2,12 @@
 
 Validated numbers and dates are permuted within their own format by alternating Feistel rounds, keyed by a secret:
 digits stay digits at the same places, card numbers and IBANs get the check digits of their new body, dates stay
-dates, IPv4 addresses stay IPv4 addresses, mail addresses keep the shape of their local part and their domain. One
-value has one pseudonym under one key, so records stay linked across documents, and with the key the permutation
-is undone (``restore=True``). A number that fails its check (Luhn, mod 97, the calendar) is left as it is.
+dates, social security numbers stay ones that can be issued, IPv4 addresses stay IPv4 addresses, mail addresses keep
+the shape of their local part and their domain. One value has one pseudonym under one key, so records stay linked
+across documents, and with the key the permutation is undone (``restore=True``). A number that fails its check (Luhn,
+mod 97, the calendar, the ranges of social security numbers) is left as it is. Telephone numbers have no check and are
+taken by their shape. A date with slashes is read day first, and month first where that is no date. Not covered: IPv6
+addresses, letters of IBANs, domains of mail addresses, and local parts without a letter or digit of ``ALPHABETS``.
 """
 
 from __future__ import annotations
@@ -21,9 +24,14 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![\d/.-])(?:\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4})(?![\d/]|[.-]\d)",
     "ssn": r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
+    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
     "card": r"(?<![A-Za-z0-9])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![A-Za-z0-9])",
 }
+# First letter and number of letters of the runs within which letters are shifted, besides ASCII.
+ALPHABETS = (
+    ("À", 23), ("Ø", 7), ("à", 23), ("ø", 7), ("Α", 17), ("α", 25), ("А", 32), ("а", 32), ("א", 27), ("ء", 26), ("अ", 53), ("ก", 46), ("ぁ", 86), ("ァ", 90), ("一", 20_902), ("가", 11_172),
+)
+LETTERS = "a-zA-Z0-9" + "".join(f"{a}-{chr(ord(a) + n - 1)}" for a, n in ALPHABETS)
 ROUNDS = 8
 FIRST_DAY, DAYS, SIDES = "1900-01-01", 73_049, (270, 271)  # 1900 to 2099; the sides' product is just above
 
@@ -61,20 +69,28 @@ class _Cipher:
         text = lambda x, k: F.when(k == 0, F.lit("")).otherwise(F.lpad(x.cast("string"), k, "0"))
         return F.concat(text(got["l"], u), text(got["r"], v))
 
-    def day(self, d: Column) -> Column:
-        """A date of the range to another; walked until in range."""
+    def walked(self, x: Column, once, fine, steps: int) -> Column:
+        """Permuted until fine: a permutation of the fine values, as the one that is walked is one of all."""
+        return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), x, lambda acc, i: F.when((i == 0) | ~fine(acc), once(acc)).otherwise(acc))
+
+    def day(self, d: Column, month_first: bool = False) -> Column:
+        """A date of the range to another; month_first: to one after the 12th of its month."""
         x = F.datediff(d, F.lit(FIRST_DAY).cast("date")).cast("long")
         a, b = (F.lit(s).cast("long") for s in SIDES)
+        date = lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
 
         def once(x: Column) -> Column:
             got = self.feistel("date", F.floor(x / b), x % b, a, b, F.lit(0))
             return F.struct((got["l"] * b + got["r"]).alias("x"))["x"]
 
-        walked = F.aggregate(F.sequence(F.lit(0), F.lit(11)), x, lambda acc, i: F.when((i == 0) | (acc >= DAYS), once(acc)).otherwise(acc))
-        return F.date_add(F.lit(FIRST_DAY).cast("date"), walked.cast("int"))
+        return date(self.walked(x, once, lambda n: (n < DAYS) & (F.dayofmonth(date(n)) > 12 if month_first else F.lit(True)), 60 if month_first else 11))
+
+    def security(self, d: Column) -> Column:
+        """Nine digits of a social security number to those of another."""
+        return self.walked(d, lambda x: self.digits("ssn", x), issued, 14)
 
     def letters(self, s: Column) -> Column:
-        """ASCII letters and digits shifted within their kind, half against half; other characters stay."""
+        """Letters and digits shifted within their kind, half against half; other characters stay."""
         chars = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, i, F.lit(1)))
         n = F.length(s)
         u = F.floor(n / 2).cast("int")
@@ -85,7 +101,12 @@ class _Cipher:
             def one(c: Column, j: Column) -> Column:
                 by = F.conv(F.substring(bits, (j * 3) % 60 + 1, F.lit(3)), 16, 10).cast("int")
                 kind = lambda low, size: F.char(low + F.pmod(F.ascii(c) - low + (-by if self.restore else by), F.lit(size)))
-                return F.when(c.rlike("^[a-z]$"), kind(97, 26)).when(c.rlike("^[A-Z]$"), kind(65, 26)).when(c.rlike("^[0-9]$"), kind(48, 10)).otherwise(c)
+                out = F.when(c.rlike("^[a-z]$"), kind(97, 26)).when(c.rlike("^[A-Z]$"), kind(65, 26)).when(c.rlike("^[0-9]$"), kind(48, 10))
+                for first, size in ALPHABETS:
+                    at = F.ascii(c)
+                    to = ord(first) + F.pmod(at - ord(first) + (-by if self.restore else by), F.lit(size))
+                    out = out.when(at.between(ord(first), ord(first) + size - 1), F.decode(F.unhex(F.lpad(F.hex(to), 4, "0")), "UTF-16BE"))
+                return out.otherwise(c)
 
             return F.transform(half, one)
 
@@ -134,15 +155,22 @@ def mod97(s: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(s)), F.lit(0), add)
 
 
+def issued(digits: Column) -> Column:
+    """Whether nine digits are in the ranges of social security numbers."""
+    area = F.substring(digits, F.lit(1), F.lit(3))
+    return ~area.isin("000", "666") & (area < "900") & (F.substring(digits, F.lit(4), F.lit(2)) != "00") & (F.substring(digits, F.lit(6), F.lit(4)) != "0000")
+
+
 def _dated(c: _Cipher, fmt: str):
-    return lambda x: F.date_format(c.day(x), fmt)
+    return lambda x: F.date_format(c.day(x, fmt == "MM/dd/yyyy"), fmt)
 
 
 def pseudonym(m: Column, key: str, restore: bool = False) -> Column:
     """The pseudonym of one matched string, or null where its check fails."""
     c = _Cipher(key, restore)
     d = _only_digits(m)
-    mail = F.concat(c.letters(F.substring_index(m, "@", 1)), F.lit("@"), F.substring_index(m, "@", -1))
+    local = F.substring_index(m, "@", 1)
+    mail = F.when(local.rlike(f"[{LETTERS}]"), F.concat(c.letters(local), F.lit("@"), F.substring_index(m, "@", -1)))
     octet = lambda i: F.get(F.split(m, r"\."), F.lit(i)).cast("long")
     side = F.lit(65_536).cast("long")
     ip = c.feistel("ipv4", octet(0) * 256 + octet(1), octet(2) * 256 + octet(3), side, side, F.lit(0))
@@ -158,11 +186,15 @@ def pseudonym(m: Column, key: str, restore: bool = False) -> Column:
     out = F.when(m.contains("@"), mail)
     out = out.when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), address)
     out = out.when(m.rlike("^[A-Z]"), F.when((mod97(F.concat(account, F.substring(bare, 1, 4))) == 1) & (F.length(_only_digits(account)) > 1), refill(m, iban)))
-    for shape, fmt in ((r"^\d{4}-\d\d-\d\d$", "yyyy-MM-dd"), (r"^\d\d/\d\d/\d{4}$", "dd/MM/yyyy"), (r"^\d\d\.\d\d\.\d{4}$", "dd.MM.yyyy")):
-        day = F.try_to_timestamp(m, F.lit(fmt)).cast("date")
-        held = F.filter(F.array(day), lambda x: x.between(F.lit(FIRST_DAY).cast("date"), F.date_add(F.lit(FIRST_DAY).cast("date"), DAYS - 1)))
-        out = out.when(m.rlike(shape), F.get(F.transform(held, _dated(c, fmt)), F.lit(0)))
-    out = out.when(m.rlike(r"^\d{3}-\d\d-\d{4}$"), refill(m, c.digits("ssn", d)))
+    for shape, formats in ((r"^\d{4}-\d\d-\d\d$", ("yyyy-MM-dd",)), (r"^\d\d/\d\d/\d{4}$", ("dd/MM/yyyy", "MM/dd/yyyy")), (r"^\d\d\.\d\d\.\d{4}$", ("dd.MM.yyyy",))):
+        found = []
+        for fmt in formats:
+            day = F.try_to_timestamp(m, F.lit(fmt)).cast("date")
+            held = F.filter(F.array(day), lambda x: x.between(F.lit(FIRST_DAY).cast("date"), F.date_add(F.lit(FIRST_DAY).cast("date"), DAYS - 1)))
+            found.append(F.get(F.transform(held, _dated(c, fmt)), F.lit(0)))
+        out = out.when(m.rlike(shape), F.coalesce(*found))
+    out = out.when(m.rlike(r"^\d{3}-\d\d-\d{4}$"), F.when(issued(d), refill(m, c.security(d))))
+    out = out.when(m.rlike(r"^\d{3}-\d{3}-\d{4}$"), phone)
     out = out.when(m.rlike(r"^[+(]"), phone)
     return out.otherwise(F.when(F.pmod(luhn_sum(d, False), F.lit(10)) == 0, card))
 

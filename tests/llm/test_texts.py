@@ -25,22 +25,27 @@ def private():
         (4, "ssn 123-45-6789 iban GB82 WEST 1234 5698 7654 32 bad GB82 WEST 1234 5698 7654 33"),
         (5, "4111111111111111 5500005555555559"),
         (6, None), (7, ""), (8, "Version 2.0 of 3 things, $5, a-1"), (9, "\x01 4111111111111111 \x01"), (10, "x" * 50_000 + " 4111111111111111"),
+        (11, "张伟@example.com Ελένη@x.gr %%@x.org 000-12-3456 987-65-4321 212-555-0100 12/31/2020 31/31/2020"),
     ]
 
 
 def test_pseudonyms_keep_format_and_link(spark, private):
     docs = spark.createDataFrame(private, "doc_id long, text string").withColumn("n_replaced", F.lit("clash"))
     out = {r.doc_id: r for r in pseudonymise(docs, key="k").collect()}
-    assert {i: out[i].n_replaced for i in out} == {1: 2, 2: 3, 3: 5, 4: 2, 5: 2, 6: 0, 7: 0, 8: 0, 9: 1, 10: 1}
+    assert {i: out[i].n_replaced for i in out} == {1: 2, 2: 3, 3: 5, 4: 2, 5: 2, 6: 0, 7: 0, 8: 0, 9: 1, 10: 1, 11: 4}
     assert out[6].text is None and out[7].text == "" and out[8].text == private[7][1]
     first, second = re.search(r"card (\d{16}), again ([\d ]{19});", out[1].text).groups()
     assert LUHN(first) and first != "4111111111111111" and second.replace(" ", "") == first and out[1].text.endswith("not one: 4111111111111112.")
     assert out[5].text.split()[0] == first == out[9].text.split()[1] == out[10].text.split()[1]
-    assert re.fullmatch(r"mail [a-z]{2}\.\d\d@mail7\.example\.com or É[a-z]{3}\+[a-z]@x\.org! ip (\d{1,3}\.){3}\d{1,3}\. no ip 300\.1\.1\.1", out[2].text)
+    assert re.fullmatch(r"mail [a-z]{2}\.\d\d@mail7\.example\.com or [À-Ö][a-z]{3}\+[a-z]@x\.org! ip (\d{1,3}\.){3}\d{1,3}\. no ip 300\.1\.1\.1", out[2].text)
     assert all(int(o) < 256 for o in re.search(r" ip ([\d.]+)\. ", out[2].text)[1].split("."))
     m = re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} or \(\d{3}\) \d{3}-\d{4}; born (\d{4}-\d\d-\d\d), (\d\d/\d\d/\d{4}), (\d\d\.\d\d\.\d{4}), never 1983-02-29", out[3].text)
     for got, fmt in zip(m.groups(), ("%Y-%m-%d", "%d/%m/%Y", "%d.%m.%Y")):
         assert 1900 <= datetime.datetime.strptime(got, fmt).year <= 2099
+    m = re.fullmatch(r"([一-龥]{2})@example\.com ([Α-Ρ][α-ωέή]{4})@x\.gr %%@x\.org 000-12-3456 987-65-4321 (\d{3}-\d{3}-\d{4}) (\d\d)/(\d\d)/(\d{4}) 31/31/2020", out[11].text)
+    assert m[1] != "张伟" and m[2] != "Ελένη" and m[3] != "212-555-0100" and 1 <= int(m[4]) <= 12 < int(m[5]) <= 31
+    ssn = re.search(r"ssn (\d{3})-(\d\d)-(\d{4})", out[4].text).groups()
+    assert ssn != ("123", "45", "6789") and "000" < ssn[0] < "900" and ssn[0] != "666" and ssn[1] != "00" and ssn[2] != "0000"
     iban = re.search(r"iban (GB\d\d WEST [\d ]{17}) bad GB82 WEST 1234 5698 7654 33", out[4].text)[1].replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
