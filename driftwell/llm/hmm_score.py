@@ -13,6 +13,8 @@ learning, long texts are cut into runs of ``run`` words; scores always follow th
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,7 +28,8 @@ from .sampling import share_of
 
 END = b"\n"  # no word holds a line feed
 PIECE = 6_000_000  # bytes of text, or half as many symbols, worked on at once
-BLOCK = 2_000_000  # bytes of text whose words are looked up together
+BLOCK = 16_000_000  # bytes of text whose words are looked up together
+FINE, UNIT = 2048.0, 64.0  # expected counts of words travel as round(FINE * ln(1 + UNIT * count)), 16 bits each
 
 
 def _pieces(batch, column: str, most: int):
@@ -177,39 +180,103 @@ def initial(blobs: list[bytes], symbols: int, states: int, run: int, seed: int =
     return model
 
 
-def _expect(shared, end: int, cut: int, states: int, last: bool):
-    """A task's expected counts: a row for each symbol, state, and the starts; in the last round also for each other word."""
+def packed(counts: np.ndarray) -> list[np.ndarray]:
+    """Counts (n, states) as longs of four 16-bit steps each."""
+    steps = np.minimum(np.rint(FINE * np.log1p(UNIT * counts)), 65_535).astype(np.uint16)
+    steps = np.pad(steps, ((0, 0), (0, -counts.shape[1] % 4)))
+    return list(np.ascontiguousarray(steps).view(np.int64).T)
+
+
+def unpacked(longs: list[np.ndarray], states: int) -> np.ndarray:
+    steps = np.ascontiguousarray(np.stack(longs, axis=1)).view(np.uint16)[:, :states]
+    return np.expm1(steps / FINE) / UNIT
+
+
+def _expect(shared, end: int, cut: int, states: int):
+    """A task's expected counts: a row for each symbol, state, and the starts."""
 
     def run(batches):
         model, e, moves, begin, like = shared.value, 0, 0, 0, 0.0
         model = (model[0].astype(np.float32), *model[1:])
-        words: list[np.ndarray] = []
-        states_of: list[np.ndarray] = []
-        held = 0
+        for batch in batches:
+            for _, blobs in _pieces(batch, "ids", PIECE // 3):
+                got = expected_counts(*_symbols(blobs, end, cut), model)
+                e, moves, begin, like = e + got[0], moves + got[1], begin + got[2], like + got[3]
+        if np.ndim(e):
+            used = np.flatnonzero(e.sum(axis=1) > 0)
+            rows = np.concatenate([e[used], moves, [begin], [[like] * states]])
+            symbol = np.concatenate([used, -1 - np.arange(states), [-states - 1, -states - 2]])
+            yield pa.record_batch({"symbol": pa.array(symbol.astype(np.int32))} | {f"s{j}": pa.array(rows[:, j]) for j in range(states)})
+
+    return run
+
+
+def _expect_words(shared, end: int, cut: int, states: int):
+    """How often each state is expected to have emitted a task's other words."""
+
+    def run(batches):
+        model = shared.value
+        model = (model[0].astype(np.float32), *model[1:])
+        words, own, held = [], [], 0
 
         def found():
             keys, at = np.unique(np.concatenate(words), return_inverse=True)
-            sums = np.concatenate(states_of)
-            return pa.record_batch({"symbol": pa.array(np.full(len(keys), end - 1, np.int32)), "word": pa.array(keys)} | {f"s{j}": pa.array(np.bincount(at, sums[:, j], len(keys)).astype(np.float32)) for j in range(states)})
+            sums = np.concatenate(own)
+            counts = np.stack([np.bincount(at, sums[:, j], len(keys)) for j in range(states)], axis=1)
+            return pa.record_batch({"word": pa.array(keys)} | {f"q{k}": pa.array(q) for k, q in enumerate(packed(counts))})
 
         for batch in batches:
             for start, blobs in _pieces(batch, "ids", PIECE // 3):
-                got = expected_counts(*_symbols(blobs, end, cut), model, end - 1 if last else None)
-                e, moves, begin, like = e + got[0], moves + got[1], begin + got[2], like + got[3]
-                if last:
-                    words.append(_hashes(batch.column("rare").slice(start, len(blobs))))
-                    states_of.append(got[4])
-                    held += len(words[-1])
-                    if held > 1_000_000:
-                        yield found()
-                        words, states_of, held = [], [], 0
+                own.append(expected_counts(*_symbols(blobs, end, cut), model, end - 1)[4])
+                words.append(_hashes(batch.column("rare").slice(start, len(blobs))))
+                held += len(words[-1])
+                if held > 1_000_000:
+                    yield found()
+                    words, own, held = [], [], 0
         if held:
             yield found()
-        if np.ndim(e):
-            used = np.flatnonzero(e.sum(axis=1) > 0)
-            rows = np.concatenate([e[used], moves, [begin], [[like] * states]])
-            symbol = np.concatenate([used, -1 - np.arange(states), [-states - 1, -states - 2]])
-            yield pa.record_batch({"symbol": pa.array(symbol.astype(np.int32)), "word": pa.nulls(len(rows), pa.int64())} | {f"s{j}": pa.array(rows[:, j].astype(np.float32)) for j in range(states)})
+
+    return run
+
+
+def _added(states: int):
+    """Rows of sorted words: the counts of one word added up."""
+
+    def run(batches):
+        last, rest = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            word = batch.column("word").to_numpy()
+            counts = unpacked([batch.column(f"q{k}").to_numpy() for k in range(-(-states // 4))], states)
+            heads = np.append(0, np.flatnonzero(word[1:] != word[:-1]) + 1)
+            sums, keys = np.add.reduceat(counts, heads, axis=0), word[heads]
+            if last is not None:
+                if last == keys[0]:
+                    sums[0] += rest
+                else:
+                    sums, keys = np.concatenate([[rest], sums]), np.append(last, keys)
+            last, rest = keys[-1], sums[-1]
+            if len(keys) > 1:
+                yield pa.record_batch({"word": pa.array(keys[:-1])} | {f"q{k}": pa.array(q) for k, q in enumerate(packed(sums[:-1]))})
+        if last is not None:
+            yield pa.record_batch({"word": pa.array([last], pa.int64())} | {f"q{k}": pa.array(q) for k, q in enumerate(packed(rest[None]))})
+
+    return run
+
+
+def _high(states: int, least: int):
+    """Uses, words and expected counts of a task's words that keep their own."""
+
+    def run(batches):
+        n, v, total = 0, 0, np.zeros(states)
+        for batch in batches:
+            own = batch.column("q0").is_valid().to_numpy(zero_copy_only=False)
+            part = batch.filter(pa.array(own))
+            if part.num_rows:
+                n, v = n + int(part.column("c").to_numpy().sum()), v + part.num_rows
+                total += unpacked([part.column(f"q{k}").to_numpy() for k in range(-(-states // 4))], states).sum(axis=0)
+        yield pa.record_batch({"n": pa.array([n], pa.int64()), "v": pa.array([v], pa.int64())} | {f"s{j}": pa.array([total[j]]) for j in range(states)})
 
     return run
 
@@ -224,9 +291,12 @@ def _score(shared, end: int, states: int):
             keys = known.column("word").to_numpy()
             c = known.column("c").to_numpy(zero_copy_only=False) if len(keys) else np.zeros(0)
             c = np.nan_to_num(c.astype(float))
-            own = np.stack([known.column(f"s{j}").to_numpy(zero_copy_only=False).astype(float) for j in range(states)], axis=1) if len(keys) else np.zeros((0, states))
             share = _log_share(c, whole)
-            times = np.where(np.isnan(own), ratio["low"], (own / 10 ** (share - ratio["all"])[:, None] + ratio["weight"]) / (ratio["total"] + ratio["weight"]))
+            times = np.tile(ratio["low"], (len(keys), 1))
+            if len(keys):
+                has = np.flatnonzero(known.column("q0").is_valid().to_numpy(zero_copy_only=False))
+                own = unpacked([known.column(f"q{k}").take(pa.array(has)).to_numpy() for k in range(-(-states // 4))], states)
+                times[has] = (own / 10 ** (share[has] - ratio["all"])[:, None] + ratio["weight"]) / (ratio["total"] + ratio["weight"])
             by = np.argsort(keys)
             for batch in texts.to_batches():
                 for start, blobs in _pieces(batch, "ids", PIECE // 2):
@@ -311,43 +381,45 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     few = hashed.where(share_of(F.col("h")) < 2 * sample / max(1, distinct)).groupBy("h").agg(F.first("ids").alias("ids"))  # about 2 * sample rows
     model = initial([bytes(r["ids"]) for r in few.orderBy("h").limit(sample).collect()], n, states, run)
 
-    columns = [f"s{j}" for j in range(states)]
-    schema = "symbol int, word long, " + ", ".join(f"{c} float" for c in columns)
-    full, others = np.zeros((n + 2 + states + 2, states)), spark.createDataFrame([], "word long, " + ", ".join(f"{c} double" for c in columns))
+    columns, steps = [f"s{j}" for j in range(states)], [f"q{k}" for k in range(-(-states // 4))]
+    words_schema = "word long, " + ", ".join(f"{q} long" for q in steps)
+    full = np.zeros((n + 2 + states + 2, states))
     for k in range(rounds):
-        last = k == rounds - 1
         shared = spark.sparkContext.broadcast(model)
-        part = learn.mapInArrow(_expect(shared, end, run, states, last), schema).groupBy("symbol", "word").agg(*(F.sum(c).alias(c) for c in columns))
-        if last:
-            part = scratch.table(part, "expected")
-            others = part.where("word is not null").select("word", *columns)
-        rows = part.where("word is null").toArrow()  # a row for each frequent word
-        shared.destroy()
+        part = learn.select("ids").mapInArrow(_expect(shared, end, run, states), "symbol int, " + ", ".join(f"{c} double" for c in columns)).groupBy("symbol").agg(*(F.sum(c).alias(c) for c in columns))
+        rows = part.toArrow()  # a row for each frequent word
         if not rows.num_rows:
             break
         full = np.zeros((n + 2 + states + 2, states))
         full[rows.column("symbol").to_numpy()] = np.stack([rows.column(c).to_numpy() for c in columns], axis=1)  # negative symbols count from the end
         model = new_model(full[: n + 2], full[-states:][::-1], full[-states - 1])
+        if k < rounds - 1:
+            shared.destroy()
 
-    # emissions of all other words: own counts from `least` uses on, and one share of the rest for rarer and unseen ones
+    # emissions of all other words: own counts of the last round from `least` uses on, and one share of the rest for rarer and unseen ones
     rest_n, rest_v = N - int(often.sum()) - ends, V - n - bool(ends)
-    rest = words.where(F.col("c") < often_enough).join(others, "word", "left")
+    others = learn.mapInArrow(_expect_words(shared, end, run, states), words_schema).repartition("word").sortWithinPartitions("word").mapInArrow(_added(states), words_schema)
     own = F.col("c") >= least
-    table = rest.select("word", "c", *(F.when(own, F.col(c)).cast("float").alias(c) for c in columns))
-    high = rest.where(own).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), *(F.coalesce(F.sum(F.col(c).cast("float")), F.lit(0.0)).alias(c) for c in columns)).first()
+    table = words.where(F.col("c") < often_enough).join(others, "word", "left").select("word", "c", *(F.when(own, F.col(q)).alias(q) for q in steps))
+    table = scratch.table(table, "table")
+    del others, part
+    scratch.drop("counts")
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the rounds before the texts are shuffled
+    high = table.mapInArrow(_high(states, least), "n long, v long, " + ", ".join(f"{c} double" for c in columns)).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", *columns))).first()
     mass = rest_n + 0.5 * (rest_v + 1)
     share = (rest_n - high["n"] + 0.5 * (rest_v - high["v"] + 1)) / mass
-    total_of, weight = full[n], full[n] + 1
-    low = np.maximum(0, total_of - np.array([high[c] for c in columns]))
-    total_of = low + np.array([high[c] for c in columns])
+    kept = np.array([float(high[c]) for c in columns])
+    weight, low = full[n] + 1, np.maximum(0, full[n] - kept)
+    total_of = low + kept
     ratio = {"all": float(np.log10(mass / whole)), "total": total_of, "weight": weight, "low": (low / share + weight) / (total_of + weight), "end_known": bool(ends)}
     logs = np.concatenate([_log_share(often, whole), [0.0, float(_log_share(ends, whole))]])
     shared = spark.sparkContext.broadcast((*model[:3], logs, ratio, whole))
 
     none = lambda *names: [F.lit(None).cast(t).alias(c) for c, t in names]
     wanted = coded.where("role = 0").select("block", "rare").mapInArrow(_wanted, "block long, word long").join(table, "word", "left")
-    wanted = wanted.select("block", F.lit(0).alias("role"), *none(("doc_id", kind), ("held_out", "boolean"), ("ids", "binary"), ("rare", "binary")), "word", "c", *columns)
-    texts = coded.where("role = 1").select("block", "role", "doc_id", "held_out", "ids", "rare", *none(("word", "long"), ("c", "long"), *((c, "float") for c in columns)))
+    wanted = wanted.select("block", F.lit(0).alias("role"), *none(("doc_id", kind), ("held_out", "boolean"), ("ids", "binary"), ("rare", "binary")), "word", "c", *steps)
+    texts = coded.where("role = 1").select("block", "role", "doc_id", "held_out", "ids", "rare", *none(("word", "long"), ("c", "long"), *((q, "long") for q in steps)))
     out = wanted.union(texts).repartition("block").sortWithinPartitions("block", "role")
     out = out.mapInArrow(_score(shared, end, states), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(N)).cast("long").alias("train_tokens"), "base_score", "score")
