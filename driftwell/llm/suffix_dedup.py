@@ -166,7 +166,7 @@ def _packed(part: np.ndarray, role: int, *columns: np.ndarray):
     order = np.argsort(part, kind="stable")
     part, columns = part[order], [c[order] for c in columns]
     heads = np.append(0, np.flatnonzero(part[1:] != part[:-1]) + 1) if len(part) else np.zeros(0, int)
-    ends = np.append(heads[1:], len(part))
+    ends = np.append(heads[1:], len(part)) if len(heads) else heads
     n = len(heads)
     arrays = [[c[a:b].tobytes() for a, b in zip(heads, ends, strict=True)] for c in columns]
     arrays += [[None] * n] * (5 - len(arrays))
