@@ -586,8 +586,8 @@ def pair_trades(spark, sf):
 
 # ---- evidence and decisions
 
-VOTE_SQL = f"""{XS_SQL}, votes AS (SELECT ts AS entity, ticker AS model_name, CASE WHEN zscore <= -0.8 THEN 'LONG_RESIDUAL' WHEN zscore >= 0.8 THEN 'SHORT_RESIDUAL' WHEN zscore IS NULL THEN 'INVALID' ELSE 'NEUTRAL' END AS direction, 1.0e0 + pos % 3 AS weight, percentile AS reliability, SUBSTR(ticker, 1, 1) AS dependency_group, pos FROM xs),
-v0 AS (SELECT *, weight * reliability AS raw FROM votes WHERE direction <> 'INVALID' AND pos % 11 <> 0), v1 AS (SELECT *, CASE WHEN SUM(raw) OVER g > 0 THEN AVG(weight) OVER g * raw / SUM(raw) OVER g ELSE 0 END AS support FROM v0 WINDOW g AS (PARTITION BY entity, dependency_group)),
+VOTE_SQL = f"""{XS_SQL}, votes AS (SELECT ts AS entity, ticker AS model_name, CASE WHEN zscore <= -0.8 THEN 'LONG_RESIDUAL' WHEN zscore >= 0.8 THEN 'SHORT_RESIDUAL' WHEN zscore IS NULL THEN 'INVALID' ELSE 'NEUTRAL' END AS direction, 1.0e0 + ABS(zscore) AS weight, percentile AS reliability, SUBSTR(ticker, 1, 1) AS dependency_group, ABS(zscore) <= 1.8e0 AS gate FROM xs),
+v0 AS (SELECT *, weight * reliability AS raw FROM votes WHERE direction <> 'INVALID' AND gate), v1 AS (SELECT *, CASE WHEN SUM(raw) OVER g > 0 THEN AVG(weight) OVER g * raw / SUM(raw) OVER g ELSE 0 END AS support FROM v0 WINDOW g AS (PARTITION BY entity, dependency_group)),
 v2 AS (SELECT entity, COUNT(*) AS valid_model_count, COUNT(*) FILTER (WHERE direction = 'LONG_RESIDUAL') AS long_count, COUNT(*) FILTER (WHERE direction = 'SHORT_RESIDUAL') AS short_count, COUNT(*) FILTER (WHERE direction = 'NEUTRAL') AS neutral_count,
 COALESCE(SUM(support) FILTER (WHERE direction = 'LONG_RESIDUAL'), 0) AS l, COALESCE(SUM(support) FILTER (WHERE direction = 'SHORT_RESIDUAL'), 0) AS s, COALESCE(SUM(support) FILTER (WHERE direction = 'NEUTRAL'), 0) AS n FROM v1 GROUP BY entity),
 con AS (SELECT e.entity, COALESCE(valid_model_count, 0) AS valid_model_count, COALESCE(long_count, 0) AS long_count, COALESCE(short_count, 0) AS short_count, COALESCE(neutral_count, 0) AS neutral_count, COALESCE(l, 0) AS long_support, COALESCE(s, 0) AS short_support, COALESCE(n, 0) AS neutral_support,
@@ -598,8 +598,8 @@ CASE WHEN COALESCE(l + s + n, 0) <= 0 THEN 0 WHEN l / (l + s + n) >= 0.35e0 AND
 def _consensus(spark, sf):
     xs = rs.cross_sectional(rs.returns(weekly(spark, sf)))
     votes = xs.select(
-        F.col("ts").alias("entity"), F.col("ticker").alias("model_name"), ev.direction_of(F.col("zscore"), 0.8).alias("direction"), F.lit(True).alias("valid"), (F.col("pos") % 11 != 0).alias("gate_passed"),
-        (1.0 + F.col("pos") % 3).alias("weight"), F.col("percentile").alias("reliability"), F.substring("ticker", 1, 1).alias("dependency_group"),
+        F.col("ts").alias("entity"), F.col("ticker").alias("model_name"), ev.direction_of(F.col("zscore"), 0.8).alias("direction"), F.lit(True).alias("valid"), (F.abs("zscore") <= 1.8).alias("gate_passed"),
+        (1.0 + F.abs("zscore")).alias("weight"), F.col("percentile").alias("reliability"), F.substring("ticker", 1, 1).alias("dependency_group"),
     )
     return ev.consensus(votes)
 
@@ -618,16 +618,16 @@ def confidence(spark, sf):
     return out(df.withColumn("confidence", ev.confidence(F.col("valid"), F.col("zscore"), ou_agreement=F.col("std"), half_life_quality=F.lit(0.5))), "ticker", "ts", "confidence")
 
 
-@query("final_decision", f"""WITH {WEEK}, {VOTE_SQL}, d0 AS (SELECT *, ROW_NUMBER() OVER (ORDER BY entity) AS i FROM con), d1 AS (SELECT *, i % 13 <> 0 AS g1, i % 7 <> 0 AS g2, i % 5 <> 0 AS g3, CASE WHEN i % 17 = 0 THEN 'SEVERE_BREAK' ELSE 'NORMAL' END AS regime, (i % 50) / 10e0 - 2.5e0 AS z FROM d0),
+@query("final_decision", f"""WITH {WEEK}, {VOTE_SQL}, d1 AS (SELECT *, valid_model_count >= 5 AS g1, agreement_percentage >= 40 AS g2, neutral_count <= 4 AS g3, CASE WHEN long_count + short_count >= 5 THEN 'SEVERE_BREAK' ELSE 'NORMAL' END AS regime, long_support - short_support AS z FROM con),
 d2 AS (SELECT *, CONCAT_WS('; ', CASE WHEN NOT g1 THEN 'Insufficient data' END, CASE WHEN NOT g2 THEN 'Stationarity gate' END, CASE WHEN NOT g3 THEN 'Half-life' END, CASE WHEN regime = 'SEVERE_BREAK' THEN 'SEVERE_BREAK regime' END) AS failed FROM d1)
 SELECT CAST(entity AS VARCHAR) AS entity, CASE WHEN NOT g1 THEN 'INSUFFICIENT_DATA' WHEN failed <> '' THEN 'NO_SIGNAL' WHEN state IN ('INSUFFICIENT_DATA', 'CONFLICTED') THEN state ELSE 'WAIT' END AS action,
 CASE WHEN NOT g1 THEN 'Insufficient data' WHEN failed <> '' THEN failed WHEN state = 'INSUFFICIENT_DATA' THEN 'No valid residual models' WHEN state = 'CONFLICTED' THEN 'Valid models have strong long/short disagreement' END AS invalid_reason,
 CASE WHEN failed = '' THEN ROUND(12 * LEAST(ABS(z) / 2.5e0, 1) + 13 * LEAST(1, GREATEST(0, agreement_percentage / 100)), 6) END AS confidence FROM d2""")
 def final_decision(spark, sf):
-    df = _consensus(spark, sf).withColumn("i", F.row_number().over(Window.orderBy("entity")))
-    i, yes = F.col("i"), F.lit(True)
-    df = df.withColumns({"sufficient_data": i % 13 != 0, "residual_valid": yes, "stationarity_valid": i % 7 != 0, "ou_valid": yes, "half_life_acceptable": i % 5 != 0, "parameter_stable": yes})
-    df = df.withColumns({"regime_status": F.when(i % 17 == 0, "SEVERE_BREAK").otherwise("NORMAL"), "zscore": (i % 50) / 10 - 2.5, "consensus_state": F.col("state"), "policy_action": F.lit("WAIT")})
+    """Every week's consensus under gates made of its own counts and shares."""
+    df, yes, c = _consensus(spark, sf), F.lit(True), F.col
+    df = df.withColumns({"sufficient_data": c("valid_model_count") >= 5, "residual_valid": yes, "stationarity_valid": c("agreement_percentage") >= 40, "ou_valid": yes, "half_life_acceptable": c("neutral_count") <= 4, "parameter_stable": yes})
+    df = df.withColumns({"regime_status": F.when(c("long_count") + c("short_count") >= 5, "SEVERE_BREAK").otherwise("NORMAL"), "zscore": c("long_support") - c("short_support"), "consensus_state": c("state"), "policy_action": F.lit("WAIT")})
     return out(ev.final_decision(df), "entity", "action", "invalid_reason", "confidence")
 
 
