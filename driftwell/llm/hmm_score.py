@@ -298,14 +298,16 @@ def _score(shared, end: int, states: int):
                 own = unpacked([known.column(f"q{k}").take(pa.array(has)).to_numpy() for k in range(-(-states // 4))], states)
                 times[has] = (own / 10 ** (share[has] - ratio["all"])[:, None] + ratio["weight"]) / (ratio["total"] + ratio["weight"])
             by = np.argsort(keys)
+            order_of = keys[by]
+            del t, known
             for batch in texts.to_batches():
-                for start, blobs in _pieces(batch, "ids", PIECE // 2):
+                for start, blobs in _pieces(batch, "ids", PIECE // 8):
                     n = len(blobs)
                     lists = [np.append(np.frombuffer(b, np.uint16), np.uint16(end)) for b in blobs]
                     size = np.array([len(x) for x in lists])
                     symbols = np.concatenate(lists)
                     h = _hashes(batch.column("rare").slice(start, n))
-                    at = by[np.searchsorted(keys[by], h)] if len(h) else np.zeros(0, int)
+                    at = by[np.searchsorted(order_of, h)] if len(h) else np.zeros(0, int)
                     rare = np.flatnonzero(symbols == end - 1)
                     e = emit[symbols]
                     e[rare] *= times[at]
