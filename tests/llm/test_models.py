@@ -176,7 +176,7 @@ def test_long_tokens_take_time_in_proportion():
         began = time.process_time()
         assert s.total(token)[1] == []
         assert time.process_time() - began < 10, token[:20]
-    assert s.total(" ".join("idiot" * 2000))[1] == ["idiot"]
+    assert "idiot" in s.total(" ".join("idiot" * 2000))[1]  # and the whole run, by its beginning
     assert [trimmed(x) for x in ("the!!", "(idio+).", "a$$", "a$", "...", "x...7", "b!$!")] == ["the", "(idio+", "a", "a$", "", "x...7", "b!$"]
 
 
