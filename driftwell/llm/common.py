@@ -95,9 +95,8 @@ def binary_rows(column) -> list[bytes]:
 def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, component) of the nodes in edges (u, v): alternating large and small stars.
 
-    component is the smallest node reachable. Hubs are met by partial aggregation, and by joins of which both sides are
-    dealt anew (``rebalance`` parts an aggregate from the join), so that Spark splits a hub's rows among tasks. Each
-    round is written to the scratch folder.
+    component is the smallest node reachable. Hubs are met by partial aggregation; in the joins a hub's edges meet its
+    one row. Each round is written to the scratch folder.
     """
     spark = scratch.spark
 
@@ -109,9 +108,9 @@ def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     step, state = 0, count(e)
     while state[0]:
         two = both(e)
-        low = two.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("rebalance")
+        low = two.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = two.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
+        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small_low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         step += 1
