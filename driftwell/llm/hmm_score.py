@@ -76,15 +76,25 @@ def _encode(keys: np.ndarray):
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for start, texts in _pieces(batch, "text", BLOCK):
-                split = [words_of(x) for x in texts]
-                size = np.array([len(w) for w in split])
-                h = word_hashes([w for words in split for w in words])
-                at = np.minimum(np.searchsorted(keys, h), max(0, other - 1))
-                hit = keys[at] == h if other else np.zeros(len(h), bool)
-                ids = np.where(hit, at, other).astype(np.uint16)
-                offsets = np.concatenate([[0], np.cumsum(size)])
-                missing = np.concatenate([[0], np.cumsum(~hit)])[offsets]
-                rare, n = h[~hit], len(texts)
+                n, coded, missing, rare = len(texts), [], [], [np.zeros(0, U64)]
+                at = 0
+                while at < n:  # about two megabytes of words at a time
+                    split, size = [], 0
+                    while at < n and size < 2_000_000:
+                        split.append(words_of(texts[at]))
+                        size += len(texts[at] or b"")
+                        texts[at] = None
+                        at += 1
+                    h = word_hashes([w for words in split for w in words])
+                    place = np.minimum(np.searchsorted(keys, h), max(0, other - 1))
+                    hit = keys[place] == h if other else np.zeros(len(h), bool)
+                    ids = np.where(hit, place, other).astype(np.uint16)
+                    ends = np.cumsum([len(w) for w in split])
+                    lost = np.concatenate([[0], np.cumsum(~hit)])[np.concatenate([[0], ends])]
+                    coded += [ids[x:y].tobytes() for x, y in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
+                    h = h[~hit]
+                    missing += [h[x:y].tobytes() for x, y in zip(lost[:-1], lost[1:], strict=True)]
+                    rare.append(np.unique(h))
                 doc = batch.column("doc_id").slice(start, n)
                 yield pa.record_batch(
                     {
@@ -92,8 +102,8 @@ def _encode(keys: np.ndarray):
                         "role": pa.array(np.append(0, np.ones(n, int)).astype(np.int32)),
                         "doc_id": pa.concat_arrays([pa.nulls(1, doc.type), doc]),
                         "held_out": pa.concat_arrays([pa.nulls(1, pa.bool_()), batch.column("held_out").slice(start, n)]),
-                        "ids": pa.array([None, *(ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True))], pa.binary()),
-                        "rare": pa.array([np.unique(rare).tobytes(), *(rare[a:b].tobytes() for a, b in zip(missing[:-1], missing[1:], strict=True))], pa.binary()),
+                        "ids": pa.array([None, *coded], pa.binary()),
+                        "rare": pa.array([np.unique(np.concatenate(rare)).tobytes(), *missing], pa.binary()),
                     }
                 )
                 block += 1
