@@ -1,4 +1,4 @@
-"""Bounded, repeatable samples of labelled rows for fitting; they stay in a scratch table, no text is brought to the driver."""
+"""Labelled rows for fitting, all or bounded, repeatable samples; those stay in a scratch table, no text is brought to the driver."""
 
 from __future__ import annotations
 
@@ -51,7 +51,23 @@ def labelled_rows(docs: DataFrame, marks: DataFrame, per_class: int, scratch: Sc
     return learning_rows(rows, per_class, scratch, name, "doc_id")
 
 
-def prior_shift(marks: DataFrame, used: list[int]) -> float:
+def all_labelled_rows(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(class, text) of all labelled documents; docs: doc_id, text; marks: doc_id, class, distinct.
+
+    Where labels cover a part of the documents, most others are kept out of the join by one bit for each hash of an id,
+    eight bits or more for each mark, in rows of 4 KB; the join itself is by id.
+    """
+    known = marks.where("class is not null and doc_id is not null")
+    bits = 1 << max(15, (8 * known.count()).bit_length())
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    row, bit = (spot / (1 << 15)).cast("long"), spot % (1 << 15)
+    maps = known.groupBy(row.alias("row")).agg(F.bitmap_construct_agg(bit).alias("map"))
+    byte = F.conv(F.hex(F.expr("substring(map, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    met = docs.select("doc_id", "text", row.alias("row"), bit.alias("bit")).join(F.broadcast(maps), "row").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0)
+    return met.join(known, "doc_id").select("class", "text")
+
+
+def prior_shift(marks: DataFrame, used: list[int] | bytes) -> float:
     """What a logit fitted on a sample with the 0/1 classes ``used`` lacks to the shares of all marks (doc_id, class)."""
     n = {r["class"]: r["count"] for r in marks.groupBy("class").count().collect()}
     s1, s0 = sum(used), len(used) - sum(used)

@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from math import log
+from collections import Counter
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold, groups
+from .common import Scratch, fold
 from .minhash_dedup import shingle_set
 from .quality_net import sigmoid
-from .sampling import labelled_rows, prior_shift
+from .sampling import all_labelled_rows, prior_shift
 
 # The letters that a sign may stand for.
 LEET = {
@@ -31,7 +32,8 @@ LEET = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "€": "e", "£": "l", "§": "s", "¡": "i",
     "*": "aeiou", "#": "h", "%": "x",
 }
-MOST_WORDS, MOST_LETTERS = 200_000, 64  # entries of a task's caches, and letters of a cached token; results do not depend on them
+MOST_WORDS, MOST_STEPS, MOST_LETTERS = 200_000, 50_000, 64  # entries of a task's caches, and letters of a cached token; results do not depend on them
+BEYOND = 3.17e-5  # a chance beyond z = 4
 APART = -3.0  # log probability that a spaced run goes on with letters of no known word
 NONE = -1e300
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
@@ -69,57 +71,110 @@ def core_of(token: str) -> str:
     return token[start:end]
 
 
-class Trie:
-    """Words by their letters. Nodes are numbers, the root is 0; memory is that of the letters."""
-
-    def __init__(self, words):
-        self.next: dict[int, int] = {}  # node and letter: node
-        self.ends: dict[int, str] = {}
-        self.depth = [0]
-        for w in words:
-            at = 0
-            for c in w:
-                key = at << 21 | ord(c)
-                at = self.next.get(key, 0)
-                if not at:
-                    at = self.next[key] = len(self.depth)
-                    self.depth.append(self.depth[key >> 21] + 1)
-            self.ends[at] = w
-
-    def step(self, node: int, letter: str) -> int:
-        """The node after a letter, or 0."""
-        return self.next.get(node << 21 | ord(letter), 0)
-
-    def walk(self, text: str) -> int:
-        """The node of a text, or -1."""
-        at = 0
+class Words:
+    """Known words of letters and their counts, sorted, in buffers of about twenty bytes a word; and what they say of letters.
+
+    A node of their trie is the span of words with a beginning: (first, end, bytes, letters); () is none, spans are bisected.
+    """
+
+    def __init__(self, letters: bytes, ends: bytes, counts: bytes, tri: dict[str, int]):
+        """letters: the words in UTF-8, by code point; ends: offsets (int32), 0 first; counts: int64; tri: their trigrams' counts."""
+        self.state = letters, ends, counts, tri
+        self.letters, self.ends, self.counts, self.tri = letters, memoryview(ends).cast("i"), memoryview(counts).cast("q"), tri
+        self.n = len(self.counts)
+        self.total = int(np.frombuffer(counts, np.int64).sum()) + 1
+        self.root = (0, self.n, 0, 0)
+        self.seen: dict[tuple, tuple] = {}
+
+    def __reduce__(self):
+        return Words, self.state
+
+    @classmethod
+    def of(cls, words: dict[str, int]) -> Words:
+        own = sorted(w for w in words if w.isalpha())
+        column = pa.array(own, pa.string())
+        return cls.sorted(column, pa.array([words[w] for w in own], pa.int64()), trigrams(own, [words[w] for w in own]))
+
+    @classmethod
+    def sorted(cls, column: pa.Array, counts: pa.Array, tri: dict[str, int]) -> Words:
+        """From sorted columns without nulls."""
+        if not len(column):
+            return cls(b"", bytes(4), b"", tri)
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        return cls(column.buffers()[2].to_pybytes()[ends[0] : ends[-1]], (ends - ends[0]).tobytes(), counts.to_numpy().tobytes(), tri)
+
+    def __iter__(self):
+        return (self.word(i) for i in range(self.n))
+
+    def word(self, i: int) -> str:
+        return self.letters[self.ends[i] : self.ends[i + 1]].decode()
+
+    def get(self, word: str) -> int:
+        """The word's count, or 0."""
+        own, letters, ends = word.encode("utf-8", "replace"), self.letters, self.ends
+        i = bisect_left(range(self.n), own, key=lambda i: letters[ends[i] : ends[i + 1]])
+        return self.counts[i] if i < self.n and letters[ends[i] : ends[i + 1]] == own else 0
+
+    def __contains__(self, word: str) -> bool:
+        return self.get(word) > 0
+
+    __getitem__ = get
+
+    def step(self, node: tuple, letter: str) -> tuple:
+        """The node after a letter."""
+        got = self.seen.get((node, letter))
+        if got is None:
+            if len(self.seen) > MOST_STEPS:
+                self.seen.clear()
+            low, high, at, depth = node
+            letters, ends = self.letters, self.ends
+            for x in letter.encode("utf-8", "replace"):
+                if low < high and ends[low] + at == ends[low + 1]:  # the beginning itself
+                    low += 1
+                key = lambda i, at=at: letters[ends[i] + at]
+                low = bisect_left(range(high), x, low, high, key=key)
+                high = bisect_left(range(high), x + 1, low, high, key=key)
+                at += 1
+            got = self.seen[node, letter] = (low, high, at, depth + 1) if low < high else ()
+        return got
+
+    def walk(self, text: str) -> tuple:
+        at = self.root
         for c in text:
-            at = self.step(at, c)
-            if not at:
-                return -1
+            at = at and self.step(at, c)
         return at
 
+    def count(self, node: tuple) -> int:
+        """The count of the word that is the whole beginning, or 0."""
+        first, end, at, depth = node
+        return self.counts[first] if depth and self.ends[first] + at == self.ends[first + 1] else 0
+
+
+def trigrams(words, counts) -> dict[str, int]:
+    """How often letters stand after two others, in words with two marks before and one after."""
+    tri: dict[str, int] = {}
+    for w, c in zip(words, counts, strict=True):
+        s = "^^" + w + "$"
+        for i in range(2, len(s)):
+            g = s[i - 2 : i + 1]
+            tri[g] = tri.get(g, 0) + c
+    return tri
+
 
 class Channel:
     """Restores tokens under trigram counts and known words."""
 
-    def __init__(self, words: dict[str, int]):
-        self.words = words
-        self.total = sum(words.values()) + 1
-        self.trie = Trie(w for w in words if w.isalpha())
-        self.tri: dict[str, float] = {}
+    def __init__(self, words: Words | dict[str, int]):
+        self.words = words if isinstance(words, Words) else Words.of(words)
+        self.total = self.words.total
+        self.tri = self.words.tri
         self.bi: dict[str, float] = {}
         self.uni: dict[str, float] = {}
-        for w, c in words.items():
-            if w.isalpha():
-                s = "^^" + w + "$"
-                for i in range(2, len(s)):
-                    self.tri[s[i - 2 : i + 1]] = self.tri.get(s[i - 2 : i + 1], 0) + c
-                    self.bi[s[i - 1 : i + 1]] = self.bi.get(s[i - 1 : i + 1], 0) + c
-                    self.uni[s[i]] = self.uni.get(s[i], 0) + c
         self.tri2: dict[str, float] = {}
         self.bi1: dict[str, float] = {}
         for g, c in self.tri.items():
+            self.bi[g[1:]] = self.bi.get(g[1:], 0) + c
+            self.uni[g[2]] = self.uni.get(g[2], 0) + c
             self.tri2[g[:2]] = self.tri2.get(g[:2], 0) + c
         for g, c in self.bi.items():
             self.bi1[g[0]] = self.bi1.get(g[0], 0) + c
@@ -156,8 +211,8 @@ class Channel:
     def restore(self, token: str, head: str = "") -> str:
         """The likeliest letters of a lower-case token after the letters ``head``; the token itself if it has none."""
         states = {("^^" + head)[-2:]: (self.letters(head), None)}  # by the last two letters: score, letters since the last sure one
-        at = self.trie.walk(head)
-        spelled = {at: 0.0} if at >= 0 else {}  # by node of the trie
+        at, known = self.words.walk(head), self.words
+        spelled = {at: 0.0} if at else {}  # by node of the trie
         sure, last, run, i = [head], head[-1:], 0, 0
         while i < len(token):
             c = token[i]
@@ -181,11 +236,11 @@ class Channel:
                 sure.append(_unwound(path))
                 states = {two: (score, None)}
             if spelled:
-                more: dict[int, float] = {}
+                more: dict[tuple, float] = {}
                 for node, score in spelled.items():
                     for x, cost in options:
-                        to = self.trie.step(node, x) if x else node
-                        if (to or not x) and score + cost > more.get(to, NONE):
+                        to = known.step(node, x) if x else node
+                        if to and score + cost > more.get(to, NONE):
                             more[to] = score + cost
                 spelled = more
             last = c
@@ -193,14 +248,14 @@ class Channel:
         score, best = max((s + self.step(two, "$"), _unwound(path)) for two, (s, path) in states.items())
         best = "".join(sure) + best
         for node, cost in spelled.items():  # a known word's own probability replaces that of its letters, the channel's cost stays
-            if (w := self.trie.ends.get(node)) and (own := cost + log(self.words[w] / self.total)) >= score:
-                score, best = own, w
+            if (n := known.count(node)) and (own := cost + log(n / self.total)) >= score:
+                score, best = own, known.word(node[0])
         return best or token
 
     def own(self, word: str) -> float:
         """log probability of a word that stands by itself."""
         letters = self.letters(word) + self.step(("^^" + word)[-2:], "$")
-        return max(letters, log(self.words[word] / self.total)) if word in self.words else letters
+        return max(letters, log(n / self.total)) if (n := self.words.get(word)) else letters
 
     def split(self, run: str) -> list[str]:
         """The likeliest words of lower-case letters and signs without blanks: known words, and restored rests between.
@@ -210,7 +265,7 @@ class Channel:
         in a row, three are left.
         """
         run = _LONG.sub(r"\1\1\1", "".join(c for c in run if c.isalpha() or c in LEET))
-        n, trie = len(run), self.trie
+        n, trie = len(run), self.words
         none = (NONE, -1, "")
         known, rest = [none] * (n + 1), [none] * (n + 1)  # best score at a place, the place before, the word between
         known[0] = (0.0, -1, "")
@@ -220,24 +275,24 @@ class Channel:
             for score, at in ((known[i][0] + APART, i), (rest[i][0], rest[i][1])):
                 if score + go > rest[i + 1][0]:
                     rest[i + 1] = (score + go, at, "")
-            states = {0: free}
+            states = {trie.root: free}
             for j in range(i, n):
                 c = run[j]
                 options = [(c, 0.0)] if c.isalpha() else [*((x, -1.0 - 0.3 * len(LEET[c])) for x in LEET[c]), ("", -3.5)]
                 if j > i and c == run[j - 1]:
                     options.append(("", -0.7))
-                new: dict[int, float] = {}
+                new: dict[tuple, float] = {}
                 for node, score in states.items():
                     for x, cost in options:
                         to = trie.step(node, x) if x else node
                         s = score + cost
-                        if to and s > new.get(to, free - 3.5 * (trie.depth[to] + 2)):  # at most about as many signs of noise as letters; noise before a word belongs to the rest before it
+                        if to and to[3] and s > new.get(to, free - 3.5 * (to[3] + 2)):  # at most about as many signs of noise as letters; noise before a word belongs to the rest before it
                             new[to] = s
                 if not new:
                     break
                 for node, score in new.items():
-                    if (text := trie.ends.get(node)) and (s := score + log(self.words[text] / self.total)) > known[j + 1][0]:
-                        known[j + 1] = (s, i, text)
+                    if (count := trie.count(node)) and (s := score + log(count / self.total)) > known[j + 1][0]:
+                        known[j + 1] = (s, i, trie.word(node[0]))
                 states = new
         out, i = [], n
         while i > 0:
@@ -336,8 +391,10 @@ class Reader:
 
     def chunks(self, tokens: list[str]) -> list[tuple]:
         """Target words that blanks cut into pieces, where the decoder prefers the word to its pieces."""
-        out, own = [], self.channel.own
+        out, own, heads = [], self.channel.own, self.heads
         for i, w in enumerate(tokens):
+            if w not in heads and len(w) <= MOST_LETTERS:
+                continue
             j = i + 1
             while j < len(tokens) and self.begins(w):
                 w += tokens[j]
@@ -351,27 +408,53 @@ class Reader:
 
 
 def _signed(batches):
-    """Learning texts with their smallest shingle hash and their sets."""
+    """Learning texts with their two smallest shingle hashes; of the equal ones that a task meets, one."""
+    met: set[tuple] = set()
     for batch in batches:
         for start in range(0, batch.num_rows, 500):
             part = batch.slice(start, 500)
-            sets = [shingle_set(x.as_py(), 4) for x in part.column("text")]
-            yield pa.record_batch({"class": part.column("class"), "low": pa.array([int(s.min().view(np.int64)) if len(s) else 0 for s in sets], pa.int64()), "text": part.column("text"), "set": pa.array([s.tobytes() for s in sets], pa.binary())})
+            keys = [(c, xxhash.xxh3_128_digest(x.as_py() or b"")) for c, x in zip(part.column("class").to_pylist(), part.column("text"), strict=True)]
+            take = []
+            for k in keys:
+                take.append(k not in met)
+                met.add(k)
+            part = pa.Table.from_batches([part]).filter(pa.array(take))
+            lows = np.zeros((part.num_rows, 2), np.int64)
+            for row, x in zip(lows, part.column("text"), strict=True):
+                least = np.sort(shingle_set(x.as_py(), 4))[:2].view(np.int64)
+                row[: len(least)] = least
+            for b in pa.table({"class": part.column("class"), "low": lows[:, 0].copy(), "next": lows[:, 1].copy(), "text": part.column("text")}).to_batches():
+                yield b
 
 
 def _unlike(batches):
-    """Of the texts that share a class and their smallest shingle hash, those not near (0.8) to one taken before."""
-    for t in groups(batches, ["class", "low"]):
-        kept: list[np.ndarray] = []
-        take = np.zeros(t.num_rows, bool)
-        for i, x in enumerate(t.column("set")):
-            s = np.frombuffer(x.as_buffer(), np.uint64)
-            both = [len(np.intersect1d(s, k, assume_unique=True)) for k in kept]
-            if not any(5 * b >= 4 * (len(s) + len(k) - b) for b, k in zip(both, kept, strict=True)):
+    """Of the texts that share a class and their two smallest shingle hashes, those not near (0.8) to one taken before."""
+    key, last, first, kept = (), None, None, []  # first: a text taken whose set is not yet made
+    for batch in batches:
+        take = np.zeros(batch.num_rows, bool)
+        for i, (*own, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("class", "low", "next")), batch.column("text"), strict=True)):
+            text = text.as_py()
+            if own != key:
+                key, last, first, kept, take[i] = own, text, text, [], True
+                continue
+            if text == last:
+                continue
+            last = text
+            if not kept:
+                kept = [shingle_set(first, 4)]
+            s = shingle_set(text, 4)
+            if not any(_near(s, k) for k in kept):
                 kept.append(s)
                 take[i] = True
-        found = t.filter(pa.array(take)).combine_chunks()
-        yield pa.record_batch([found.column(c).chunk(0) for c in ("class", "text")], ["class", "text"])
+        found = pa.Table.from_batches([batch]).filter(pa.array(take))
+        yield from found.select(["class", "text"]).to_batches()
+
+
+def _near(s: np.ndarray, k: np.ndarray) -> bool:
+    if 5 * min(len(s), len(k)) < 4 * max(len(s), len(k)):
+        return False
+    both = len(np.intersect1d(s, k, assume_unique=True))
+    return 5 * both >= 4 * (len(s) + len(k) - both)
 
 
 def _decoded(column) -> list[str]:
@@ -381,96 +464,154 @@ def _decoded(column) -> list[str]:
 def _words(batches):
     """Plain words and their counts."""
     for batch in batches:
-        words: dict[str, int] = {}
+        tokens: Counter = Counter()
         for text in _decoded(batch.column("text")):
-            for w in text.lower().split():
-                w = trimmed(w)
-                if w.isalpha():
-                    words[w] = words.get(w, 0) + 1
+            tokens.update(text.lower().split())
+        words: dict[str, int] = {}
+        for token, n in tokens.items():
+            w = trimmed(token)
+            if w.isalpha():
+                words[w] = words.get(w, 0) + n
         yield pa.record_batch({"word": pa.array(words, pa.string()), "n": pa.array(words.values(), pa.int64())})
 
 
-def _features(shared):
-    """For each feature of a task's texts, how many texts of class 0 and of class 1 hold it."""
+def _trigrams(batches):
+    for batch in batches:
+        tri = trigrams(batch.column("word").to_pylist(), batch.column("n").to_pylist())
+        yield pa.record_batch({"tri": pa.array(tri, pa.string()), "n": pa.array(tri.values(), pa.int64())})
+
+
+def _features(words, known):
+    """For each feature of a task's texts (of those known, if given), how many texts hold it."""
 
     def run(batches):
-        reader = Reader(Channel(shared.value), lambda w: tuple(features(w)))
+        asked = frozenset(known.value.tolist()) if known else None
+        kept = (lambda w: tuple(f for f in features(w) if f in asked)) if known else lambda w: tuple(features(w))
+        reader = Reader(Channel(words.value), kept)
         for batch in batches:
-            found: dict[int, list[int]] = {}
-            for c, text in zip(batch.column("class").to_pylist(), _decoded(batch.column("text")), strict=True):
+            found: dict[int, int] = {}
+            for text in _decoded(batch.column("text")):
                 for f in {f for fs in reader.read(text) for f in fs}:
-                    found.setdefault(f, [0, 0])[c] += 1
-            yield pa.record_batch({"feature": pa.array(np.fromiter(found, np.uint64, len(found)).view(np.int64)), "a": pa.array([x[0] for x in found.values()], pa.int64()), "b": pa.array([x[1] for x in found.values()], pa.int64())})
+                    found[f] = found.get(f, 0) + 1
+            yield pa.record_batch({"feature": pa.array(np.fromiter(found, np.uint64, len(found)).view(np.int64)), "n": pa.array(found.values(), pa.int64())})
 
     return run
 
 
-def _totals(shared):
+def _telling(weights):
+    """The words that have a weight themselves."""
+
     def run(batches):
-        scorer = Scorer(*shared.value)
         for batch in batches:
-            yield pa.record_batch({"class": batch.column("class"), "total": pa.array([scorer.total(t)[0] for t in _decoded(batch.column("text"))], pa.float64())})
+            yield pa.record_batch({"word": pa.array([w for w in batch.column("word").to_pylist() if xxhash.xxh3_64_intdigest(w) in weights.value], pa.string())})
 
     return run
 
 
-def fitted_line(t: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and bias of a logistic line by Newton's steps with a light ridge on the slope."""
+def chance(b: int, m: int, p: float) -> float:
+    """The chance that b or more of m texts are toxic, where a share p is."""
+    term = exp(lgamma(m + 1) - lgamma(b + 1) - lgamma(m - b + 1) + b * log(p) + (m - b) * log1p(-p))
+    out = term
+    for k in range(b, m):
+        term *= (m - k) / (k + 1) * p / (1 - p)
+        out += term
+        if term < 1e-3 * BEYOND / m or out > 1:
+            break
+    return out
+
+
+def fitted_line(t: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Slope and bias of a logistic line by Newton's steps with a light ridge on the slope; n: how often t and y are met."""
     slope, bias = 0.5, -2.0
     for _ in range(50):
         p = sigmoid(slope * t + bias)
-        w = p * (1 - p) + 1e-6
-        g = np.array([((p - y) * t).sum() + 0.01 * slope, (p - y).sum()])
+        w = n * (p * (1 - p) + 1e-6)
+        d = n * (p - y)
+        g = np.array([(d * t).sum() + 0.01 * slope, d.sum()])
         h = np.array([[(w * t * t).sum() + 0.01, (w * t).sum()], [(w * t).sum(), w.sum() + 1e-3]])
         step = np.linalg.solve(h, g)
         slope, bias = slope - float(np.clip(step[0], -1, 1)), bias - float(np.clip(step[1], -2, 2))
     return slope, bias
 
 
-def learn(sample: DataFrame, scratch: Scratch, *, least: int = 4) -> tuple | None:
-    """(word counts for the channel, weights of telling features, (slope, bias), the classes of the texts used).
+def _line(totals: DataFrame) -> tuple[float, float]:
+    """Slope and bias from (class, total) of the learning texts; the driver gets a row for each distinct pair."""
+    got = totals.groupBy("class", "total").count().toArrow()
+    y, t, n = (got.column(c).to_numpy().astype(float) for c in ("class", "total", "count"))
+    order = np.lexsort((t, y))
+    return fitted_line(t[order], y[order], n[order])
 
-    sample: class (0 or 1), text (binary), a bounded table. Near copies are learned from once: a text of a class that
-    shares its smallest shingle hash with one taken before, and is near to it (0.8), is left out. The channel knows
-    every word that the sample holds twice. A feature tells if ``least`` toxic texts hold it and its shares in the
-    classes differ beyond chance (z > 4, log odds > 2). Texts are read by the executors; the driver gets words,
-    features and a number for each text. None if a class is missing.
-    """
-    spark = sample.sparkSession
-    signed = sample.mapInArrow(_signed, "class int, low long, text binary, set binary").repartition("class", "low").sortWithinPartitions("class", "low", "set", "text")
+
+def _model(rows: DataFrame, scratch: Scratch, least: int):
+    """(learning texts taken, their numbers by class, broadcast words, weights, targets), or None if a class is missing."""
+    spark, sc = rows.sparkSession, rows.sparkSession.sparkContext
+    signed = rows.mapInArrow(_signed, "class int, low long, next long, text binary").repartition("class", "low", "next").sortWithinPartitions("class", "low", "next", "text")
     texts = scratch.table(signed.mapInArrow(_unlike, "class int, text binary"), "unlike")
     n = {r["class"]: r["count"] for r in texts.groupBy("class").count().collect()}
-    if not (n.get(0) and n.get(1)):
+    n1, n0 = n.get(1, 0), n.get(0, 0)
+    if not (n0 and n1):
         return None
-    counts = texts.mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-    words = dict(sorted(zip(counts.column("word").to_pylist(), counts.column("n").to_pylist(), strict=True)))
-    shared = spark.sparkContext.broadcast(words)
-    found = texts.mapInArrow(_features(shared), "feature long, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("b") >= least).toArrow()
-    shared.destroy()
-    a, b = found.column("a").to_numpy().astype(float), found.column("b").to_numpy().astype(float)
-    n1, n0 = n[1], n[0]
+    known = scratch.table(texts.mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
+    tri = known.mapInArrow(_trigrams, "tri string, n long").groupBy("tri").agg(F.sum("n").alias("n")).toArrow()
+    own = known.orderBy("word").toArrow().combine_chunks()
+    column = own.column("word").chunk(0) if own.num_rows else pa.array([], pa.string())
+    counts = own.column("n").chunk(0) if own.num_rows else pa.array([], pa.int64())
+    words = sc.broadcast(Words.sorted(column.cast(pa.string()), counts, dict(sorted(zip(tri.column("tri").to_pylist(), tri.column("n").to_pylist(), strict=True)))))
+    del own, column, counts
+
+    def held(c: int, asked=None) -> DataFrame:
+        return texts.where(F.col("class") == c).mapInArrow(_features(words, asked), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+
+    toxic = held(1).where(F.col("n") >= least).orderBy("feature").toArrow()
+    feature, b = toxic.column("feature").to_numpy(), toxic.column("n").to_numpy()
+    asked = sc.broadcast(feature.view(np.uint64))
+    clean = held(0, asked).toArrow()
+    asked.destroy()
+    a = np.zeros(len(b), np.int64)
+    a[np.searchsorted(feature, clean.column("feature").to_numpy())] = clean.column("n").to_numpy()
     z = (b / n1 - a / n0) / np.sqrt((a + b) / (n0 + n1) * (1 / n1 + 1 / n0) + 1e-12)
     odds = np.log((b + 0.5) / (n1 + 1)) - np.log((a + 0.5) / (n0 + 1))
     fit = (z > 4) & (odds > 2)  # z keeps out chance words, by how many texts there are
-    weights = dict(sorted(zip(found.column("feature").to_numpy().view(np.uint64)[fit].tolist(), odds[fit].tolist(), strict=True)))
-    shared = spark.sparkContext.broadcast((words, weights, (1.0, 0.0)))
-    scored = texts.mapInArrow(_totals(shared), "class int, total double").toArrow()
+    p = n1 / (n0 + n1)
+    for i in np.flatnonzero(fit):  # and the exact tail does where the classes are unequal and the numbers small
+        fit[i] = chance(int(b[i]), int(a[i] + b[i]), p) < BEYOND
+    weights = dict(sorted(zip(feature.view(np.uint64)[fit].tolist(), odds[fit].tolist(), strict=True)))
+    shared = sc.broadcast(weights)
+    targets = sorted(r["word"] for r in known.mapInArrow(_telling(shared), "word string").collect())
     shared.destroy()
-    y, t = scored.column("class").to_numpy().astype(float), scored.column("total").to_numpy()
-    order = np.lexsort((t, y))
-    return words, weights, fitted_line(t[order], y[order]), [0] * n0 + [1] * n1
+    return texts, (n0, n1), words, weights, targets
+
+
+def learn(rows: DataFrame, scratch: Scratch, *, least: int = 4) -> tuple | None:
+    """(known words for the channel, weights of telling features, (slope, bias), the classes of the texts used, a byte each).
+
+    rows: class (0 or 1), text (binary), of any number; all are learned from. Near copies are learned from once: a text
+    of a class that shares its two smallest shingle hashes with one taken before, and is near to it (0.8), is left out.
+    The channel knows every word that these texts hold twice. A feature tells if ``least`` toxic texts hold it and its
+    shares in the classes differ beyond chance (z > 4 and the exact tail beyond it, log odds > 2). Texts are read by the
+    executors; the driver gets words, the features that ``least`` toxic texts hold, and distinct totals. None if a class
+    is missing.
+    """
+    got = _model(rows, scratch, least)
+    if got is None:
+        return None
+    texts, (n0, n1), words, weights, targets = got
+    model = rows.sparkSession.sparkContext.broadcast((weights, (1.0, 0.0), targets))
+    line = _line(texts.mapInArrow(_totals(words, model, ["class"]), "class int, total double, words array<string>"))
+    model.destroy()
+    return words.value, weights, line, bytes(n0) + b"\x01" * n1
 
 
 class Scorer:
     """Scores of whole texts under learned words, weights, slope and bias."""
 
-    def __init__(self, words: dict[str, int], weights: dict[int, float], line: tuple[float, float]):
+    def __init__(self, words: Words | dict[str, int], weights: dict[int, float], line: tuple[float, float], targets: list[str] | None = None):
         def kept(w: str) -> tuple:
             hit = [weights[f] for f in features(w) if f in weights]
             return (w, max(hit)) if hit else ()
 
         self.line = line
-        self.reader = Reader(Channel(words), kept, {w for w in words if xxhash.xxh3_64_intdigest(w) in weights})
+        self.reader = Reader(Channel(words), kept, {w for w in words if xxhash.xxh3_64_intdigest(w) in weights} if targets is None else targets)
 
     def total(self, text: str | None) -> tuple[float, list[str]]:
         """The distinct telling words' weights, added up, and those words."""
@@ -485,48 +626,56 @@ class Scorer:
 _SCORERS: dict[int, tuple] = {}  # of a worker: the model in use and its scorer, which the worker's tasks share
 
 
-def _scorer(shared) -> Scorer:
-    model = shared.value
-    if id(model) not in _SCORERS:
+def _scorer(words, model) -> Scorer:
+    own = model.value
+    if id(own) not in _SCORERS:
         _SCORERS.clear()
-        _SCORERS[id(model)] = (model, Scorer(*model))
-    return _SCORERS[id(model)][1]
+        _SCORERS[id(own)] = (own, Scorer(words.value, *own))
+    return _SCORERS[id(own)][1]
+
 
+def _totals(words, model, columns: list[str]):
+    """The columns, and the total and the telling words of each text (binary)."""
 
-def _predict(model, cut: float, constant: float):
     def run(batches):
-        scorer = _scorer(model) if model else None
+        scorer = _scorer(words, model)
         for batch in batches:
-            got = [scorer.score(x.as_py()) if scorer else (constant, []) for x in batch.column("text")]
-            yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array([g[0] for g in got], pa.float64()), pa.array([int(g[0] >= cut) for g in got], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.string()))],
-                ["doc_id", "held_out", "score", "predicted", "words"],
-            )
+            got = [scorer.total(t) for t in _decoded(batch.column("text"))]
+            yield pa.record_batch([*(batch.column(c) for c in columns), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.string()))], [*columns, "total", "words"])
 
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out_fold: int = 0, cut: float = 0.5, per_class: int = 2000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out_fold: int = 0, cut: float = 0.5) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (score >= cut), words (restored, telling).
 
-    Learned from at most ``per_class`` labelled texts of each class, by the lowest hash of id and text, outside the
-    held-out fold. Null and empty texts hold no word and get the least score. With labels of one class only, or none,
-    the score is that class, or zero; an empty table gives an empty result. Null labels are not used; an id with
-    several labels is learned with each, a text under several ids is one learning text (near copies count once).
-    Repeated and null ids keep their rows; other columns, such as one named words, are ignored.
+    Learned from all labelled texts outside the held-out fold. Null and empty texts hold no word and get the least
+    score. With labels of one class only, or none, the score is that class, or zero; an empty table gives an empty
+    result. Null labels are not used; an id with several labels is learned with each, a text under several ids is one
+    learning text (near copies count once). Repeated and null ids keep their rows; other columns, such as one named
+    words, are ignored. Each text is scored once, into a scratch table that the line of the scores is fitted on.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("held_out", fold("doc_id", folds) == out_fold)
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).withColumn("held_out", fold("doc_id", folds) == out_fold)
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("class")).where("class in (0, 1)").where(fold("doc_id", folds) != out_fold).distinct()
-    sample = labelled_rows(d.withColumn("text", F.col("text").cast("binary")), marks, per_class, scratch, "sample")
-    learned = learn(sample, scratch)
-    model, constant = None, 0.0
-    if learned:
-        words, weights, (slope, bias), y = learned
-        model = spark.sparkContext.broadcast((words, weights, (slope, bias + prior_shift(marks, y))))
-    else:
-        constant = float(sample.agg(F.coalesce(F.avg("class"), F.lit(0.0))).first()[0])
-    scratch.close()
+    rows = all_labelled_rows(d.where("not held_out"), marks)
+    learned = _model(rows, scratch, 4)
+    if learned is None:
+        constant = float(rows.agg(F.coalesce(F.avg("class"), F.lit(0.0))).first()[0])
+        scratch.close()
+        return d.select("doc_id", "held_out", F.lit(constant).alias("score"), F.lit(int(constant >= cut)).alias("predicted"), F.array().cast("array<string>").alias("words"))
+    texts, (n0, n1), words, weights, targets = learned
+    model = spark.sparkContext.broadcast((weights, (1.0, 0.0), targets))
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.select("doc_id", "held_out", "text").mapInArrow(_predict(model, cut, constant), f"doc_id {kind}, held_out boolean, score double, predicted int, words array<string>")
+    columns = ["doc_id", "held_out", "h"]
+    scored = d.withColumn("h", F.xxhash64("text")).mapInArrow(_totals(words, model, columns), f"doc_id {kind}, held_out boolean, h long, total double, words array<string>")
+    scored = scratch.table(scored, "scored")
+    model.destroy()
+    words.destroy()
+    used = texts.select("class", F.xxhash64("text").alias("h"))
+    slope, bias = _line(used.join(scored.where("not held_out").select("h", "total").distinct(), "h"))
+    bias += prior_shift(marks, bytes(n0) + b"\x01" * n1)
+    scratch.drop("unlike", "words")
+    score = 1 / (1 + F.exp(-(F.lit(slope) * F.col("total") + F.lit(bias))))
+    return scored.select("doc_id", "held_out", score.alias("score"), (score >= cut).cast("int").alias("predicted"), "words")

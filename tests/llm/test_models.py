@@ -15,7 +15,8 @@ from driftwell.llm.chains import forward, forward_backward, longest_first
 from driftwell.llm.hmm_score import score_texts
 from driftwell.llm.langid_crf import identify
 from driftwell.llm.quality_net import accepted, classify
-from driftwell.llm.toxicity_channel import Channel, Scorer, features, learn, score_toxicity, trimmed
+from driftwell.llm.sampling import all_labelled_rows
+from driftwell.llm.toxicity_channel import Channel, Scorer, Words, chance, features, learn, score_toxicity, trimmed
 
 SYLLABLES = {"aa": ["the", "ing", "on", "er", "and"], "bb": ["que", "ción", "ado", "ez", "la"], "cc": ["ung", "heit", "sch", "ß", "ver"]}
 
@@ -134,6 +135,41 @@ def test_toxic_words_that_are_rare_among_toxic_texts_are_learned(spark):
     assert learnt(spark, [(1, "a b c d")]) is None
 
 
+def test_toxicity_is_learned_from_all_labelled_texts(spark):
+    r = random.Random(3)
+    ids = [i for i in range(15_500) if not held(i, 5, 0)]
+    rows = [(i, f"{word(r, 'aa')} {word(r, 'bb')} x{i} " + ("vermin" if k % 2 and k < 48 else "lamp"), k % 2) for k, i in enumerate(ids)]  # 24 of about 6,200 toxic texts: too few in any 2,000
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(90_000, "you verm1n")], "doc_id long, text string")
+    got = score_toxicity(docs, spark.createDataFrame([(i, c) for i, _, c in rows], "doc_id long, toxic int"))
+    assert got.where("doc_id = 90000").first().words == ["vermin"] and got.count() == len(rows) + 1
+
+
+def test_labelled_rows_are_all_met(spark):
+    docs = spark.createDataFrame([(i // 2, f"t{i}") for i in range(20_000)] + [(None, "none")], "doc_id long, text string")
+    marks = [(i, c) for i in range(0, 10_000, 3) for c in ([0, 1] if i % 2 else [1])] + [(99_999, 1), (None, 1)]
+    got = all_labelled_rows(docs, spark.createDataFrame(marks, "doc_id long, class int"))
+    assert sorted(map(tuple, got.collect())) == sorted((c, f"t{j}") for i, c in marks[:-2] for j in (2 * i, 2 * i + 1))
+    assert all_labelled_rows(docs, spark.createDataFrame([], "doc_id long, class int")).count() == 0
+
+
+def test_known_words_are_a_trie():
+    r = random.Random(6)
+    own = {"".join(r.choices("abéß字𝔞", k=r.randint(1, 6))): r.randint(1, 99) for _ in range(500)}
+    words = Words.of(own)
+    assert list(words) == sorted(own) and all(words[w] == n for w, n in own.items()) and "zz" not in words and "" not in words
+    for _ in range(2000):
+        text = "".join(r.choices("abéß字𝔞", k=r.randint(1, 6)))
+        node = words.walk(text)
+        assert bool(node) == any(w.startswith(text) for w in own) and (words.count(node) if node else 0) == own.get(text, 0) == words.get(text)
+    assert Words.of({}).walk("a") == () and "a" not in Words.of({})
+
+
+def test_chance_is_the_binomial_tail():
+    for b, m, p in ((4, 4, 0.1), (3, 9, 0.3), (20, 25, 0.5)):
+        assert chance(b, m, p) == pytest.approx(sum(math.comb(m, k) * p**k * (1 - p) ** (m - k) for k in range(b, m + 1)), rel=1e-6)
+    assert chance(400_000, 500_000, 0.1) == 0.0
+
+
 def test_near_copies_are_learned_from_once_and_like_beginnings_do_not_matter(spark):
     r = random.Random(9)
     base = [word(r, "aa") for _ in range(60)]
