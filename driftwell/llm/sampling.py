@@ -64,7 +64,7 @@ def all_labelled_rows(docs: DataFrame, marks: DataFrame) -> DataFrame:
     maps = known.groupBy(row.alias("row")).agg(F.bitmap_construct_agg(bit).alias("map"))
     byte = F.conv(F.hex(F.expr("substring(map, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
     met = docs.select("doc_id", "text", row.alias("row"), bit.alias("bit")).join(F.broadcast(maps), "row").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0)
-    return met.join(known, "doc_id").select("class", "text")
+    return met.join(known.hint("merge"), "doc_id").select("class", "text")  # marks grow with the input: no size is broadcast
 
 
 def prior_shift(marks: DataFrame, used: list[int] | bytes) -> float:

@@ -41,6 +41,7 @@ _LEAD = re.compile(r"[^\w@$!|+(<{€£§¡*#%]*")  # what no letter hides behind
 _THRICE = re.compile(r"(.)\1\1")
 _LONG = re.compile(r"(.)\1{3,}")
 _DOUBLE = re.compile(r"(.)\1+")
+_hash = xxhash.xxh3_64_intdigest
 _PLAIN = re.compile(r"(?:([^\W\d_])(?!\1)){8,}")  # letters, none of them doubled
 
 
@@ -180,6 +181,7 @@ class Channel:
             self.bi1[g[0]] = self.bi1.get(g[0], 0) + c
         self.chars = sum(self.uni.values()) + 1
         self.steps: dict[str, float] = {}
+        self.choices: dict[tuple, list] = {}
 
     def step(self, before: str, c: str) -> float:
         """log probability of c after two letters, interpolated."""
@@ -214,6 +216,9 @@ class Channel:
         at, known = self.words.walk(head), self.words
         spelled = {at: 0.0} if at else {}  # by node of the trie
         sure, last, run, i = [head], head[-1:], 0, 0
+        steps, choices, seen = self.steps, self.choices, known.seen
+        if len(choices) > MOST_STEPS:
+            choices.clear()
         while i < len(token):
             c = token[i]
             if not spelled and len(states) == 1 and c != last and (m := _PLAIN.match(token, i)) and m.group().isalpha():
@@ -222,11 +227,17 @@ class Channel:
                 states, last, run, i = {rest[-2:]: (0.0, None)}, rest[-1], 1, m.end()
                 continue
             run = run + 1 if c == last else 1
-            options = self.options(c, run)
+            options = choices.get((c, run if run < 3 else 3))
+            if options is None:
+                options = choices[c, min(run, 3)] = self.options(c, run)
             new: dict[str, tuple] = {}
             for two, (score, path) in states.items():
                 for x, cost in options:
-                    s, key = (score + cost + self.step(two, x), two[1] + x) if x else (score + cost, two)
+                    if x:
+                        go = steps.get(two + x)
+                        s, key = score + cost + (self.step(two, x) if go is None else go), two[1] + x
+                    else:
+                        s, key = score + cost, two
                     old = new.get(key)
                     if old is None or s > old[0]:
                         new[key] = (s, (path, x) if x else path)
@@ -239,7 +250,9 @@ class Channel:
                 more: dict[tuple, float] = {}
                 for node, score in spelled.items():
                     for x, cost in options:
-                        to = known.step(node, x) if x else node
+                        to = node
+                        if x and (to := seen.get((node, x))) is None:
+                            to = known.step(node, x)
                         if to and score + cost > more.get(to, NONE):
                             more[to] = score + cost
                 spelled = more
@@ -320,7 +333,8 @@ def _unwound(path) -> str:
 
 def features(word: str) -> list[int]:
     """Hashes of a restored word and of its beginnings, which words of one stem share."""
-    return [xxhash.xxh3_64_intdigest(word), *(xxhash.xxh3_64_intdigest("^" + word[:k]) for k in range(4, min(9, len(word))))]
+    own = "^" + word
+    return [_hash(word), *[_hash(own[:k]) for k in range(5, min(10, len(own)))]]
 
 
 class Reader:
@@ -336,21 +350,21 @@ class Reader:
         self.cache: dict[str, tuple] = {}
 
     def word(self, token: str) -> str:
-        core = core_of(token)
-        if not any(x.isalpha() for x in core):
-            return ""
+        core = token if token.isalpha() else core_of(token)
         if not core.isalpha():
+            if not any(x.isalpha() for x in core):
+                return ""
             end = next(i for i, x in enumerate(core) if not x.isalpha())
             if not end or any(x.isalnum() for x in core[end:]) or _THRICE.search(core[:end]):
                 return self.channel.restore(core)
             core = self.channel.restore(core[end:], core[:end])  # signs at the end: letters or noise, as the decoder prefers
+        elif not _DOUBLE.search(core):
+            return core
         elif _THRICE.search(core):
             return self.channel.restore(core)
-        if core not in self.channel.words:
-            plain = _DOUBLE.sub(r"\1", core)
-            if plain != core:
-                return self.single.get(plain, core)
-        return core
+        plain = _DOUBLE.sub(r"\1", core) if self.single else core
+        own = self.single.get(plain) if plain != core else None
+        return own if own and core not in self.channel.words else core
 
     def read(self, text: str | None) -> list[tuple]:
         if not text:
