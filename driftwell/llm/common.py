@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,30 @@ _P = U64(0x9E3779B97F4A7C15)
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
+MAPPED = 1 << 20  # bytes from which a worker's arrays are pages of their own, which go back as soon as they are freed
+
+
+def release() -> None:
+    """Gives freed memory of this process back to the system, where the C library can (glibc)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """A function of batches after whose task the worker gives back what it has freed; workers, and what they hold, outlive tasks."""
+
+    @wraps(run)
+    def wrapped(batches):
+        if option := getattr(ctypes.CDLL(None), "mallopt", None):
+            option(-3, MAPPED)  # M_MMAP_THRESHOLD, which else grows with the arrays freed
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, elementwise."""
     x = (x ^ (x >> U64(30))) * _M1

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, free_name, shingle_hashes, word_hashes, words_of
+from .common import U64, free_name, lean, shingle_hashes, word_hashes, words_of
 from .minhash_dedup import multipliers, shingle_set, signatures
 
 HASHES, SEED, LEAST = 64, 0xBE7C, 1
@@ -87,6 +87,7 @@ def _matches(batches, shared, k: int, percent: int, text: str):
 
 
 def _search(shared, k: int, percent: int):
+    @lean
     def run(batches):
         ids = shared.value[0]
         for batch, out in _matches(batches, shared, k, percent, "text"):
@@ -105,6 +106,7 @@ def _search(shared, k: int, percent: int):
 
 
 def _clean(shared, k: int, percent: int, text: str):
+    @lean
     def run(batches):
         for batch, out in _matches(batches, shared, k, percent, text):
             keep = np.ones(batch.num_rows, bool)

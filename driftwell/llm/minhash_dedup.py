@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, connected, groups, mix64, shingle_hashes, word_hashes, words_of
+from .common import U64, Scratch, connected, groups, lean, mix64, shingle_hashes, word_hashes, words_of
 
 ROWS, KEYS, SEED = 3, 10, 0x5EED
 BLOCK, STAR_ROUNDS, LEADERS, MARKS = 256, 2, 4, 512
@@ -68,6 +68,7 @@ def _matrix(column, width: int) -> np.ndarray:
 
 
 def _sign(k: int, rows: int, keys: int):
+    @lean
     def run(batches):
         a, b = multipliers(2 * rows * keys)
         for batch in batches:
@@ -95,6 +96,7 @@ def _sign(k: int, rows: int, keys: int):
 
 
 def _sets(k: int):
+    @lean
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
@@ -105,6 +107,7 @@ def _sets(k: int):
 
 
 def _first_keys(rows: int, keys: int):
+    @lean
     def run(batches):
         for batch in batches:
             half = half_keys(_matrix(batch.column("sig"), 2 * rows * keys), rows, keys)[:, :keys]
@@ -114,6 +117,7 @@ def _first_keys(rows: int, keys: int):
 
 
 def _tensor_keys(rows: int, keys: int):
+    @lean
     def run(batches):
         for batch in batches:
             second = half_keys(_matrix(batch.column("sig"), 2 * rows * keys), rows, keys)[:, keys:]
@@ -130,6 +134,7 @@ def _tensor_keys(rows: int, keys: int):
 
 
 def _confirm(percent: int):
+    @lean
     def run(batches):
         for batch in batches:
             keep = []
@@ -145,6 +150,7 @@ def _confirm(percent: int):
     return run
 
 
+@lean
 def _marks(batches):
     """A longer signature of a set, one byte a hash, and the set cut to 32 bits, for nodes that need a finer look."""
     a, b = multipliers(MARKS, SEED + 1)
@@ -169,6 +175,7 @@ def _block_pairs(rows: int, keys: int, percent: int):
     width, level = 2 * rows * keys, percent / 100
     least, sure = (level - 5 * (level * (1 - level) / n) ** 0.5 for n in (width, MARKS))
 
+    @lean
     def run(batches):
         for t in groups(batches, ["key", "lo", "hi"]):
             if t.num_rows < 2:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, mix64
+from .common import U64, Scratch, lean, mix64
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_SOURCES = 100_000
@@ -88,6 +88,7 @@ def shard_counts(shard: int, shards: int, per_shard: int, counts: np.ndarray, se
 
 
 def _slots(shards: int, per_shard: int, counts: np.ndarray, blocks: np.ndarray, seed: int):
+    @lean
     def run(batches):
         for batch in batches:
             for shard in batch.column("id").to_pylist():

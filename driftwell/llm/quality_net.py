@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, fold, free_name, groups, mix64, word_hashes, words_of
+from .common import U64, Scratch, fold, free_name, groups, lean, mix64, word_hashes, words_of
 from .sampling import labelled_rows, prior_shift
 
 DIM, SHAPES, REPEATS, ONES = 96, 4096, 6, 8
@@ -68,9 +68,9 @@ class Pool:
         """(n, 3 * DIM): means over words, over their shapes, over repeats; zeros for an empty text."""
         out = np.zeros((len(texts), 3 * DIM), np.float32)
         at = 0
-        while at < len(texts):  # about a megabyte at a time
+        while at < len(texts):  # about a quarter of a megabyte at a time
             start, size = at, 0
-            while at < len(texts) and size < 1_000_000:
+            while at < len(texts) and size < 250_000:
                 size += len(texts[at] or b"")
                 at += 1
             out[start:at] = self._pool(texts[start:at])
@@ -95,7 +95,8 @@ class Pool:
         for k in (0, 1):  # mean of table rows, by each text's distinct tokens
             pair, count = np.unique(owner * width + places[:, k], return_counts=True)
             o, p = np.divmod(pair, width)
-            weighted = self.table[p] * (count / size[o])[:, None].astype(np.float32)
+            weighted = self.table[p]
+            weighted *= (count / size[o])[:, None].astype(np.float32)
             at = np.searchsorted(o, np.flatnonzero(size))
             out[np.flatnonzero(size), k * DIM : (k + 1) * DIM] = np.add.reduceat(weighted, at, axis=0)
         for i, ws in enumerate(words):  # how often the text repeats its words, and repeats them at once
@@ -114,6 +115,7 @@ def _tally(words: list[bytes]) -> dict[bytes, int]:
     return counts
 
 
+@lean
 def _word_counts(batches):
     """Hashes and counts of a task's lower-case words."""
     for batch in batches:
@@ -125,6 +127,7 @@ def _word_counts(batches):
 def _neighbours(shared, near: int):
     """For each word of the vocabulary that a task's texts hold: the sum of its neighbours' index vectors."""
 
+    @lean
     def run(batches):
         vocabulary = shared.value
         places, signs = index_places(vocabulary)
@@ -153,6 +156,7 @@ def _neighbours(shared, near: int):
     return run
 
 
+@lean
 def _added(batches):
     """The sums of the tasks' parts."""
     for t in groups(batches, ["start"]):
@@ -180,6 +184,7 @@ def context_vectors(texts: DataFrame, most: int, least: int = 3, near: int = 2)
 
 
 def _pooled(shared):
+    @lean
     def run(batches):
         pool = Pool(*shared.value)
         for batch in batches:
@@ -249,6 +254,7 @@ def _scores(batches, shared, constant: float, text: str):
 
 
 def _predict(fitted, cut: float):
+    @lean
     def run(batches):
         for batch, s in _scores(batches, *fitted, "text"):
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(s.astype(float)), pa.array((s >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -257,6 +263,7 @@ def _predict(fitted, cut: float):
 
 
 def _accept(fitted, cut: float, text: str):
+    @lean
     def run(batches):
         for batch, s in _scores(batches, *fitted, text):
             yield batch.filter(pa.array(s >= cut)).drop_columns([text])

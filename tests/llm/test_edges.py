@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -186,3 +187,19 @@ def test_pipeline_on_odd_tables(spark, tmp_path, odd, marks):
         assert {"doc_id", "taken"} <= set(got[0].asDict()) if got else name == "empty"
     assert accepted(docs, marks.where("false")).count() == docs.count()  # without labels the score is one half, above the cut
     assert forward_backward(np.ones((1, 2)), np.array([0]), np.array([1]), np.ones((2, 2)), np.full(2, 0.5))[0].tolist() == [[0.5, 0.5]]
+
+
+def _peak_mb(work) -> float:
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_pooling_takes_little_memory_at_once():
+    texts = [" ".join(f"w{i}x{j}" for j in range(10_000)).encode() for i in range(10)]
+    pool = Pool(np.sort(word_hashes(texts[0].split())), np.zeros((10_000, quality_net.DIM), np.float32))
+    pool.pool(texts)  # the words are cached then
+    assert _peak_mb(lambda: pool.pool(texts)) < 60
