@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chains import backward_steps, by_step, forward, forward_steps, longest_first
-from .common import U64, Scratch, fold, groups, word_hashes, words_of
+from .common import U64, Scratch, fold, groups, lean, word_hashes, words_of
 from .sampling import share_of
 
 END = b"\n"  # no word holds a line feed
 PIECE = 6_000_000  # bytes of text, or half as many symbols, worked on at once
 BLOCK = 16_000_000  # bytes of text whose words are looked up together
-FINE, UNIT = 2048.0, 64.0  # expected counts of words travel as round(FINE * ln(1 + UNIT * count)), 16 bits each
+FINE, UNIT = 2048.0, 64.0  # expected counts of words are kept as round(FINE * ln(1 + UNIT * count)), 16 bits each
+USE, MOST = 2048, 65_535  # steps of one use, and of a row; whole steps travel, so that sums do not depend on the order of addition
 
 
 def _pieces(batch, column: str, most: int):
@@ -44,6 +45,7 @@ def _pieces(batch, column: str, most: int):
         yield start, got
 
 
+@lean
 def _count(batches):
     counts: dict[bytes, int] = {}
 
@@ -72,15 +74,16 @@ def _encode(keys: np.ndarray):
     hashes of its other words in order. Role 0 are a block's distinct other words."""
     other = len(keys)
 
+    @lean
     def run(batches):
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for start, texts in _pieces(batch, "text", BLOCK):
                 n, coded, missing, rare = len(texts), [], [], [np.zeros(0, U64)]
                 at = 0
-                while at < n:  # about two megabytes of words at a time
+                while at < n:  # about a megabyte of words at a time
                     split, size = [], 0
-                    while at < n and size < 2_000_000:
+                    while at < n and size < 1_000_000:
                         split.append(words_of(texts[at]))
                         size += len(texts[at] or b"")
                         texts[at] = None
@@ -115,6 +118,7 @@ def _hashes(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.int64)
 
 
+@lean
 def _wanted(batches):
     """(block, word) of the blocks' distinct other words."""
     for batch in batches:
@@ -192,24 +196,51 @@ def initial(blobs: list[bytes], symbols: int, states: int, run: int, seed: int =
 
 def packed(counts: np.ndarray) -> list[np.ndarray]:
     """Counts (n, states) as longs of four 16-bit steps each."""
-    steps = np.minimum(np.rint(FINE * np.log1p(UNIT * counts)), 65_535).astype(np.uint16)
-    steps = np.pad(steps, ((0, 0), (0, -counts.shape[1] % 4)))
-    return list(np.ascontiguousarray(steps).view(np.int64).T)
+    return _longs(np.minimum(np.rint(FINE * np.log1p(UNIT * counts)), MOST).astype(np.uint16))
 
 
 def unpacked(longs: list[np.ndarray], states: int) -> np.ndarray:
-    steps = np.ascontiguousarray(np.stack(longs, axis=1)).view(np.uint16)[:, :states]
-    return np.expm1(steps / FINE) / UNIT
+    return np.expm1(_steps(longs, states) / FINE) / UNIT
+
+
+def _longs(steps: np.ndarray) -> list[np.ndarray]:
+    steps = np.pad(steps, ((0, 0), (0, -steps.shape[1] % 4)))
+    return list(np.ascontiguousarray(steps).view(np.int64).T)
+
+
+def _steps(longs: list[np.ndarray], states: int) -> np.ndarray:
+    return np.ascontiguousarray(np.stack(longs, axis=1)).view(np.uint16)[:, :states]
+
+
+def summed_uses(words: list[np.ndarray], uses: list[np.ndarray]) -> pa.RecordBatch:
+    """The steps (16 bits, by state) of a word's uses added up; above MOST in several rows. Empties the lists."""
+    keys, at = np.unique(np.concatenate(words), return_inverse=True)
+    words.clear()
+    sums = np.empty((len(keys), uses[0].shape[1]), np.int32)
+    for j in range(sums.shape[1]):
+        sums[:, j] = np.bincount(at, np.concatenate([u[:, j] for u in uses]), len(keys))
+    uses.clear()
+    many = sums.max(axis=1) > MOST
+    rest, steps = sums[many], np.minimum(sums, MOST).astype(np.uint16)
+    names, rows, own = [keys], [steps], keys[many]
+    while len(own):
+        rest = np.maximum(rest - MOST, 0)
+        names.append(own)
+        rows.append(np.minimum(rest, MOST).astype(np.uint16))
+        left = rest.max(axis=1) > MOST
+        rest, own = rest[left], own[left]
+    return pa.record_batch({"word": pa.array(np.concatenate(names))} | {f"q{k}": pa.array(q) for k, q in enumerate(_longs(np.concatenate(rows)))})
 
 
 def _expect(shared, end: int, cut: int, states: int):
     """A task's expected counts: a row for each symbol, state, and the starts."""
 
+    @lean
     def run(batches):
         model, e, moves, begin, like = shared.value, 0, 0, 0, 0.0
         model = (model[0].astype(np.float32), *model[1:])
         for batch in batches:
-            for _, blobs in _pieces(batch, "ids", PIECE // 3):
+            for _, blobs in _pieces(batch, "ids", PIECE // 6):
                 got = expected_counts(*_symbols(blobs, end, cut), model)
                 e, moves, begin, like = e + got[0], moves + got[1], begin + got[2], like + got[3]
         if np.ndim(e):
@@ -224,27 +255,22 @@ def _expect(shared, end: int, cut: int, states: int):
 def _expect_words(shared, end: int, cut: int, states: int):
     """How often each state is expected to have emitted a task's other words."""
 
+    @lean
     def run(batches):
         model = shared.value
         model = (model[0].astype(np.float32), *model[1:])
-        words, own, held = [], [], 0
-
-        def found():
-            keys, at = np.unique(np.concatenate(words), return_inverse=True)
-            sums = np.concatenate(own)
-            counts = np.stack([np.bincount(at, sums[:, j], len(keys)) for j in range(states)], axis=1)
-            return pa.record_batch({"word": pa.array(keys)} | {f"q{k}": pa.array(q) for k, q in enumerate(packed(counts))})
-
+        words, uses, held = [], [], 0
         for batch in batches:
-            for start, blobs in _pieces(batch, "ids", PIECE // 3):
-                own.append(expected_counts(*_symbols(blobs, end, cut), model, end - 1)[4])
+            for start, blobs in _pieces(batch, "ids", PIECE // 6):
+                own = expected_counts(*_symbols(blobs, end, cut), model, end - 1)[4]
+                uses.append(np.rint(own * USE).astype(np.uint16))
                 words.append(_hashes(batch.column("rare").slice(start, len(blobs))))
-                held += len(words[-1])
+                held += len(own)
                 if held > 1_000_000:
-                    yield found()
-                    words, own, held = [], [], 0
+                    yield summed_uses(words, uses)
+                    held = 0
         if held:
-            yield found()
+            yield summed_uses(words, uses)
 
     return run
 
@@ -252,13 +278,14 @@ def _expect_words(shared, end: int, cut: int, states: int):
 def _added(states: int):
     """Rows of sorted words: the counts of one word added up."""
 
+    @lean
     def run(batches):
         last, rest = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             word = batch.column("word").to_numpy()
-            counts = unpacked([batch.column(f"q{k}").to_numpy() for k in range(-(-states // 4))], states)
+            counts = _steps([batch.column(f"q{k}").to_numpy() for k in range(-(-states // 4))], states).astype(np.int64)
             heads = np.append(0, np.flatnonzero(word[1:] != word[:-1]) + 1)
             sums, keys = np.add.reduceat(counts, heads, axis=0), word[heads]
             if last is not None:
@@ -268,9 +295,9 @@ def _added(states: int):
                     sums, keys = np.concatenate([[rest], sums]), np.append(last, keys)
             last, rest = keys[-1], sums[-1]
             if len(keys) > 1:
-                yield pa.record_batch({"word": pa.array(keys[:-1])} | {f"q{k}": pa.array(q) for k, q in enumerate(packed(sums[:-1]))})
+                yield pa.record_batch({"word": pa.array(keys[:-1])} | {f"q{k}": pa.array(q) for k, q in enumerate(packed(sums[:-1] / USE))})
         if last is not None:
-            yield pa.record_batch({"word": pa.array([last], pa.int64())} | {f"q{k}": pa.array(q) for k, q in enumerate(packed(rest[None]))})
+            yield pa.record_batch({"word": pa.array([last], pa.int64())} | {f"q{k}": pa.array(q) for k, q in enumerate(packed(rest[None] / USE))})
 
     return run
 
@@ -278,6 +305,7 @@ def _added(states: int):
 def _high(states: int, least: int):
     """Uses, words and expected counts of a task's words that keep their own."""
 
+    @lean
     def run(batches):
         n, v, total = 0, 0, np.zeros(states)
         for batch in batches:
@@ -294,21 +322,22 @@ def _high(states: int, least: int):
 def _score(shared, end: int, states: int):
     """Blocks: their words with counts and emissions first, then their texts."""
 
+    @lean
     def run(batches):
         emit, trans, begin, logs, ratio, whole = shared.value
         for t in groups(batches, ["block"]):
             known, texts = (t.filter(pc.equal(t.column("role"), role)) for role in (0, 1))
             keys = known.column("word").to_numpy()
             c = known.column("c").to_numpy(zero_copy_only=False) if len(keys) else np.zeros(0)
-            c = np.nan_to_num(c.astype(float))
+            c = np.append(c.astype(float), 0.0)  # the last is any word that no learning text has
             share = _log_share(c, whole)
-            times = np.tile(ratio["low"], (len(keys), 1))
+            times = np.tile(ratio["low"], (len(c), 1))
             if len(keys):
                 has = np.flatnonzero(known.column("q0").is_valid().to_numpy(zero_copy_only=False))
                 own = unpacked([known.column(f"q{k}").take(pa.array(has)).to_numpy() for k in range(-(-states // 4))], states)
                 times[has] = (own / 10 ** (share[has] - ratio["all"])[:, None] + ratio["weight"]) / (ratio["total"] + ratio["weight"])
-            by = np.argsort(keys)
-            order_of = keys[by]
+            by = np.append(np.argsort(keys), len(keys))
+            order_of = keys[by[:-1]]
             del t, known
             for batch in texts.to_batches():
                 for start, blobs in _pieces(batch, "ids", PIECE // 8):
@@ -317,7 +346,10 @@ def _score(shared, end: int, states: int):
                     size = np.array([len(x) for x in lists])
                     symbols = np.concatenate(lists)
                     h = _hashes(batch.column("rare").slice(start, n))
-                    at = by[np.searchsorted(order_of, h)] if len(h) else np.zeros(0, int)
+                    at = np.searchsorted(order_of, h)
+                    inside = np.flatnonzero(at < len(keys))
+                    at[inside[order_of[at[inside]] != h[inside]]] = len(keys)
+                    at = by[at]
                     rare = np.flatnonzero(symbols == end - 1)
                     e = emit[symbols]
                     e[rare] *= times[at]
@@ -384,6 +416,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     by = np.argsort(keys)
     keys, often = keys[by], top.column("c").to_numpy()[by]
     coded = scratch.table(d.mapInArrow(_encode(keys), CODED.format(kind=kind)), "coded")
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the counts
     n, end = len(keys), len(keys) + 1
     learn = coded.where("role = 1 and not held_out").select("ids", "rare")
 
@@ -429,7 +463,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     shared = spark.sparkContext.broadcast((*model[:3], logs, ratio, whole))
 
     none = lambda *names: [F.lit(None).cast(t).alias(c) for c, t in names]
-    wanted = coded.where("role = 0").select("block", "rare").mapInArrow(_wanted, "block long, word long").join(table, "word", "left")
+    wanted = coded.where("role = 0").select("block", "rare").mapInArrow(_wanted, "block long, word long").join(table, "word")
     wanted = wanted.select("block", F.lit(0).alias("role"), *none(("doc_id", kind), ("held_out", "boolean"), ("ids", "binary"), ("rare", "binary")), "word", "c", *steps)
     texts = coded.where("role = 1").select("block", "role", "doc_id", "held_out", "ids", "rare", *none(("word", "long"), ("c", "long"), *((q, "long") for q in steps)))
     out = wanted.union(texts).repartition("block").sortWithinPartitions("block", "role")

@@ -6,10 +6,11 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from driftwell.llm import langid_crf, quality_net
+from driftwell.llm import hmm_score, langid_crf, quality_net
 from driftwell.llm.chains import forward_backward
 from driftwell.llm.decontaminate import contaminated, uncontaminated
 from driftwell.llm.hmm_score import score_texts
@@ -203,3 +204,26 @@ def test_pooling_takes_little_memory_at_once():
     pool = Pool(np.sort(word_hashes(texts[0].split())), np.zeros((10_000, quality_net.DIM), np.float32))
     pool.pool(texts)  # the words are cached then
     assert _peak_mb(lambda: pool.pool(texts)) < 60
+
+
+def test_uses_of_words_add_up_in_any_order_in_little_memory():
+    r = np.random.default_rng(5)
+    words = r.integers(0, 300_000, 600_000)
+    words[:100] = 7  # more steps than a row holds
+    uses = r.integers(0, hmm_score.USE + 1, (len(words), 8)).astype(np.uint16)
+
+    def summed(cuts):
+        rows = [b for b in hmm_score._added(8)([_sorted([hmm_score.summed_uses([w], [u]) for w, u in zip(np.split(words, cuts), np.split(uses, cuts))])])]
+        return [np.concatenate([b.column(c).to_numpy() for b in rows]) for c in ("word", "q0", "q1")]
+
+    one, many = summed([]), summed([50, 1000, 200_000])
+    assert all((a == b).all() for a, b in zip(one, many))
+    at = np.flatnonzero(one[0] == 7)[0]
+    want = uses[words == 7].sum(axis=0, dtype=float) / hmm_score.USE
+    assert np.allclose(hmm_score.unpacked([one[1][at : at + 1], one[2][at : at + 1]], 8)[0], want, rtol=5e-4)
+    assert _peak_mb(lambda: hmm_score.summed_uses([words], [uses])) < 70
+
+
+def _sorted(batches):
+    t = pa.Table.from_batches(batches).sort_by("word")
+    return t.combine_chunks().to_batches()[0]
