@@ -361,13 +361,31 @@ def _shard(parts: int):
     return run
 
 
+def cut_out(text: bytes, runs: list[tuple[int, int]]) -> tuple[int, int, str]:
+    """Bytes and spans removed, and the digest of the rest; runs: first and last place, plus one, of strings to go."""
+    left, end, gone, spans = hashlib.sha256(), 0, 0, 0
+    for a, b in sorted(runs):
+        b = min(b + LENGTH - 1, len(text))
+        if b <= end:
+            continue
+        if a > end or not spans:
+            left.update(text[end:a])
+            spans += 1
+            gone += b - a
+        else:
+            gone += b - end
+        end = b
+    left.update(text[end:])
+    return gone, spans, left.hexdigest()
+
+
 def _finish(batches):
     unpack = zstandard.ZstdDecompressor().decompress
     part, runs = None, None
     for batch in batches:
         out = []
-        for i in range(batch.num_rows):
-            p, role = batch.column("part")[i].as_py(), batch.column("role")[i].as_py()
+        keys, docs = batch.column("key").to_pylist(), batch.column("doc").to_pylist()
+        for i, (p, role) in enumerate(zip(batch.column("part").to_pylist(), batch.column("role").to_pylist(), strict=True)):
             if p != part:
                 part, runs = p, []
             if role == 1:
@@ -377,14 +395,8 @@ def _finish(batches):
                 runs = [np.concatenate(x) for x in zip(*runs, strict=True)] if runs else [np.zeros(0, np.int64)] * 3
                 order = np.argsort(runs[0], kind="stable")
                 runs = tuple(x[order] for x in runs)
-            key, text = batch.column("key")[i].as_py(), np.frombuffer(unpack(batch.column("text")[i].as_buffer()), np.uint8)
-            a, b = np.searchsorted(runs[0], key, "left"), np.searchsorted(runs[0], key, "right")
-            step = np.zeros(len(text) + 1, np.int64)
-            np.add.at(step, runs[1][a:b], 1)
-            np.add.at(step, np.minimum(runs[2][a:b] + LENGTH - 1, len(text)), -1)
-            gone = np.cumsum(step)[:-1] > 0
-            spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            out.append((key, batch.column("doc")[i].as_py(), int(gone.sum()), spans, hashlib.sha256(text[~gone].tobytes()).hexdigest()))
+            a, b = runs[0].searchsorted(keys[i], "left"), runs[0].searchsorted(keys[i], "right")
+            out.append((keys[i], docs[i], *cut_out(unpack(batch.column("text")[i].as_buffer()), list(zip(runs[1][a:b].tolist(), runs[2][a:b].tolist(), strict=True)))))
         if out:
             yield pa.record_batch([pa.array(x) for x in zip(*out, strict=True)], ["key", "first", "n_removed", "n_spans", "kept_sha256"])
 

@@ -1,5 +1,6 @@
 """Odd tables through every operator: empty, nulls in every column, repeated ids and rows, extra columns, one huge token; and models against plain loops."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from driftwell.llm import hmm_score, langid_crf, quality_net
+from driftwell.llm import hmm_score, langid_crf, quality_net, suffix_dedup
 from driftwell.llm.chains import forward_backward
 from driftwell.llm.decontaminate import contaminated, uncontaminated
 from driftwell.llm.hmm_score import score_texts
@@ -227,3 +228,14 @@ def test_uses_of_words_add_up_in_any_order_in_little_memory():
 def _sorted(batches):
     t = pa.Table.from_batches(batches).sort_by("word")
     return t.combine_chunks().to_batches()[0]
+
+
+def test_removed_runs_equal_marked_bytes():
+    r = random.Random(6)
+    for _ in range(300):
+        text = bytes(r.randrange(256) for _ in range(r.randint(50, 300)))
+        runs = [(a, r.randint(a + 1, len(text) - 49)) for a in (r.randrange(len(text) - 49) for _ in range(r.randint(0, 4)))]
+        gone = [any(a <= i < b + 49 for a, b in runs) for i in range(len(text))]
+        spans = sum(x and not y for x, y in zip(gone, [False, *gone]))
+        kept = bytes(c for c, x in zip(text, gone) if not x)
+        assert suffix_dedup.cut_out(text, runs) == (sum(gone), spans, hashlib.sha256(kept).hexdigest())
