@@ -9,6 +9,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def finished_shuffles_deleted(spark: SparkSession):
+    """Queries that are built within have their shuffle files deleted when they end, not whenever the driver collects garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
 
 class Scratch:
     """Parquet tables in the shared checkpoint folder; they cut lineage and survive a lost executor."""

@@ -5,7 +5,8 @@ frequent words are a bounded table that every executor holds; all rounds of Baum
 transitions and one shared symbol for all other words. The last round also adds up, for each of the other words, how
 often each state is expected to have emitted it; words with ``least`` uses keep those counts of their own, leaning on
 the corpus shares, and rarer and unseen ones share what is left. These emissions stay a table keyed by word. Texts
-are encoded in blocks; a block's distinct words meet that table in a join, and the block is scored with what comes back.
+are encoded in blocks; a block's distinct words meet that table in a join, what comes back is packed by block, and the
+block is scored with it.
 
 Each round reads the encoded corpus, adds up expected counts within partitions, and sums them across partitions. For
 learning, long texts are cut into runs of ``run`` words; scores always follow the whole text.
@@ -13,7 +14,7 @@ learning, long texts are cut into runs of ``run`` words; scores always follow th
 
 from __future__ import annotations
 
-import gc
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftwell.functions.scratch import finished_shuffles_deleted
+
 from .chains import backward_steps, by_step, forward, forward_steps, longest_first
 from .common import U64, Scratch, fold, groups, lean, word_hashes, words_of
 from .sampling import share_of
@@ -30,6 +33,7 @@ END = b"\n"  # no word holds a line feed
 PIECE = 6_000_000  # bytes of text, or half as many symbols, worked on at once
 BLOCK = 16_000_000  # bytes of text whose words are looked up together
 FINE, UNIT = 2048.0, 64.0  # expected counts of words are kept as round(FINE * ln(1 + UNIT * count)), 16 bits each
+HELD = 500_000  # words that are packed by block at once
 USE, MOST = 2048, 65_535  # steps of one use, and of a row; whole steps travel, so that sums do not depend on the order of addition
 
 
@@ -200,7 +204,11 @@ def packed(counts: np.ndarray) -> list[np.ndarray]:
 
 
 def unpacked(longs: list[np.ndarray], states: int) -> np.ndarray:
-    return np.expm1(_steps(longs, states) / FINE) / UNIT
+    return _counts(_steps(longs, states))
+
+
+def _counts(steps: np.ndarray) -> np.ndarray:
+    return np.expm1(steps / FINE) / UNIT
 
 
 def _longs(steps: np.ndarray) -> list[np.ndarray]:
@@ -319,6 +327,51 @@ def _high(states: int, least: int):
     return run
 
 
+def by_block(batches: list[pa.RecordBatch], states: int) -> pa.RecordBatch:
+    """One row for each block: hashes of its words (``rare``), first those with counts of their own, all their ``uses``, and
+    those counts (``own``). Empties the list."""
+    t = pa.Table.from_batches(batches)
+    batches.clear()
+    block, has = t.column("block").to_numpy(), t.column("q0").is_valid().to_numpy()
+    by = np.lexsort((~has, block))
+    block, has = block[by], has[by]
+    words, uses = (t.column(c).to_numpy()[by] for c in ("word", "c"))
+    steps = _steps([t.column(f"q{k}").take(pa.array(by[has])).to_numpy() for k in range(-(-states // 4))], states)
+    cuts = np.append(np.append(0, np.flatnonzero(block[1:] != block[:-1]) + 1), len(block))
+    owned = np.append(0, np.cumsum(has))[cuts]
+    cut = lambda values, at: [values[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
+    packed_up = lambda blobs: pa.array([zlib.compress(b, 1) for b in blobs], pa.binary())
+    return pa.record_batch({"block": pa.array(block[cuts[:-1]]), "rare": pa.array(cut(words, cuts), pa.binary()), "uses": packed_up(cut(uses, cuts)), "own": packed_up(cut(steps, owned))})
+
+
+def words_of_block(known: pa.Table, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """From rows of by_block: the words, their uses, the places of those with counts of their own, and these counts."""
+    words, uses, places, own, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, states), np.uint16)], 0
+    for h, c, steps in zip(*(known.column(x).to_pylist() for x in ("rare", "uses", "own")), strict=True):
+        words.append(np.frombuffer(h, np.int64))
+        uses.append(np.frombuffer(zlib.decompress(c), np.int64))
+        own.append(np.frombuffer(zlib.decompress(steps), np.uint16).reshape(-1, states))
+        places.append(n + np.arange(len(own[-1])))
+        n += len(words[-1])
+    return np.concatenate(words), np.concatenate(uses), np.concatenate(places), _counts(np.concatenate(own))
+
+
+def _by_block(states: int):
+    @lean
+    def run(batches):
+        some, n = [], 0
+        for batch in batches:
+            some.append(batch)
+            n += batch.num_rows
+            if n >= HELD:
+                yield by_block(some, states)
+                n = 0
+        if n:
+            yield by_block(some, states)
+
+    return run
+
+
 def _score(shared, end: int, states: int):
     """Blocks: their words with counts and emissions first, then their texts."""
 
@@ -327,18 +380,14 @@ def _score(shared, end: int, states: int):
         emit, trans, begin, logs, ratio, whole = shared.value
         for t in groups(batches, ["block"]):
             known, texts = (t.filter(pc.equal(t.column("role"), role)) for role in (0, 1))
-            keys = known.column("word").to_numpy()
-            c = known.column("c").to_numpy(zero_copy_only=False) if len(keys) else np.zeros(0)
+            keys, c, has, own = words_of_block(known, states)
             c = np.append(c.astype(float), 0.0)  # the last is any word that no learning text has
             share = _log_share(c, whole)
             times = np.tile(ratio["low"], (len(c), 1))
-            if len(keys):
-                has = np.flatnonzero(known.column("q0").is_valid().to_numpy(zero_copy_only=False))
-                own = unpacked([known.column(f"q{k}").take(pa.array(has)).to_numpy() for k in range(-(-states // 4))], states)
-                times[has] = (own / 10 ** (share[has] - ratio["all"])[:, None] + ratio["weight"]) / (ratio["total"] + ratio["weight"])
+            times[has] = (own / 10 ** (share[has] - ratio["all"])[:, None] + ratio["weight"]) / (ratio["total"] + ratio["weight"])
             by = np.append(np.argsort(keys), len(keys))
             order_of = keys[by[:-1]]
-            del t, known
+            del t, known, own
             for batch in texts.to_batches():
                 for start, blobs in _pieces(batch, "ids", PIECE // 8):
                     n = len(blobs)
@@ -385,23 +434,9 @@ def frequent_from(words: DataFrame, most: int) -> int:
     return least if least is not None else 1
 
 
-def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out_fold: int = 1, states: int = 8, symbols: int = 50_000, rounds: int = 3, run: int = 128, sample: int = 1500, least: int = 3) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
-
-    Learning covers every text outside the held-out fold; ``sample`` bounds only the texts that start the states, those
-    of the lowest hash of id and text, so that results do not depend on how the table is cut into files. ``symbols``
-    bounds the words whose emissions all rounds refine; the others get theirs in the last round, if they have ``least``
-    uses. A null text is empty: its one token is the end. Without learning texts every base term is log10(1) and the
-    model is even. Repeated rows are learned as often as they stand; repeated and null ids keep their rows; other
-    columns are ignored; an empty table gives an empty result.
-    """
-    if not 0 < symbols < 65_534 or rounds < 1:
-        raise ValueError("symbols must fit 16 bits, and there must be a round")
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "hmm")
-    kind = docs.schema[id_col].dataType.simpleString()
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    d = d.withColumn("held_out", fold("doc_id", folds) == out_fold)
+def _learned(d: DataFrame, scratch: Scratch, states: int, symbols: int, rounds: int, run: int, sample: int, least: int) -> tuple:
+    """The encoded texts, the table of the other words, the model (broadcast), the symbol of the end, and N."""
+    spark = d.sparkSession
     counts = scratch.table(d.where("not held_out").select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("c")), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     N, V = total["n"], total["v"]
@@ -415,9 +450,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     keys = top.column("word").to_numpy().view(U64)
     by = np.argsort(keys)
     keys, often = keys[by], top.column("c").to_numpy()[by]
-    coded = scratch.table(d.mapInArrow(_encode(keys), CODED.format(kind=kind)), "coded")
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the counts
+    coded = scratch.table(d.mapInArrow(_encode(keys), CODED.format(kind=d.schema["doc_id"].dataType.simpleString())), "coded")
     n, end = len(keys), len(keys) + 1
     learn = coded.where("role = 1 and not held_out").select("ids", "rare")
 
@@ -448,10 +481,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     own = F.col("c") >= least
     table = words.where(F.col("c") < often_enough).join(others, "word", "left").select("word", "c", *(F.when(own, F.col(q)).alias(q) for q in steps))
     table = scratch.table(table, "table")
-    del others, part
     scratch.drop("counts")
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the rounds before the texts are shuffled
     high = table.mapInArrow(_high(states, least), "n long, v long, " + ", ".join(f"{c} double" for c in columns)).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", *columns))).first()
     mass = rest_n + 0.5 * (rest_v + 1)
     share = (rest_n - high["n"] + 0.5 * (rest_v - high["v"] + 1)) / mass
@@ -461,11 +491,35 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ratio = {"all": float(np.log10(mass / whole)), "total": total_of, "weight": weight, "low": (low / share + weight) / (total_of + weight), "end_known": bool(ends)}
     logs = np.concatenate([_log_share(often, whole), [0.0, float(_log_share(ends, whole))]])
     shared = spark.sparkContext.broadcast((*model[:3], logs, ratio, whole))
+    return coded, table, shared, end, N
+
+
+def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out_fold: int = 1, states: int = 8, symbols: int = 50_000, rounds: int = 3, run: int = 128, sample: int = 1500, least: int = 3) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
+
+    Learning covers every text outside the held-out fold; ``sample`` bounds only the texts that start the states, those
+    of the lowest hash of id and text, so that results do not depend on how the table is cut into files. ``symbols``
+    bounds the words whose emissions all rounds refine; the others get theirs in the last round, if they have ``least``
+    uses. A null text is empty: its one token is the end. Without learning texts every base term is log10(1) and the
+    model is even. Repeated rows are learned as often as they stand; repeated and null ids keep their rows; other
+    columns are ignored; an empty table gives an empty result.
+    """
+    if not 0 < symbols < 65_534 or rounds < 1:
+        raise ValueError("symbols must fit 16 bits, and there must be a round")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "hmm")
+    kind = docs.schema[id_col].dataType.simpleString()
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    d = d.withColumn("held_out", fold("doc_id", folds) == out_fold)
+    with finished_shuffles_deleted(spark):
+        coded, table, shared, end, N = _learned(d, scratch, states, symbols, rounds, run, sample, least)
 
+    steps = [f"q{k}" for k in range(-(-states // 4))]
     none = lambda *names: [F.lit(None).cast(t).alias(c) for c, t in names]
-    wanted = coded.where("role = 0").select("block", "rare").mapInArrow(_wanted, "block long, word long").join(table, "word")
-    wanted = wanted.select("block", F.lit(0).alias("role"), *none(("doc_id", kind), ("held_out", "boolean"), ("ids", "binary"), ("rare", "binary")), "word", "c", *steps)
-    texts = coded.where("role = 1").select("block", "role", "doc_id", "held_out", "ids", "rare", *none(("word", "long"), ("c", "long"), *((q, "long") for q in steps)))
+    wanted = coded.where("role = 0").select("block", "rare").mapInArrow(_wanted, "block long, word long").join(table, "word").select("block", "word", "c", *steps)
+    wanted = wanted.mapInArrow(_by_block(states), "block long, rare binary, uses binary, own binary")
+    wanted = wanted.select("block", F.lit(0).alias("role"), *none(("doc_id", kind), ("held_out", "boolean"), ("ids", "binary")), "rare", "uses", "own")
+    texts = coded.where("role = 1").select("block", "role", "doc_id", "held_out", "ids", "rare", *none(("uses", "binary"), ("own", "binary")))
     out = wanted.union(texts).repartition("block").sortWithinPartitions("block", "role")
     out = out.mapInArrow(_score(shared, end, states), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(N)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -4,13 +4,16 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
+from driftwell.functions.scratch import CLEANUP
 from driftwell.llm import hmm_score, langid_crf, quality_net, suffix_dedup
 from driftwell.llm.chains import forward_backward
 from driftwell.llm.decontaminate import contaminated, uncontaminated
@@ -225,6 +228,37 @@ def test_uses_of_words_add_up_in_any_order_in_little_memory():
     assert _peak_mb(lambda: hmm_score.summed_uses([words], [uses])) < 70
 
 
+def test_known_words_travel_packed_by_block():
+    r = np.random.default_rng(8)
+    n = 60_000
+    block, word, uses = r.integers(0, 3, n), r.permutation(n).astype(np.int64) * 2**40, np.minimum(r.zipf(1.5, n), 10**9)
+    steps = r.integers(0, hmm_score.MOST + 1, (n, 6)).astype(np.uint16)
+    hidden = uses < 3
+    t = pa.table({"block": block, "word": word, "c": uses} | {f"q{k}": pa.array(q, mask=hidden) for k, q in enumerate(hmm_score._longs(steps))})
+    rows = pa.Table.from_batches([b for b in hmm_score._by_block(6)(t.to_batches(max_chunksize=7_000))])
+    assert rows.num_rows == 3 and sum(len(x) for c in ("rare", "uses", "own") for x in rows.column(c).to_pylist()) < 8 * n + 2 * n + 12 * (~hidden).sum() + 3_000
+    for b in range(3):
+        words, c, places, own = hmm_score.words_of_block(rows.filter(pc.equal(rows.column("block"), b)), 6)
+        assert dict(zip(words, c)) == dict(zip(word[block == b], uses[block == b]))
+        at = np.searchsorted(word[by := np.argsort(word)], words[places])
+        assert len(places) == (~hidden & (block == b)).sum() and np.array_equal(own, hmm_score._counts(steps[by[at]]))
+    assert [len(x) for x in hmm_score.words_of_block(rows.slice(0, 0), 6)] == [0] * 4 and not list(hmm_score._by_block(6)(t.slice(0, 0).to_batches()))
+
+
+def test_learning_leaves_no_shuffle_files(spark, odd):
+    def files():
+        found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(CLEANUP, None)
+    scores = score_texts(odd, symbols=5, states=2)
+    end = time.monotonic() + 20
+    while (left := files() - before) and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(CLEANUP, None) == setting
+    assert scores.count() == odd.count()
+
+
 def _sorted(batches):
     t = pa.Table.from_batches(batches).sort_by("word")
     return t.combine_chunks().to_batches()[0]
