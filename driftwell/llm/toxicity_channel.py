@@ -11,8 +11,10 @@ restored words they hold and their beginnings, which words of one stem share.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Iterator
+from itertools import chain, pairwise
 from math import exp, lgamma, log, log1p
 
 import numpy as np
@@ -32,11 +34,11 @@ LEET = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "€": "e", "£": "l", "§": "s", "¡": "i",
     "*": "aeiou", "#": "h", "%": "x",
 }
-MOST_WORDS, MOST_STEPS, MOST_LETTERS = 200_000, 50_000, 64  # entries of a task's caches, and letters of a cached token; results do not depend on them
+MOST_WORDS, MOST_IDLE, MOST_STEPS, MOST_LETTERS = 200_000, 400_000, 50_000, 64  # entries of a task's caches, and letters of a cached token; results do not depend on them
+MOST_SPELLINGS, FEW = 200, 40  # of signs, and known words of one beginning, that are met one by one
 BEYOND = 3.17e-5  # a chance beyond z = 4
 APART = -3.0  # log probability that a spaced run goes on with letters of no known word
 NONE = -1e300
-_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _LEAD = re.compile(r"[^\w@$!|+(<{€£§¡*#%]*")  # what no letter hides behind at a token's start
 _THRICE = re.compile(r"(.)\1\1")
 _LONG = re.compile(r"(.)\1{3,}")
@@ -47,7 +49,7 @@ _PLAIN = re.compile(r"(?:([^\W\d_])(?!\1)){8,}")  # letters, none of them double
 
 def trimmed(token: str) -> str:
     """A token without the signs around it; single signs at its end that may be letters stay, doubled ones go."""
-    start, end = _LEAD.match(token).end(), len(token)
+    start, end = 0 if token[:1].isalpha() else _LEAD.match(token).end(), len(token)
     while end > start:
         c = token[end - 1]
         if c.isalnum() or c == "_":
@@ -66,7 +68,7 @@ def trimmed(token: str) -> str:
 
 def core_of(token: str) -> str:
     """A token without the signs around it that no letter hides behind."""
-    start, end = _LEAD.match(token).end(), len(token)
+    start, end = 0 if token[:1].isalpha() else _LEAD.match(token).end(), len(token)
     while end > start and not (token[end - 1].isalnum() or token[end - 1] == "_" or token[end - 1] in LEET):
         end -= 1
     return token[start:end]
@@ -86,6 +88,7 @@ class Words:
         self.total = int(np.frombuffer(counts, np.int64).sum()) + 1
         self.root = (0, self.n, 0, 0)
         self.seen: dict[tuple, tuple] = {}
+        self.spans: dict[str, tuple] = {}
 
     def __reduce__(self):
         return Words, self.state
@@ -129,7 +132,11 @@ class Words:
                 self.seen.clear()
             low, high, at, depth = node
             letters, ends = self.letters, self.ends
-            for x in letter.encode("utf-8", "replace"):
+            own = letter.encode("utf-8", "replace")
+            if high - low == 1:  # the one word with this beginning
+                start, at = ends[low] + at, at + len(own)
+                return (low, high, at, depth + 1) if ends[low] + at <= ends[high] and letters[start : start + len(own)] == own else ()
+            for x in own:
                 if low < high and ends[low] + at == ends[low + 1]:  # the beginning itself
                     low += 1
                 key = lambda i, at=at: letters[ends[i] + at]
@@ -140,10 +147,26 @@ class Words:
         return got
 
     def walk(self, text: str) -> tuple:
-        at = self.root
-        for c in text:
-            at = at and self.step(at, c)
-        return at
+        if not text:
+            return self.root
+        low, high = 0, self.n
+        if len(text) > 4:
+            span = self.spans.get(text[:4])
+            if span is None:
+                if len(self.spans) > MOST_STEPS:
+                    self.spans.clear()
+                span = self.spans[text[:4]] = self.walk(text[:4])
+            if not span:
+                return ()
+            low, high = span[:2]
+        own, letters, ends = text.encode("utf-8", "replace"), self.letters, self.ends
+        size = len(own)
+        key = lambda i: letters[ends[i] : min(ends[i] + size, ends[i + 1])]
+        first = last = bisect_left(range(high), own, low, key=key)
+        leap = 1
+        while last < high and key(last) == own:  # most beginnings have few words
+            last, leap = last + leap, 2 * leap
+        return (first, bisect_right(range(high), own, max(first, last - leap // 2), min(last, high), key=key), size, len(text)) if last > first else ()
 
     def count(self, node: tuple) -> int:
         """The count of the word that is the whole beginning, or 0."""
@@ -182,6 +205,8 @@ class Channel:
         self.chars = sum(self.uni.values()) + 1
         self.steps: dict[str, float] = {}
         self.choices: dict[tuple, list] = {}
+        self.tails: dict[tuple, tuple] = {}
+        self.tables: dict[str, dict | None] = {}
 
     def step(self, before: str, c: str) -> float:
         """log probability of c after two letters, interpolated."""
@@ -210,6 +235,85 @@ class Channel:
             out.append(("", -0.7 if run == 2 else -0.05))
         return out
 
+    def chosen(self, signs: str) -> list[list]:
+        """options() of each of some signs in a row, the likelier way to be none only."""
+        out, run = [], 0
+        for i, c in enumerate(signs):
+            run = run + 1 if i and c == signs[i - 1] else 1
+            own = self.options(c, run)
+            none = max(cost for x, cost in own if not x)
+            out.append([*((x, cost) for x, cost in own if x), ("", none)])
+        return out
+
+    def tail(self, two: str, signs: str) -> tuple[float, str]:
+        """The likeliest letters of signs after two letters and before a word's end, and their log probability before them."""
+        got = self.tails.get((two, signs))
+        if got is None:
+            states = {two: (0.0, "")}
+            for options in self.chosen(signs):
+                new: dict[str, tuple] = {}
+                for at, (score, path) in states.items():
+                    for x, cost in options:
+                        s, key = (score + cost + self.step(at, x), at[1] + x) if x else (score + cost, at)
+                        old = new.get(key)
+                        if old is None or s > old[0]:
+                            new[key] = (s, path + x)
+                states = new
+            got = max(((s + self.step(at, "$"), path) for at, (s, path) in states.items()), key=lambda g: g[0])
+            if len(self.tails) > MOST_STEPS:
+                self.tails.clear()
+            self.tails[two, signs] = got
+        return got
+
+    def spellings(self, signs: str) -> dict[bytes, tuple[int, float]] | None:
+        """All letters that signs may stand for, numbered, with log probabilities; None if there are too many."""
+        if signs not in self.tables:
+            table: dict | None = {"": 0.0}
+            for options in self.chosen(signs):
+                more: dict[str, float] = {}
+                for rest, s in table.items():
+                    for x, cost in options:
+                        if s + cost > more.get(rest + x, NONE):
+                            more[rest + x] = s + cost
+                table = more
+                if len(table) > MOST_SPELLINGS:
+                    break
+            if len(self.tables) > MOST_SPELLINGS:
+                self.tables.clear()
+            self.tables[signs] = {x.encode(): (i, s) for i, (x, s) in enumerate(table.items())} if len(table) <= MOST_SPELLINGS else None
+        return self.tables[signs]
+
+    def spelled(self, node: tuple, signs: str) -> list[tuple[float, int]]:
+        """The known words that a node's letters and signs after them spell: log probability of the signs, place of the word."""
+        (low, high, at, _), known = node, self.words
+        if high - low <= FEW and (table := self.spellings(signs)) is not None:
+            letters, ends = known.letters, known.ends
+            met = [(*table[rest], i) for i in range(low, high) if (rest := letters[ends[i] + at : ends[i + 1]]) in table]
+            return [(cost, i) for _, cost, i in sorted(met)]
+        states = {node: 0.0}
+        for options in self.chosen(signs):
+            more: dict[tuple, float] = {}
+            for node, s in states.items():
+                for x, cost in options:
+                    to = known.step(node, x) if x else node
+                    if to and s + cost > more.get(to, NONE):
+                        more[to] = s + cost
+            states = more
+        return [(cost, to[0]) for to, cost in states.items() if known.count(to)]
+
+    def ended(self, head: str, signs: str) -> str:
+        """restore() of letters and the signs (no letters or digits) that follow them; most heads share their last letters."""
+        if len(signs) > MOST_LETTERS:
+            return self.restore(signs, head)
+        score, best = self.tail(("^^" + head)[-2:], signs)
+        best, known = head + best, self.words
+        if (node := known.walk(head)) and (spelled := self.spelled(node, signs)):
+            score += self.letters(head)
+            for cost, i in spelled:
+                if (own := cost + log(known.counts[i] / self.total)) >= score:
+                    score, best = own, known.word(i)
+        return best
+
     def restore(self, token: str, head: str = "") -> str:
         """The likeliest letters of a lower-case token after the letters ``head``; the token itself if it has none."""
         states = {("^^" + head)[-2:]: (self.letters(head), None)}  # by the last two letters: score, letters since the last sure one
@@ -331,10 +435,26 @@ def _unwound(path) -> str:
     return "".join(reversed(out))
 
 
+_BEGINNINGS = [[slice(k) for k in range(5, n + 1)] for n in range(9)]  # by the letters of a word
+
+
+def spaced(tokens: list[str], sizes: list[int]) -> Iterator[str]:
+    """The characters of each run of three or more tokens of one character, as long as runs go; sizes: the tokens' lengths."""
+    if sizes.count(1) < 3:
+        return
+    first = last = -2
+    for i in chain((i for i, n in enumerate(sizes) if n == 1), (len(sizes) + 1,)):
+        if i != last + 1:
+            if last - first >= 2:
+                yield "".join(tokens[first : last + 1])
+            first = i
+        last = i
+
+
 def features(word: str) -> list[int]:
     """Hashes of a restored word and of its beginnings, which words of one stem share."""
     own = "^" + word
-    return [_hash(word), *[_hash(own[:k]) for k in range(5, min(10, len(own)))]]
+    return [*map(_hash, (word, *[own[k] for k in _BEGINNINGS[len(word)]]))] if len(word) < 9 else [*map(_hash, (word, own[:5], own[:6], own[:7], own[:8], own[:9]))]
 
 
 class Reader:
@@ -347,7 +467,9 @@ class Reader:
             self.single.setdefault(_DOUBLE.sub(r"\1", w), w)
         self.targets, self.sorted = frozenset(targets), sorted(targets)
         self.heads = {w[:k] for w in targets for k in range(1, min(len(w), MOST_LETTERS + 1))}
-        self.cache: dict[str, tuple] = {}
+        self.whole = self.heads.union(w for w in targets if len(w) <= MOST_LETTERS)
+        self.cache: dict[str, tuple] = {}  # of tokens of which something is to be known
+        self.idle: set[str] = set()  # the other tokens
 
     def word(self, token: str) -> str:
         core = token if token.isalpha() else core_of(token)
@@ -357,7 +479,7 @@ class Reader:
             end = next(i for i, x in enumerate(core) if not x.isalpha())
             if not end or any(x.isalnum() for x in core[end:]) or _THRICE.search(core[:end]):
                 return self.channel.restore(core)
-            core = self.channel.restore(core[end:], core[:end])  # signs at the end: letters or noise, as the decoder prefers
+            core = self.channel.ended(core[:end], core[end:])  # signs at the end: letters or noise, as the decoder prefers
         elif not _DOUBLE.search(core):
             return core
         elif _THRICE.search(core):
@@ -369,31 +491,34 @@ class Reader:
     def read(self, text: str | None) -> list[tuple]:
         if not text:
             return []
-        text = text.lower()
-        cache = self.cache
+        tokens = text.lower().split()
+        cache, idle = self.cache, self.idle
         if len(cache) > MOST_WORDS:
             cache.clear()
-        out = []
-        tokens = text.split()
-        for w in set(tokens):
-            got = cache.get(w)
-            if got is None:
-                plain = self.word(w)
-                got = self.kept(plain) if plain else ()
-                if len(w) <= MOST_LETTERS:
-                    cache[w] = got
-            if got:
-                out.append(got)
-        for m in _SPACED.finditer(text):
-            if sum(x.isalpha() for x in m.group()) >= 3:
-                run = re.sub(r"\s", "", m.group())
+        if len(idle) > MOST_IDLE:
+            idle.clear()
+        out, met = [], set(tokens) - idle
+        for w in met.difference(cache):
+            plain = self.word(w)
+            got = self.kept(plain) if plain else ()
+            if len(w) > MOST_LETTERS:
+                if got:
+                    out.append(got)
+            elif got:
+                cache[w] = got
+            else:
+                idle.add(w)
+        out += filter(None, map(cache.get, met))
+        sizes = list(map(len, tokens))
+        for run in spaced(tokens, sizes):
+            if sum(x.isalpha() for x in run) >= 3:
                 for a in range(min(2, len(run) - 2)):  # a one-letter word may stand before or after the letters
                     for b in range(len(run), max(a + 2, len(run) - 2), -1):
                         if got := self.kept(self.channel.restore(run[a:b])):
                             out.append(got)
                 out += filter(None, map(self.kept, self.channel.split(run)))
         if self.heads:
-            out += self.chunks(tokens)
+            out += self.chunks(tokens, sizes)
         return out
 
     def begins(self, w: str) -> bool:
@@ -403,21 +528,23 @@ class Reader:
         at = bisect_left(self.sorted, w)
         return any(t != w and t.startswith(w) for t in self.sorted[at : at + 2])
 
-    def chunks(self, tokens: list[str]) -> list[tuple]:
+    def chunks(self, tokens: list[str], sizes: list[int]) -> list[tuple]:
         """Target words that blanks cut into pieces, where the decoder prefers the word to its pieces."""
-        out, own, heads = [], self.channel.own, self.heads
-        for i, w in enumerate(tokens):
-            if w not in heads and len(w) <= MOST_LETTERS:
-                continue
-            j = i + 1
+        out, own, heads, whole = [], self.channel.own, self.heads, self.whole
+        # a target goes on with the letters of the next token, or with its first ones if signs follow them
+        starts = [i for i, (w, x) in enumerate(pairwise(tokens)) if w in heads and (w + (x if x.isalpha() else x[0]))[:MOST_LETTERS] in whole]
+        if max(sizes, default=0) > MOST_LETTERS:
+            starts = sorted({*starts, *(i for i, n in enumerate(sizes) if n > MOST_LETTERS)})
+        for i in starts:
+            w, j = tokens[i], i + 1
             while j < len(tokens) and self.begins(w):
                 w += tokens[j]
                 j += 1
-                whole = trimmed(w)
-                if whole in self.targets:
+                target = trimmed(w)
+                if target in self.targets:
                     parts = [x for x in (*tokens[i : j - 1], trimmed(tokens[j - 1])) if x]
-                    if own(whole) - 3.5 * (j - i - 1) > sum(map(own, parts)) and not any(map(self.kept, parts)):  # a blank in a word costs as noise does
-                        out.append(self.kept(whole))
+                    if own(target) - 3.5 * (j - i - 1) > sum(map(own, parts)) and not any(map(self.kept, parts)):  # a blank in a word costs as noise does
+                        out.append(self.kept(target))
         return out
 
 
@@ -499,15 +626,15 @@ def _features(words, known):
     """For each feature of a task's texts (of those known, if given), how many texts hold it."""
 
     def run(batches):
-        asked = frozenset(known.value.tolist()) if known else None
-        kept = (lambda w: tuple(f for f in features(w) if f in asked)) if known else lambda w: tuple(features(w))
-        reader = Reader(Channel(words.value), kept)
+        place = {f: i for i, f in enumerate(known.value.tolist())} if known else None
+        kept = (lambda w: tuple(map(place.__getitem__, filter(place.__contains__, features(w))))) if known else lambda w: tuple(features(w))
+        reader = Reader(_channel(words), kept)
         for batch in batches:
-            found: dict[int, int] = {}
+            found: Counter = Counter()
             for text in _decoded(batch.column("text")):
-                for f in {f for fs in reader.read(text) for f in fs}:
-                    found[f] = found.get(f, 0) + 1
-            yield pa.record_batch({"feature": pa.array(np.fromiter(found, np.uint64, len(found)).view(np.int64)), "n": pa.array(found.values(), pa.int64())})
+                found.update(set(chain.from_iterable(reader.read(text))))
+            feature = np.fromiter(found, np.int64 if known else np.uint64, len(found))
+            yield pa.record_batch({"feature": pa.array((known.value[feature] if known else feature).view(np.int64)), "n": pa.array(found.values(), pa.int64())})
 
     return run
 
@@ -619,13 +746,16 @@ def learn(rows: DataFrame, scratch: Scratch, *, least: int = 4) -> tuple | None:
 class Scorer:
     """Scores of whole texts under learned words, weights, slope and bias."""
 
-    def __init__(self, words: Words | dict[str, int], weights: dict[int, float], line: tuple[float, float], targets: list[str] | None = None):
+    def __init__(self, words: Channel | Words | dict[str, int], weights: dict[int, float], line: tuple[float, float], targets: list[str] | None = None):
         def kept(w: str) -> tuple:
-            hit = [weights[f] for f in features(w) if f in weights]
-            return (w, max(hit)) if hit else ()
+            own = features(w)
+            return () if telling.isdisjoint(own) else (w, max(weights[f] for f in own if f in weights))
+
+        telling = frozenset(weights)
 
         self.line = line
-        self.reader = Reader(Channel(words), kept, {w for w in words if xxhash.xxh3_64_intdigest(w) in weights} if targets is None else targets)
+        self.channel = words if isinstance(words, Channel) else Channel(words)
+        self.reader = Reader(self.channel, kept, {w for w in self.channel.words if _hash(w) in weights} if targets is None else targets)
 
     def total(self, text: str | None) -> tuple[float, list[str]]:
         """The distinct telling words' weights, added up, and those words."""
@@ -637,14 +767,23 @@ class Scorer:
         return float(sigmoid(np.float64(self.line[0] * total + self.line[1]))), words
 
 
+_CHANNELS: dict[int, tuple] = {}  # of a worker: the words in use and their channel, which the worker's tasks share
 _SCORERS: dict[int, tuple] = {}  # of a worker: the model in use and its scorer, which the worker's tasks share
 
 
+def _channel(words) -> Channel:
+    own = words.value
+    if id(own) not in _CHANNELS:
+        _CHANNELS.clear()
+        _CHANNELS[id(own)] = (own, Channel(own))
+    return _CHANNELS[id(own)][1]
+
+
 def _scorer(words, model) -> Scorer:
     own = model.value
     if id(own) not in _SCORERS:
         _SCORERS.clear()
-        _SCORERS[id(own)] = (own, Scorer(words.value, *own))
+        _SCORERS[id(own)] = (own, Scorer(_channel(words), *own))
     return _SCORERS[id(own)][1]
 
 

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import time
 import zlib
 
@@ -16,7 +17,7 @@ from driftwell.llm.hmm_score import score_texts
 from driftwell.llm.langid_crf import identify
 from driftwell.llm.quality_net import accepted, classify
 from driftwell.llm.sampling import all_labelled_rows
-from driftwell.llm.toxicity_channel import Channel, Scorer, Words, chance, features, learn, score_toxicity, trimmed
+from driftwell.llm.toxicity_channel import Channel, Scorer, Words, chance, features, learn, score_toxicity, spaced, trimmed
 
 SYLLABLES = {"aa": ["the", "ing", "on", "er", "and"], "bb": ["que", "ción", "ado", "ez", "la"], "cc": ["ung", "heit", "sch", "ß", "ver"]}
 
@@ -202,6 +203,52 @@ def test_decoding_is_exact():
         assert scores[c.restore(token)] == pytest.approx(max(scores.values()), abs=1e-9), token
 
 
+def test_signs_at_the_end_are_decoded_once_for_like_beginnings(monkeypatch):
+    r = random.Random(5)
+    own = {"".join(r.choices(["ro", "te", "n", "idi", "ot", "as", "th", "e", "ca", "l", "i"], k=r.randint(1, 5))): r.randint(2, 99) for _ in range(600)}
+    c = Channel(own)
+    heads = [w for w in own if all(x != y for x, y in zip(w, w[1:]))] + ["xq", "zyx", "é"]
+    for _ in range(300):
+        head, signs = r.choice(heads)[: r.randint(1, 9)], "".join(r.choices("@$!|+*#%.,-", k=r.randint(1, 4)))
+        scores, got = brute(c, head + signs), c.ended(head, signs)
+        assert scores[got] == pytest.approx(max(scores.values()), abs=1e-9) and got == c.restore(signs, head), (head, signs)
+    reader, steps = Scorer(own, {}, (1.0, 0.0)).reader, []
+    monkeypatch.setattr(Words, "step", lambda self, *a, step=Words.step: steps.append(a) or step(self, *a))
+    read = [reader.word(h + "***") for h in heads]
+    assert len(steps) < 3 * len(heads)  # beginnings are met as wholes, not letter by letter, which took 4435 steps for 355
+    assert read == [c.restore("***", h) for h in heads]
+
+
+def test_single_characters_in_a_row_are_found():
+    r, pattern = random.Random(2), re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+    for _ in range(2000):
+        text = "".join(r.choices(["a", "é", "5", "bb", " ", "\n", "\u3000 ", "\x1c"], [3, 1, 1, 1, 5, 1, 1, 1], k=r.randint(0, 25)))
+        tokens = text.split()
+        assert list(spaced(tokens, [len(w) for w in tokens])) == [re.sub(r"\s", "", m.group()) for m in pattern.finditer(text)], text
+
+
+def test_pieces_of_words_are_met_as_in_a_plain_search():
+    r, long = random.Random(7), "abcde" * 14
+    words = {"idiot": 30, "moron": 30, "id": 5, "it": 90, "mor": 4, "on": 80, long: 9, "ab": 4}
+    targets = ["idiot", "moron", long]
+    s = Scorer(words, {f: 1.0 for w in targets for f in features(w)[:1]}, (1.0, 0.0), targets)
+    met = 0
+    for _ in range(1500):
+        tokens = [x for _ in range(4) for x in r.choice((["idi", "ot"], ["i", "diot"], ["id", "i", "ot."], ["mor", "on,!"], ["m", "or", "on"], [long[:40], long[40:]], [long[:66], long[66:]], [long[:20], long[20:65], long[65:] + "!"], ["mo", "-", "ron"], ["idi$", "ot"], ["it", "ab"], ["x"]))]
+        want = []
+        for i in range(len(tokens)):
+            for j in range(i + 2, len(tokens) + 1):
+                before, whole = "".join(tokens[i : j - 1]), trimmed("".join(tokens[i:j]))
+                if not any(t != before and t.startswith(before) for t in targets):
+                    break
+                parts = [x for x in (*tokens[i : j - 1], trimmed(tokens[j - 1])) if x]
+                if whole in targets and s.channel.own(whole) - 3.5 * (j - i - 1) > sum(map(s.channel.own, parts)) and not any(p in targets for p in parts):
+                    want.append((whole, 1.0))
+        assert s.reader.chunks(tokens, [len(w) for w in tokens]) == want, tokens
+        met += len(want)
+    assert met > 1000
+
+
 def test_long_tokens_take_time_in_proportion():
     words = {"rotten": 30, "the": 500, "idiot": 20}
     s = Scorer(words, {f: 1.0 for f in features("idiot")}, (1.0, 0.0))
